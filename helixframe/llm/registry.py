@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from helixframe.llm import exact_dedup
+from helixframe.llm import exact_dedup, quality_rules, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_rules": quality_rules.op1_quality_rules,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op9_simhash_near_dedup": simhash.op9_simhash_near_dedup,
 }
 ORACLES: dict[str, str] = {
+    "op1_quality_rules": quality_rules.ORACLE,
     "op3_exact_dedup": exact_dedup.ORACLE,
 }

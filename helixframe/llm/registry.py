@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from helixframe.llm import byte_bpe, exact_dedup, quality_rules, simhash
+from helixframe.llm import byte_bpe, exact_dedup, packing, quality_rules, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
     "op2_byte_bpe": byte_bpe.op2_byte_bpe,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op8_best_fit_packing": packing.op8_best_fit_packing,
     "op9_simhash_near_dedup": simhash.op9_simhash_near_dedup,
 }
 ORACLES: dict[str, str] = {

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from helixframe.llm import byte_bpe, exact_dedup, packing, quality_rules, simhash
+from helixframe.llm import byte_bpe, exact_dedup, language_id, packing, quality_rules, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op8_best_fit_packing": packing.op8_best_fit_packing,
     "op9_simhash_near_dedup": simhash.op9_simhash_near_dedup,
+    "op10_language_id": language_id.op10_language_id,
 }
 ORACLES: dict[str, str] = {
     "op1_quality_rules": quality_rules.ORACLE,

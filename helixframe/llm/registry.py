@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from helixframe.llm import byte_bpe, exact_dedup, language_id, packing, quality_rules, simhash
+from helixframe.llm import byte_bpe, exact_dedup, language_id, packing, quality_rules, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
     "op2_byte_bpe": byte_bpe.op2_byte_bpe,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op6_toxicity": toxicity.op6_toxicity,
     "op8_best_fit_packing": packing.op8_best_fit_packing,
     "op9_simhash_near_dedup": simhash.op9_simhash_near_dedup,
     "op10_language_id": language_id.op10_language_id,

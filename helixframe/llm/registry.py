@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from helixframe.llm import byte_bpe, exact_dedup, language_id, packing, personal_data, quality_rules, simhash, toxicity
+from helixframe.llm import byte_bpe, exact_dedup, language_id, licence_scan, packing, personal_data, quality_rules, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op5_personal_data": personal_data.op5_personal_data,
     "op6_toxicity": toxicity.op6_toxicity,
+    "op7_licence_scan": licence_scan.op7_licence_scan,
     "op8_best_fit_packing": packing.op8_best_fit_packing,
     "op9_simhash_near_dedup": simhash.op9_simhash_near_dedup,
     "op10_language_id": language_id.op10_language_id,
@@ -21,4 +22,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op1_quality_rules": quality_rules.ORACLE,
     "op3_exact_dedup": exact_dedup.ORACLE,
+    "op7_licence_scan": licence_scan.ORACLE,
 }

@@ -15,7 +15,14 @@ HOT_ROWS = 256
 MOST_HOT = 10_000
 
 
+#: Rows that go to Python at once: texts can be long, and workers share an executor's memory.
+ARROW_ROWS = 1024
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the data; Arrow batches of the session become small enough for long texts."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > ARROW_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

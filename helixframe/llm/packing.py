@@ -16,7 +16,9 @@ columns are ignored here, whatever their names.
 
 from __future__ import annotations
 
+import os
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -33,7 +35,11 @@ VOCABULARY = "word_bpe_49k.json"
 LIMIT = 4096
 END_ID = 1
 #: Words a task remembers; then it starts anew.
-MOST_WORDS = 200_000
+MOST_WORDS = 500_000
+#: Parts words that are encoded together; one token of the vocabulary.
+MARK = "\u2665"
+#: Rows of a batch that are tokenized at once.
+ROWS = 256
 #: Pieces in a share of a length, about; see above.
 SHARE = 20_000
 #: Runs that are broadcast at most (some 40 bytes each); a longer plan is joined by shuffle.
@@ -49,40 +55,65 @@ def tokenizer(path: str):
     return found
 
 
+class Words(dict):
+    """word -> its number among the words of a task; `fresh` gets those that it hadn't."""
+
+    def __init__(self):
+        self.fresh: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = number = len(self)
+        self.fresh.append(word)
+        return number
+
+
+def encoded(words: list[str], path: str) -> Iterator[bytes]:
+    """Each word's ids as little-endian bytes.  Many words are encoded as one text, parted by a mark of one token."""
+    found = tokenizer(path)
+    mark = found.encode(MARK, add_special_tokens=False).ids
+    if len(mark) != 1 or any(MARK in x for x in words):
+        for x in found.encode_batch_fast(words, add_special_tokens=False):
+            yield array("I", x.ids).tobytes()
+        return
+    blocks = [words[at : at + 1000] for at in range(0, len(words), 1000)]
+    for block, x in zip(blocks, found.encode_batch_fast([f" {MARK} ".join(b) for b in blocks], add_special_tokens=False), strict=True):
+        ids = np.array(x.ids, "<u4")
+        joined, cuts = ids.tobytes(), np.flatnonzero(ids == mark[0])
+        if len(cuts) != len(block) - 1:
+            raise AssertionError("words and marks don't match")
+        for start, end in zip([0, *(4 * cuts + 4).tolist()], [*(4 * cuts).tolist(), len(joined)], strict=True):
+            yield joined[start:end]
+
+
 def _tokens(path: str, end_id: int) -> Callable[[list[bytes]], Iterator[bytes]]:
     """A function that gives each text's ids as little-endian bytes, the end id included.
 
     The vocabulary's rules drop white space and never join what it parts, so that the ids of a text are those
     of its space-parted words; each distinct word is encoded once.
     """
-    encode = tokenizer(path).encode_batch
-    known: dict[bytes, bytes] = {}
-    end = np.array([end_id], "<u4").tobytes()
+    known, ids = Words(), []
+    end = array("I", [end_id]).tobytes()
 
     def run(texts: list[bytes]) -> Iterator[bytes]:
-        for text in texts:
-            words = text.split()
-            new = [x for x in dict.fromkeys(words) if x not in known]
-            if new:
-                if len(known) > MOST_WORDS:
-                    known.clear()
-                    new = list(dict.fromkeys(words))
-                for word, found in zip(new, encode([x.decode() for x in new], add_special_tokens=False), strict=True):
-                    known[word] = np.array(found.ids, "<u4").tobytes()
-            yield b"".join([known[x] for x in words]) + end
+        nonlocal known, ids
+        if len(known) > MOST_WORDS:
+            known, ids = Words(), []
+        numbers = [[known[x] for x in text.split()] for text in texts]
+        ids += encoded([x.decode() for x in known.fresh], path)
+        known.fresh = []
+        for at in numbers:
+            yield b"".join([ids[x] for x in at]) + end
 
     return run
 
 
 def _pieces(path: str, limit: int, end_id: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         tokens = _tokens(path, end_id)
-        for batch in batches:
+        for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
             rows = []
-            texts = (x.as_py() or b"" for x in batch.column(1).cast(pa.binary()))
+            texts = [x.as_py() or b"" for x in batch.column(1).cast(pa.binary())]
             for doc_id, ids in zip(batch.column(0).to_pylist(), tokens(texts), strict=True):
                 for piece, at in enumerate(range(0, len(ids), 4 * limit)):
                     part = ids[at : at + 4 * limit]

@@ -5,8 +5,8 @@ Words (matches of the public pattern) are encoded once for each task that meets
 1. An Arrow function splits whole texts and numbers the distinct words; each row carries its words' numbers
    and, as byte arrays, the words that no earlier row of the task had.
 2. Spark's higher-order functions fold ranked merges over the byte array of each new word.  Ranks come from a
-   literal map: three literal arrays that form a perfect hash table (displacement, key, rank), so that a
-   lookup costs the same at any vocabulary size.
+   literal map of token pairs: two literal arrays (a sparse matrix whose rows are laid over one another), so
+   that a lookup costs the same at any vocabulary size.  A merge looks up only the two pairs it makes.
 3. A second Arrow function, in the same task and order, joins the ids and the decoded pieces of each row's
    words.
 
@@ -22,25 +22,30 @@ from __future__ import annotations
 
 import base64
 import heapq
+from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import public_tokenizers
 import regex
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixframe.llm.common import let, table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-MOST_WORDS = 200_000
+MOST_WORDS = 400_000
 LONG_WORD = 256
-#: Of the perfect hash table: bits of the bucket and slot numbers, and how far the slot's hash bits are shifted.
-BUCKET_BITS, SLOT_BITS, SHIFT = 14, 17, 20
-#: Stands for a piece without rank: greater than any rank.
-NO_RANK = 2**31 - 1
+#: A word in the fold is an array of longs, one for each token: the rank of its pair with the next token, where
+#: it starts in the word, its id, from the highest bits to the lowest.  Ids and ranks have ID_BITS, starts START_BITS.
+ID_BITS, START_BITS = 20, 14
+LOW_BITS = ID_BITS + START_BITS
+#: Rank of a pair that the map lacks; an id that no token has, which stands at both ends of a word.
+NO_RANK, EDGE = 1 << ID_BITS, (1 << ID_BITS) - 2
+#: Rows of a batch that are split at once.
+ROWS = 256
 
 
 @lru_cache(4)
@@ -49,65 +54,82 @@ def ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
 
 
-@lru_cache(4)
-def hash_table(path: str) -> tuple[list[int], list[str], list[int]]:
-    """Displacements by bucket, and keys (hex) and ranks by slot; a key's slot is its hash xor its bucket's displacement."""
-    buckets: list[list[tuple[int, str, int]]] = [[] for _ in range(1 << BUCKET_BITS)]
-    slots = (1 << SLOT_BITS) - 1
-    for piece, rank in ranks(path).items():
-        h = xxhash.xxh64_intdigest(piece.hex().upper(), 42)
-        buckets[h & (len(buckets) - 1)].append((h >> SHIFT & slots, piece.hex().upper(), rank))
-    shift, keys, values = [0] * len(buckets), [""] * (slots + 1), [NO_RANK] * (slots + 1)
-    taken = bytearray(slots + 1)
-    for number in sorted(range(len(buckets)), key=lambda i: -len(buckets[i])):
-        at = [x[0] for x in buckets[number]]
-        if len(set(at)) < len(at):
-            raise ValueError("two pieces share all hash bits; change SHIFT")
-        d = next(d for d in range(slots + 1) if not any(taken[x ^ d] for x in at))
-        shift[number] = d
-        for x, key, rank in buckets[number]:
-            taken[x ^ d], keys[x ^ d], values[x ^ d] = 1, key, rank
-    return shift, keys, values
-
-
-def rank_map(path: str) -> Callable[[Column], Column]:
-    """A function from a hex column to its rank, NO_RANK if it has none."""
-    shift, keys, values = (F.split(F.lit(",".join(map(str, x))), ",") for x in hash_table(path))
-    shift, values = shift.cast("array<int>"), values.cast("array<int>")
-
-    def slot(h: Column) -> Column:
-        return F.shiftrightunsigned(h, SHIFT).cast("bigint").bitwiseXOR(F.get(shift, h.bitwiseAND(F.lit((1 << BUCKET_BITS) - 1)).cast("int"))).bitwiseAND(F.lit((1 << SLOT_BITS) - 1)).cast("int")
-
-    def rank(piece: Column) -> Column:
-        return let(slot(F.xxhash64(piece)), lambda s: F.when(F.get(keys, s) == piece, F.get(values, s)).otherwise(F.lit(NO_RANK)))
-
-    return lambda piece: let(piece, rank)
+@lru_cache(2)
+def pair_ranks(path: str) -> dict[tuple[int, int], int]:
+    """Ranks of pairs of tokens: that of their joined bytes."""
+    vocabulary, found = ranks(path), {}
+    for piece, rank in vocabulary.items():
+        for at in range(1, len(piece)):
+            a, b = vocabulary.get(piece[:at]), vocabulary.get(piece[at:])
+            if a is not None and b is not None:
+                found[a, b] = rank
+    return found
+
+
+@lru_cache(2)
+def displaced(path: str) -> tuple[str, str]:
+    """The map of pair ranks as two lists: rows by first id, entries (pair << ID_BITS | rank) by row + second id.
+
+    Rows are laid over one another where their entries don't meet, those with most entries first.
+    """
+    by_row: dict[int, list[tuple[int, int]]] = {}
+    for (a, b), rank in pair_ranks(path).items():
+        by_row.setdefault(a, []).append((b, (a << ID_BITS | b) << ID_BITS | rank))
+    size = len(pair_ranks(path)) * 2 + (1 << 19)
+    entries, rows = np.full(size, (1 << 3 * ID_BITS) - 1, np.int64), np.zeros(max(by_row) + 1, np.int64)
+    free, begin, power = np.arange(1 << 16, size), 0, 0
+    for a in sorted(by_row, key=lambda a: (-len(by_row[a]), a)):
+        seconds, values = (np.array(x) for x in zip(*by_row[a], strict=True))
+        if len(seconds).bit_length() != power:  # rows half as long can go where longer ones couldn't
+            free, begin, power = free[entries[free] == entries[-1]], 0, len(seconds).bit_length()
+        for at in range(begin, len(free), 256):
+            shift = free[at : at + 256] - seconds[0]
+            places = shift[:, None] + seconds
+            fits = (places < size - 1).all(axis=1) & (entries[np.minimum(places, size - 1)] == entries[-1]).all(axis=1)
+            if fits.any():
+                rows[a] = shift[int(fits.argmax())]
+                entries[rows[a] + seconds] = values
+                begin = at
+                break
+        else:
+            raise ValueError("the rows don't fit")
+    used = int(np.flatnonzero(entries != entries[-1])[-1]) + 1
+    return ",".join(map(str, rows.tolist())), ",".join(map(str, entries[:used].tolist()))
+
+
+def rank_map(path: str) -> Callable[[Column, Column], Column]:
+    """A function of two ids: the rank of their pair, or NO_RANK."""
+    rows, entries = (F.split(F.lit(x), ",") for x in displaced(path))
+    rows, entries = rows.cast("array<bigint>"), entries.cast("array<bigint>")
+
+    def rank(a: Column, b: Column) -> Column:
+        entry = F.get(entries, (F.get(rows, a.cast("int")) + b).cast("int"))
+        # The entry's pair bits vanish in the xor if it is this pair's, and leave the rank.
+        return F.least(entry.bitwiseXOR(F.shiftleft(F.shiftleft(a, ID_BITS).bitwiseOR(b), ID_BITS)), F.lit(NO_RANK).cast("bigint"))
+
+    return rank
 
 
 def encoded(word: Column, path: str) -> Column:
-    """The ids of a word given as bytes: the word's own if it is a piece, else those left by ranked merges of its bytes."""
+    """The word (see ID_BITS) after all ranked merges: the lowest rank first, the leftmost of equal ones."""
     rank = rank_map(path)
-    pieces = F.transform(F.sequence(F.lit(0), F.octet_length(word) - 1), lambda i: F.hex(F.substring(word, i + 1, F.lit(1))))
-
-    def pair_ranks(p: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.size(p) - 2), lambda i: rank(F.concat(F.get(p, i), F.get(p, i + 1))))
+    one_id = lambda x: x.bitwiseAND(F.lit((1 << ID_BITS) - 1))
+    low = lambda x: x.bitwiseAND(F.lit((1 << LOW_BITS) - 1))
+    rest = F.lit(1 << 30)
 
-    def merged(state: Column, lowest: Column, at: Column) -> Column:
-        """The pieces with the pair at `at` (from 1) merged, and whether none could be."""
-        p = state["p"]
-        one = F.array(F.concat(F.get(p, at - 1), F.get(p, at)))
-        return F.when(lowest == NO_RANK, F.struct(p.alias("p"), F.lit(True).alias("done"))).otherwise(
-            F.struct(F.concat(F.slice(p, F.lit(1), at - 1), one, F.slice(p, at + 2, F.size(p))).alias("p"), F.lit(False).alias("done"))
-        )
+    def merged(w: Column, best: Column, at: Column) -> Column:
+        """w after the token at `at` (from 1), with the least rank, and the next became one; two pairs are new."""
+        token, before = F.shiftright(best, LOW_BITS), F.get(w, at - 2)
+        start = best.bitwiseAND(F.lit(((1 << START_BITS) - 1) << ID_BITS))
+        left = F.shiftleft(rank(one_id(before), token), LOW_BITS).bitwiseOR(low(before))
+        right = F.shiftleft(rank(token, one_id(F.get(w, at + 1))), LOW_BITS).bitwiseOR(start).bitwiseOR(token)
+        return F.concat(F.slice(w, F.lit(1), at - 2), F.array(left, right), F.slice(w, at + 2, rest))
 
-    def step(state: Column, _: Column) -> Column:
-        best = lambda r: let(F.array_min(r), lambda low: merged(state, low, F.array_position(r, low).cast("int")))
-        return F.when(state["done"] | (F.size(state["p"]) < 2), state).otherwise(let(pair_ranks(state["p"]), best))
+    def step(w: Column, _: Column) -> Column:
+        best = F.array_min(w)
+        return F.when(best >= (NO_RANK << LOW_BITS), w).otherwise(let(F.array_position(w, best).cast("int"), lambda at: merged(w, best, at)))
 
-    start = F.struct(pieces.alias("p"), F.lit(False).alias("done"))
-    fold = F.aggregate(F.sequence(F.lit(1), F.octet_length(word)), start, step, lambda s: F.transform(s["p"], rank))
-    whole = rank(F.hex(word))
-    return let(whole, lambda r: F.when(r < NO_RANK, F.array(r)).otherwise(fold))
+    return F.aggregate(F.sequence(F.lit(3), F.size(word)), word, step)
 
 
 def merged_by_heap(word: bytes, vocabulary: dict[bytes, int]) -> list[int]:
@@ -143,25 +165,54 @@ def merged_by_heap(word: bytes, vocabulary: dict[bytes, int]) -> list[int]:
     return found
 
 
-def _split(pattern: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+class Numbers(dict):
+    """word -> its number in the task's dictionary; `fresh` gets those that it hadn't."""
+
+    def __init__(self):
+        self.fresh: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = number = len(self)
+        self.fresh.append(word)
+        return number
+
+
+def _split(path: str, pattern: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, known = regex.compile(pattern).findall, {}
-        for batch in batches:
-            numbers, new, restarts = [], [], []
+        find, known, vocabulary = regex.compile(pattern).findall, Numbers(), ranks(path)
+        of_byte = np.array([vocabulary[bytes([c])] for c in range(256)], np.int64)
+        of_pair = np.array([[vocabulary.get(bytes([a, b]), NO_RANK) for b in range(256)] for a in range(256)], np.int64)
+        for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
+            numbers, words, sizes, plain, restarts = [], [], [], [], []
             for text in batch.column(1):
-                found = find(text.as_py() or "")
                 restart = len(known) > MOST_WORDS
                 if restart:
-                    known = {}
-                fresh = []
-                for word in dict.fromkeys(found):
-                    if word not in known:
-                        known[word] = len(known)
-                        fresh.append(word.encode())
-                numbers.append(pa.array([known[x] for x in found], pa.int32()).buffers()[1].to_pybytes()[: 4 * len(found)] if found else b"")
-                new.append(fresh)
+                    known = Numbers()
+                at = [known[x] for x in find(text.as_py() or "")]
+                numbers.append(array("i", at).tobytes())
                 restarts.append(restart)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(numbers, pa.binary()), pa.array(new, pa.list_(pa.binary())), pa.array(restarts)], names=["doc_id", "numbers", "words", "restart"])
+                fresh, known.fresh = [x.encode() for x in known.fresh], []
+                words.append(fresh)
+                # A word that is itself a token, and a long one, are not folded.
+                fold = [x for x in fresh if x not in vocabulary and len(x) <= LONG_WORD]
+                sizes.append(len(fold))
+                plain += fold
+            lengths = np.fromiter((len(x) + 2 for x in plain), np.int64, len(plain))
+            ends = lengths.cumsum()
+            size = int(ends[-1]) if len(ends) else 0
+            inner, last = np.ones(size, bool), np.zeros(size, bool)
+            inner[ends - 1] = inner[ends - lengths] = False
+            last[ends - 2] = True
+            chars = np.zeros(size, np.int64)
+            chars[inner] = np.frombuffer(b"".join(plain), np.uint8)
+            starts = np.arange(size) - np.repeat(ends - lengths, lengths)
+            pair = np.full(size, NO_RANK)
+            within = inner & ~last
+            pair[within] = of_pair[chars[within], chars[1:][within[:-1]]]
+            ids = pair << LOW_BITS | starts << ID_BITS | np.where(inner, of_byte[chars], EDGE)
+            each = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(ids))
+            fold = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), each)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(numbers, pa.binary()), pa.array(words, pa.list_(pa.binary())), fold, pa.array(restarts)], names=["doc_id", "numbers", "words", "fold", "restart"])
 
     return run
 
@@ -169,20 +220,32 @@ def _split(pattern: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
 def _assemble(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = ranks(path)
-        piece = dict(zip(vocabulary.values(), vocabulary, strict=True)).__getitem__
-        as_ids, as_bytes = [], []  # by word number: ids as bytes, decoded bytes
-        for batch in batches:
-            counts, ids, decoded = [], [], []
-            for numbers, words, folded, restart in zip(*(batch.column(i).to_pylist() for i in range(1, 5)), strict=True):
+        pieces = [b""] * (max(vocabulary.values()) + 1)
+        for piece, rank in vocabulary.items():
+            pieces[rank] = piece
+        as_ids: list[bytes] = []  # by word number
+        as_bytes: list[bytes] = []
+        for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
+            folded = batch.column(3).flatten()
+            flat = folded.flatten().to_numpy(zero_copy_only=False) & ((1 << ID_BITS) - 1)
+            joined, at = flat.astype("<u4").tobytes(), np.asarray(folded.offsets).astype(np.int64)
+            at, flat = (at - at[0]).tolist(), flat.tolist()
+            counts, ids, decoded, k = [], [], [], 0
+            for numbers, words, restart in zip(batch.column(1), batch.column(2), batch.column(4).to_pylist(), strict=True):
                 if restart:
                     as_ids, as_bytes = [], []
-                for word, found in zip(words, folded, strict=True):
-                    found = merged_by_heap(word, vocabulary) if found is None else found
-                    as_ids.append(b"".join(x.to_bytes(4, "little") for x in found))
-                    as_bytes.append(b"".join(map(piece, found)))
-                at = memoryview(numbers).cast("i").tolist() if numbers else []
-                ids.append(b"".join([as_ids[x] for x in at]))
-                decoded.append(b"".join([as_bytes[x] for x in at]))
+                for word in words.as_py():
+                    if word in vocabulary or len(word) > LONG_WORD:
+                        found = merged_by_heap(word, vocabulary)
+                        as_ids.append(array("I", found).tobytes())
+                    else:
+                        start, end = at[k] + 1, at[k + 1] - 1  # without the edges
+                        k, found = k + 1, flat[start:end]
+                        as_ids.append(joined[4 * start : 4 * end])
+                    as_bytes.append(b"".join([pieces[x] for x in found]))
+                of = array("i", numbers.as_py())
+                ids.append(b"".join([as_ids[x] for x in of]))
+                decoded.append(b"".join([as_bytes[x] for x in of]))
                 counts.append(len(ids[-1]) // 4)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(ids, pa.binary()), pa.array(decoded, pa.binary())], names=["doc_id", "n_tokens", "ids", "decoded"])
 
@@ -193,9 +256,8 @@ def round_trip(documents: DataFrame, path: str | None = None, pattern: str | Non
     """doc_id, n_tokens, ids (little-endian unsigned 32-bit) and decoded (bytes) of each row's text."""
     path = path or public_tokenizers.path(VOCABULARY)
     rows = documents.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
-    split = rows.mapInArrow(_split(pattern or public_tokenizers.PATTERN), "doc_id bigint, numbers binary, words array<binary>, restart boolean")
-    fold = F.transform("words", lambda w: F.when(F.octet_length(w) <= LONG_WORD, encoded(w, path)))
-    folded = split.select("doc_id", "numbers", "words", fold.alias("folded"), "restart")
+    split = rows.mapInArrow(_split(path, pattern or public_tokenizers.PATTERN), "doc_id bigint, numbers binary, words array<binary>, fold array<array<bigint>>, restart boolean")
+    folded = split.select("doc_id", "numbers", "words", F.transform("fold", lambda w: encoded(w, path)).alias("folded"), "restart")
     return folded.mapInArrow(_assemble(path), "doc_id bigint, n_tokens bigint, ids binary, decoded binary")
 
 

@@ -150,7 +150,7 @@ def _oracle() -> str:
     known = vocabulary(TEMPLATES)
     parts = []
     for t in TEMPLATES:
-        same = lambda j: f"coalesce(w[i + {j + 1}] = {quoted(t.words[j])}, FALSE)"  # noqa: E731, B023
+        same = lambda j: f"(i >= {-j} AND coalesce(w[i + {j + 1}] = {quoted(t.words[j])}, FALSE))"  # noqa: E731, B023
         phrase = " AND ".join(same(j) for j in range(*t.key))
         weight = "1.0::DOUBLE" if t.base else "(" + " + ".join(f"CASE WHEN {same(j)} THEN idf[{quoted(x)}] ELSE 0.0 END" for j, x in enumerate(t.words)) + ") / (" + " + ".join(f"idf[{quoted(x)}]" for x in t.words) + ")"
         parts.append(f"SELECT r, {quoted(t.label)} AS label, {str(t.base).upper()} AS base, i AS pos, {weight} AS score FROM places WHERE {phrase}")

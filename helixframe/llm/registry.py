@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from helixframe.llm import byte_bpe, exact_dedup, language_id, licence_scan, packing, personal_data, quality_rules, simhash, toxicity
+from helixframe.llm import byte_bpe, exact_dedup, html_text, language_id, licence_scan, packing, personal_data, quality_rules, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
     "op2_byte_bpe": byte_bpe.op2_byte_bpe,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op4_html_text": html_text.op4_html_text,
     "op5_personal_data": personal_data.op5_personal_data,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_licence_scan": licence_scan.op7_licence_scan,

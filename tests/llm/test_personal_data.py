@@ -1,0 +1,97 @@
+import random
+import re
+
+import numpy as np
+import pytest
+
+from helixframe.llm import personal_data as D
+
+#: The base patterns as the contract states them.
+PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def brute(text):
+    found = []
+    for kind, pattern in PATTERNS.items():
+        for m in re.finditer(pattern, text):
+            digits = re.sub("[^0-9]", "", m.group())
+            ok = {"email": True, "ip": all(int(p) <= 255 for p in m.group().split(".")) if kind == "ip" else True, "card": 13 <= len(digits) <= 19 and D.luhn(digits), "phone": 9 <= len(digits) <= 15}[kind]
+            if ok:
+                found.append((kind, m.start(), m.end()))
+    return found
+
+
+def test_base_spans_against_the_patterns():
+    rng = random.Random(4)
+    for _ in range(5000):
+        text = "".join(rng.choice("1234567890..@@ab-+() é") for _ in range(rng.randint(0, 40)))
+        assert sorted(D.base_spans(text)) == sorted(brute(text))
+    for text in ("a@b.c@d.e", "x@y.z..@q.r", "1.2.3.4.5.6.7.8", "4111 1111 1111 1111", "+1 (017) 555-7713", "00001.2.3.4", "é4111111111111111é"):
+        assert sorted(D.base_spans(text)) == sorted(brute(text))
+
+
+def test_base_spans_take_linear_time():
+    for text in ("a" * 300_000, "1" * 300_000, "a@" * 100_000, "1.2.3." * 50_000, "+1" * 100_000, "1 " * 100_000):
+        D.base_spans(text)
+
+
+def test_field_labels_unseen_sentences():
+    decoder = D.Decoder(D.field())
+    rows = D.labelled_table(300, 99)
+    found = decoder.labels([w for w, _ in rows])
+    wrong = sum(D.LABELS[dict(found.get(i, [])).get(j, 0)] != x for i, (_, labels) in enumerate(rows) for j, x in enumerate(labels))
+    assert wrong <= 0.01 * sum(len(w) for w, _ in rows)
+
+
+def test_runs_decode_as_whole_sentences():
+    """Cutting at words that are surely O must not change the best path."""
+    field, rng = D.field(), random.Random(8)
+    decoder = D.Decoder(field)
+    rows = [w for w, _ in D.labelled_table(80, 5)] + [["token", "=", '"' + "ab1" * 12 + '"'] * rng.randint(1, 3) for _ in range(5)]
+    found = decoder.labels(rows)
+    for i, words in enumerate(rows):
+        scores = [field.rows(w) for w in words]
+        emit = np.stack([s[0] for s in scores])
+        emit[1:] += np.stack([s[1] for s in scores])[:-1]
+        emit[:-1] += np.stack([s[2] for s in scores])[1:]
+        best = D.viterbi(emit[None], field.moves, np.zeros((1, emit.shape[1])), np.zeros((1, emit.shape[1])))[0]
+        assert dict(found.get(i, [])) == {j: int(x) for j, x in enumerate(best) if x}
+
+
+def test_gradient_is_right():
+    rng = np.random.default_rng(0)
+    emit, moves, mask = rng.normal(size=(2, 4, 3)), rng.normal(size=(3, 3)), np.array([[1, 1, 1, 1], [1, 1, 0, 0]], bool)
+    emit *= mask[:, :, None]
+    single, pairs = D._forward_backward(emit, moves, mask)
+    import itertools
+
+    want, total_pairs = np.zeros((2, 4, 3)), np.zeros((3, 3))
+    for s, n in ((0, 4), (1, 2)):
+        weights = {p: np.exp(sum(emit[s, t, x] for t, x in enumerate(p)) + sum(moves[a, b] for a, b in itertools.pairwise(p))) for p in itertools.product(range(3), repeat=n)}
+        z = sum(weights.values())
+        for p, w in weights.items():
+            for t, x in enumerate(p):
+                want[s, t, x] += w / z
+            for a, b in itertools.pairwise(p):
+                total_pairs[a, b] += w / z
+    assert np.allclose(single, want) and np.allclose(pairs, total_pairs)
+
+
+def test_secret_and_card_are_added_and_masked(spark):
+    text = 'of ones token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" with und.34@mail7.example.com and 97.51.17.173 to +1 (017) 555-7713 x'
+    base, all_ = next(D.found_in(iter([text]), D.Decoder(D.field())))
+    assert {k for k, _, _ in all_} == {"email", "ip", "phone", "secret"} and set(base) < set(all_)
+    df = spark.createDataFrame([(1, text, 5), (2, None, 6), (3, "", 7)], "doc_id bigint, text string, extra int")
+    got = {r["doc_id"]: r["text"] for r in D.masked(df).collect()}
+    assert got == {1: 'of ones token = "[SECRET]" with [EMAIL] and [IP] to [PHONE] x', 2: None, 3: ""}
+
+
+@pytest.mark.parametrize("clean", ["Licensed under the Apache License, Version 2.0.", "GNU General Public License, version 3.", "The cat (1) sat. 12 of 40, 1999-04.", "A### b$$$ C!! 3."])
+def test_clean_texts_stay(clean):
+    assert next(D.found_in(iter([clean]), D.Decoder(D.field()))) == ([], [])
+
+
+def test_odd_rows(odd, none):
+    rows = D.spans(odd).collect()
+    assert len(rows) == odd.count() and D.masked(odd).columns == odd.columns
+    assert D.spans(none).collect() == [] and D.masked(none).collect() == []

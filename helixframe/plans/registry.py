@@ -6,5 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from helixframe.plans import recruit_queries
+
+_ALL = recruit_queries.QUERIES
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: query for name, (query, _) in _ALL.items()}
+#: Queries that SQL cannot express have none.
+ORACLES: dict[str, str] = {name: sql for name, (_, sql) in _ALL.items() if sql}

@@ -51,6 +51,22 @@ def minimizer_sketches(df: DataFrame, id_: str, seq: str, k: int, w: int) -> Dat
     return df.select(id_, F.col(seq).cast("string")).mapInArrow(run, f"`{id_}` {dict(df.dtypes)[id_]}, sketch array<bigint>")
 
 
+def dinucleotide_entropy(df: DataFrame, id_: str, seq: str) -> DataFrame:
+    """id, entropy (bits) of the two-base windows without ambiguous bases; 0 without any.  For long sequences."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _parts(batches):
+            codes, starts = kernels.joined_codes(_texts(part.column(1)))
+            value, _, valid = kernels.kmers(codes, 2)
+            row = np.searchsorted(starts, np.flatnonzero(valid), "right") - 1
+            counts = np.bincount(row * 16 + value[valid], minlength=16 * part.num_rows).reshape(-1, 16).astype(float)
+            share = counts / np.maximum(counts.sum(axis=1, keepdims=True), 1)
+            entropy = -(share * np.log2(np.where(share > 0, share, 1))).sum(axis=1)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(entropy + 0.0)], names=[id_, "entropy"])
+
+    return df.select(id_, F.col(seq).cast("string")).mapInArrow(run, f"`{id_}` {dict(df.dtypes)[id_]}, entropy double")
+
+
 def id_coverage(refs: DataFrame, groups: DataFrame, id_: str, group: str) -> DataFrame:
     """One row: reference ids without a group, group ids without a reference, ids whose groups disagree."""
     missing = refs.select(id_).distinct().join(groups, id_, "left_anti").agg(F.count(F.lit(1)).alias("missing"))
@@ -93,8 +109,9 @@ def bin_mask(start: Column, end: Column, length: Column, bins: int = BINS) -> Co
     """Bit mask of the bins that positions start to end (exclusive) of a reference touch."""
     at = lambda p: F.least(F.floor(p * bins / length), F.lit(bins - 1)).cast("int")
     low, high = at(start), at(F.greatest(end - 1, start))
-    ones = F.when(high >= 63, F.lit(-1).cast("bigint")).otherwise(F.shiftleft(F.lit(-1).cast("bigint"), high + 1).bitwiseXOR(F.lit(-1).cast("bigint")))
-    return ones.bitwiseAND(F.shiftleft(F.lit(-1).cast("bigint"), low))
+    all_ = F.lit(-1).cast("bigint")
+    upto = F.when(high >= 63, all_).otherwise(F.bitwise_not(F.call_function("shiftleft", all_, high + 1)))
+    return upto.bitwiseAND(F.call_function("shiftleft", all_, low))
 
 
 def covered_bins(df: DataFrame, keys: list[str], mask: str) -> DataFrame:

@@ -127,7 +127,7 @@ SELECT locus, string_agg(CASE codon {" ".join(f"WHEN '{c}' THEN '{a}'" for c, a
 
 
 def entropy2(spark, sf_dir):
-    return fragments(spark, sf_dir).select("frag", F.round(Q.dinucleotide_entropy("seq"), 6).alias("entropy"))
+    return evidence.dinucleotide_entropy(fragments(spark, sf_dir), "frag", "seq").withColumn("entropy", F.round("entropy", 6))
 
 
 ENTROPY = f"""WITH {FRAGMENTS}, {sql_windows('w', 'fragments', 'frag', 'seq', 2, False)}, n AS (SELECT frag, kmer, count(*) AS n FROM w GROUP BY ALL),

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from helixframe.plans import recruit_queries
+from helixframe.plans import cohort_queries, recruit_queries
 
-_ALL = recruit_queries.QUERIES
+_ALL = recruit_queries.QUERIES | cohort_queries.QUERIES
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: query for name, (query, _) in _ALL.items()}
 #: Queries that SQL cannot express have none.

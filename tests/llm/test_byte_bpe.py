@@ -1,5 +1,6 @@
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 
@@ -28,11 +29,25 @@ def test_empty_table(none):
     assert B.round_trip(none).collect() == []
 
 
-def test_dictionary_restarts(spark, monkeypatch, reference):
+def test_dictionary_restarts(monkeypatch, reference):
     monkeypatch.setattr(B, "MOST_WORDS", 5)
-    texts = [f"alpha{i} beta{i % 3} gammadelta{i % 7} zeta" for i in range(40)]
-    split = list(B._split(PATH, P.PATTERN)(iter([__import__("pyarrow").RecordBatch.from_pydict({"doc_id": list(range(40)), "text": texts})])))
-    assert any(any(b.column(4).to_pylist()) for b in split)
+    monkeypatch.setattr(B, "ROWS", 4)
+    texts = [f"alpha{i} beta{i % 3} gammadelta{i % 7} zeta {'q' * 300}" for i in range(40)]
+    split = list(B._split(PATH, P.PATTERN)(iter([pa.RecordBatch.from_pydict({"doc_id": list(range(40)), "text": texts})])))
+    assert sum(sum(b.column(2).to_pylist()) for b in split) > 3
+
+    def merge(w):  # the fold, in plain Python
+        ids = [x & (1 << B.ID_BITS) - 1 for x in w[1:-1]]
+        while True:
+            pairs = [(B.pair_ranks(PATH).get(p, B.NO_RANK), i) for i, p in enumerate(zip(ids, ids[1:], strict=False))]
+            if not pairs or min(pairs)[0] == B.NO_RANK:
+                return [B.EDGE, *ids, B.EDGE]
+            rank, i = min(pairs)
+            ids[i : i + 2] = [rank]
+
+    done = [b.set_column(3, "w", pa.array([None if w is None else merge(w) for w in b.column(3).to_pylist()], pa.list_(pa.int64()))) for b in split]
+    got = {i: np.frombuffer(x, "<u4").tolist() for b in B._assemble(PATH)(iter(done)) for i, x in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True)}
+    assert got == {i: reference.encode_ordinary(t) for i, t in enumerate(texts)}
 
 
 def test_heap_equals_the_library(reference):

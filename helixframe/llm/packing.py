@@ -55,15 +55,34 @@ def tokenizer(path: str):
     return found
 
 
+#: ASCII marks that never stand in one token with a letter or digit before them; ' may, as in it's.
+TAIL = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+ALNUM = frozenset(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
+
+
 class Words(dict):
-    """word -> its number among the words of a task; `fresh` gets those that it hadn't."""
+    """word -> its number among the words of a task.
+
+    `fresh` gets each new word, or the numbers of the words that it is made of: the marks at its end stand alone
+    after an ASCII letter or digit, and ASCII letters are the same in either case.
+    """
 
     def __init__(self):
-        self.fresh: list[bytes] = []
+        self.fresh: list[bytes | tuple[int, ...]] = []
+        self.next = 0
 
     def __missing__(self, word: bytes) -> int:
-        self[word] = number = len(self)
-        self.fresh.append(word)
+        core = word.rstrip(TAIL)
+        low = core.lower() if core.isascii() else core
+        if core and len(core) < len(word) and core[-1] in ALNUM:
+            new = (self[low], self[word[len(core) :]])
+        elif low != core and len(core) == len(word):
+            new = (self[low],)
+        else:
+            new = word
+        self[word] = number = self.next
+        self.next += 1
+        self.fresh.append(new)
         return number
 
 
@@ -99,7 +118,9 @@ def _tokens(path: str, end_id: int) -> Callable[[list[bytes]], Iterator[bytes]]:
         if len(known) > MOST_WORDS:
             known, ids = Words(), []
         numbers = [[known[x] for x in text.split()] for text in texts]
-        ids += encoded([x.decode() for x in known.fresh], path)
+        plain = encoded([x.decode() for x in known.fresh if isinstance(x, bytes)], path)
+        for x in known.fresh:
+            ids.append(next(plain) if isinstance(x, bytes) else b"".join([ids[i] for i in x]))
         known.fresh = []
         for at in numbers:
             yield b"".join([ids[x] for x in at]) + end

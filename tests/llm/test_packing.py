@@ -79,6 +79,14 @@ def test_marks_and_odd_words_are_encoded_alone():
     assert [np.frombuffer(x, "<u4").tolist() for x in K.encoded(plain, path)] == [o for o, x in zip(one, words, strict=True) if K.MARK not in x]
 
 
+def test_words_made_of_others_have_the_same_ids():
+    path = P.path(K.VOCABULARY)
+    tokenizer = K.tokenizer(path)
+    texts = ["Foo, FOO. foo### x'S, it's... A.B-C. 12.5% é, é: ## a_ <|endoftext|>, h\u0331! H\u0331, 'tis, o' ' '' ,", "K\u0301. \u212a, İ! ſs."]
+    got = [np.frombuffer(x, "<u4").tolist()[:-1] for x in K._tokens(path, 1)([t.encode() for t in texts])]
+    assert got == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_hot_length_is_ranked_in_shares(spark, monkeypatch):
     monkeypatch.setattr(K, "SHARE", 50)
     df = spark.createDataFrame([(i, "one two") for i in range(700)] + [(1000 + i, "three") for i in range(20)], "doc_id bigint, text string")

@@ -159,22 +159,48 @@ def verify_k(k: int) -> int:
     return max(k // 2, k - 13) | 1
 
 
+def longest_match(read: bytes, reference: bytes, k: int) -> tuple[int, int, int, int] | None:
+    """(strand, read start, reference start, length) of the longest exact match of k bases or more; of equally long
+    ones the first by strand, reference start and read start.  Starts on strand 2 are those of the reversed reference."""
+    read_codes, codes = kernels.CODES[np.frombuffer(read, np.uint8)], kernels.CODES[np.frombuffer(reference, np.uint8)]
+    mine, _, good = kernels.kmers(read_codes, k)
+    q = np.flatnonzero(good)
+    best = None
+    for strand, target in ((1, codes), (2, np.where(codes > 3, 4, 3 - (codes & 3)).astype(np.uint8)[::-1])):
+        theirs, _, usable = kernels.kmers(target, k)
+        r = np.flatnonzero(usable)
+        order = r[np.argsort(theirs[r], kind="stable")]
+        low, high = (np.searchsorted(theirs[order], mine[q], side) for side in ("left", "right"))
+        n = high - low
+        if not n.sum():
+            continue
+        at_q = np.repeat(q, n)
+        at_r = order[np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum()))]
+        place = np.lexsort((at_q, at_r - at_q))
+        at_q, at_r = at_q[place], at_r[place]
+        new = np.ones(len(at_q), bool)
+        new[1:] = (np.diff(at_r - at_q) != 0) | (np.diff(at_q) != 1)
+        heads = np.flatnonzero(new)
+        lengths = np.diff(np.append(heads, len(at_q))) + k - 1
+        i = min(range(len(heads)), key=lambda i: (-lengths[i], at_r[heads[i]], at_q[heads[i]]))
+        if best is None or lengths[i] > best[3]:
+            best = (strand, int(at_q[heads[i]]), int(at_r[heads[i]]), int(lengths[i]))
+    return best
+
+
 def maximal_matches(hits: DataFrame, frags: DataFrame, refs: DataFrame, k: int) -> DataFrame:
-    """The longest exact match of each (frag, locus) in hits, at least k long; ties by strand, reference start, read start.
+    """frag, locus, strand, query_start, reference_start, length of the longest match of each (frag, locus) in hits."""
+    pairs = hits.join(frags.select("frag", F.col("seq").alias("__read")), "frag").join(refs.select("locus", F.col("seq").alias("__ref")), "locus").select("frag", "locus", "__read", "__ref")
+    names = ["frag", "locus", "strand", "query_start", "reference_start", "length"]
 
-    Seeds are joined on (locus, k-mer); those on one diagonal without a gap form a match.
-    """
-    from helixframe.functions.sequences import kmers, reverse_complement
-
-    read = frags.select("frag", F.posexplode(kmers("seq", k)).alias("q", "kmer"))
-    both = refs.select("locus", F.explode(F.array(F.struct(F.lit(1).alias("strand"), F.col("seq").alias("s")), F.struct(F.lit(2).alias("strand"), reverse_complement("seq").alias("s")))).alias("o"))
-    target = both.select("locus", "o.strand", F.posexplode(kmers("o.s", k)).alias("r", "kmer"))
-    seeds = hits.join(read, "frag").join(target, ["locus", "kmer"])
-    w = Window.partitionBy("frag", "locus", "strand", F.col("r") - F.col("q")).orderBy("q")
-    runs = seeds.withColumn("run", F.col("q") - F.row_number().over(w))
-    found = runs.groupBy("frag", "locus", "strand", (F.col("r") - F.col("q")).alias("diagonal"), "run").agg(F.min("q").alias("query_start"), F.min("r").alias("reference_start"), (F.count(F.lit(1)) + (k - 1)).alias("length"))
-    best = Window.partitionBy("frag", "locus").orderBy(F.desc("length"), "strand", "reference_start", "query_start")
-    return found.withColumn("n", F.row_number().over(best)).where("n = 1").select("frag", "locus", "strand", "query_start", "reference_start", "length")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [longest_match(a, b, k) for a, b in zip(_texts(batch.column(2)), _texts(batch.column(3)), strict=True)]
+            keep = pa.array([i for i, x in enumerate(found) if x], pa.int64())
+            rows = [x for x in found if x]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep), *(pa.array([r[i] for r in rows], pa.int32()) for i in range(4))], names=names)
+
+    return pairs.mapInArrow(run, f"frag {dict(frags.dtypes)['frag']}, locus {dict(refs.dtypes)['locus']}, strand int, query_start int, reference_start int, length int")
 
 
 def depth_stability(values: pd.Series) -> int:

@@ -2,33 +2,31 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def stored(df: DataFrame) -> DataFrame:
-    """df as a table in the folder that all executors share, read again."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='helixframe-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/graphs/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from helixframe.operators.tables import stored
 
 
 def sketch_pairs(sketches: DataFrame, id_: str, sketch: str, least: float, most_postings: int = 128) -> DataFrame:
-    """a, b, jaccard of pairs that share a sketch value which at most most_postings rows have, with `least` similarity."""
-    values = sketches.select(F.col(id_).alias("id"), F.explode(sketch).alias("v"))
-    few = values.join(values.groupBy("v").agg(F.count(F.lit(1)).alias("n")).where(F.col("n").between(2, most_postings)), "v").select("id", "v")
-    right = few.select(F.col("id").alias("b"), "v")
-    candidates = few.select(F.col("id").alias("a"), "v").join(right, "v").where("a < b").select("a", "b").distinct()
-    side = lambda name, s: sketches.select(F.col(id_).alias(name), F.col(sketch).alias(s))
-    both = candidates.join(side("a", "__sa"), "a").join(side("b", "__sb"), "b")
+    """a, b, jaccard of pairs that share a sketch value which at most most_postings rows have, with `least` similarity.
+
+    Pairs are counted over these values alone; sizes and the numbers of each row's other values bound the similarity
+    from above, and only pairs whose bound reaches `least` fetch their sketches for the exact figure.
+    """
+    sketches = stored(sketches)
+    values = sketches.select(F.col(id_).alias("id"), F.size(sketch).alias("n"), F.explode(sketch).alias("v"))
+    counts = values.groupBy("v").agg(F.count(F.lit(1)).alias("postings"))
+    few = values.join(counts.where(F.col("postings").between(2, most_postings)).select("v"), "v")
+    common = values.join(counts.where(F.col("postings") > most_postings).select("v"), "v", "left_semi").groupBy("id").agg(F.count(F.lit(1)).alias("c"))
+    side = lambda name: few.select(F.col("id").alias(name), F.col("n").alias(f"n{name}"), "v")
+    alike = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * least)
+    pairs = side("a").join(side("b"), "v").where(alike).groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("k"))
+    rest = lambda name: common.select(F.col("id").alias(name), F.col("c").alias(f"c{name}"))
+    bound = F.col("k") + F.least(F.coalesce("ca", F.lit(0)), F.coalesce("cb", F.lit(0)))
+    near = pairs.join(rest("a"), "a", "left").join(rest("b"), "b", "left").where(bound >= least * (F.col("na") + F.col("nb") - bound)).select("a", "b")
+    own = lambda name, s: sketches.select(F.col(id_).alias(name), F.col(sketch).alias(s))
+    both = near.join(own("a", "__sa"), "a").join(own("b", "__sb"), "b")
     shared = F.size(F.array_intersect("__sa", "__sb"))
     union = F.size("__sa") + F.size("__sb") - shared
     return both.select("a", "b", F.when(union > 0, shared / union).otherwise(0.0).alias("jaccard")).where(F.col("jaccard") >= least)

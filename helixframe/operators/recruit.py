@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixframe.functions import kernels
+from helixframe.operators.tables import stored
 
 #: (k-mer, locus) pairs of an index that is broadcast: 16 bytes each.
 MOST_BROADCAST = 4_000_000
@@ -32,13 +33,18 @@ def _texts(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def seq_kmers(df: DataFrame, ids: list[str], seq: str, k: int, step: int = 1) -> DataFrame:
-    """ids, pos, kmer (canonical, 2 bits a base) of each valid window."""
+def seq_kmers(df: DataFrame, ids: list[str], seq: str, k: int, step: int = 1, once: bool = False) -> DataFrame:
+    """ids, pos, kmer (canonical, 2 bits a base) of each valid window; or each k-mer of a row once, at its first pos."""
     chosen = df.select(*ids, F.col(seq).cast("string").alias("__seq"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _parts(batches):
             number, position, value = kernels.canonical(_texts(part.column(len(ids))), k, step)
+            if once and len(value):
+                order = np.lexsort((value, number))
+                new = np.ones(len(order), bool)
+                new[1:] = (np.diff(value[order]) != 0) | (np.diff(number[order]) != 0)
+                number, position, value = (x[order[new]] for x in (number, position, value))
             take = pa.array(number)
             yield pa.RecordBatch.from_arrays([*(part.column(i).take(take) for i in range(len(ids))), pa.array(position.astype(np.int32)), pa.array(value)], names=[*ids, "pos", "kmer"])
 
@@ -48,7 +54,7 @@ def seq_kmers(df: DataFrame, ids: list[str], seq: str, k: int, step: int = 1) ->
 
 def reference_index(refs: DataFrame, locus: str, seq: str, k: int) -> DataFrame:
     """kmer, locus: each pair once."""
-    return seq_kmers(refs, [locus], seq, k).select("kmer", F.col(locus).alias("locus")).distinct()
+    return seq_kmers(refs, [locus], seq, k, once=True).select("kmer", F.col(locus).alias("locus")).distinct()
 
 
 def recruit(frags: DataFrame, frag: str, seqs: list[str], index: DataFrame, k: int, step: int = 1) -> DataFrame:
@@ -99,7 +105,7 @@ def recruit_tiered(frags: DataFrame, frag: str, seqs: list[str], refs: DataFrame
         raise ValueError("k-mer sizes must fall strictly and be at least 16")
     rest, found = frags, None
     for k in ks:
-        hits = recruit(rest, frag, seqs, reference_index(refs, locus, seq, k), k, step).withColumn("k", F.lit(k))
+        hits = stored(recruit(rest, frag, seqs, reference_index(refs, locus, seq, k), k, step).withColumn("k", F.lit(k)))
         found = hits if found is None else found.unionByName(hits)
         rest = rest.join(hits.select(frag).distinct(), frag, "left_anti")
     return found
@@ -119,7 +125,7 @@ def unique_seeds(refs: DataFrame, locus: str, seq: str, k: int) -> DataFrame:
 def panel_expansion(frags: DataFrame, frag: str, seqs: list[str], refs: DataFrame, locus: str, seq: str, subset: DataFrame, k: int, most_loci: int, step: int = 1) -> DataFrame:
     """frag, locus: fragments that hit the subset, judged against the full panel: those of at most most_loci loci,
     and of their loci the ones in the subset."""
-    gate = recruit(frags, frag, seqs, reference_index(refs.join(subset, locus, "left_semi"), locus, seq, k), k, step)
+    gate = stored(recruit(frags, frag, seqs, reference_index(refs.join(subset, locus, "left_semi"), locus, seq, k), k, step))
     full = recruit(frags.join(gate.select(frag).distinct(), frag, "left_semi"), frag, seqs, reference_index(refs, locus, seq, k), k, step)
     few = full.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(frag))).where(F.col("n") <= most_loci).drop("n")
     return few.join(subset.withColumnRenamed(locus, "locus"), "locus", "left_semi").select(frag, "locus")
@@ -152,8 +158,8 @@ def fractional_support(hits: DataFrame, query: str, reference: str) -> DataFrame
 
 
 def kmer_depth(df: DataFrame, ids: list[str], seq: str, k: int) -> DataFrame:
-    """kmer, depth: the reads with the k-mer, each counted once."""
-    return seq_kmers(df, ids, seq, k).select(*ids, "kmer").distinct().groupBy("kmer").agg(F.count(F.lit(1)).alias("depth"))
+    """kmer, depth: the reads (one a row) with the k-mer, each counted once."""
+    return seq_kmers(df, ids, seq, k, once=True).groupBy("kmer").agg(F.count(F.lit(1)).alias("depth"))
 
 
 def decode(kmer: str, k: int):

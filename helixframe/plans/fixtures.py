@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixframe.functions.sequences import dna_of_text
+from helixframe.operators.tables import spread
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,7 +18,7 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """frag, seq"""
-    return load(spark, sf_dir, "documents").select(F.col("doc_id").alias("frag"), dna_of_text("text").alias("seq"))
+    return spread(load(spark, sf_dir, "documents").select("doc_id", "text")).select(F.col("doc_id").alias("frag"), dna_of_text("text").alias("seq"))
 
 
 def loci(spark: SparkSession, sf_dir: str) -> DataFrame:

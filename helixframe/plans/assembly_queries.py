@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from helixframe.functions.sequences import canonical, kmers
+from helixframe.functions.sequences import dna_of_text
 from helixframe.operators import alignment, assembly, cohort, evidence, recruit, repeats
-from helixframe.plans.fixtures import FRAGMENTS, LOCI, fragments, load, loci, rc, sql_windows
+from helixframe.plans.fixtures import FRAGMENTS, LOCI, dna, fragments, load, loci, rc, sql_windows
 
 K = 31
 
@@ -80,11 +80,11 @@ def bubble_qc(spark, sf_dir):
 
 
 def extend_fragments(spark, sf_dir):
-    docs = load(spark, sf_dir, "documents").select("source", "doc_id", "text")
-    frags = fragments(spark, sf_dir).join(docs.select(F.col("doc_id").alias("frag"), "source"), "frag")
-    words = frags.select("source", "frag", F.explode(F.array_distinct(F.transform(kmers(F.substring("seq", 1, 400), 21), canonical))).alias("kmer"))
-    counts = words.groupBy("source", "kmer").agg(F.count(F.lit(1)).alias("depth"))
-    return repeats.extend_fragments(counts.where("depth >= 2"), "source", "kmer", "depth", 21)
+    """The deepest k-mer of each source, extended through the source's k-mers that two texts or more have."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", "source")
+    words = recruit.seq_kmers(fragments(spark, sf_dir), ["frag"], "seq", 21, once=True).join(docs.withColumnRenamed("doc_id", "frag"), "frag")
+    counts = words.groupBy("source", "kmer").agg(F.count(F.lit(1)).alias("depth")).where("depth >= 2")
+    return repeats.extend_fragments(counts.withColumn("kmer", recruit.decode("kmer", 21)), "source", "kmer", "depth", 21)
 
 
 def em_abundance(spark, sf_dir):
@@ -106,16 +106,17 @@ SELECT "group", sum((n = 1)::BIGINT)::BIGINT AS specific_pairs, sum((n > 1)::BIG
 
 
 def pileup_counts(spark, sf_dir):
-    """Base counts of made-up alignments: parts as references, names as reads."""
-    p = load(spark, sf_dir, "part").select((F.col("p_partkey") % 50).alias("ref"), (F.col("p_partkey") % 11).cast("int").alias("pos"), F.upper(F.substring(F.translate(F.lower(F.regexp_replace("p_name", "[^A-Za-z]", "")), "abcdefghijklmnopqrstuvwxyz", "acgtacgtacgtacgtacgtacgtac"), 1, 10)).alias("seq"))
-    ops = F.expr("array(named_struct('length', 4, 'op', 'M'), named_struct('length', 1, 'op', 'I'), named_struct('length', 2, 'op', 'D'), named_struct('length', 5, 'op', 'M'))")
-    return cohort.pileup(p.where(F.length("seq") == 10).withColumn("ops", ops), "ref", "pos", "ops", "seq")
+    """Base counts of made-up alignments: parts as references, their whole names as reads, one insertion and deletion each."""
+    p = load(spark, sf_dir, "part").select((F.col("p_partkey") % 50).alias("ref"), (F.col("p_partkey") % 11).cast("int").alias("pos"), dna_of_text("p_name").alias("seq"))
+    ops = F.expr("array(named_struct('length', 4, 'op', 'M'), named_struct('length', 1, 'op', 'I'), named_struct('length', 2, 'op', 'D'), named_struct('length', length(seq) - 5, 'op', 'M'))")
+    return cohort.pileup(p.where(F.length("seq") > 5).withColumn("ops", ops), "ref", "pos", "ops", "seq")
 
 
-PILEUP = """WITH p AS (SELECT p_partkey % 50 AS ref, (p_partkey % 11)::INT AS pos, upper(substring(translate(lower(regexp_replace(p_name, '[^A-Za-z]', '', 'g')), 'abcdefghijklmnopqrstuvwxyz', 'acgtacgtacgtacgtacgtacgtac'), 1, 10)) AS seq FROM part),
-b AS (SELECT ref, (pos + r)::INT AS position, CASE WHEN q = 0 THEN '-' ELSE substring(seq, q, 1) END AS base FROM (SELECT * FROM p WHERE length(seq) = 10),
-(VALUES (0, 1), (1, 2), (2, 3), (3, 4), (4, 0), (5, 0), (6, 6), (7, 7), (8, 8), (9, 9), (10, 10)) AS o(r, q))
-SELECT ref, position, base, count(*) AS n FROM b GROUP BY ALL"""
+PILEUP = f"""WITH p AS (SELECT p_partkey % 50 AS ref, (p_partkey % 11)::INT AS pos, {dna('p_name')} AS seq FROM part),
+b AS (SELECT ref, pos + q AS position, substring(seq, q + 1, 1) AS base FROM (SELECT *, unnest(range(0, 4)) AS q FROM p WHERE length(seq) > 5)
+UNION ALL SELECT ref, pos + 4 + d, '-' FROM (SELECT *, unnest(range(0, 2)) AS d FROM p WHERE length(seq) > 5)
+UNION ALL SELECT ref, pos + 1 + q, substring(seq, q + 1, 1) FROM (SELECT *, unnest(range(5, length(seq))) AS q FROM p WHERE length(seq) > 5))
+SELECT ref, position::INT AS position, base, count(*) AS n FROM b GROUP BY ALL"""
 
 QUERIES = {
     "longest_exact_match": (longest_exact_match, LONGEST),

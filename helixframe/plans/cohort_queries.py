@@ -192,37 +192,39 @@ coalesce(max(l_quantity) FILTER (l_returnflag = 'R'), 0)::BIGINT AS "R" FROM lin
 
 
 def _families(spark, sf_dir):
-    return load(spark, sf_dir, "lineitem").where("l_linenumber = 1").select((F.col("l_partkey") % 800).alias("family"), (F.col("l_suppkey") % 20).alias("sample"), F.col("l_quantity").alias("length"))
+    return load(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("family"), F.col("l_suppkey").alias("sample"), F.col("l_quantity").alias("length"))
 
 
 def family_state(spark, sf_dir):
     rows = _families(spark, sf_dir)
-    return cohort.family_states(rows, load(spark, sf_dir, "supplier").select((F.col("s_suppkey") % 20).alias("sample")).distinct(), "family", "sample")
+    return cohort.family_states(rows, load(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("sample")).distinct(), "family", "sample")
 
 
-FAMILY = """WITH n AS (SELECT count(DISTINCT s_suppkey % 20) AS n FROM supplier),
-c AS (SELECT l_partkey % 800 AS family, l_suppkey % 20 AS sample, count(*) AS k FROM lineitem WHERE l_linenumber = 1 GROUP BY ALL),
+FAMILY = """WITH n AS (SELECT count(DISTINCT s_suppkey) AS n FROM supplier),
+c AS (SELECT l_partkey AS family, l_suppkey AS sample, count(*) AS k FROM lineitem GROUP BY ALL),
 f AS (SELECT family, count(*) FILTER (k = 1) AS one_candidate_samples, count(*) FILTER (k > 1) AS multiple_candidate_samples FROM c GROUP BY family)
 SELECT family, one_candidate_samples, multiple_candidate_samples, n - one_candidate_samples - multiple_candidate_samples AS not_recovered_samples,
 CASE WHEN multiple_candidate_samples > 0 THEN 'multiple_candidate_family' WHEN one_candidate_samples >= ceil(0.7 * n) THEN 'single_candidate_family' ELSE 'uncertain_family' END AS family_state FROM f, n"""
 
 
 def occupancy_qc(spark, sf_dir):
-    return cohort.occupancy(_families(spark, sf_dir), "family", "sample", "length", 10)
+    return cohort.occupancy(_families(spark, sf_dir), "family", "sample", "length", 25)
 
 
-OCCUPANCY = """SELECT l_partkey % 800 AS family, count(*) AS input_candidates, count(DISTINCT l_suppkey % 20) AS distinct_samples, median(l_quantity) AS median_sequence_length,
-CASE WHEN count(DISTINCT l_suppkey % 20) >= 10 THEN 'retained' ELSE 'insufficient_occupancy' END AS status FROM lineitem WHERE l_linenumber = 1 GROUP BY 1"""
+OCCUPANCY = """SELECT l_partkey AS family, count(*) AS input_candidates, count(DISTINCT l_suppkey) AS distinct_samples, median(l_quantity) AS median_sequence_length,
+CASE WHEN count(DISTINCT l_suppkey) >= 25 THEN 'retained' ELSE 'insufficient_occupancy' END AS status FROM lineitem GROUP BY 1"""
 
 
 def supermatrix(spark, sf_dir):
-    rows = load(spark, sf_dir, "customer").where("c_custkey % 3 <> 0").groupBy(F.col("c_nationkey").alias("species"), F.col("c_mktsegment").alias("locus")).agg(F.min("c_custkey").alias("k"))
-    rows = rows.where("k % 4 <> 0").select("species", "locus", F.substring(F.md5(F.col("k").cast("string")), F.lit(1), F.lit(5) + F.length("locus")).alias("seq"))
+    """Nations as species, balance classes of suppliers as loci: not each nation has a supplier of each class."""
+    locus = F.concat(F.lit("L"), F.floor(F.col("s_acctbal") / 2500).cast("string"))
+    rows = load(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("species"), locus.alias("locus")).agg(F.min("s_suppkey").alias("k"))
+    rows = rows.select("species", "locus", F.repeat(F.md5(F.col("k").cast("string")), (F.length("locus") - 1).cast("int")).alias("seq"))
     return cohort.supermatrix(rows, "species", "locus", "seq").withColumn("length", F.col("length").cast("bigint"))
 
 
-SUPERMATRIX = """WITH a AS (SELECT c_nationkey AS species, c_mktsegment AS locus, min(c_custkey) AS k FROM customer WHERE c_custkey % 3 <> 0 GROUP BY ALL HAVING min(c_custkey) % 4 <> 0),
-r AS (SELECT species, locus, substring(md5(k::VARCHAR), 1, 5 + length(locus)) AS seq FROM a), l AS (SELECT locus, max(length(seq)) AS n FROM r GROUP BY locus),
+SUPERMATRIX = """WITH a AS (SELECT s_nationkey AS species, 'L' || floor(s_acctbal / 2500)::BIGINT AS locus, min(s_suppkey) AS k FROM supplier GROUP BY ALL),
+r AS (SELECT species, locus, repeat(md5(k::VARCHAR), length(locus) - 1) AS seq FROM a), l AS (SELECT locus, max(length(seq)) AS n FROM r GROUP BY locus),
 g AS (SELECT s.species, l.locus, l.n, r.seq FROM (SELECT DISTINCT species FROM r) s CROSS JOIN l LEFT JOIN r ON r.species = s.species AND r.locus = l.locus)
 SELECT species, string_agg(rpad(coalesce(seq, ''), n::INT, '-'), '' ORDER BY locus) AS sequence, count(seq) AS loci, sum(n)::BIGINT AS length FROM g GROUP BY species"""
 

@@ -108,14 +108,14 @@ trunc(max(length(seq)) * (log10(count(*) FILTER (length(seq) >= {K})) + 1))::BIG
 
 
 def rc_canonical(spark, sf_dir):
-    return loci(spark, sf_dir).select("locus", Q.reverse_complement("seq").alias("rc"), Q.canonical(F.substring("seq", 1, 31)).alias("canonical_31"), Q.canonical_motif(F.substring("seq", 1, 8)).alias("motif_8"))
+    return loci(spark, sf_dir).select("locus", Q.reverse_complement("seq").alias("rc"), Q.canonical("seq").alias("canonical"), Q.canonical_motif("seq").alias("motif"))
 
 
 def _rotations(s: str) -> str:
-    return ", ".join(f"substring({s}, {i}, 8) || substring({s}, 1, {i - 1})" for i in range(1, 9))
+    return f"list_transform(range(1, length({s}) + 1), lambda i: substring({s}, i) || substring({s}, 1, i - 1))"
 
 
-RC = f"WITH {LOCI}, m AS (SELECT *, substring(seq, 1, 8) AS p, {rc('substring(seq, 1, 8)')} AS q FROM loci) SELECT locus, {rc('seq')} AS rc, least(substring(seq, 1, 31), {rc('substring(seq, 1, 31)')}) AS canonical_31, least({_rotations('p')}, {_rotations('q')}) AS motif_8 FROM m"
+RC = f"WITH {LOCI}, m AS (SELECT *, {rc('seq')} AS rc FROM loci) SELECT locus, rc, least(seq, rc) AS canonical, least(list_min({_rotations('seq')}), list_min({_rotations('rc')})) AS motif FROM m"
 
 
 def translate_codons(spark, sf_dir):

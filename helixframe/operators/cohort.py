@@ -149,3 +149,35 @@ def sample_stats(rows: DataFrame, sample: str) -> DataFrame:
     """Per sample: loci, accepted, with reads, lengths' mean, median and sum of accepted ones."""
     good = F.when(F.col("accepted"), F.col("length"))
     return rows.groupBy(sample).agg(F.count(F.lit(1)).alias("loci"), F.count(good).alias("accepted_loci"), F.sum((F.col("reads") > 0).cast("bigint")).alias("loci_with_reads"), F.avg(good).alias("mean_length"), F.median(good).alias("median_length"), F.coalesce(F.sum(good), F.lit(0)).alias("total_length"))
+
+
+def best_candidate(candidates: DataFrame, locus: str) -> DataFrame:
+    """The best contig of each locus: supported bases damped by low unique density, uneven depth and depth peaks; then
+    unique reads, length, id."""
+    score = F.col("supported") * F.least(F.lit(1.0), F.col("unique_density") / 0.01) / (1 + F.col("depth_cv")) * F.least(F.lit(1.0), 10 / F.col("depth_ratio"))
+    order = [F.desc("score"), F.desc("unique_reads"), F.desc("length"), F.col("id")]
+    ranked = candidates.withColumn("score", score)
+    return ranked.withColumn("__n", F.row_number().over(Window.partitionBy(locus).orderBy(*order))).where("__n = 1").drop("__n")
+
+
+def population_reference(contigs: DataFrame, locus: str, strategy: str = "longest") -> DataFrame:
+    """One accepted contig with unique reads for each locus, the longest, best supported or densest; with the number of
+    those it was chosen from."""
+    first = {"longest": "length", "supported": "supported", "density": "unique_density"}
+    if strategy not in first:
+        raise ValueError(f"unknown strategy {strategy}")
+    usable = contigs.where(F.col("accepted") & (F.col("unique_reads") > 0))
+    order = [F.desc(c) for c in dict.fromkeys([first[strategy], "length", "supported", "unique_reads"])] + [F.col("id")]
+    ranked = usable.withColumns({"__n": F.row_number().over(Window.partitionBy(locus).orderBy(*order)), "candidate_count": F.count(F.lit(1)).over(Window.partitionBy(locus))})
+    return ranked.where("__n = 1").drop("__n")
+
+
+def minor_alleles(pileup_: DataFrame, keys: list[str], base: str, n: str) -> DataFrame:
+    """keys, coverage, minor: the second count's share at positions with two bases or more."""
+    counts = pileup_.where(~F.col(base).isin("-", "N")).groupBy(*keys).agg(F.sort_array(F.collect_list(n), asc=False).alias("c"), F.sum(n).alias("coverage"))
+    return counts.where(F.size("c") > 1).select(*keys, "coverage", (F.get("c", F.lit(1)) / F.col("coverage")).alias("minor"))
+
+
+def reference_lengths(refs: DataFrame, locus: str, seq: str) -> DataFrame:
+    """locus, mean_length: the rounded mean length of its references without gaps and N."""
+    return refs.groupBy(locus).agg(F.round(F.avg(F.length(F.regexp_replace(seq, "[-Nn]", "")))).cast("bigint").alias("mean_length"))

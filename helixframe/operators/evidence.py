@@ -203,6 +203,73 @@ def maximal_matches(hits: DataFrame, frags: DataFrame, refs: DataFrame, k: int)
     return pairs.mapInArrow(run, f"frag {dict(frags.dtypes)['frag']}, locus {dict(refs.dtypes)['locus']}, strand int, query_start int, reference_start int, length int")
 
 
+def exact_evidence(matches: DataFrame, frags: DataFrame, refs: DataFrame, window: int = 150) -> DataFrame:
+    """matches with covered_bins (mask), left_extension, right_extension and terminal_mask (1 left, 2 right).
+
+    A read extends an end of its reference if its match begins or ends within the window (a fifth of the reference at
+    most) and the read has bases beyond the match there; on strand 2 the sides are those of the forward reference.
+    """
+    sizes = lambda df, key, name: df.select(key, F.length("seq").alias(name))
+    both = matches.join(sizes(frags, "frag", "__q"), "frag").join(sizes(refs, "locus", "__r"), "locus")
+    forward = F.col("strand") == 1
+    end = F.col("reference_start") + F.col("length")
+    before, after = F.col("query_start"), F.col("__q") - F.col("query_start") - F.col("length")
+    found = both.withColumns(
+        {
+            "__start": F.when(forward, F.col("reference_start")).otherwise(F.col("__r") - end),
+            "__end": F.when(forward, end).otherwise(F.col("__r") - F.col("reference_start")),
+            "__left": F.when(forward, before).otherwise(after),
+            "__right": F.when(forward, after).otherwise(before),
+            "__window": F.least(F.lit(window), F.floor(F.col("__r") / 5)),
+        }
+    )
+    left = (F.col("__start") <= F.col("__window")) & (F.col("__left") > 0)
+    right = (F.col("__r") - F.col("__end") <= F.col("__window")) & (F.col("__right") > 0)
+    found = found.withColumns(
+        {
+            "covered_bins": bin_mask(F.col("__start"), F.col("__end"), F.col("__r")),
+            "left_extension": F.when(left, F.least("__left", F.lit(65535))).otherwise(0).cast("int"),
+            "right_extension": F.when(right, F.least("__right", F.lit(65535))).otherwise(0).cast("int"),
+            "terminal_mask": F.when(left, 1).otherwise(0) + F.when(right, 2).otherwise(0),
+        }
+    )
+    return found.drop("__q", "__r", "__start", "__end", "__left", "__right", "__window")
+
+
+def orientation_codes(read: bytes, references: list[bytes], k: int) -> np.ndarray:
+    """By window of the read: 1 or 2 for one that occurs once in the references, both strands taken together; else 0.
+    A read with an ambiguous base has none."""
+    codes = kernels.CODES[np.frombuffer(read, np.uint8)]
+    if len(codes) < k or (codes > 3).any():
+        return np.zeros(0, np.int64)
+    mine = kernels.kmers(codes, k)[0]
+    values, strands = [], []
+    for reference in references:
+        theirs = kernels.CODES[np.frombuffer(reference, np.uint8)]
+        forward, reverse, good = kernels.kmers(theirs, k)
+        values += [forward[good], reverse[good]]
+        strands += [np.full(int(good.sum()), 1), np.full(int(good.sum()), 2)]
+    values, strands = np.concatenate(values), np.concatenate(strands)
+    order = np.argsort(values, kind="stable")
+    values, strands = values[order], strands[order]
+    low, high = np.searchsorted(values, mine, "left"), np.searchsorted(values, mine, "right")
+    once = high - low == 1
+    return np.where(once, strands[np.minimum(low, max(len(strands) - 1, 0))] if len(strands) else 0, 0)
+
+
+def orientation_votes(hits: DataFrame, frags: DataFrame, refs: DataFrame, k: int) -> DataFrame:
+    """frag, locus, windows (those that vote), orientation of each hit (see `orientation`)."""
+    by_locus = refs.groupBy("locus").agg(F.sort_array(F.collect_list("seq")).alias("__refs"))
+    pairs = hits.join(frags.select("frag", F.col("seq").alias("__read")), "frag").join(by_locus, "locus").select("frag", "locus", "__read", "__refs")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [orientation_codes(a, [(x or "").encode() for x in b], k) for a, b in zip(_texts(batch.column(2)), batch.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([int((c > 0).sum()) for c in found], pa.int64()), pa.array([orientation(c) for c in found], pa.int32())], names=["frag", "locus", "windows", "orientation"])
+
+    return pairs.mapInArrow(run, f"frag {dict(frags.dtypes)['frag']}, locus {dict(refs.dtypes)['locus']}, windows bigint, orientation int")
+
+
 def depth_stability(values: pd.Series) -> int:
     """100 * median / (MAD + 1) with upper medians, in whole numbers."""
     v = np.sort(np.asarray(values, np.int64))

@@ -162,6 +162,24 @@ def kmer_depth(df: DataFrame, ids: list[str], seq: str, k: int) -> DataFrame:
     return seq_kmers(df, ids, seq, k, once=True).groupBy("kmer").agg(F.count(F.lit(1)).alias("depth"))
 
 
+def pseudo_align(frags: DataFrame, frag: str, seq: str, index: DataFrame, k: int, least_share: float = 0.8, least_relevant: float = 0.5) -> DataFrame:
+    """frag, locus, hits, relevant, total: references that hold `least_share` of the fragment's k-mers which any holds,
+    for fragments of whose distinct k-mers `least_relevant` are such."""
+    words = stored(seq_kmers(frags, [frag], seq, k, once=True).select(frag, "kmer"))
+    total = words.groupBy(frag).agg(F.count(F.lit(1)).alias("total"))
+    known = words.join(index.select("kmer").distinct(), "kmer", "left_semi")
+    relevant = known.groupBy(frag).agg(F.count(F.lit(1)).alias("relevant"))
+    hits = known.join(index, "kmer").groupBy(frag, "locus").agg(F.count(F.lit(1)).alias("hits"))
+    both = hits.join(relevant, frag).join(total, frag)
+    return both.where((F.col("hits") >= F.col("relevant") * least_share) & (F.col("relevant") >= F.col("total") * least_relevant)).select(frag, "locus", "hits", "relevant", "total")
+
+
+def marker_support(alignments: DataFrame, query: str, reference: str) -> DataFrame:
+    """fractional_support with ambiguity_status."""
+    found = fractional_support(alignments, query, reference)
+    return found.withColumn("ambiguity_status", F.when(F.col("singleton_queries") > 0, "has_singleton_support").otherwise("shared_only"))
+
+
 def decode(kmer: str, k: int):
     """The text of a 2-bit k-mer."""
     digits = F.lpad(F.conv(F.col(kmer).cast("string"), 10, 4), k, "0")

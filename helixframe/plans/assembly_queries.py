@@ -118,6 +118,79 @@ UNION ALL SELECT ref, pos + 4 + d, '-' FROM (SELECT *, unnest(range(0, 2)) AS d
 UNION ALL SELECT ref, pos + 1 + q, substring(seq, q + 1, 1) FROM (SELECT *, unnest(range(5, length(seq))) AS q FROM p WHERE length(seq) > 5))
 SELECT ref, position::INT AS position, base, count(*) AS n FROM b GROUP BY ALL"""
 
+def exact_evidence(spark, sf_dir):
+    match = evidence.maximal_matches(_hits(spark, sf_dir), fragments(spark, sf_dir), loci(spark, sf_dir), K)
+    found = evidence.exact_evidence(match, fragments(spark, sf_dir), loci(spark, sf_dir))
+    return found.select("frag", "locus", F.bit_count("covered_bins").cast("bigint").alias("bins"), "left_extension", "right_extension", "terminal_mask")
+
+
+EVIDENCE = f"""{LONGEST.split("SELECT frag, locus, strand::INT")[0]}, x AS (SELECT b.*, length(f.seq) AS q, length(l.seq) AS r FROM b JOIN fragments f USING (frag) JOIN loci l USING (locus) WHERE n = 1),
+y AS (SELECT frag, locus, r, least(150, r // 5) AS w, CASE strand WHEN 1 THEN reference_start ELSE r - reference_start - length END AS a, CASE strand WHEN 1 THEN reference_start + length ELSE r - reference_start END AS e,
+CASE strand WHEN 1 THEN query_start ELSE q - query_start - length END AS lo, CASE strand WHEN 1 THEN q - query_start - length ELSE query_start END AS ro FROM x)
+SELECT frag, locus, least((e - 1) * 64 // r, 63) - least(a * 64 // r, 63) + 1 AS bins, (CASE WHEN a <= w AND lo > 0 THEN least(lo, 65535) ELSE 0 END)::INT AS left_extension, (CASE WHEN r - e <= w AND ro > 0 THEN least(ro, 65535) ELSE 0 END)::INT AS right_extension,
+((CASE WHEN a <= w AND lo > 0 THEN 1 ELSE 0 END) + (CASE WHEN r - e <= w AND ro > 0 THEN 2 ELSE 0 END))::INT AS terminal_mask FROM y"""
+
+
+def orientation_votes(spark, sf_dir):
+    return evidence.orientation_votes(_hits(spark, sf_dir), fragments(spark, sf_dir), loci(spark, sf_dir), evidence.verify_k(K))
+
+
+def pseudo_alignment(spark, sf_dir):
+    index = recruit.reference_index(loci(spark, sf_dir), "locus", "seq", 15)
+    found = recruit.pseudo_align(fragments(spark, sf_dir), "frag", "seq", index, 15, 0.5, 0.01)
+    return recruit.marker_support(found, "frag", "locus").withColumn("fractional_queries", F.round("fractional_queries", 9))
+
+
+PSEUDO = f"""WITH {FRAGMENTS}, {LOCI}, {sql_windows('fw', 'fragments', 'frag', 'seq', 15)}, {sql_windows('lw', 'loci', 'locus', 'seq', 15)},
+fk AS (SELECT DISTINCT frag, kmer FROM fw), lk AS (SELECT DISTINCT locus, kmer FROM lw), t AS (SELECT frag, count(*) AS total FROM fk GROUP BY frag),
+known AS (SELECT * FROM fk WHERE kmer IN (SELECT kmer FROM lk)), v AS (SELECT frag, count(*) AS relevant FROM known GROUP BY frag),
+h AS (SELECT frag, locus, count(*) AS hits FROM known JOIN lk USING (kmer) GROUP BY ALL),
+a AS (SELECT frag, locus, count(*) OVER (PARTITION BY frag) AS n FROM h JOIN v USING (frag) JOIN t USING (frag) WHERE hits >= relevant * 0.5 AND relevant >= total * 0.01)
+SELECT locus, count(*) AS hit_queries, round(sum(1.0::DOUBLE / n), 9) AS fractional_queries, sum((n = 1)::BIGINT)::BIGINT AS singleton_queries,
+CASE WHEN sum((n = 1)::BIGINT) > 0 THEN 'has_singleton_support' ELSE 'shared_only' END AS ambiguity_status FROM a GROUP BY locus"""
+
+
+def _contigs(spark, sf_dir):
+    return load(spark, sf_dir, "lineitem").select(
+        F.col("l_partkey").alias("locus"),
+        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"),
+        F.col("l_quantity").alias("length"),
+        F.floor(F.col("l_quantity") * (1 - F.col("l_discount"))).cast("bigint").alias("supported"),
+        (F.col("l_tax") / 4).alias("unique_density"),
+        F.col("l_discount").alias("depth_cv"),
+        (F.col("l_linenumber") * 3.0).alias("depth_ratio"),
+        (F.col("l_suppkey") % 9).alias("unique_reads"),
+        (F.col("l_linestatus") == "F").alias("accepted"),
+    )
+
+
+SQL_CONTIGS = """c AS (SELECT l_partkey AS locus, l_orderkey * 8 + l_linenumber AS id, l_quantity AS length, floor(l_quantity * (1 - l_discount))::BIGINT AS supported, l_tax / 4 AS unique_density, l_discount AS depth_cv,
+l_linenumber * 3.0::DOUBLE AS depth_ratio, l_suppkey % 9 AS unique_reads, l_linestatus = 'F' AS accepted FROM lineitem)"""
+
+
+def best_candidate(spark, sf_dir):
+    return cohort.best_candidate(_contigs(spark, sf_dir), "locus").select("locus", "id", F.round("score", 6).alias("score"))
+
+
+BEST = f"""WITH {SQL_CONTIGS}, s AS (SELECT *, supported * least(1.0::DOUBLE, unique_density / 0.01::DOUBLE) / (1 + depth_cv) * least(1.0::DOUBLE, 10 / depth_ratio) AS score FROM c),
+r AS (SELECT *, row_number() OVER (PARTITION BY locus ORDER BY score DESC, unique_reads DESC, length DESC, id) AS n FROM s) SELECT locus, id, round(score, 6)::DOUBLE AS score FROM r WHERE n = 1"""
+
+
+def population_reference(spark, sf_dir):
+    return cohort.population_reference(_contigs(spark, sf_dir), "locus", "supported").select("locus", "id", "candidate_count")
+
+
+POPULATION = f"""WITH {SQL_CONTIGS}, r AS (SELECT locus, id, row_number() OVER (PARTITION BY locus ORDER BY supported DESC, length DESC, unique_reads DESC, id) AS n, count(*) OVER (PARTITION BY locus) AS candidate_count FROM c WHERE accepted AND unique_reads > 0)
+SELECT locus, id, candidate_count FROM r WHERE n = 1"""
+
+
+def minor_alleles(spark, sf_dir):
+    return cohort.minor_alleles(pileup_counts(spark, sf_dir), ["ref", "position"], "base", "n").withColumn("minor", F.round("minor", 9))
+
+
+MINOR = f"""WITH piles AS ({PILEUP}), r AS (SELECT ref, position, n, sum(n) OVER (PARTITION BY ref, position) AS coverage, row_number() OVER (PARTITION BY ref, position ORDER BY n DESC, base) AS k FROM piles WHERE base NOT IN ('-', 'N'))
+SELECT ref, position, coverage::BIGINT AS coverage, round(n / coverage, 9)::DOUBLE AS minor FROM r WHERE k = 2"""
+
 QUERIES = {
     "longest_exact_match": (longest_exact_match, LONGEST),
     "local_alignment": (local_alignment, None),
@@ -128,4 +201,10 @@ QUERIES = {
     "em_abundance": (em_abundance, None),
     "repeat_audit": (repeat_audit, AUDIT),
     "pileup_counts": (pileup_counts, PILEUP),
+    "exact_evidence": (exact_evidence, EVIDENCE),
+    "orientation_votes": (orientation_votes, None),
+    "pseudo_alignment": (pseudo_alignment, PSEUDO),
+    "best_candidate": (best_candidate, BEST),
+    "population_reference": (population_reference, POPULATION),
+    "minor_alleles": (minor_alleles, MINOR),
 }

@@ -8,7 +8,9 @@ import numpy as np
 CODES = np.full(256, 4, np.uint8)
 for _base, _code in zip(b"ACGTUacgtu", (0, 1, 2, 3, 3) * 2, strict=True):
     CODES[_base] = _code
-MOST_K = 31
+#: The widest k-mers that are numbers (two bits a base in a signed long), and the widest at all; between, they are texts.
+MOST_K, MOST_TEXT_K = 31, 255
+LETTERS = np.frombuffer(b"ACGTN", np.uint8)
 
 
 def joined_codes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -48,14 +50,31 @@ def kmers(codes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return windows(codes, k), reverse, bad[k:] == bad[:-k]
 
 
+def text_kmers(codes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The lesser of each window's text and its reverse complement's, and whether it has no invalid base."""
+    if len(codes) < k:
+        return np.zeros(0, f"S{k}"), np.zeros(0, bool)
+    bad = np.concatenate([[0], np.cumsum(codes > 3)])
+    back = LETTERS[np.where(codes > 3, 4, 3 - (codes & 3))][::-1]
+    texts = lambda x: np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(x, k)).view(f"S{k}").ravel()
+    forward, reverse = texts(LETTERS[codes]), texts(np.ascontiguousarray(back))[::-1]
+    return np.where(forward <= reverse, forward, reverse), bad[k:] == bad[:-k]
+
+
 def canonical(texts: list[bytes], k: int, step: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text number, position, canonical k-mer) of the valid windows of all texts.
+    """(text number, position, canonical k-mer) of the valid windows of all texts; k-mers over MOST_K are texts.
 
     With a step, positions that it divides and each text's last window; a window lost to an invalid base is not
     moved.
     """
+    if not 1 <= k <= MOST_TEXT_K:
+        raise ValueError(f"k must be 1 to {MOST_TEXT_K}")
     codes, starts = joined_codes(texts)
-    forward, reverse, valid = kmers(codes, k)
+    if k > MOST_K:
+        value, valid = text_kmers(codes, k)
+    else:
+        forward, reverse, valid = kmers(codes, k)
+        value = np.minimum(forward, reverse)
     at = np.flatnonzero(valid)
     number = np.searchsorted(starts, at, "right") - 1
     position = at - starts[number]
@@ -63,7 +82,7 @@ def canonical(texts: list[bytes], k: int, step: int = 1) -> tuple[np.ndarray, np
         last = np.fromiter(map(len, texts), np.int64, len(texts))[number] - k
         keep = (position % step == 0) | (position == last)
         at, number, position = at[keep], number[keep], position[keep]
-    return number, position, np.minimum(forward[at], reverse[at])
+    return number, position, value[at]
 
 
 def fnv1a(data: bytes) -> int:

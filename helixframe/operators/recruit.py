@@ -23,10 +23,19 @@ MOST_BROADCAST = 4_000_000
 ROWS = 512
 
 
-def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _parts(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for at in range(0, batch.num_rows, ROWS):
-            yield batch.slice(at, ROWS)
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+def _rows(k: int) -> int:
+    """Sequences whose k-mers are made at once; texts take a byte a base."""
+    return ROWS if k <= kernels.MOST_K else max(ROWS // k, 1)
+
+
+def _column(value: np.ndarray) -> pa.Array:
+    return pa.array(value) if value.dtype.kind == "i" else pa.array(value.tolist(), pa.binary()).cast(pa.string())
 
 
 def _texts(column: pa.Array) -> list[bytes]:
@@ -34,22 +43,23 @@ def _texts(column: pa.Array) -> list[bytes]:
 
 
 def seq_kmers(df: DataFrame, ids: list[str], seq: str, k: int, step: int = 1, once: bool = False) -> DataFrame:
-    """ids, pos, kmer (canonical, 2 bits a base) of each valid window; or each k-mer of a row once, at its first pos."""
+    """ids, pos, kmer (canonical, 2 bits a base; a text for k over 31) of each valid window; or each k-mer of a row once,
+    at its first pos."""
     chosen = df.select(*ids, F.col(seq).cast("string").alias("__seq"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _parts(batches):
+        for part in _parts(batches, _rows(k)):
             number, position, value = kernels.canonical(_texts(part.column(len(ids))), k, step)
             if once and len(value):
                 order = np.lexsort((value, number))
                 new = np.ones(len(order), bool)
-                new[1:] = (np.diff(value[order]) != 0) | (np.diff(number[order]) != 0)
+                new[1:] = (value[order][1:] != value[order][:-1]) | (np.diff(number[order]) != 0)
                 number, position, value = (x[order[new]] for x in (number, position, value))
             take = pa.array(number)
-            yield pa.RecordBatch.from_arrays([*(part.column(i).take(take) for i in range(len(ids))), pa.array(position.astype(np.int32)), pa.array(value)], names=[*ids, "pos", "kmer"])
+            yield pa.RecordBatch.from_arrays([*(part.column(i).take(take) for i in range(len(ids))), pa.array(position.astype(np.int32)), _column(value)], names=[*ids, "pos", "kmer"])
 
     fields = ", ".join(f"`{c}` {t}" for c, t in df.select(*ids).dtypes)
-    return chosen.mapInArrow(run, f"{fields}, pos int, kmer bigint")
+    return chosen.mapInArrow(run, f"{fields}, pos int, kmer {'bigint' if k <= kernels.MOST_K else 'string'}")
 
 
 def reference_index(refs: DataFrame, locus: str, seq: str, k: int) -> DataFrame:
@@ -73,7 +83,8 @@ def recruit(frags: DataFrame, frag: str, seqs: list[str], index: DataFrame, k: i
     index.unpersist()
     loci = sorted(set(table.column("locus").to_pylist()))
     number = {x: i for i, x in enumerate(loci)}
-    keys, values = table.column("kmer").to_numpy(), np.array([number[x] for x in table.column("locus").to_pylist()], np.int64)
+    keys = table.column("kmer").to_numpy() if k <= kernels.MOST_K else np.array([x.encode() for x in table.column("kmer").to_pylist()], f"S{k}")
+    values = np.array([number[x] for x in table.column("locus").to_pylist()], np.int64)
     order = np.argsort(keys, kind="stable")
     shared = spark.sparkContext.broadcast((keys[order], values[order], loci))
     kind = dict(index.dtypes)["locus"]
@@ -81,7 +92,7 @@ def recruit(frags: DataFrame, frag: str, seqs: list[str], index: DataFrame, k: i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, values, loci = shared.value
         names = pa.array(loci)
-        for part in _parts(batches):
+        for part in _parts(batches, _rows(k)):
             found = []
             for i in range(len(seqs)):
                 row, _, value = kernels.canonical(_texts(part.column(i + 1)), k, step)
@@ -181,6 +192,8 @@ def marker_support(alignments: DataFrame, query: str, reference: str) -> DataFra
 
 
 def decode(kmer: str, k: int):
-    """The text of a 2-bit k-mer."""
+    """The text of a k-mer."""
+    if k > kernels.MOST_K:
+        return F.col(kmer)
     digits = F.lpad(F.conv(F.col(kmer).cast("string"), 10, 4), k, "0")
     return F.translate(digits, "0123", "ACGT")

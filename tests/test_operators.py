@@ -24,15 +24,16 @@ def frames(spark, refs, frags):
     return spark.createDataFrame(refs, "locus bigint, seq string"), spark.createDataFrame(frags, "frag bigint, seq string")
 
 
-def test_recruit_both_ways_and_both_strands(spark, monkeypatch):
+@pytest.mark.parametrize("k", [21, 35])
+def test_recruit_both_ways_and_both_strands(spark, monkeypatch, k):
     a, b = dna(100, 1), dna(100, 2)
     reads = [(1, a[10:60]), (2, A.reverse_complement(b[20:70])), (3, a[:40] + b[:40]), (4, dna(80, 3)), (5, None), (6, ""), (7, a[:20] + "N" + a[21:40])]
     refs, frags = frames(spark, [(1, a), (2, b)], reads)
-    index = recruit.reference_index(refs, "locus", "seq", 21)
+    index = recruit.reference_index(refs, "locus", "seq", k)
     want = {(1, 1), (2, 2), (3, 1), (3, 2)}
-    assert {tuple(r) for r in recruit.recruit(frags, "frag", ["seq"], index, 21).collect()} == want
+    assert {tuple(r) for r in recruit.recruit(frags, "frag", ["seq"], index, k).collect()} == want
     monkeypatch.setattr(recruit, "MOST_BROADCAST", 10)
-    assert {tuple(r) for r in recruit.recruit(frags, "frag", ["seq"], recruit.reference_index(refs, "locus", "seq", 21), 21).collect()} == want
+    assert {tuple(r) for r in recruit.recruit(frags, "frag", ["seq"], recruit.reference_index(refs, "locus", "seq", k), k).collect()} == want
 
 
 def test_either_mate_suffices_and_pairs_count_twice(spark):
@@ -401,3 +402,38 @@ def test_stream(spark, tmp_path):
     recruit_stream.recruit_files(spark, str(tmp_path / "in"), "frag bigint, seq string", refs, 21, str(tmp_path / "out"), str(tmp_path / "cp"), files_a_batch=1).awaitTermination()
     batch = recruit.recruit(frags, "frag", ["seq"], recruit.reference_index(refs, "locus", "seq", 21), 21)
     assert [tuple(r) for r in recruit_stream.running_counts(spark, str(tmp_path / "out")).collect()] == [(1, batch.count())]
+
+
+def test_exact_evidence_and_votes(spark):
+    ref = dna(300, 71)
+    reads = [(1, dna(20, 72) + ref[:60]), (2, A.reverse_complement(dna(20, 73) + ref[:60])), (3, ref[100:180]), (4, ref[250:] + dna(30, 74)), (5, ref[:50] + "N" + ref[51:90])]
+    refs, frags = frames(spark, [(1, ref)], reads)
+    hits = recruit.recruit(frags, "frag", ["seq"], recruit.reference_index(refs, "locus", "seq", 31), 31)
+    match = evidence.maximal_matches(hits, frags, refs, 31)
+    rows = {r["frag"]: (r["left_extension"], r["right_extension"], r["terminal_mask"]) for r in evidence.exact_evidence(match, frags, refs).collect()}
+    assert rows[1] == rows[2] == (20, 0, 1) and rows[3] == (0, 0, 0) and rows[4] == (0, 30, 2)
+    votes = {r["frag"]: r["orientation"] for r in evidence.orientation_votes(hits, frags, refs, 19).collect()}
+    assert votes == {1: 1, 2: 2, 3: 1, 4: 1, 5: 0}
+
+
+def test_candidates(spark):
+    rows = [("u", 1, 100, 90, 0.02, 0.5, 2.0, 3, True), ("u", 2, 200, 150, 0.001, 3.0, 40.0, 9, True), ("u", 3, 300, 250, 0.02, 0.1, 2.0, 0, True), ("u", 4, 400, 400, 0.02, 0.1, 2.0, 5, False)]
+    df = spark.createDataFrame(rows, "locus string, id int, length int, supported int, unique_density double, depth_cv double, depth_ratio double, unique_reads int, accepted boolean")
+    assert cohort.best_candidate(df, "locus").first()["id"] == 4
+    assert [cohort.population_reference(df, "locus", s).first()["id"] for s in ("longest", "density")] == [2, 1]
+    assert cohort.population_reference(df, "locus").first()["candidate_count"] == 2
+    with pytest.raises(ValueError):
+        cohort.population_reference(df, "locus", "none")
+    piles = spark.createDataFrame([("u", 1, "A", 6), ("u", 1, "C", 2), ("u", 2, "A", 5), ("u", 2, "-", 5)], "ref string, p int, b string, n bigint")
+    assert [tuple(r) for r in cohort.minor_alleles(piles, ["ref", "p"], "b", "n").collect()] == [("u", 1, 8, 0.25)]
+    refs = spark.createDataFrame([("u", "AC-NG"), ("u", "ACGTA")], "locus string, seq string")
+    assert cohort.reference_lengths(refs, "locus", "seq").first()["mean_length"] == 4
+
+
+def test_pseudo_alignment(spark):
+    a, b = dna(80, 81), dna(80, 82)
+    refs, frags = frames(spark, [(1, a), (2, a[:50] + b[:30])], [(1, a), (2, a[:45]), (3, a[:40] + dna(100, 83))])
+    found = recruit.pseudo_align(frags, "frag", "seq", recruit.reference_index(refs, "locus", "seq", 15), 15)
+    assert {(r["frag"], r["locus"]) for r in found.collect()} == {(1, 1), (2, 1), (2, 2)}
+    support = {r["locus"]: r["ambiguity_status"] for r in recruit.marker_support(found, "frag", "locus").collect()}
+    assert support == {1: "has_singleton_support", 2: "shared_only"}

@@ -218,3 +218,16 @@ def tukey_hinges(values: str | Column) -> Column:
 def upper_median(values: str | Column) -> Column:
     """Of an even number of values the upper of the middle two."""
     return let(F.sort_array(col(values)), lambda v: F.get(v, F.floor(F.size(v) / 2).cast("int")))
+
+
+def within_hamming(a: str | Column, b: str | Column, most: int = 1) -> Column:
+    """Whether two sequences of one length differ in at most `most` places."""
+    a, b = col(a), col(b)
+    differ = F.filter(F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: x != y), lambda x: x)
+    return (F.length(a) == F.length(b)) & (F.size(differ) <= most)
+
+
+def trimmed_number(c: str | Column, digits: int) -> Column:
+    """A number as text with at most so many digits after the point, without zeros at its end."""
+    text = F.format_string(f"%.{digits}f", col(c).cast("double"))
+    return F.when(F.lit(digits) > 0, F.regexp_replace(F.regexp_replace(text, "0+$", ""), r"\.$", "")).otherwise(text)

@@ -316,3 +316,44 @@ def resolve_path(nodes: dict[int, tuple[int, int, int]], edges: dict[tuple[int,
         options = [((s[0] + hits, min(s[1], samples), s[2] + edges[u, v], s[3] + length), [*p, v]) for u, (s, p) in best.items() if v in after[u]]
         best[v] = max([*options, ((hits, samples, 0, length), [v])], key=lambda x: (x[0], [-u for u in x[1]]))
     return max(best.values(), key=lambda x: (x[0], [-u for u in x[1]]))[1] if best else []
+
+
+def branch_support(pairs: list[tuple[str, str]], graph: dict[str, tuple[int, int, int]], k: int) -> Counter:
+    """(k-mer, next k-mer) -> fragments that go over this edge of a branch with one mate, the other one standing on the
+    reference; each fragment counts an edge once."""
+    branches = {(w, v) for w in graph for v in (w[1:] + b for b in BASES) if v in graph and sum(w[1:] + c in graph for c in BASES) > 1}
+    found: Counter = Counter()
+    for first, second in pairs:
+        mine = set()
+        for read, mate in ((first, second), (second, first)):
+            anchored = any(w in graph and graph[w][1] for w in windows(mate, k))
+            if anchored:
+                for text in (read, reverse_complement(read)):
+                    words = windows(text, k)
+                    mine |= {e for e in zip(words, words[1:], strict=False) if e in branches}
+        found.update(mine)
+    return found
+
+
+def unitig_path(read: str, unitigs_: list[str], k: int = 21) -> list[int]:
+    """The unitigs that a read runs through in order, by k-mers that one unitig alone has."""
+    owners: dict[str, set[int]] = defaultdict(set)
+    for i, text in enumerate(unitigs_):
+        for w in windows(text, k):
+            owners[w].add(i)
+    path: list[int] = []
+    for w in windows(read, k):
+        if len(owners.get(w, ())) == 1:
+            i = next(iter(owners[w]))
+            if not path or path[-1] != i:
+                path.append(i)
+    return path
+
+
+def coordinates(path: list[int], lengths: dict[int, int], k: int) -> list[tuple[int, int, int]]:
+    """(unitig, start, end) of a path's unitigs, half-open; neighbours share k - 1 bases."""
+    found, at = [], 0
+    for i in path:
+        found.append((i, at, at + lengths[i]))
+        at += lengths[i] - (k - 1)
+    return found

@@ -181,3 +181,25 @@ def minor_alleles(pileup_: DataFrame, keys: list[str], base: str, n: str) -> Dat
 def reference_lengths(refs: DataFrame, locus: str, seq: str) -> DataFrame:
     """locus, mean_length: the rounded mean length of its references without gaps and N."""
     return refs.groupBy(locus).agg(F.round(F.avg(F.length(F.regexp_replace(seq, "[-Nn]", "")))).cast("bigint").alias("mean_length"))
+
+
+def enrich(df: DataFrame, tables: list[tuple[DataFrame, str, dict[str, str]]]) -> DataFrame:
+    """df with columns of other tables, each (table, key, column -> literal where it has no row)."""
+    for other, key, defaults in tables:
+        df = df.join(other.select(key, *defaults), key, "left").withColumns({c: F.coalesce(c, F.lit(v)) for c, v in defaults.items()})
+    return df
+
+
+def distinct_candidates(candidates: DataFrame, keys: list[str], seq: str, id_: str, reference_length: str) -> DataFrame:
+    """Candidates of a third of their reference's length, 40 bases at least, one for each sequence on either strand
+    (the least id), without those that begin another of their keys."""
+    from helixframe.functions.sequences import canonical
+
+    long = candidates.where(F.length(seq) >= F.greatest(F.col(reference_length) / 3, F.lit(40)))
+    one = long.withColumn("__c", canonical(seq)).withColumn("__n", F.row_number().over(Window.partitionBy(*keys, "__c").orderBy(id_))).where("__n = 1").drop("__n", "__c")
+    other = one.select(*keys, F.col(seq).alias("__longer"))
+    inside = F.col("__longer").startswith(F.col(seq)) & (F.length("__longer") > F.length(seq))
+    same = inside
+    for k in keys:
+        same = same & one[k].eqNullSafe(other[k])
+    return one.join(other, same, "left_anti")

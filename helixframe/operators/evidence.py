@@ -67,6 +67,19 @@ def dinucleotide_entropy(df: DataFrame, id_: str, seq: str) -> DataFrame:
     return df.select(id_, F.col(seq).cast("string")).mapInArrow(run, f"`{id_}` {dict(df.dtypes)[id_]}, entropy double")
 
 
+def bait_seeds(read: bytes, k: int = 23, w: int = 12) -> list[int]:
+    """A read's seeds in order: minima of w consecutive canonical k-mers, repeats of the last left out, and the first,
+    middle and last k-mer; none for a read with an ambiguous base."""
+    codes = kernels.CODES[np.frombuffer(read, np.uint8)]
+    if len(codes) < k or (codes > 3).any():
+        return []
+    forward, reverse, _ = kernels.kmers(codes, k)
+    value = np.minimum(forward, reverse)
+    least = np.lib.stride_tricks.sliding_window_view(value, w).min(axis=1) if len(value) >= w else value.min(keepdims=True)
+    least = least[np.concatenate([[True], np.diff(least) != 0])]
+    return list(dict.fromkeys([*least.tolist(), int(value[0]), int(value[len(value) // 2]), int(value[-1])]))
+
+
 def id_coverage(refs: DataFrame, groups: DataFrame, id_: str, group: str) -> DataFrame:
     """One row: reference ids without a group, group ids without a reference, ids whose groups disagree."""
     missing = refs.select(id_).distinct().join(groups, id_, "left_anti").agg(F.count(F.lit(1)).alias("missing"))

@@ -191,6 +191,13 @@ def marker_support(alignments: DataFrame, query: str, reference: str) -> DataFra
     return found.withColumn("ambiguity_status", F.when(F.col("singleton_queries") > 0, "has_singleton_support").otherwise("shared_only"))
 
 
+def solid_minimizers(df: DataFrame, ids: list[str], seq: str, k: int, least: int) -> DataFrame:
+    """ids, kmer: the least canonical k-mer of each row that occurs `least` times over all rows."""
+    words = stored(seq_kmers(df, ids, seq, k).select(*ids, "kmer"))
+    solid = words.groupBy("kmer").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("kmer")
+    return words.join(solid, "kmer", "left_semi").groupBy(*ids).agg(F.min("kmer").alias("kmer"))
+
+
 def decode(kmer: str, k: int):
     """The text of a k-mer."""
     if k > kernels.MOST_K:

@@ -437,3 +437,38 @@ def test_pseudo_alignment(spark):
     assert {(r["frag"], r["locus"]) for r in found.collect()} == {(1, 1), (2, 1), (2, 2)}
     support = {r["locus"]: r["ambiguity_status"] for r in recruit.marker_support(found, "frag", "locus").collect()}
     assert support == {1: "has_singleton_support", 2: "shared_only"}
+
+
+def test_small_operators(spark):
+    from helixframe.functions.sequences import trimmed_number, within_hamming
+
+    df = spark.createDataFrame([("ACGT", "ACGA", 1.5), ("ACGT", "TCGA", 2.0), ("AC", "ACG", 0.125)], "a string, b string, x double")
+    assert [r[0] for r in df.select(within_hamming("a", "b")).collect()] == [True, False, False]
+    assert [r[0] for r in df.select(trimmed_number("x", 2)).collect()] == ["1.5", "2", "0.13"]
+    reads = spark.createDataFrame([(1, "ACGTTGCAAC"), (2, "ACGTTGGGGG")], "id bigint, seq string")
+    rows = {r["id"]: r["kmer"] for r in recruit.solid_minimizers(reads, ["id"], "seq", 5, 2).collect()}
+    assert set(rows) == {1, 2} and rows[1] == rows[2]
+    seeds = evidence.bait_seeds(dna(80, 91).encode())
+    assert len(seeds) == len(set(seeds)) >= 3 and evidence.bait_seeds(b"ACGN" * 20) == []
+    extra = spark.createDataFrame([("ACGT", "known")], "a string, status string")
+    assert [r["status"] for r in cohort.enrich(df, [(extra, "a", {"status": "none"})]).orderBy("x").collect()] == ["none", "known", "known"]
+
+
+def test_distinct_candidates(spark):
+    a = dna(90, 92)
+    rows = [("f", 1, a, 100), ("f", 2, A.reverse_complement(a), 100), ("f", 3, a[:60], 100), ("f", 4, a[:30], 30), ("g", 5, a[:60], 100)]
+    df = spark.createDataFrame(rows, "family string, id int, seq string, n int")
+    assert sorted(r["id"] for r in cohort.distinct_candidates(df, ["family"], "seq", "id", "n").collect()) == [1, 5]
+
+
+def test_branches_and_unitig_paths():
+    a, b, c, d = dna(40, 1), dna(20, 2), dna(20, 3), dna(40, 4)
+    words = {w for s in (a + b + d, a + c + d) for w in G.windows(s, 15)}
+    graph_ = {w: (3, 1 if w in a else 0, 0) for w in words}
+    support = G.branch_support([(a[:30], a[20:] + b[:10]), (a[:30], dna(30, 9))], graph_, 15)
+    assert list(support.values()) == [1]
+    paths, _ = G.unitigs(words, 15)
+    found = G.unitig_path(a + b + d, paths, 15)
+    assert len(found) == 3
+    places = G.coordinates(found, {i: len(p) for i, p in enumerate(paths)}, 15)
+    assert places[0][1] == 0 and places[-1][2] == len(a + b + d)

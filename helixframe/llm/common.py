@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 HOT_ROWS = 256
 #: No more than so many keys can be hot, since each has over 1/MOST_HOT of all rows or HOT_ROWS of them.
 MOST_HOT = 10_000
+#: Ids that are broadcast at most (some 16 bytes each); more are joined by shuffle.
+MOST_BROADCAST_IDS = 1_000_000
 
 
 #: Rows that go to Python at once: texts can be long, and workers share an executor's memory.
@@ -73,3 +75,15 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total:
     names = groups.where(F.col(size) >= bound).select(key)
     cold = rows.join(F.broadcast(names), key, "left_anti").join(groups.where(F.col(size) < bound).hint("merge"), key).select(columns)
     return hot.unionByName(cold)
+
+
+def without_ids(documents: DataFrame, marked: DataFrame, kept: str) -> DataFrame:
+    """The rows of documents, all columns, without those whose doc_id marked (doc_id, and the boolean `kept`) never keeps.
+
+    What goes is counted: up to MOST_BROADCAST_IDS ids are broadcast, so that no text is shuffled.  Rows without a
+    doc_id stay.
+    """
+    removed = marked.groupBy("doc_id").agg(F.max(kept).alias("stays")).where(~F.col("stays") & F.col("doc_id").isNotNull())
+    removed = written(removed.select(F.col("doc_id").alias("__removed")), "removed")
+    small = removed.limit(MOST_BROADCAST_IDS + 1).count() <= MOST_BROADCAST_IDS
+    return documents.join(F.broadcast(removed) if small else removed, documents["doc_id"] == removed["__removed"], "left_anti")

@@ -16,7 +16,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import fresh_path, join_groups, table, written
+from helixframe.llm.common import fresh_path, join_groups, table, without_ids, written
 
 TOTAL = "n_rows"
 
@@ -86,8 +86,7 @@ def classes(documents: DataFrame, index: DigestIndex | None = None) -> DataFrame
 
 def deduplicated(documents: DataFrame, index: DigestIndex | None = None) -> DataFrame:
     """The rows of documents that stay, each with all its columns."""
-    kept = classes(documents, index).where("kept").select(F.col("doc_id").alias("__kept_id")).distinct()
-    return documents.join(kept, documents["doc_id"].eqNullSafe(kept["__kept_id"]), "left_semi")
+    return without_ids(documents, classes(documents, index), "kept")
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

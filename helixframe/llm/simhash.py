@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import join_groups, table, written
+from helixframe.llm.common import join_groups, table, without_ids, written
 
 SHINGLE_WORDS = 4
 SEED = 42
@@ -154,8 +154,7 @@ def groups(documents: DataFrame) -> DataFrame:
 
 def deduplicated(documents: DataFrame) -> DataFrame:
     """One row of each component, that with the smallest doc_id, with all its columns."""
-    stay = groups(documents).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__kept_id")).distinct()
-    return documents.join(stay, documents["doc_id"] == stay["__kept_id"], "left_semi")
+    return without_ids(documents, groups(documents).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))), "kept")
 
 
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

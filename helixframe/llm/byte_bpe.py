@@ -36,7 +36,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import table
+from helixframe.llm.common import in_small_batches, table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 MOST_WORDS = 400_000
@@ -285,7 +285,7 @@ def _assemble(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
 def round_trip(documents: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids (little-endian unsigned 32-bit) and decoded (bytes) of each row's text."""
     path = path or public_tokenizers.path(VOCABULARY)
-    rows = documents.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
+    rows = in_small_batches(documents).select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
     split = rows.mapInArrow(_split(path, pattern or public_tokenizers.PATTERN), "doc_id bigint, numbers binary, restart boolean, w array<bigint>")
     return folded(split, path).mapInArrow(_assemble(path), "doc_id bigint, n_tokens bigint, ids binary, decoded binary")
 

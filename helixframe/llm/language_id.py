@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import table
+from helixframe.llm.common import in_small_batches, table
 
 UNKNOWN = "und"
 SAMPLE = 2048
@@ -158,7 +158,7 @@ def learn(documents: DataFrame, usable: Column) -> Model | None:
     may = documents.where(F.coalesce(usable, F.lit(False)) & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
     # First ids alone, then the texts of at most SAMPLE ids.
     picked = [r[0] for r in may.select(F.col("doc_id").cast("bigint").alias("doc_id")).orderBy(order, "doc_id").limit(SAMPLE).collect()]
-    rows = may.where(F.col("doc_id").isin(picked) & has_letter()).select(F.col("doc_id").cast("bigint"), F.col("lang").cast("string"), F.col("text").cast("string"))
+    rows = in_small_batches(may).where(F.col("doc_id").isin(picked) & has_letter()).select(F.col("doc_id").cast("bigint"), F.col("lang").cast("string"), F.col("text").cast("string"))
     bags = rows.mapInArrow(_bags, "doc_id bigint, lang string, at binary, n binary").limit(2 * SAMPLE).collect() if picked else []
     bags.sort(key=lambda r: ((r["doc_id"] * 2654435761) % 2**32, r["doc_id"], r["lang"], bytes(r["at"])))
     if not bags:
@@ -185,7 +185,7 @@ def _predict(model: Model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
 
 def identified(documents: DataFrame, model: Model | None) -> DataFrame:
     """doc_id, lang_pred, score for each row."""
-    rows = documents.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
+    rows = in_small_batches(documents).select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
     if model is None:
         return rows.select("doc_id", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
     return rows.select("doc_id", "text", has_letter().alias("letter")).mapInArrow(_predict(model), "doc_id bigint, lang_pred string, score double")
@@ -205,7 +205,7 @@ def accepted(documents: DataFrame, model: Model | None) -> DataFrame:
                 keep.append(text.as_py() is not None and float(model.probabilities(text.as_py()).max()) >= model.reject_below)
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return documents.where(has_letter()).mapInArrow(run, documents.schema)
+    return in_small_batches(documents).where(has_letter()).mapInArrow(run, documents.schema)
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

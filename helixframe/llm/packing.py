@@ -29,7 +29,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import table, written
+from helixframe.llm.common import in_small_batches, table, written
 
 VOCABULARY = "word_bpe_49k.json"
 LIMIT = 4096
@@ -146,7 +146,7 @@ def _pieces(path: str, limit: int, end_id: int) -> Callable[[Iterator[pa.RecordB
 
 def pieces(documents: DataFrame, path: str | None = None, limit: int = LIMIT, end_id: int = END_ID) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of each piece of each row."""
-    rows = documents.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
+    rows = in_small_batches(documents).select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
     return rows.mapInArrow(_pieces(path or public_tokenizers.path(VOCABULARY), limit, end_id), "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
 
 

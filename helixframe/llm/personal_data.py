@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import table
+from helixframe.llm.common import in_small_batches, table
 
 BASE = ("email", "ip", "card", "phone")
 LABELS = ("O", "secret", "email", "phone", "ip", "card")
@@ -399,7 +399,7 @@ def _find(made: Field) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
 
 def spans(documents: DataFrame) -> DataFrame:
     """doc_id, counts and digest of the patterns' spans, and all spans of each row."""
-    rows = documents.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
+    rows = in_small_batches(documents).select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
     return rows.mapInArrow(_find(field()), "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string")
 
 
@@ -424,7 +424,7 @@ def masked(documents: DataFrame) -> DataFrame:
             done = [None if t is None else masked_text(t, found) for t, (_, found) in zip(texts, found_in((t or "" for t in texts), decoder), strict=True)]
             yield batch.set_column(at, batch.schema.field(at), pa.array(done, batch.schema.field(at).type))
 
-    return documents.mapInArrow(run, documents.schema)
+    return in_small_batches(documents).mapInArrow(run, documents.schema)
 
 
 def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:

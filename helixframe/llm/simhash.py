@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import join_groups, table, without_ids, written
+from helixframe.llm.common import in_small_batches, join_groups, table, without_ids, written
 
 SHINGLE_WORDS = 4
 SEED = 42
@@ -72,7 +72,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def fingerprints(documents: DataFrame) -> DataFrame:
     """doc_id, fp (the 64 bits as a signed long) for each row."""
-    rows = documents.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
+    rows = in_small_batches(documents).select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
     return rows.mapInArrow(_fingerprints, "doc_id bigint, fp bigint")
 
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import table
+from helixframe.llm.common import in_small_batches, table
 from helixframe.llm.language_id import fold
 
 SAMPLE = 8192
@@ -254,7 +254,7 @@ def _score(model: Model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
 
 def scored(documents: DataFrame, model: Model) -> DataFrame:
     """doc_id, score for each row."""
-    return documents.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(_score(model), "doc_id bigint, score double")
+    return in_small_batches(documents).select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(_score(model), "doc_id bigint, score double")
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

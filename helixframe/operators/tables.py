@@ -14,7 +14,7 @@ def stored(df: DataFrame) -> DataFrame:
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
         folder = f"file://{tempfile.mkdtemp(prefix='helixframe-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
+        spark.sparkContext.setCheckpointDir(folder)
     path = f"{folder.rstrip('/')}/graphs/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -38,7 +38,7 @@ def shared_dir(spark: SparkSession) -> str:
     there = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not there:
         there = f"file://{tempfile.mkdtemp(prefix='helixframe-')}"
-        spark.conf.set("spark.checkpoint.dir", there)
+        spark.sparkContext.setCheckpointDir(there)
     return there
 
 

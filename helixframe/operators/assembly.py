@@ -74,6 +74,61 @@ def build_graph(counts: Counter, reference: dict[str, tuple[int, int, bool]], er
     return found
 
 
+def hinges(values: list[int]) -> tuple[float, float, float]:
+    """(q1, median, q3): medians of the halves, an odd number's median left out of both."""
+    v = sorted(values)
+    half = len(v) // 2
+    if len(v) == 1:
+        return (float(v[0]),) * 3
+    return float(np.median(v[:half])), float(np.median(v)), float(np.median(v[-half:]))
+
+
+def weigh(graph: dict[str, tuple[int, int, int]], references: int, error_limit: int = 2) -> dict[str, tuple[int, int, int]]:
+    """The graph with depths capped at q3 + 1.5 (q3 - q1), and reference depths turned to weights: high for k-mers that
+    each reference has about once, 1 for those that few reads have."""
+    if not graph:
+        return {}
+    q1, _, q3 = hinges([depth for depth, _, _ in graph.values()])
+    cap = int((q3 - q1) * 1.5 + q3)
+
+    def weight(depth: int, known: int) -> int:
+        if not known:
+            return 0
+        return references * cap // (abs(known - references) + 1) + 1 if depth > error_limit else 1
+
+    return {w: (min(depth, cap), weight(depth, known), place) for w, (depth, known, place) in graph.items()}
+
+
+def supported_stretches(flags: np.ndarray, most: int) -> list[int]:
+    """Lengths of runs of true flags; one that reaches `most` is cut there and goes on from half of it."""
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], flags.astype(np.int8), [0]])))
+    found = []
+    for n in (edges[1::2] - edges[::2]).tolist():
+        if n < most:
+            found.append(n)
+            continue
+        full, rest = divmod(n - most, most - most // 2)
+        found += [most] * (1 + full) + ([most // 2 + rest] if most // 2 + rest else [])
+    return found
+
+
+def automatic_k(references: list[str], reads: list[str], slice_length: int, k_min: int = 21, k_max: int = 51, error_limit: int = 2) -> int:
+    """The largest k, over half the largest supported one, whose stretches of supported reference k-mers still cover
+    more than half of what the best such k covers; k_min if nothing tells."""
+    k_min += k_min % 2 == 0
+    if slice_length <= k_min or k_max < k_min or k_max > 63:
+        return k_min
+    counts = Counter(w for r in set(reads) for x in windows(r, k_min) for w in (x, reverse_complement(x)))
+    most = k_max - k_min + 1
+    steps = [min(n - 1, most - 1) // 2 * 2 for r in references for run in valid_runs(r) if len(run) >= k_min for n in supported_stretches(np.array([counts[w] > error_limit for w in windows(run, k_min)]), most)]
+    if not steps:
+        return k_min
+    upper = k_min + max(steps)
+    reach = {k: sum(s >= k - k_min for s in steps) if (k - k_min) % 2 == 0 else 0 for k in range(k_min, upper + 1) if k > -(-upper // 2)}
+    cover = {k: n * k / (slice_length - k + 1) if slice_length > k else 0.0 for k, n in reach.items()}
+    return max((k for k, c in cover.items() if c > max(cover.values()) / 2), default=k_min)
+
+
 def successors(word: str, graph: dict, pairs: dict[tuple[str, str], int] | None = None) -> list[str]:
     """The graph's next k-mers, best first."""
 
@@ -182,7 +237,7 @@ def assemble_locus(locus, reads: list[str], references: list[str], k: int, error
     reference = reference_kmers(references, k)
     if not reads or not reference:
         return row | {"status": "no reads" if not reads else "insufficient genomic kmers"}
-    graph = build_graph(kmer_counts(reads, k), reference, error_limit)
+    graph = weigh(build_graph(kmer_counts(reads, k), reference, error_limit), len(references), error_limit)
     if not any(weight for _, weight, _ in graph.values()):
         return row | {"status": "no seed"}
     contig = backbone(graph)

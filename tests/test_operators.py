@@ -472,3 +472,17 @@ def test_branches_and_unitig_paths():
     assert len(found) == 3
     places = G.coordinates(found, {i: len(p) for i, p in enumerate(paths)}, 15)
     assert places[0][1] == 0 and places[-1][2] == len(a + b + d)
+
+
+def test_weights_and_automatic_k():
+    assert G.hinges([1, 2, 3, 4, 5]) == (1.5, 3.0, 4.5) and G.hinges([7]) == (7.0, 7.0, 7.0)
+    graph_ = {"A": (10, 2, 0), "B": (10, 0, 0), "C": (1, 2, 0), "D": (10, 6, 0), "E": (500, 0, 0)}
+    found = G.weigh(graph_, 2)
+    cap = int((G.hinges([10, 10, 1, 10, 500])[2] - 5.5) * 1.5 + 255)
+    assert found["A"][1] == 2 * cap + 1 and found["C"][1] == 1 and found["D"][1] == 2 * cap // 5 + 1 and found["B"][1] == 0 and G.weigh({}, 1) == {}
+    assert G.supported_stretches(np.array([1, 1, 0, 1], bool), 10) == [2, 1]
+    assert G.supported_stretches(np.ones(10, bool), 10) == [10, 5] and G.supported_stretches(np.ones(16, bool), 10) == [10, 10, 6]
+    genome = dna(400, 95)
+    reads = [genome[i : i + 90] for i in range(0, 310, 2)]
+    assert G.automatic_k([genome], reads, 81, 21, 51) > 41
+    assert G.automatic_k([dna(100, 96)], reads, 81) == 21 and G.automatic_k([genome], reads, 10, 20) == 21

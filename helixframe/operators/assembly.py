@@ -373,6 +373,27 @@ def resolve_path(nodes: dict[int, tuple[int, int, int]], edges: dict[tuple[int,
     return max(best.values(), key=lambda x: (x[0], [-u for u in x[1]]))[1] if best else []
 
 
+def fragment_support(pairs: list[tuple[str, str]], reference: dict[str, tuple[int, int, bool]], k: int) -> Counter:
+    """k-mer -> fragments that have it on the mate that isn't on the reference while the other one is."""
+    found: Counter = Counter()
+    for mates in pairs:
+        words = [set(windows(m, k)) for m in mates]
+        on = [any(w in reference for w in x) for x in words]
+        if on[0] != on[1]:
+            off = words[on.index(False)]
+            found.update(off | {reverse_complement(w) for w in off})
+    return found
+
+
+def rescued_graph(pairs: list[tuple[str, str]], references: list[str], k: int, error_limit: int = 2, least: int = 2) -> tuple[dict, dict]:
+    """(core, assisted) graphs of one count of the pairs' k-mers; the second also has those that `least` fragments
+    support from beyond the reference."""
+    reference = reference_kmers(references, k)
+    counts = kmer_counts([m for p in pairs for m in p], k)
+    extra = {w for w, n in fragment_support(pairs, reference, k).items() if n >= least}
+    return build_graph(counts, reference, error_limit), build_graph(counts, reference, error_limit, extra)
+
+
 def branch_support(pairs: list[tuple[str, str]], graph: dict[str, tuple[int, int, int]], k: int) -> Counter:
     """(k-mer, next k-mer) -> fragments that go over this edge of a branch with one mate, the other one standing on the
     reference; each fragment counts an edge once."""

@@ -486,3 +486,12 @@ def test_weights_and_automatic_k():
     reads = [genome[i : i + 90] for i in range(0, 310, 2)]
     assert G.automatic_k([genome], reads, 81, 21, 51) > 41
     assert G.automatic_k([dna(100, 96)], reads, 81) == 21 and G.automatic_k([genome], reads, 10, 20) == 21
+
+
+def test_pairs_rescue_kmers_beyond_the_reference():
+    genome = dna(300, 97)
+    pairs = [(genome[100:160], A.reverse_complement(genome[220:280]))] * 2
+    core, assisted = G.rescued_graph(pairs, [genome[80:180]], 21, 3)
+    beyond = set(G.windows(genome[220:280], 21))
+    assert not beyond & set(core) and beyond <= set(assisted)
+    assert G.fragment_support(pairs, G.reference_kmers([genome], 21), 21) == Counter()

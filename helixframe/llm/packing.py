@@ -55,6 +55,26 @@ def tokenizer(path: str):
     return found
 
 
+@lru_cache(2)
+def bare_tokenizer(path: str):
+    """The tokenizer without its normaliser, for texts that it would only lower-case."""
+    from tokenizers import Tokenizer
+
+    found = Tokenizer.from_file(path)
+    found.encode_special_tokens = True
+    found.normalizer = None
+    return found
+
+
+def is_latin(text: str) -> bool:
+    """Whether a text has characters below U+0100 alone: composed already, and lower-cased one by one."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 #: ASCII marks that never stand in one token with a letter or digit before them; ' may, as in it's.
 TAIL = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 ALNUM = frozenset(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
@@ -94,8 +114,9 @@ def encoded(words: list[str], path: str) -> Iterator[bytes]:
         for x in found.encode_batch_fast(words, add_special_tokens=False):
             yield array("I", x.ids).tobytes()
         return
-    blocks = [words[at : at + 1000] for at in range(0, len(words), 1000)]
-    for block, x in zip(blocks, found.encode_batch_fast([f" {MARK} ".join(b) for b in blocks], add_special_tokens=False), strict=True):
+    for block in (words[at : at + 1000] for at in range(0, len(words), 1000)):
+        text, bare = f" {MARK} ".join(block), is_latin("".join(block))
+        x = (bare_tokenizer(path) if bare else found).encode_batch_fast([text.lower() if bare else text], add_special_tokens=False)[0]
         ids = np.array(x.ids, "<u4")
         joined, cuts = ids.tobytes(), np.flatnonzero(ids == mark[0])
         if len(cuts) != len(block) - 1:

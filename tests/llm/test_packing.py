@@ -79,6 +79,13 @@ def test_marks_and_odd_words_are_encoded_alone():
     assert [np.frombuffer(x, "<u4").tolist() for x in K.encoded(plain, path)] == [o for o, x in zip(one, words, strict=True) if K.MARK not in x]
 
 
+def test_bare_words_have_the_same_ids():
+    path = P.path(K.VOCABULARY)
+    words = [f"x{chr(c)}{chr(c)}Y" for c in range(33, 256)] + [chr(c) for c in range(33, 256)]
+    got = [np.frombuffer(x, "<u4").tolist() for x in K.encoded(words, path)]
+    assert got == [K.tokenizer(path).encode(x, add_special_tokens=False).ids for x in words]
+
+
 def test_words_made_of_others_have_the_same_ids():
     path = P.path(K.VOCABULARY)
     tokenizer = K.tokenizer(path)

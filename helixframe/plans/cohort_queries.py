@@ -135,7 +135,19 @@ THIN = f"WITH {SQL_CANDIDATES}, n AS (SELECT locus, id, row_number() OVER (PARTI
 
 
 def legacy_selection(spark, sf_dir):
-    return selection.legacy_decisions(_candidates(spark, sf_dir), 100.0, 31, 50, 200, 6)
+    """0 stands for no limit and no thinning."""
+    return selection.legacy_decisions(_candidates(spark, sf_dir), 100.0, 31, 50, 200, 6).na.fill(0)
+
+
+_DEEP, _LARGE = "total / 100.0 > 200", "total // 1000000 > 6"
+LEGACY = f"""WITH RECURSIVE {SQL_CANDIDATES}, a AS (SELECT locus, sum(bases)::BIGINT AS total FROM c GROUP BY locus),
+h AS (SELECT locus, k, coalesce(sum(bases) FILTER (max_exact >= k), 0)::BIGINT AS longer FROM c, (SELECT unnest(range(31, 71)) AS k) GROUP BY ALL),
+w AS (SELECT locus, 31::BIGINT AS k, total, FALSE AS stop FROM a UNION ALL
+SELECT w.locus, CASE WHEN longer / 100.0 < 50 THEN w.k ELSE h.k END, CASE WHEN longer / 100.0 < 50 THEN total ELSE longer END, longer / 100.0 < 50
+FROM w JOIN h ON h.locus = w.locus AND h.k = w.k + CASE WHEN total / 100.0 > 1600 OR total // 1000000 > 36 THEN 6 ELSE 2 END WHERE NOT stop AND w.k < 64 AND ({_DEEP} OR {_LARGE})),
+z AS (SELECT locus, max(k) AS k, arg_max(total, k) AS total FROM w GROUP BY locus)
+SELECT locus, CASE WHEN z.k > 31 OR z.{_LARGE} THEN z.k ELSE 0 END AS minimum_exact, CASE WHEN z.{_LARGE} THEN greatest(trunc(z.total / 6e6), 2)::BIGINT ELSE 0 END AS thinning_interval,
+CASE WHEN z.k > 31 OR z.{_LARGE} THEN z.total ELSE a.total END AS total_bases FROM z JOIN a USING (locus)"""
 
 
 _BASES = {"view": "A", "click": "C", "purchase": "G", "signup": "T", "error": "-"}
@@ -304,7 +316,7 @@ QUERIES = {
     "covered_bins": (covered_bins, BINS),
     "select_auto_budget": (select_auto_budget, AUTO),
     "thin_every_n": (thin_every_n, THIN),
-    "legacy_selection": (legacy_selection, None),
+    "legacy_selection": (legacy_selection, LEGACY),
     "threshold_consensus": (threshold_consensus, CONSENSUS),
     "one_site_per_locus": (one_site_per_locus, ONE_SITE),
     "genotype_site_filter": (genotype_site_filter, SITE_FILTER),

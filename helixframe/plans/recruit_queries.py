@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from helixframe.functions import sequences as Q
 from helixframe.operators import evidence, recruit
-from helixframe.plans.fixtures import FRAGMENTS, LOCI, PAIRS, dna, fragments, load, loci, pairs, rc, sql_windows
+from helixframe.plans.fixtures import FRAGMENTS, LOCI, PAIRS, fragments, load, loci, pairs, rc, sql_windows
 
 K = 31
 

@@ -42,7 +42,7 @@ def consensus(stacks: DataFrame, keys: list[str], seq: str) -> DataFrame:
 
 def catalog_matches(arms: DataFrame, catalog: DataFrame, k: int = 15, size: int = 16) -> DataFrame:
     """id, locus of arms (id, r1, r2) with one catalog locus (locus, r1, r2) that shares SHARED_SEEDS sketch values on
-    either arm and lies within MOST_EDITS on both; arms near several loci equally have none."""
+    each arm and lies within MOST_EDITS on both; arms near several loci equally have none."""
     both = None
     for arm in ("r1", "r2"):
         left = arms.select("id", F.explode(bottom_sketch(arm, k, size)).alias("v"))

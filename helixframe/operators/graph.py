@@ -2,11 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixframe.operators.tables import stored
 
+#: Rows of a key that meet in one task; the rows of larger keys are dealt over several.
+DEALT = 256
+#: Sketch values that are broadcast with their counts: the most frequent ones, from LEAST_RANKED rows on.
+MOST_RANKED, LEAST_RANKED = 2_000_000, 2
+#: Ids that are broadcast at most; more are joined by a shuffle.
+MOST_BROADCAST = 1_000_000
+#: Against rounding where a product of sizes and `least` is a whole number.
+SLACK = 1e-9
+#: Sketches that are worked on at once.
+ROWS = 256
+#: Bits of the bitmaps that bound the similarity of two sketches.
+BITS = 1024
+
 
 def sketch_pairs(sketches: DataFrame, id_: str, sketch: str, least: float, most_postings: int = 128) -> DataFrame:
     """a, b, jaccard of pairs that share a sketch value which at most most_postings rows have, with `least` similarity.
@@ -32,6 +49,130 @@ def sketch_pairs(sketches: DataFrame, id_: str, sketch: str, least: float, most_
     return both.select("a", "b", F.when(union > 0, shared / union).otherwise(0.0).alias("jaccard")).where(F.col("jaccard") >= least)
 
 
+def _ranked(sketches: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent sketch values (sorted) and their counts, MOST_RANKED at most."""
+    counts = stored(sketches.select(F.explode("s").alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_RANKED))
+    bound, total = LEAST_RANKED, 0
+    for n, values in sorted(counts.groupBy("n").count().collect(), reverse=True):
+        total += values
+        if total > MOST_RANKED:
+            bound = n + 1
+            break
+    found = counts.where(F.col("n") >= bound).toArrow()
+    v, n = (found.column(c).to_numpy() for c in ("v", "n"))
+    order = np.argsort(v)
+    return v[order], n[order]
+
+
+def _prefixes(sketches: DataFrame, least: float) -> DataFrame:
+    """id, n, v, pos: the first n - ceil(least * n) + 1 of the n values of each sketch, rare ones first.
+
+    The order is the same for all rows, so two sketches with `least` similarity share one of these.  It does not
+    matter to the result which order it is: counts are known of the most frequent values alone.
+    """
+    known = sketches.sparkSession.sparkContext.broadcast(_ranked(sketches))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        values, counts = known.value
+        for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
+            sizes = batch.column(1).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            v = batch.column(1).flatten().to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            at = np.minimum(np.searchsorted(values, v), max(len(values) - 1, 0))
+            count = np.where(values[at] == v, counts[at], 0) if len(values) else np.zeros(len(v), np.int64)
+            order = np.lexsort((v, count, row))
+            pos, n = np.arange(len(v)) - np.repeat(np.cumsum(sizes) - sizes, sizes), sizes[row]
+            keep = pos < n - np.ceil(least * n - SLACK) + 1
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[keep])), pa.array(n[keep]), pa.array(v[order][keep]), pa.array(pos[keep])], names=["id", "n", "v", "pos"])
+
+    return sketches.select("id", "s").mapInArrow(run, f"id {dict(sketches.dtypes)['id']}, n bigint, v bigint, pos bigint")
+
+
+def _bitmaps(sketches: DataFrame) -> DataFrame:
+    """id, n, bits: BITS bits as longs; each value of a sketch sets one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
+            sizes = batch.column(1).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            v = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.uint64)
+            there = np.zeros((len(sizes), BITS), bool)
+            there[np.repeat(np.arange(len(sizes)), sizes), (v * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40) & np.uint64(BITS - 1)] = True
+            bits = np.packbits(there, axis=1).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array(list(bits), pa.list_(pa.int64()))], names=["id", "n", "bits"])
+
+    return sketches.select("id", "s").mapInArrow(run, f"id {dict(sketches.dtypes)['id']}, n bigint, bits array<bigint>")
+
+
+def _parts(n: str) -> Column:
+    return F.ceil(F.col(n) / DEALT)
+
+
+def _each(parts: str) -> Column:
+    return F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(parts) - 1))
+
+
+def _part(id_: str, parts: str) -> Column:
+    return F.pmod(F.xxhash64(id_), F.col(parts))
+
+
+def _near_groups(sketches: DataFrame, id_: str, sketch: str, least: float) -> tuple[DataFrame, DataFrame]:
+    """(members, near): rep, id, parts of the rows with a sketch, rep being the least id with an equal one; and
+    a, b, jaccard of the reps whose sketches have `least` similarity."""
+    own = sketches.select(F.col(id_).alias("id"), F.array_sort(F.array_distinct(sketch)).alias("s")).where(F.size("s") > 0)
+    own = stored(own.withColumn("digest", F.sha2(F.array_join(F.col("s").cast("array<string>"), ","), 256)))
+    groups = own.groupBy("digest").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("size"))
+    members = stored(own.select("digest", "id").join(groups, "digest").select("rep", "id", _parts("size").alias("parts")))
+    postings = stored(_prefixes(own, least).join(members.where("id = rep").select("id"), "id", "left_semi"))
+    shared = postings.groupBy("v").agg(F.count(F.lit(1)).alias("f")).where("f > 1").select("v", _parts("f").alias("parts"))
+    dealt = postings.join(shared, "v")
+    # The smaller sketch of a pair, x, needs a shorter prefix, as the overlap is 2 * least / (1 + least) of it at least.
+    x = dealt.where(F.col("pos") < F.col("n") - F.ceil(2 * least / (1 + least) * F.col("n") - SLACK) + 1)
+    x = x.select("v", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("pos").alias("px"), _part("id", "parts").alias("part"))
+    y = dealt.select("v", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("pos").alias("py"), _each("parts").alias("part"))
+    ordered = (F.col("nx") < F.col("ny")) | (F.col("nx") == F.col("ny")) & (F.col("x") < F.col("y"))
+    # At the first value that two sketches share, what comes after it in both is all that they can share besides.
+    enough = F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py")) >= least / (1 + least) * (F.col("nx") + F.col("ny")) - SLACK
+    pairs = x.join(y, ["v", "part"]).where(ordered & enough & (F.col("nx") >= F.col("ny") * least - SLACK)).select("x", "y").distinct()
+    # Two sketches differ by as many values at least as their bitmaps differ by bits.
+    bits = stored(_bitmaps(own))
+    map_ = lambda name: bits.select(F.col("id").alias(name), F.col("n").alias(f"n{name}"), F.col("bits").alias(f"b{name}"))
+    differ = sum((F.bit_count(F.col("bx")[i].bitwiseXOR(F.col("by")[i])) for i in range(BITS // 64)), F.lit(0))
+    sizes = F.col("nx") + F.col("ny")
+    pairs = stored(pairs.join(map_("x"), "x").join(map_("y"), "y").where((sizes - differ) / 2 >= least / (1 + least) * sizes - SLACK).select("x", "y"))
+    needed = stored(pairs.select(F.col("x").alias("id")).union(pairs.select("y")).distinct())
+    mine = own.select("id", "s").join(F.broadcast(needed) if needed.count() <= MOST_BROADCAST else needed, "id", "left_semi")
+    side = lambda name: mine.select(F.col("id").alias(name), F.col("s").alias(f"s{name}"))
+    common = F.size(F.array_intersect("sx", "sy"))
+    both = pairs.join(side("x"), "x").join(side("y"), "y").select("x", "y", (common / (F.size("sx") + F.size("sy") - common)).alias("jaccard"))
+    return members, stored(both.where(F.col("jaccard") >= least).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "jaccard"))
+
+
+def similar_pairs(sketches: DataFrame, id_: str, sketch: str, least: float) -> DataFrame:
+    """a, b, jaccard of all pairs of rows whose sketches (bigints) have `least` similarity, however many rows share a value.
+
+    Rows with equal sketches are compared once, by their least id; pairs of different sketches are found by an exact
+    prefix filter.  Empty sketches are like none.
+    """
+    members, near = _near_groups(sketches, id_, sketch, least)
+    each = members.select("rep", F.col("id").alias("b"), _each("parts").alias("part"))
+    dealt = members.withColumn("part", _part("id", "parts"))
+    equal = dealt.select("rep", F.col("id").alias("a"), "part").join(each, ["rep", "part"]).where("a < b").select("a", "b", F.lit(1.0).alias("jaccard"))
+    parts = members.where("id = rep").select("rep", "parts")
+
+    def with_members(rows: DataFrame, rep: str, out: str) -> DataFrame:
+        rows = rows.withColumnRenamed(rep, "rep").join(parts, "rep").withColumn("part", _each("parts")).drop("parts")
+        return rows.join(dealt.select("rep", F.col("id").alias(out), "part"), ["rep", "part"]).drop("rep", "part")
+
+    other = with_members(with_members(near, "a", "x"), "b", "y")
+    return equal.unionByName(other.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "jaccard"))
+
+
+def similarity_edges(sketches: DataFrame, id_: str, sketch: str, least: float) -> DataFrame:
+    """a, b: fewer edges than similar_pairs has pairs, with the same components; equal sketches make a star."""
+    members, near = _near_groups(sketches, id_, sketch, least)
+    return near.select("a", "b").unionByName(members.where("rep < id").select(F.col("rep").alias("a"), F.col("id").alias("b")))
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """node, component (the least node reached) of edges (a, b).
 

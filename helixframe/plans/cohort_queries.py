@@ -13,7 +13,7 @@ LENGTH = 150.0
 
 def near_duplicate_pairs(spark, sf_dir):
     sketches = evidence.minimizer_sketches(fragments(spark, sf_dir), "frag", "seq", 15, 10)
-    return graph.sketch_pairs(sketches, "frag", "sketch", 0.8).withColumn("jaccard", F.round("jaccard", 9))
+    return graph.similar_pairs(sketches, "frag", "sketch", 0.8).withColumn("jaccard", F.round("jaccard", 9))
 
 
 PAIRS = f"""WITH RECURSIVE {FRAGMENTS}, {sql_windows('w', 'fragments', 'frag', 'seq', 15)},
@@ -29,7 +29,7 @@ NEAR_PAIRS = f"{PAIRS} SELECT a, b, round(jaccard, 9) AS jaccard FROM pairs"
 
 def similarity_components(spark, sf_dir):
     sketches = evidence.minimizer_sketches(fragments(spark, sf_dir), "frag", "seq", 15, 10)
-    return graph.connected_components(graph.sketch_pairs(sketches, "frag", "sketch", 0.8))
+    return graph.connected_components(graph.similarity_edges(sketches, "frag", "sketch", 0.8))
 
 
 COMPONENTS = f"""{PAIRS}, arcs AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs),

@@ -173,6 +173,22 @@ def test_sketch_pairs_against_brute_force(spark):
         assert {(x["a"], x["b"]) for x in graph.sketch_pairs(df, "id", "s", 0.3, cap).collect()} == want
 
 
+def test_similar_pairs_of_a_group_beyond_any_cap(spark):
+    r = random.Random(8)
+    base = r.sample(range(10**6), 30)
+    sets = {i: set(base) for i in range(140)} | {i: set(base[:29]) | {10**6 + i} for i in range(140, 290)} | {290: set(), 291: set(), 292: {5}}
+    sets |= {i: {r.randint(0, 14) + 100 * (i % 3) for _ in range(12)} for i in range(300, 400)}
+    df = spark.createDataFrame([(i, sorted(s)) for i, s in sets.items()], "id bigint, s array<bigint>")
+    for least in (0.5, 0.8, 1.0):
+        want = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b and sets[a] and len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b])}
+        found = graph.similar_pairs(df, "id", "s", least).collect()
+        assert len(found) == len(want) and {(x["a"], x["b"]): x["jaccard"] for x in found} == want
+        part = graph.connected_components(graph.similarity_edges(df, "id", "s", least))
+        whole = graph.connected_components(spark.createDataFrame(list(want), "a bigint, b bigint"))
+        assert sorted(map(tuple, part.collect())) == sorted(map(tuple, whole.collect()))
+    assert graph.similar_pairs(df.limit(0), "id", "s", 0.8).collect() == []
+
+
 def test_transitions_and_mate_links(spark):
     df = spark.createDataFrame([(1, 1, "a"), (1, 2, None), (1, 3, "b"), (1, 4, "b"), (1, 5, "a")], "read int, o int, g string")
     assert [tuple(r) for r in graph.transitions(df, "read", "o", "g").collect()] == [("a", "b", 2)]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from helixframe.functions.sequences import dna_of_text
+from helixframe.functions.sequences import dna_of_text, reverse_complement
 from helixframe.operators import alignment, assembly, cohort, evidence, recruit, repeats
 from helixframe.plans.fixtures import FRAGMENTS, LOCI, dna, fragments, load, loci, rc, sql_windows
 
@@ -30,11 +30,13 @@ SELECT frag, locus, strand::INT AS strand, query_start::INT AS query_start, refe
 
 
 def local_alignment(spark, sf_dir):
-    """Reads cut around their exact match, aligned to the whole locus."""
-    match = longest_exact_match(spark, sf_dir).where("strand = 1")
+    """Reads cut around their exact match, aligned to the whole locus; on strand 2 the cut's reverse complement is."""
+    match = longest_exact_match(spark, sf_dir)
     both = match.join(fragments(spark, sf_dir), "frag").join(loci(spark, sf_dir).withColumnRenamed("seq", "ref"), "locus")
     cut = F.substring(F.col("seq"), F.greatest(F.col("query_start") - F.col("reference_start") - 20, F.lit(0)) + 1, F.length("ref") + 40)
-    return alignment.align_pairs(both.select("frag", "locus", cut.alias("read"), "ref"), ["frag", "locus"], "read", "ref")
+    # On strand 2 both starts of the match are those on the text and on the locus' reverse complement.
+    read = F.when(F.col("strand") == 1, cut).otherwise(reverse_complement(cut))
+    return alignment.align_pairs(both.select("frag", "locus", "strand", read.alias("read"), "ref"), ["frag", "locus", "strand"], "read", "ref")
 
 
 def _reads(spark, sf_dir):

@@ -40,12 +40,10 @@ def local_alignment(spark, sf_dir):
 
 
 def _reads(spark, sf_dir):
-    """Recruited texts cut into reads of 120 bases, every 40, near their match."""
-    match = longest_exact_match(spark, sf_dir).join(fragments(spark, sf_dir), "frag")
-    begin = F.greatest(F.col("query_start") - 200, F.lit(0))
-    starts = F.explode(F.sequence(F.lit(0), F.lit(480), F.lit(40)))
-    cut = match.select("locus", "frag", begin.alias("begin"), "seq", starts.alias("at"))
-    return cut.select("locus", "frag", F.substring(F.col("seq"), F.col("begin") + F.col("at") + 1, F.lit(120)).alias("seq")).where(F.length("seq") == 120)
+    """Recruited texts cut into reads of 120 bases, every 40, over their whole length; the last ones are shorter, K at least."""
+    match = longest_exact_match(spark, sf_dir).select("locus", "frag").join(fragments(spark, sf_dir), "frag")
+    at = F.explode(F.sequence(F.lit(0), F.length("seq") - K, F.lit(40)))
+    return match.select("locus", "frag", "seq", at.alias("at")).select("locus", "frag", F.substring(F.col("seq"), F.col("at") + 1, F.lit(120)).alias("seq"))
 
 
 def backbone_contig(spark, sf_dir):

@@ -54,11 +54,34 @@ MARKS = frozenset(
 
 NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+#: One attribute up to a quoted value's first quote (group 2), or the end of the tag (group 1).
+ONE_ATTRIBUTE = re.compile(r"""[\s/]*(?:(>)|=?[^\s/>=]*(?:\s*=\s*(?:(["'])|[^\s>"'][^\s>]*)?)?)""")
 PARTS = re.compile(r"[a-z]+|[0-9]+")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 TEXT_BREAK = re.compile(r"<(?=[a-zA-Z/!?])")
 
 
+def tag_end(page: str, at: int, last_quote: dict[str, int]) -> int:
+    """Where the > is that ends the tag whose name ends at `at`, or -1; one inside a quoted value doesn't end it.
+
+    A quote that nothing closes opens no value.
+    """
+    end = page.find(">", at)
+    if end < 0 or page.find('"', at, end) < 0 and page.find("'", at, end) < 0:
+        return end
+    while True:
+        m = ONE_ATTRIBUTE.match(page, at)
+        if m[1]:
+            return m.end() - 1
+        if m.end() == at:
+            return -1
+        at = m.end()
+        if m[2]:
+            if last_quote[m[2]] < at:
+                return page.find(">", at)
+            at = page.find(m[2], at) + 1
+
+
 def tokens(page: str) -> Iterator[tuple[str, str, str]]:
     """(kind, name, rest) of what a page consists of: text, start, end; a tag cut off by the end is dropped."""
     at, size, last_quote = 0, len(page), {q: page.rfind(q) for q in "\"'"}
@@ -80,15 +103,10 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
             continue
         closing = page[at] == "/"
         name = NAME.match(page, at + closing)
-        end = at = name.end()
-        while True:  # a > inside a quoted value doesn't end the tag
-            end = page.find(">", end)
-            if end < 0:
-                return
-            opened = re.search(r"=\s*([\"'])(?:[^\"']*)$", page[at:end]) if end - at < 4096 and ('"' in page[at:end] or "'" in page[at:end]) else None
-            if not opened or last_quote[opened[1]] <= end:
-                break
-            end = page.find(opened[1], end)
+        at = name.end()
+        end = tag_end(page, at, last_quote)
+        if end < 0:
+            return
         tag, rest = name.group().lower(), page[at:end]
         at = end + 1
         yield ("end" if closing else "start"), tag, rest

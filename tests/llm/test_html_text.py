@@ -26,6 +26,15 @@ def test_broken_pages():
     assert text('<p title="1>0">x</p>') == "x"
 
 
+def test_quoted_values_of_any_length_and_with_the_other_quote():
+    for n in (10, 4_000, 5_000, 100_000):
+        assert text(f'<p data-x="{"y" * n} > tail">text</p>') == "text"
+        assert text(f"<p data-x='{'y > ' * n}' title = \"it's > 3\" id=a>text</p>") == "text"
+    assert text('<p title="it\'s > 3">a</p><p title=\'say "x > y"\'>b</p><p title=it\'s>c</p>') == "a\n\nb\n\nc"
+    assert text('<a href="x>y</a>') == "y" and text("<p a=>x</p><p =b/c=d / >y</p>") == "x\n\ny"
+    assert text("<a " + "b='c' d " * 50_000) == "" and text("<a b='c' " + " " * 200_000 + "=" * 200_000) == ""
+
+
 def test_long_page_takes_linear_time():
     assert len(text("<article>" + "<p>word word" * 60_000)) > 600_000
     text('<a b="' * 20_000)

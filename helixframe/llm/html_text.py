@@ -29,8 +29,9 @@ from pyspark.sql import functions as F
 
 from helixframe.llm.common import in_small_batches, join_groups, table, written
 
-#: A subtree is a template from so many different pages of its host on, and from this share of them on.
-LEAST_PAGES, LEAST_SHARE = 5, 0.2
+#: A subtree is a template from so many different pages of its host on, and from the square root of their number on:
+#: a fifth of 25 pages, a thousandth of a million.
+LEAST_PAGES = 5
 #: Rows of a batch that are parsed at once.
 ROWS = 256
 
@@ -252,7 +253,7 @@ def templates(found: DataFrame) -> DataFrame:
     sizes = sited.select("host", "digest").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
     trees = sited.select("host", "digest", F.explode(F.array_distinct(F.flatten(F.col("blocks.trees")))).alias("tree"))
     counts = trees.distinct().groupBy("host", "tree").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_PAGES)
-    many = counts.join(sizes, "host").where(F.col("n") >= F.greatest(F.lit(LEAST_PAGES), F.col("pages") * LEAST_SHARE))
+    many = counts.join(sizes, "host").where(F.col("n") >= F.greatest(F.lit(LEAST_PAGES), F.sqrt("pages")))
     return many.groupBy("tree").agg(F.max("n").alias("n"))
 
 

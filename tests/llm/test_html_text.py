@@ -54,6 +54,15 @@ def test_recurring_subtrees_of_a_host_are_removed(spark):
     assert len(got) == len(pages)
 
 
+def test_boxes_of_a_large_host_are_removed(spark):
+    # Each section's box is on a twentieth of 3,000 pages; a sentence of the text that 20 pages share stays.
+    box = lambda i: f"<div class=box>Read more in section {i % 20}</div>"
+    shared = lambda i: "<p>As said before.</p>" if i < 20 else ""
+    pages = [("large.example", f"<div><p>Text {i} of its own</p>{shared(i)}</div>{box(i)}") for i in range(3000)]
+    got = {r["page_id"]: r["text"] for r in H.main_text(site(spark, pages)).collect()}
+    assert got == {i: f"Text {i} of its own" + ("\n\nAs said before." if i < 20 else "") for i in range(3000)}
+
+
 def test_odd_rows(spark):
     df = spark.createDataFrame([(1, None, None, 1), (1, None, "<p>a", 2), (2, "x", "", 3), (2, "x", "", 3), (None, "http://h/", "<p>b", 4)], "page_id bigint, url string, html string, row int")
     assert sorted(r["text"] for r in H.main_text(df).collect()) == ["", "", "", "a", "b"]

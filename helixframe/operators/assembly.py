@@ -11,6 +11,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from helixframe.operators.alignment import reverse_complement
 
@@ -325,20 +326,23 @@ def em_abundance(signatures: list[tuple[tuple[int, ...], int]], n: int, rounds:
 
 
 def abundance(hits: DataFrame, group: str, fragment: str, variant: str) -> DataFrame:
-    """group, variant, fragments, diagnostic (of it alone), abundance."""
+    """group, variant, fragments, diagnostic (of it alone), abundance.
+
+    Fragments are counted by their set of variants first; a group's rounds run in one task over its different sets.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        names = sorted(pdf[variant].unique())
+        names = sorted({v for s in pdf["variants"] for v in s})
         number = {v: i for i, v in enumerate(names)}
-        sets = pdf.groupby(fragment)[variant].agg(lambda v: tuple(sorted(number[x] for x in set(v))))
-        signatures = sorted(Counter(sets).items())
+        signatures = sorted((tuple(number[v] for v in s), n) for s, n in zip(pdf["variants"], pdf["n"], strict=True))
         share = em_abundance(signatures, len(names))
         fragments = [sum(c for s, c in signatures if i in s) for i in range(len(names))]
         alone = [sum(c for s, c in signatures if s == (i,)) for i in range(len(names))]
         return pd.DataFrame({group: pdf[group].iloc[0], variant: names, "fragments": fragments, "diagnostic": alone, "abundance": share})
 
     kinds = dict(hits.dtypes)
-    return hits.select(group, fragment, variant).groupBy(group).applyInPandas(run, f"`{group}` {kinds[group]}, `{variant}` {kinds[variant]}, fragments bigint, diagnostic bigint, abundance double")
+    sets = hits.groupBy(group, fragment).agg(F.array_sort(F.collect_set(variant)).alias("variants"))
+    return sets.groupBy(group, "variants").agg(F.count(F.lit(1)).alias("n")).groupBy(group).applyInPandas(run, f"`{group}` {kinds[group]}, `{variant}` {kinds[variant]}, fragments bigint, diagnostic bigint, abundance double")
 
 
 def resolve_path(nodes: dict[int, tuple[int, int, int]], edges: dict[tuple[int, int], int]) -> list[int]:

@@ -50,33 +50,39 @@ def backbone_contig(spark, sf_dir):
     return assembly.assemble(_reads(spark, sf_dir), loci(spark, sf_dir), K, 0).drop("contig")
 
 
+def _words(spark, sf_dir):
+    """locus, word: the different k-mers of each locus' reference and reads, and a row without a word for each locus."""
+    rows = _reads(spark, sf_dir).select("locus", "seq").unionByName(loci(spark, sf_dir))
+    at = F.explode(F.sequence(F.lit(1), F.length("seq") - (K - 1)))
+    words = rows.where(F.length("seq") >= K).select("locus", "seq", at.alias("at")).select("locus", F.substring(F.col("seq"), F.col("at"), F.lit(K)).alias("word"))
+    return words.distinct().unionByName(loci(spark, sf_dir).select("locus", F.lit(None).cast("string").alias("word")))
+
+
 def unitigs(spark, sf_dir):
     """Unitigs of each locus' reference and reads: number, bases, edges."""
 
     def run(pdf):
         import pandas as pd
 
-        words = {w for s in pdf["seq"] for w in assembly.windows(s, K)}
+        words = set(pdf["word"].dropna())
         paths, edges = assembly.unitigs(words, K)
         return pd.DataFrame({"locus": pdf["locus"].iloc[:1], "unitigs": [len(paths)], "bases": [sum(map(len, paths))], "edges": [len(edges)], "kmers": [len(words)]})
 
-    rows = _reads(spark, sf_dir).select("locus", "seq").unionByName(loci(spark, sf_dir))
-    return rows.groupBy("locus").applyInPandas(run, "locus bigint, unitigs bigint, bases bigint, edges bigint, kmers bigint")
+    return _words(spark, sf_dir).groupBy("locus").applyInPandas(run, "locus bigint, unitigs bigint, bases bigint, edges bigint, kmers bigint")
 
 
 def bubble_qc(spark, sf_dir):
     def run(pdf):
         import pandas as pd
 
-        words = {w for s in pdf["seq"] for w in assembly.windows(s, K)}
+        words = set(pdf["word"].dropna())
         paths, edges = assembly.unitigs(words, K)
         nodes = {i: (1, 1, len(p)) for i, p in enumerate(paths)}
         path = assembly.resolve_path(nodes, {e: 1 for e in edges})
         found = assembly.bubbles(edges, path)
         return pd.DataFrame([(pdf["locus"].iloc[0], *x) for x in found], columns=["locus", "entry", "exit", "status", "alternative_nodes"])
 
-    rows = _reads(spark, sf_dir).select("locus", "seq").unionByName(loci(spark, sf_dir))
-    return rows.groupBy("locus").applyInPandas(run, "locus bigint, entry bigint, exit bigint, status string, alternative_nodes bigint")
+    return _words(spark, sf_dir).groupBy("locus").applyInPandas(run, "locus bigint, entry bigint, exit bigint, status string, alternative_nodes bigint")
 
 
 def extend_fragments(spark, sf_dir):

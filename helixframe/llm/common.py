@@ -34,9 +34,11 @@ def in_small_batches(df: DataFrame) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is configured."""
+    """The folder that driver and executors share; a temporary one only in local mode and where none is configured."""
     there = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not there:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         there = f"file://{tempfile.mkdtemp(prefix='helixframe-')}"
         spark.sparkContext.setCheckpointDir(there)
     return there
@@ -82,13 +84,34 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total:
     return hot.unionByName(cold)
 
 
-def without_ids(documents: DataFrame, marked: DataFrame, kept: str) -> DataFrame:
-    """The rows of documents, all columns, without those whose doc_id marked (doc_id, and the boolean `kept`) never keeps.
+def digest(text: Column) -> Column:
+    """SHA-256 of the text as it is, null as empty."""
+    return F.sha2(F.coalesce(text, F.lit("")), 256)
 
-    What goes is counted: up to MOST_BROADCAST_IDS ids are broadcast, so that no text is shuffled.  Rows without a
-    doc_id stay.
+
+def only_kept(documents: DataFrame, marked: DataFrame) -> DataFrame:
+    """The rows of documents, all columns, that marked (doc_id, text_sha256, kept for each row) keeps.
+
+    Of kept rows with one doc_id and one text a single one stays, whatever their other columns.  As a rule ids are
+    distinct and go as ids: up to MOST_BROADCAST_IDS are broadcast, so that no text is shuffled.  Ids that some rows
+    keep and others don't, and rows without an id, are told apart by their text's digest.
     """
-    removed = marked.groupBy("doc_id").agg(F.max(kept).alias("stays")).where(~F.col("stays") & F.col("doc_id").isNotNull())
-    removed = written(removed.select(F.col("doc_id").alias("__removed")), "removed")
-    small = removed.limit(MOST_BROADCAST_IDS + 1).count() <= MOST_BROADCAST_IDS
-    return documents.join(F.broadcast(removed) if small else removed, documents["doc_id"] == removed["__removed"], "left_anti")
+    rows = marked.groupBy("doc_id", "text_sha256").agg(F.max("kept").alias("stays"), F.count(F.lit(1)).alias("n"))
+    by_id = rows.groupBy("doc_id").agg(F.max("stays").alias("any"), F.min("stays").alias("all"), F.max("n").alias("n"))
+    ids = written(by_id.where(F.col("doc_id").isNull() | ~F.col("all") | (F.col("n") > 1)), "ids")
+    gone = ids.where(F.col("doc_id").isNotNull() & ~F.col("any")).select(F.col("doc_id").alias("__gone"))
+    found = documents.join(_small(gone), documents["doc_id"] == F.col("__gone"), "left_anti")
+    mixed = ids.where(F.col("doc_id").isNull() | F.col("any")).select(F.col("doc_id").alias("__id"))
+    if mixed.isEmpty():
+        return found
+    pairs = written(marked.where("kept").join(mixed, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).distinct(), "kept-pairs")
+    is_mixed = documents["doc_id"].eqNullSafe(F.col("__id"))
+    rest = found.join(_small(mixed), is_mixed, "left_anti")
+    told = found.withColumn("__text", digest(documents["text"]))
+    told = told.join(_small(pairs, MOST_BROADCAST_IDS // 8), is_mixed & (F.col("__text") == F.col("__sha")), "left_semi")
+    return rest.unionByName(told.dropDuplicates(["doc_id", "__text"]).drop("__text"))
+
+
+def _small(keys: DataFrame, most: int = MOST_BROADCAST_IDS) -> DataFrame:
+    """keys, to be broadcast if they are few enough."""
+    return F.broadcast(keys) if keys.count() <= most else keys

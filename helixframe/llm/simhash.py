@@ -16,8 +16,9 @@ nothing here.  Links are closed to components by alternating star contraction, w
 after each round.
 
 Defined results: a null text counts as empty; a text without words has fingerprint zero, which links like
-any other; fewer than four words make one shingle; rows that repeat a doc_id each come out; an empty table
-gives an empty result; other columns are ignored, whatever their names.
+any other; fewer than four words make one shingle; a long text's bits are counted in parts, all of it; a bit that half
+the hashes have is 0; rows that repeat a doc_id each come out, linked by their own texts alone; an empty table gives an
+empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import in_small_batches, join_groups, table, without_ids, written
+from helixframe.llm.common import digest, in_small_batches, join_groups, only_kept, table, written
 
 SHINGLE_WORDS = 4
 SEED = 42
@@ -67,13 +68,14 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in batches:
         texts = batch.column(1).cast(pa.binary())
         found = pa.array([fingerprint(x.as_py() or b"") for x in texts], pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column(0), found], names=["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), found, *batch.columns[2:]], names=["doc_id", "fp", *batch.schema.names[2:]])
 
 
-def fingerprints(documents: DataFrame) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long) for each row."""
-    rows = in_small_batches(documents).select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
-    return rows.mapInArrow(_fingerprints, "doc_id bigint, fp bigint")
+def fingerprints(documents: DataFrame, text_sha256: Column | None = None) -> DataFrame:
+    """doc_id, fp (the 64 bits as a signed long) for each row; with text_sha256, that column too."""
+    more = [] if text_sha256 is None else [text_sha256.alias("text_sha256")]
+    rows = in_small_batches(documents).select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"), *more)
+    return rows.mapInArrow(_fingerprints, "doc_id bigint, fp bigint" + (", text_sha256 string" if more else ""))
 
 
 def embedding(fp: Column) -> Column:
@@ -145,16 +147,29 @@ def components(edges: DataFrame) -> DataFrame:
 
 def groups(documents: DataFrame) -> DataFrame:
     """doc_id, fp, component_id for each row of documents."""
-    rows = written(fingerprints(documents), "fingerprints")
-    copies = written(rows.groupBy("fp").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("n")), "distinct-fingerprints")
-    reached = written(components(links(copies.select("node", "fp"))), "components")
-    copies = written(copies.join(reached, "node", "left").select("fp", "n", F.coalesce("component", "node").alias("component_id")), "fingerprint-components")
-    return join_groups(rows, copies, "fp", "n", rows.count()).drop("n")
+    return _grouped(fingerprints(documents)).drop("root")
+
+
+def _grouped(prints: DataFrame) -> DataFrame:
+    """prints (doc_id, fp and maybe more) with component_id and root, the component's smallest fingerprint."""
+    rows = written(prints, "fingerprints")
+    copies = written(rows.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n")), "distinct-fingerprints")
+    reached = written(components(links(copies.select(F.col("fp").alias("node"), "fp"))), "components")
+    linked = reached.select(F.col("node").alias("fp"), F.col("component").alias("root"))
+    copies = written(copies.join(linked, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "fingerprint-roots")
+    # A component may hold a third of all fingerprints: the join back deals such a one over tasks.
+    sizes = copies.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("size"))
+    found = join_groups(copies.drop("doc_id"), written(sizes, "component-ids"), "root", "size", copies.count()).drop("size")
+    return join_groups(rows, written(found, "fingerprint-components"), "fp", "n", rows.count()).drop("n")
 
 
 def deduplicated(documents: DataFrame) -> DataFrame:
-    """One row of each component, that with the smallest doc_id, with all its columns."""
-    return without_ids(documents, groups(documents).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))), "kept")
+    """One row of each component, that with the smallest doc_id and of such rows the smallest digest, with all its columns."""
+    found = written(_grouped(fingerprints(documents, digest(F.col("text")))), "near-groups")
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_sha256")
+    first = written(found.groupBy("root").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("size")), "component-firsts")
+    marked = join_groups(found, first, "root", "size", found.count())
+    return only_kept(documents, marked.select("doc_id", "text_sha256", rank.eqNullSafe(F.col("first")).alias("kept")))
 
 
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,11 +5,12 @@ Fingerprints are embedded as the bit counts of their 32 two-bit segments.  The M
 embeddings never exceeds the Hamming distance of the fingerprints, so fingerprints within MAX_BITS differing
 bits lie within Manhattan distance MAX_BITS.
 
-Range join on a grid: the segments form three blocks.  A distance of at most 4 over three blocks means at
-most 1 in the first, or at most 1 in the second, or 0 in the third (else it is 2 + 2 + 1 or more).  A cell
-of the grid is one block's counts; each fingerprint stands in its own three cells and looks into these and
-those within the block's radius.  The join condition drops pairs over the Manhattan bound, then those over
-the exact Hamming distance, so that the join's rows are links alone.
+Range join on a grid: the segments form `n` blocks.  A distance of at most 4 touches four blocks at most, so that
+embeddings within it are equal in n - 4 blocks.  A cell of the grid is the counts of n - 4 of the blocks; each
+fingerprint stands in a cell for each choice of them, and pairs within the distance share a cell whichever n is.
+With seven blocks a cell has three, of some 20 bits; more fingerprints get more blocks, whose cells are finer
+(blocks_for), so that the pairs compared stay near the number of fingerprints.  The join condition drops pairs over the
+Manhattan bound, then those over the exact Hamming distance, so that the join's rows are links alone.
 
 Fingerprints are made distinct before the join and members come back by their fingerprint, so copies cost
 nothing here.  Links are closed to components by alternating star contraction, written to the shared folder
@@ -24,6 +25,7 @@ empty result; other columns are ignored, whatever their names.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +38,10 @@ from helixframe.llm.common import digest, in_small_batches, join_groups, only_ke
 SHINGLE_WORDS = 4
 SEED = 42
 MAX_BITS = 4
-#: Segments (of two bits) in each block, and how far a fingerprint looks in it; see above.
-BLOCKS = ((11, 1), (11, 1), (10, 0))
+SEGMENTS = 32
+#: Blocks of the grid up to so many fingerprints; see above.  Bits of a cell: 1.5 for each segment in it.
+BLOCKS = ((7, 1 << 21), (8, 1 << 25), (9, 1 << 28), (10, 1 << 31))
+MOST_BLOCKS = 12
 LOW = 0x5555555555555555
 #: Shingles whose bits are counted at once.
 CHUNK = 1 << 15
@@ -90,27 +94,29 @@ def embedded_distance(x: Column, y: Column) -> Column:
     return F.bit_count(z.bitwiseAND(F.lit(LOW))) + 2 * F.bit_count(F.shiftrightunsigned(z, 1).bitwiseAND(F.bitwise_not(z)).bitwiseAND(F.lit(LOW)))
 
 
-def cells(embedded: Column, look: bool) -> Column:
-    """Grid cells of an embedding: its own of each block and, if look, those within the block's radius."""
-    found, shift = [], 0
-    for number, (segments, radius) in enumerate(BLOCKS):
-        own = F.shiftrightunsigned(embedded, shift).bitwiseAND(F.lit((1 << 2 * segments) - 1)).bitwiseOR(F.lit(number << 32))
-        found.append(F.array(own))
-        if look and radius:
-            for j in range(segments):
-                count = F.shiftright(own, 2 * j).bitwiseAND(F.lit(3))
-                found.append(F.when(count < 2, F.array(own + (1 << 2 * j))).otherwise(F.array().cast("array<bigint>")))
-                found.append(F.when(count > 0, F.array(own - (1 << 2 * j))).otherwise(F.array().cast("array<bigint>")))
-        shift += 2 * segments
-    return F.concat(*found)
-
-
-def links(nodes: DataFrame) -> DataFrame:
-    """a, b: node ids of all pairs of nodes (node, fp) whose fingerprints differ in MAX_BITS bits at most, a pair once."""
-    base = nodes.withColumn("e", embedding(F.col("fp")))
-    left = base.select(F.col("node").alias("a"), F.col("fp").alias("fa"), F.col("e").alias("ea"), F.explode(cells(F.col("e"), True)).alias("cell"))
-    right = base.select(F.col("node").alias("b"), F.col("fp").alias("fb"), F.col("e").alias("eb"), F.explode(cells(F.col("e"), False)).alias("cell"))
-    near = (embedded_distance(F.col("ea"), F.col("eb")) <= MAX_BITS) & (F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= MAX_BITS)
+def blocks_for(fingerprints: int) -> int:
+    """Blocks of the grid for so many fingerprints; any number from MAX_BITS + 1 on gives the same links."""
+    return next((n for n, most in BLOCKS if fingerprints <= most), MOST_BLOCKS)
+
+
+def cells(embedded: Column, blocks: int) -> Column:
+    """The grid cells of an embedding: a hash of each choice of `blocks` - MAX_BITS blocks' counts."""
+    borders = [SEGMENTS * i // blocks for i in range(blocks + 1)]
+    masks = [((1 << 2 * b) - 1) ^ ((1 << 2 * a) - 1) for a, b in pairwise(borders)]
+    chosen = [sum(x) for x in combinations(masks, blocks - MAX_BITS)]
+    signed = [x - (1 << 64) if x >> 63 else x for x in chosen]
+    # The choice's mask goes into the hash; equal hashes of different cells only add pairs, which the distance drops.
+    return F.array(*[F.xxhash64(embedded.bitwiseAND(F.lit(x)), F.lit(x)) for x in signed])
+
+
+def links(nodes: DataFrame, blocks: int | None = None) -> DataFrame:
+    """a, b: nodes of all pairs of nodes (node, fp) whose fingerprints differ in MAX_BITS bits at most, a pair once."""
+    n = blocks or blocks_for(nodes.count())
+    in_cells = nodes.select("node", "fp", F.explode(cells(embedding(F.col("fp")), n)).alias("cell"))
+    # Both sides are one shuffle, which Spark uses twice.
+    left = in_cells.select(F.col("node").alias("a"), F.col("fp").alias("fa"), "cell")
+    right = in_cells.select(F.col("node").alias("b"), F.col("fp").alias("fb"), "cell")
+    near = (embedded_distance(embedding(F.col("fa")), embedding(F.col("fb"))) <= MAX_BITS) & (F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= MAX_BITS)
     same = left["cell"] == right["cell"]
     return left.join(right.hint("merge"), same & (F.col("a") < F.col("b")) & near).select("a", "b").distinct()
 

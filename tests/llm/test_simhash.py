@@ -51,11 +51,24 @@ def test_links_and_components_against_brute_force(spark, seed):
     pairs = {(a, b) for a in nodes for b in nodes if a < b and bin(nodes[a] ^ nodes[b]).count("1") <= 4}
     links = S.links(df)
     assert {(r["a"], r["b"]) for r in links.collect()} == pairs
+    assert {(r["a"], r["b"]) for r in S.links(df, blocks=5 + seed * 3).collect()} == pairs
     found = {r["node"]: r["component"] for r in S.components(links).collect()}
     want = brute_components(nodes)
     assert {k: found.get(k, k) for k in nodes} == want
 
 
+def test_pairs_in_cells_grow_little_faster_than_fingerprints(spark):
+    from pyspark.sql import functions as F
+
+    def compared(n):
+        df = spark.range(n).select(F.xxhash64("id").alias("fp")).withColumn("cell", F.explode(S.cells(S.embedding(F.col("fp")), S.blocks_for(n))))
+        return df.groupBy("cell").count().agg(F.sum(F.col("count") * (F.col("count") - 1) / 2)).first()[0]
+
+    # Those of 80,000 random fingerprints are fewer than three for each of them; by all pairs there would be 40,000.
+    assert compared(80_000) < 3 * 80_000
+    assert [S.blocks_for(n) for n in (0, 1 << 21, (1 << 21) + 1, 1 << 31, 1 << 40)] == [7, 7, 8, 10, 12]
+
+
 def test_distances_agree_with_their_definition(spark):
     from pyspark.sql import functions as F
 

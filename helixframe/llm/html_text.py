@@ -1,19 +1,26 @@
 """Main text of web pages, with site templates removed.
 
-An Arrow function parses each page once into blocks of text.  A block carries the hashes of the element
-subtrees that it lies in (tag, class, text; seeded by the host).  Spark counts, for each subtree of a host, the
-different pages that have it; subtrees that recur across many of them are templates, and blocks inside one are
-deleted.  Pages that are equal copies count once, so that copies of an article don't make it a template.
-
-What is never text goes in the parser: scripts, styles, forms, and elements that a tag, role, class or id marks
-as menu, header, footer, sidebar, notice, advert or reader comments.  Where a page marks its article (article, or
-else main), blocks outside it go too and those inside are safe from template removal; template removal decides
-about all other pages.
+An Arrow function parses each page once into blocks of text and the element subtrees that hold them.  A subtree's hash
+is made of its tag, class and id and of the hashes of its texts and subtrees, seeded by the host; it comes with the
+range of blocks that it covers, so that what a page gives is linear in its length.  Spark counts, for each subtree of a
+host, the different pages that have it; subtrees that recur across many of them are templates, and blocks inside one
+are deleted.  Equal pages count once.  Pages count by their family: of pages with an article, those whose plain
+paragraphs have the same least hash are one family, of others each is its own; where a subtree's pages have fewer
+families than half their number, they are near copies of each other, and it is no template.
+
+Counted are the subtrees of the whole page, menus and footers too.  Deleted by their count are subtrees anywhere, but
+inside what a page marks as its article (article, or else main) only boxes: an element of PLAIN without class or id is
+text there, however often it recurs on the host, as quoted passages do.
+
+The parser's rules go on with what is left: scripts, styles, forms, elements that a tag, role, class or id marks as
+menu, header, footer, sidebar, notice, advert or reader comments, and, where a page marks its article, what is outside
+it.  removed() counts the blocks that the counts, and those that the rules delete.
 
 Blocks end at the borders of block elements; white space inside one, br included, becomes one space.
 
-Defined results: a null or empty html has no text; a page without a host has no site; rows that repeat a page_id
-each come out; an empty table gives an empty result; other columns are ignored, whatever their names.
+Defined results: a null or empty html has no text; a page without a host has no site; very long pages and deep nesting
+take linear time; a subtree as frequent as the bound is a template; rows that repeat a page_id each come out; an empty
+table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,7 +28,9 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -34,6 +43,8 @@ from helixframe.llm.common import in_small_batches, join_groups, table, written
 LEAST_PAGES = 5
 #: Rows of a batch that are parsed at once.
 ROWS = 256
+#: Pages with deleted blocks that are broadcast at most (some 100 bytes each); more are joined by shuffle.
+MOST_BROADCAST_ROWS = 100_000
 
 #: Fixed values of HTML: elements without content, with raw content, and those whose border ends a block of text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -44,7 +55,12 @@ BLOCK = frozenset(
 #: Which open element a start tag closes: itself a p or item of a list, table or definition.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
 #: An element of these keeps what is outside it from being closed by CLOSES.
-SCOPE = frozenset("ul ol menu dl table html body article section div td th".split())
+SCOPE = frozenset("ul ol menu dl table html body article section div td th button object template".split())
+#: Elements whose border never closes them from inside, by a stray end tag of others than these.
+WALLS = frozenset("article main body td th".split())
+THROUGH = frozenset("article main body html table tr".split())
+#: Elements that are text inside an article, unless they have a class or id.
+PLAIN = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol li dl dt dd table tbody thead tfoot tr td th caption figure figcaption hr hgroup header section".split())
 #: Never article text, whatever their class.
 DROPPED = frozenset("head script style template noscript nav footer aside form iframe object embed svg math button select textarea dialog menu audio video canvas xmp noembed noframes title".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
@@ -137,53 +153,86 @@ def is_dropped(tag: str, found: dict[str, str], in_article: bool) -> bool:
 
 
 class Element:
-    __slots__ = ("article", "dropped", "first", "kind", "main", "tag")
+    __slots__ = ("article", "box", "dropped", "first", "items", "kind", "main", "silent", "tag", "trees")
 
-    def __init__(self, tag: str, kind: str, dropped: bool, article: bool, main: bool, first: int):
-        self.tag, self.kind, self.dropped, self.article, self.main, self.first = tag, kind, dropped, article, main, first
+    def __init__(self, tag: str, kind: str, box: bool, dropped: bool, silent: bool, article: bool, main: bool, first: int, trees: int):
+        self.tag, self.kind, self.box, self.article, self.main = tag, kind, box, article, main
+        self.dropped, self.silent = dropped, silent  # silent: inside a dropped inline element, whose text isn't that of its block
+        self.first, self.trees = first, trees  # of the blocks and subtrees inside
+        self.items: list[int] = []  # hashes of texts and elements inside
 
 
-def parse(page: str, host: str) -> list[tuple[str, bool, list[int]]]:
-    """(text, protected, subtree hashes) of each block that may be article text, in page order.
+class Block:
+    __slots__ = ("article", "digest", "dropped", "main", "text")
 
-    Blocks inside the page's article are protected; where there is an article, no others come out.
-    """
-    stack = [Element("", "", False, False, False, 0)]
-    blocks: list[list] = []  # text, in article, in main, dropped, subtree hashes
+    def __init__(self, text: str, top: Element):
+        self.text, self.article, self.main, self.dropped = text, top.article, top.main, top.dropped
+        self.digest = xxhash.xxh64_intdigest(text)
+
+
+class Tree:
+    __slots__ = ("article", "box", "digest", "first", "last", "main")
+
+    def __init__(self, digest: int, first: int, last: int, element: Element):
+        self.digest, self.first, self.last = digest, first, last  # covers blocks first..last - 1
+        self.box, self.article, self.main = element.box, element.article, element.main
+
+
+def parse(page: str, host: str) -> tuple[list[Block], list[Tree]]:
+    """All blocks of a page, in its order, and the subtrees that hold them; a subtree around another that holds the same
+    blocks doesn't come out, as it recurs no more often than the inner one."""
+    stack = [Element("", "", False, False, False, False, False, 0, 0)]
+    open_: dict[str, list[int]] = {}  # where in the stack elements of a tag are
+    scopes, walls = [0], [0]
+    blocks: list[Block] = []
+    trees: list[Tree] = []
     words: list[str] = []
+    owner = stack[0]  # the element of the first of words
     seed = xxhash.xxh64_intdigest(host)
 
     def flush() -> None:
         text = " ".join("".join(words).split())
         words.clear()
         if text:
-            top = stack[-1]
-            blocks.append([text, top.article, top.main, top.dropped, []])
+            blocks.append(Block(text, owner))
+            stack[-1].items.append(blocks[-1].digest)
+
+    def push(element: Element) -> None:
+        for found in (open_.setdefault(element.tag, []), scopes if element.tag in SCOPE else None, walls if element.tag in WALLS else None):
+            if found is not None:
+                found.append(len(stack))
+        stack.append(element)
 
     def pop() -> None:
         element = stack[-1]
         if element.tag in BLOCK:
             flush()
         stack.pop()
-        inside = blocks[element.first :]
-        if host and inside and element.tag in BLOCK and element.tag not in ("html", "body", "article", "main"):
-            h = xxhash.xxh64_intdigest("\0".join([element.kind, *(b[0] for b in inside)]), seed)
-            for b in inside:
-                b[4].append(h - (1 << 64) if h >> 63 else h)
+        open_[element.tag].pop()
+        if element.tag in SCOPE:
+            scopes.pop()
+        if element.tag in WALLS:
+            walls.pop()
+        if not element.items:
+            return
+        h = xxhash.xxh64_intdigest(element.kind.encode() + b"\0" + np.array(element.items, "<u8").tobytes(), seed)
+        stack[-1].items.append(h)
+        if host and element.tag in BLOCK and element.tag not in ("html", "body", "article", "main") and len(blocks) > element.first:
+            inner = trees[-1] if len(trees) > element.trees else None
+            if not inner or (inner.first, inner.last) != (element.first, len(blocks)) or element.box and not inner.box:
+                trees.append(Tree(h, element.first, len(blocks), element))
 
     def close(tags: set[str]) -> None:
         """Closes the innermost of tags within its scope, with what is open inside it."""
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in tags:
-                while len(stack) > i:
-                    pop()
-                return
-            if stack[i].tag in SCOPE:
-                return
+        at = max((open_[t][-1] for t in tags if open_.get(t)), default=0)
+        if at and at >= scopes[-1]:
+            while len(stack) > at:
+                pop()
 
     for kind, tag, rest in tokens(page):
         if kind == "text":
-            if not stack[-1].dropped:
+            if not stack[-1].silent:
+                owner = owner if words else stack[-1]
                 words.append(html.unescape(rest) if "&" in rest else rest)
         elif kind == "start":
             if tag in BLOCK:
@@ -192,30 +241,65 @@ def parse(page: str, host: str) -> list[tuple[str, bool, list[int]]]:
             if tag in CLOSES:
                 close(CLOSES[tag])
             if tag in VOID:
-                words.append(" ")
+                if words:
+                    words.append(" ")
                 continue
             top = stack[-1]
             found = attributes(rest) if rest else {}
             dropped = top.dropped or is_dropped(tag, found, top.article or top.main)
-            stack.append(Element(tag, f"{tag} {found.get('class', '')} {found.get('id', '')}", dropped, (top.article or tag == "article") and not dropped, (top.main or tag == "main" or found.get("role") == "main") and not dropped, len(blocks)))
+            name = f"{found.get('class', '')} {found.get('id', '')}"
+            box = tag not in PLAIN or name != " "
+            article, main = top.article or tag == "article", top.main or tag == "main" or found.get("role") == "main"
+            silent = top.silent or dropped and not top.dropped and tag not in BLOCK
+            push(Element(tag, f"{tag} {name}", box, dropped, silent, article and not dropped, main and not dropped, len(blocks), len(trees)))
         elif kind == "end":
-            if tag == "br":
+            if tag == "br" and words:
                 words.append(" ")
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    while len(stack) > i:
-                        pop()
-                    break
-                if stack[i].tag in ("article", "main", "body", "td", "th") and tag not in ("article", "main", "body", "html", "table", "tr"):
-                    break  # a stray end tag doesn't close these
+            at = open_[tag][-1] if open_.get(tag) else 0
+            # A stray end tag doesn't close a wall.
+            if at and (tag in THROUGH or at >= walls[-1]):
+                while len(stack) > at:
+                    pop()
     while len(stack) > 1:
         pop()
     flush()
-    kept = [b for b in blocks if not b[3]]
-    for part in (1, 2):
-        if any(b[part] for b in kept):
-            return [(b[0], True, []) for b in kept if b[part]]
-    return [(b[0], False, b[4]) for b in kept]
+    return blocks, trees
+
+
+@dataclass
+class Page:
+    """What Spark gets of a page: blocks that the rules keep, subtrees that may delete them, and those that only count."""
+
+    family: int
+    digest: int  # of its texts
+    texts: list[str]
+    trees: list[dict[str, int]]  # tree; covers the kept blocks first..last - 1
+    elsewhere: list[dict[str, int]]  # tree; n blocks that the rules delete
+
+
+def signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def reduced(page: str, host: str) -> Page:
+    blocks, trees = parse(page, host)
+    part = next((p for p in ("article", "main") if any(getattr(b, p) and not b.dropped for b in blocks)), None)
+    kept = [not b.dropped and (not part or getattr(b, part)) for b in blocks]
+    number = np.concatenate([[0], np.cumsum(kept, dtype=np.int64)]).tolist()
+    may, elsewhere, boxed = [], [], np.zeros(len(blocks) + 1, np.int64)
+    for t in trees:
+        first, last = number[t.first], number[t.last]
+        if first == last:
+            elsewhere.append({"tree": signed(t.digest), "n": t.last - t.first})
+        elif not part or t.box and getattr(t, part):
+            may.append({"tree": signed(t.digest), "first": first, "last": last})
+            boxed[t.first] += 1
+            boxed[t.last] -= 1
+    texts = [b.text for b, k in zip(blocks, kept, strict=True) if k]
+    inside = np.cumsum(boxed)
+    plain = [b.digest for i, b in enumerate(blocks) if kept[i] and not inside[i]] if part else []
+    digest = signed(xxhash.xxh64_intdigest("\0".join(texts)))
+    return Page(signed(min(plain)) if plain else digest, digest, texts, may, elsewhere)
 
 
 HOST = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)")
@@ -226,23 +310,24 @@ def host_of(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kind = pa.list_(pa.struct([("text", pa.string()), ("safe", pa.bool_()), ("trees", pa.list_(pa.int64()))]))
+TREES = "array<struct<tree:bigint,first:int,last:int>>"
+
+
+def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    trees = pa.list_(pa.struct([("tree", pa.int64()), ("first", pa.int32()), ("last", pa.int32())]))
+    elsewhere = pa.list_(pa.struct([("tree", pa.int64()), ("n", pa.int32())]))
     for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
-        hosts, digests, rows = [], [], []
-        for url, page in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
-            page = page.as_py() or ""
-            hosts.append(host_of(url))
-            found = parse(page, hosts[-1])
-            digests.append(xxhash.xxh64_intdigest("\0".join(b[0] for b in found)) - (1 << 63))
-            rows.append([{"text": t, "safe": safe, "trees": trees} for t, safe, trees in found])
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hosts, pa.string()), pa.array(digests, pa.int64()), pa.array(rows, kind)], names=["page_id", "url", "host", "digest", "blocks"])
+        hosts = [host_of(url) for url in batch.column(1).to_pylist()]
+        found = [reduced(page.as_py() or "", host) for page, host in zip(batch.column(2), hosts, strict=True)]
+        columns = [pa.array(hosts, pa.string()), *(pa.array([getattr(x, k) for x in found], pa.int64()) for k in ("family", "digest")), pa.array([x.texts for x in found], pa.list_(pa.string()))]
+        columns += [pa.array([x.trees for x in found], trees), pa.array([x.elsewhere for x in found], elsewhere)]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], names=["page_id", "url", "host", "family", "digest", "texts", "trees", "elsewhere"])
 
 
 def parsed(pages: DataFrame) -> DataFrame:
-    """row, page_id, url, host, digest (of what may be text) and blocks of each page, as a written table."""
+    """row, page_id, url, host, family, digest, texts, trees and elsewhere (see Page) of each page, as a written table."""
     rows = in_small_batches(pages).select(F.col("page_id").cast("bigint"), F.col("url").cast("string"), F.col("html").cast("string"))
-    found = rows.mapInArrow(_blocks, "page_id bigint, url string, host string, digest bigint, blocks array<struct<text:string,safe:boolean,trees:array<bigint>>>")
+    found = rows.mapInArrow(_pages, f"page_id bigint, url string, host string, family bigint, digest bigint, texts array<string>, trees {TREES}, elsewhere array<struct<tree:bigint,n:int>>")
     # The number is written with its row, so that it doesn't change.
     return written(found.select(F.monotonically_increasing_id().alias("row"), "*"), "parsed-pages")
 
@@ -250,26 +335,51 @@ def parsed(pages: DataFrame) -> DataFrame:
 def templates(found: DataFrame) -> DataFrame:
     """tree, n: the subtrees (hashes are seeded by host) that recur across many different pages of their host."""
     sited = found.where(F.col("host") != "")
-    sizes = sited.select("host", "digest").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    trees = sited.select("host", "digest", F.explode(F.array_distinct(F.flatten(F.col("blocks.trees")))).alias("tree"))
-    counts = trees.distinct().groupBy("host", "tree").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_PAGES)
+    sizes = sited.select("host", "family").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+    of_page = F.array_union(F.transform("trees", lambda t: t["tree"]), F.transform("elsewhere", lambda t: t["tree"]))
+    trees = sited.select("host", "family", "digest", F.explode(of_page).alias("tree")).distinct()
+    families = trees.groupBy("host", "tree", "family").agg(F.count(F.lit(1)).alias("copies"))
+    counts = families.groupBy("host", "tree").agg(F.count(F.lit(1)).alias("n"), F.sum("copies").alias("copies"))
+    counts = counts.where((F.col("n") >= LEAST_PAGES) & (2 * F.col("n") >= F.col("copies")))
+    # A row for each host.
     many = counts.join(sizes, "host").where(F.col("n") >= F.greatest(F.lit(LEAST_PAGES), F.sqrt("pages")))
     return many.groupBy("tree").agg(F.max("n").alias("n"))
 
 
+def deleted(found: DataFrame) -> DataFrame:
+    """row, cut: the ranges of its blocks that templates cover, for each page that has such."""
+    trees = written(found.select("row", F.explode("trees").alias("t")).select("row", "t.tree", "t.first", "t.last"), "page-trees")
+    counts = trees.groupBy("tree").agg(F.count(F.lit(1)).alias("size")).join(templates(found), "tree", "left_semi")
+    hit = join_groups(trees, written(counts, "templates"), "tree", "size", trees.count())
+    return hit.groupBy("row").agg(F.collect_set(F.struct("first", "last")).alias("cut"))
+
+
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text of each page."""
     found = parsed(pages)
-    # Whether any block's fate depends on its site; other pages need no join.
-    open_ = F.exists("blocks", lambda b: F.size(b["trees"]) > 0)
-    trees = written(found.where(open_).select("row", F.explode(F.array_distinct(F.flatten(F.col("blocks.trees")))).alias("tree")), "page-trees")
-    counts = written(trees.groupBy("tree").agg(F.count(F.lit(1)).alias("size")).join(templates(found), "tree", "left_semi"), "templates")
-    marked = join_groups(trees, counts, "tree", "size", trees.count()).groupBy("row").agg(F.collect_list("tree").alias("cut"))
-    joined = lambda blocks: F.array_join(F.transform(blocks, lambda b: b["text"]), "\n\n")
-    plain = found.where(~open_).select("page_id", "url", joined(F.col("blocks")).alias("text"))
-    cut = F.coalesce("cut", F.array().cast("array<bigint>"))
-    rest = found.where(open_).join(marked, "row", "left").select("page_id", "url", joined(F.filter("blocks", lambda b: ~F.arrays_overlap(b["trees"], cut))).alias("text"))
-    return plain.unionByName(rest)
+    marked = written(deleted(found), "deleted")
+    joined = F.array_join("texts", "\n\n")
+    stays = F.filter("texts", lambda _, i: ~F.exists("cut", lambda c: (c["first"] <= i) & (i < c["last"])))
+    text = F.when(F.col("cut").isNull(), joined).otherwise(F.array_join(stays, "\n\n"))
+    # Few pages have anything deleted; where these are many they are joined by their row's number.
+    few = marked.count() <= MOST_BROADCAST_ROWS
+    return found.join(F.broadcast(marked) if few else marked, "row", "left").select("page_id", "url", text.alias("text"))
+
+
+def removed(pages: DataFrame) -> DataFrame:
+    """One row: pages; blocks that templates delete from what the rules keep (by_count), blocks that the rules delete
+    (by_rule), and how many of these lie in a template too (by_both)."""
+    found = parsed(pages)
+    kept = F.filter(F.sequence(F.lit(0), F.size("texts") - 1), lambda i: F.exists("cut", lambda c: (c["first"] <= i) & (i < c["last"])))
+    by_count = deleted(found).join(found.select("row", "texts"), "row").agg(F.coalesce(F.sum(F.size(kept)), F.lit(0)).alias("by_count"))
+    rest = found.select(F.explode("elsewhere").alias("t")).select("t.tree", "t.n")
+    # Innermost subtrees alone would do; nested ones are counted each, so that these two are of subtrees, not blocks.
+    marked = rest.join(templates(found).select("tree", F.lit(1).alias("hit")), "tree", "left")
+    by_rule = marked.agg(F.count(F.lit(1)).alias("by_rule"), F.count("hit").alias("by_both"))
+    pages_ = found.agg(F.count(F.lit(1)).alias("pages"))
+    # Each side is one row.
+    one = lambda df: df.withColumn("one", F.lit(1))
+    return one(pages_).join(one(by_count), "one").join(one(by_rule), "one").drop("one")
 
 
 def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

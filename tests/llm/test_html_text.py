@@ -1,8 +1,12 @@
+import os
+
+import pytest
+
 from helixframe.llm import html_text as H
 
 
 def text(page, host="h"):
-    return "\n\n".join(b[0] for b in H.parse(page, host))
+    return "\n\n".join(H.reduced(page, host).texts)
 
 
 def test_article_alone_is_kept():
@@ -40,6 +44,78 @@ def test_long_page_takes_linear_time():
     text('<a b="' * 20_000)
 
 
+def test_dropped_inline_elements_leave_their_block_whole():
+    assert text("<article><p>One <button>Buy<div>now</div></button> two <b>three</b></p></article>") == "One\n\ntwo three"
+    assert text('<p>One <span class="ad">Buy</span>two') == "One two"
+
+
+def test_deep_and_stray_tags_take_linear_time():
+    import time
+
+    start = time.monotonic()
+    assert len(H.reduced("<div>x" * 40_000, "h").trees) == 40_000
+    for page in ("<div>" * 40_000 + "x" + "</i>" * 40_000, "<div><article>" + "<b>" * 40_000 + "</div>" * 40_000, "<ul>" + "<b>" * 40_000 + "<li>x" * 40_000):
+        text(page)
+    assert time.monotonic() - start < 30
+
+
+def brute(pages, least=5):
+    """The texts by plain dictionaries over all pages."""
+    from collections import defaultdict
+
+    found = [(H.host_of(url), *H.parse(page or "", H.host_of(url))) for _, url, page in pages]
+    reduced = [H.reduced(page or "", H.host_of(url)) for _, url, page in pages]
+    families, seen = defaultdict(set), defaultdict(set)
+    for (host, _, trees), r in zip(found, reduced, strict=True):
+        if host:
+            families[host].add(r.family)
+            for t in {x["tree"] for x in (*r.trees, *r.elsewhere)}:
+                seen[host, t].add((r.family, r.digest))
+    different = lambda x: len({f for f, _ in x})
+    hit = {t for (host, t), x in seen.items() if different(x) >= max(least, len(families[host]) ** 0.5, len(x) / 2)}
+    gone = [{i for t in r.trees if t["tree"] in hit for i in range(t["first"], t["last"])} for r in reduced]
+    return ["\n\n".join(x for i, x in enumerate(r.texts) if i not in g) for r, g in zip(reduced, gone, strict=True)], sum(map(len, gone))
+
+
+def article_site(n):
+    """Pages with and without an article mark, boxes in and out of it, near copies, and a passage that many pages quote."""
+    box = '<div class="more-inside">Subscribe to our letters</div>'
+    quote = "<p>As the old saying goes, all that glitters is not gold.</p>"
+    same = "".join(f"<p>Same text {j} of all.</p>" for j in range(12))
+    pages = []
+    for i in range(n):
+        body = f"<h1>Title {i}</h1><p>Paragraph {i} one.</p>{quote}<p>Paragraph {i} two.</p>"
+        menu = "<div class=plainmenu><p>Home</p><p>News</p></div>"
+        if i % 3 == 0:
+            pages.append((i, f"http://a.example/{i}", f"{menu}<article>{body}{box}</article><div>Outside {i}</div>"))
+        elif i % 3 == 1:
+            pages.append((i, f"http://a.example/{i}", f"{menu}<div>{body}</div>{box}"))
+        else:  # near copies, which hold one box that no other page has
+            pages.append((i, f"http://b.example/{i}", f"<article><h1>Same</h1>{same}<p>Copy {i}.</p><div class=fact>The only box</div></article>"))
+    return pages
+
+
+def test_pages_with_article_and_template_against_brute_force(spark):
+    pages = article_site(60)
+    df = spark.createDataFrame(pages, "page_id bigint, url string, html string")
+    got = {r["page_id"]: r["text"] for r in H.main_text(df).collect()}
+    want, n = brute(pages)
+    assert got == dict(enumerate(want)) and n > 0
+    saying = "As the old saying goes, all that glitters is not gold."
+    assert got[0] == f"Title 0\n\nParagraph 0 one.\n\n{saying}\n\nParagraph 0 two."  # the box goes, the quoted passage stays
+    assert "The only box" in got[2]  # near copies don't make a template
+    assert got[1].startswith("Title 1") and "Home" not in got[1] and "Subscribe" not in got[1]
+    counts = H.removed(df).first()
+    assert counts["pages"] == 60 and counts["by_count"] == n and counts["by_rule"] >= counts["by_both"] > 0
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no sample data")
+def test_sample_pages_against_brute_force(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    want, _ = brute([tuple(r) for r in df.select("page_id", "url", "html").collect()])
+    assert sorted(r["text"] for r in H.main_text(df).collect()) == sorted(want)
+
+
 def site(spark, pages):
     return spark.createDataFrame([(i, f"http://{h}/p{i}", page) for i, (h, page) in enumerate(pages)], "page_id bigint, url string, html string")
 
@@ -65,5 +141,7 @@ def test_boxes_of_a_large_host_are_removed(spark):
 
 def test_odd_rows(spark):
     df = spark.createDataFrame([(1, None, None, 1), (1, None, "<p>a", 2), (2, "x", "", 3), (2, "x", "", 3), (None, "http://h/", "<p>b", 4)], "page_id bigint, url string, html string, row int")
+    for name in ("host", "family", "texts", "trees", "cut", "digest"):
+        df = df.selectExpr("*", f"1 AS {name}")
     assert sorted(r["text"] for r in H.main_text(df).collect()) == ["", "", "", "a", "b"]
     assert H.main_text(df.limit(0)).collect() == []

@@ -1,24 +1,25 @@
 """Toxicity by gradient-boosted trees over dense features, with isotonic calibration.
 
-Training reads at most SAMPLE labelled rows, in the order of a hash of doc_id.  Half of them give a lexicon:
-whole words and word beginnings (of FIRST..LAST letters, with more letters after them) that toxic texts have
-far more often.  The other half trains the trees, on features that see this lexicon as new texts do, and the
-isotonic calibration.  Features: densities of lexicon hits, second-person words close to hits, capitals,
-punctuation and obfuscation rates, length.
-
-Defined results: a null or empty text has the features of no words and the score of such; without labelled
-rows of both kinds each score is the share of toxic labels (0.5 without labels); rows that repeat a doc_id each
-come out, and count for training once for each label row; an empty table gives an empty result; other columns
-are ignored, whatever their names.
+Training reads at most SAMPLE label rows, in the order of a hash of doc_id.  Half of their texts give a lexicon of
+MOST_UNITS units at most: whole words and word beginnings (of FIRST..LAST letters, with more letters after them) that
+toxic texts have far more often.  The other half trains the trees, on features that see this lexicon as new texts do,
+and the isotonic calibration.  Texts stay in their tasks: the driver gets the units that pass and rows of features.
+Features: densities of lexicon hits, second-person words close to hits, capitals, punctuation and obfuscation rates,
+length.
+
+Defined results: a null or empty text has the features of no words and the score of such; a text of any length takes
+time linear in it, long tokens too; without labelled rows of both kinds each score is the share of toxic labels (0.5
+without labels); rows that repeat a doc_id each come out; for training each counts for the lexicon with each label row
+of its id, and the one with the least features for the trees; units and scores that tie are ordered by name; an empty
+table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
-from math import log
+from math import exp, log
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +45,9 @@ SECOND_PERSON = frozenset("you your yours yourself tu te toi ton ta tes vous vot
 #: Characters that stand for letters.
 DISGUISE = str.maketrans("013457@$!|", "oieastasil")
 WORD = re.compile(r"\w+")
-MIXED = re.compile(r"(?=\w*[^\W\d_])\w*[0-9@$!|*]+\w*[^\W\d_]\w*")
+#: Runs of letters, digits and what may stand for letters; possessive, so that each character is read once.
+RUN = re.compile(r"(?<![\w@$!|*])[\w@$!|*]++")
+NOT_FIRST, NOT_LAST = "@$!|*", "0123456789@$!|*_"
 CAPITALS = re.compile(r"[A-ZÀ-ÖØ-Þ]")
 MARKS = re.compile(r"[^\w\s]")
 SHOUTS = re.compile(r"[!?]")
@@ -57,6 +60,14 @@ def units(word: str) -> Iterator[str]:
         yield f"{word[:n]}-"
 
 
+def mixed(text: str) -> list[str]:
+    """Tokens in which digits or marks stand among letters, before one at least."""
+    if not any(c in text for c in "0123456789@$!|*"):
+        return []
+    found = (x.strip(NOT_FIRST).rstrip(NOT_LAST) for x in RUN.findall(text) if not x.isalpha())
+    return [x for x in found if not x.isalpha() and any(c in x for c in "0123456789@$!|*")]
+
+
 class Weights(dict):
     """word -> its greatest log ratio in the lexicon, or 0; remembers what it was asked."""
 
@@ -76,8 +87,8 @@ def features(text: str, weights: Weights) -> list[float]:
     scores = [weights[x] for x in low]
     hits = [i for i, x in enumerate(scores) if x]
     near = sum(any(x in SECOND_PERSON for x in low[max(0, i - NEAR) : i + NEAR + 1]) for i in hits)
-    mixed = MIXED.findall(text) if any(c in text for c in "0123456789@$!|*") else []
-    hidden = sum(weights[x.lower().translate(DISGUISE)] > 0 and not weights[x.lower()] for x in mixed)
+    tokens = mixed(text)
+    hidden = sum(weights[x.lower().translate(DISGUISE)] > 0 and not weights[x.lower()] for x in tokens)
     return [
         len(hits) / n,
         float(len(hits)),
@@ -88,7 +99,7 @@ def features(text: str, weights: Weights) -> list[float]:
         len(CAPITALS.findall(text)) / chars,
         len(MARKS.findall(text)) / chars,
         len(SHOUTS.findall(text)) / n,
-        len(mixed) / n,
+        len(tokens) / n,
         float(hidden),
         log(1 + len(low)),
     ]
@@ -188,18 +199,20 @@ class Model:
         return 0.99 * np.interp(z, self.knots, self.values) + 0.01 / (1 + np.exp(-z))
 
 
-def lexicon(texts: list[str], labels: list[int]) -> dict[str, float]:
-    counts, n = (Counter(), Counter()), [0, 0]
-    for text, label in zip(texts, labels, strict=True):
-        n[label] += 1
-        counts[label].update({u for w in set(WORD.findall(text.lower())) for u in units(w)})
+def text_units(text: str) -> set[str]:
+    return {u for w in set(WORD.findall(text.lower())) for u in units(w)}
+
+
+def lexicon(counts: Iterable[tuple[str, int, int]], n: tuple[int, int]) -> dict[str, float]:
+    """The units that toxic texts have far more often; counts: unit, texts of kind 0 and of kind 1; n: texts of each kind."""
     found = {}
-    for unit, k in counts[1].items():
-        if k >= LEAST_TEXTS:
-            ratio = log((k + 0.1) / (n[1] + 0.2)) - log((counts[0][unit] + 0.5) / (n[0] + 1))
+    for unit, clean, toxic in counts:
+        if toxic >= LEAST_TEXTS:
+            ratio = log((toxic + 0.1) / (n[1] + 0.2)) - log((clean + 0.5) / (n[0] + 1))
             if ratio > LEAST_RATIO:
-                found[unit] = round(ratio, 6)
-    return dict(sorted(found.items(), key=lambda x: (-x[1] * counts[1][x[0]], x[0]))[:MOST_UNITS])
+                found[unit] = round(ratio, 6), toxic
+    best = sorted(found.items(), key=lambda x: (-x[1][0] * x[1][1], x[0]))[:MOST_UNITS]
+    return {unit: ratio for unit, (ratio, _) in best}
 
 
 def boost(x: np.ndarray, y: np.ndarray) -> tuple[list[Tree], float]:
@@ -216,30 +229,69 @@ def boost(x: np.ndarray, y: np.ndarray) -> tuple[list[Tree], float]:
     return trees, start
 
 
-def train(texts: list[str], labels: list[int]) -> Model:
-    """The rows' order decides which give the lexicon (every second), the trees and the calibration."""
-    y = np.array(labels, float)
-    words = lexicon(texts[::2], labels[::2])
-    weights = Weights(words)
-    x = np.array([features(t, weights) for t in texts[1::2]]).reshape(-1, 12)
-    rest = y[1::2]
-    hold = np.arange(len(rest)) % 3 == 2
-    if len(set(rest[~hold])) < 2 or len(set(rest[hold])) < 2:
-        share = float(np.clip(y.mean() if len(y) else 0.5, 1e-3, 1 - 1e-3))
+def train(words: dict[str, float], x: np.ndarray, y: np.ndarray, share: float) -> Model:
+    """Trees on two thirds of the rows of features x with labels y, calibration on every third; share: of toxic labels."""
+    hold = np.arange(len(y)) % 3 == 2
+    if len(set(y[~hold])) < 2 or len(set(y[hold])) < 2:
+        share = float(np.clip(share, 1e-3, 1 - 1e-3))
         return Model({}, [], float(np.log(share / (1 - share))), np.zeros(0), np.zeros(0))
-    trees, start = boost(x[~hold], rest[~hold])
+    trees, start = boost(x[~hold], y[~hold])
     model = Model(words, trees, start, np.zeros(0), np.zeros(0))
-    model.knots, model.values = isotonic(model.margins(x[hold]), rest[hold])
+    model.knots, model.values = isotonic(model.margins(x[hold]), y[hold])
     return model
 
 
+def _count_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """unit, clean, toxic: counts of texts with a unit, summed within the task up to MOST_WORDS units."""
+
+    def out(counts: dict[str, list[int]]) -> pa.RecordBatch:
+        columns = [pa.array(counts.keys(), pa.string()), *(pa.array([x[i] for x in counts.values()], pa.int64()) for i in (0, 1))]
+        return pa.RecordBatch.from_arrays(columns, names=["unit", "clean", "toxic"])
+
+    counts: dict[str, list[int]] = {}
+    for batch in batches:
+        for text, toxic in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
+            for unit in text_units(text.as_py() or ""):
+                counts.setdefault(unit, [0, 0])[toxic] += 1
+            if len(counts) > MOST_WORDS:
+                yield out(counts)
+                counts = {}
+    yield out(counts)
+
+
+def _features(words: dict[str, float]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights = Weights(words)
+        for batch in batches:
+            x = pa.array([features(t.as_py() or "", weights) for t in batch.column(1)], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), x], names=["doc_id", "toxic", "x"])
+
+    return run
+
+
 def learn(documents: DataFrame, labels: DataFrame, usable: Column) -> Model:
-    """A model from at most SAMPLE labelled rows for which `usable` (of doc_id) holds."""
-    marks = labels.where(F.col("toxic").isNotNull() & F.coalesce(usable, F.lit(False))).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
-    picked = {r[0]: r[1] for r in marks.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(SAMPLE).collect()}
-    rows = documents.where(F.col("doc_id").isin(list(picked))).select(F.col("doc_id").cast("bigint"), F.coalesce(F.col("text").cast("string"), F.lit(""))).limit(SAMPLE).collect() if picked else []
-    rows.sort(key=lambda r: ((r[0] * 2654435761) % 2**32, r[0], r[1]))
-    return train([r[1] for r in rows], [int(picked[r[0]] > 0) for r in rows])
+    """A model from at most SAMPLE label rows for which `usable` (of doc_id) holds, and the texts of their ids."""
+    spark = documents.sparkSession
+    marks = labels.where(F.col("toxic").isNotNull() & F.coalesce(usable, F.lit(False))).select(F.col("doc_id").cast("bigint").alias("doc_id"), (F.col("toxic").cast("int") > 0).cast("int").alias("toxic"))
+    marks = marks.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(SAMPLE)
+    picked = spark.createDataFrame(marks.collect(), marks.schema)  # ids and labels, SAMPLE at most
+    texts = in_small_batches(documents).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = texts.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "toxic")
+    half = F.pmod(F.shiftright(F.xxhash64("doc_id", F.lit(1)), 7), F.lit(2)) == 0
+    totals = {r["toxic"]: r["n"] for r in rows.where(half).groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = rows.where(half).mapInArrow(_count_units, "unit string, clean bigint, toxic bigint").groupBy("unit").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    # A bound that lexicon() has too: units whose log ratio passes have this share of toxic texts at least.
+    kinds = totals.get(0, 0), totals.get(1, 0)
+    passes = (F.col("toxic") + 0.1) / (kinds[1] + 0.2) > exp(LEAST_RATIO) * (F.col("clean") + 0.5) / (kinds[0] + 1)
+    best = (F.log((F.col("toxic") + 0.1) / (kinds[1] + 0.2)) - F.log((F.col("clean") + 0.5) / (kinds[0] + 1))) * F.col("toxic")
+    top = counts.where((F.col("toxic") >= LEAST_TEXTS) & passes).orderBy(best.desc(), "unit").limit(MOST_UNITS)
+    words = lexicon(((r["unit"], r["clean"], r["toxic"]) for r in top.collect()), kinds)
+    made = rows.where(~half).mapInArrow(_features(words), "doc_id bigint, toxic int, x array<double>")
+    # Of rows that repeat an id one, so that there are SAMPLE rows at most.
+    found = made.groupBy("doc_id", "toxic").agg(F.min("x").alias("x")).orderBy(F.xxhash64("doc_id", F.lit(2)), "doc_id", "toxic").collect()
+    y = np.array([r["toxic"] for r in found], float)
+    share = picked.agg(F.avg("toxic")).first()[0]
+    return train(words, np.array([r["x"] for r in found]).reshape(-1, 12), y, 0.5 if share is None else share)
 
 
 def _score(model: Model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

@@ -68,6 +68,27 @@ def test_toxicity_of_odd_rows(spark, odd, none):
     assert T.learn(odd, labels.limit(0), F.lit(True)).trees == []
 
 
+def test_long_tokens_take_linear_time():
+    import time
+
+    start = time.monotonic()
+    for text in ("!a" + "1" * 200_000, "a" * 200_000 + "!", "1" * 200_000 + "a", "a1" * 100_000, "!" * 200_000, "a!" * 100_000 + " x"):
+        T.features(text, T.Weights({}))
+    assert time.monotonic() - start < 5
+    assert T.mixed("hello! st0p 5tupid ab1 v2 @x ¡a! b@d_ 42 a_b") == ["st0p", "5tupid", "b@d"]
+
+
+def test_lexicon_of_repeated_ids_does_not_depend_on_order(spark):
+    rows = [(i, f"good day number {i}") for i in range(60)] + [(i, f"vile vile wretch {i}") for i in range(60, 120)] + [(60, "good day again")] * 3
+    labels = [(i, int(i >= 60)) for i in range(120)] + [(60, 0)]
+    found = []
+    for order in (1, -1):
+        docs = spark.createDataFrame(rows[::order], "doc_id bigint, text string")
+        model = T.learn(docs, spark.createDataFrame(labels[::order], "doc_id bigint, toxic int"), F.lit(True))
+        found.append((model.lexicon, model.start, [t.value for t in model.trees], model.knots.tolist()))
+    assert found[0] == found[1] and "vile" in found[0][0] and "good" not in found[0][0]
+
+
 def test_trees_learn_a_threshold():
     x = np.random.default_rng(2).random((400, 12))
     y = (x[:, 3] > 0.6).astype(float)

@@ -1,20 +1,26 @@
 """Licence scan with a positional rare-token index.  DataFrame functions only.
 
-Templates are short licence texts, each with a key phrase that must stand word for word.  Their words form a
-vocabulary; the number of texts with each of its words, counted over all texts, gives inverse document
-frequencies.  The index posts each template under the word of its key phrase that is rarest by these, with its
-position.  In a text that has any posted word, each place of such a word looks up the postings; the place less
-the posted position is where the template would begin.  There the key phrase is verified and the template's
-other words are compared by their relative positions; the score is the share of the template's weight found.
+Templates are licence texts, each with a key phrase that must stand word for word.  Their words form a vocabulary; the
+number of texts with each of its words, counted over all texts, gives inverse document frequencies.  The index posts
+each template under the POSTED words of its key phrase that are rarest by these, with their positions.  In a text that
+has a template's rarest word, each place of a posted word looks up its postings; the place less the posted position is
+where the template would begin.  Begins that all of a template's postings agree on are its candidates.  There the key
+phrase is verified and the template's other words are compared by their relative positions; the score is the share of
+the template's weight found.
+
+Templates and index are data (one literal each), so that the plan is as long for ten templates as for hundreds.
 
 The four base phrases are templates that are nothing but key phrase, so that each place of theirs is found.
 
-Defined results: a null or empty text has no words, no labels and score 0; rows that repeat a doc_id each come
-out; an empty table gives an empty result; other columns are ignored, whatever their names.
+Defined results: a null or empty text has no words, no labels and score 0; texts of any length are scanned whole; of
+equally rare words the first in the phrase is posted, a word that a phrase repeats at each of its posted places, and a
+place of several templates gives each of their labels; rows that repeat a doc_id each come out; an empty table gives an
+empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 from math import log
 
@@ -26,6 +32,8 @@ from helixframe.llm.common import let, table
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: A template of the method's own counts from this share of its weight on.
 LEAST_SHARE = 0.6
+#: Words of a key phrase that are posted.
+POSTED = 3
 
 
 @dataclass(frozen=True)
@@ -82,50 +90,57 @@ def inverse_frequencies(documents: DataFrame, templates: tuple[Template, ...] =
     return {w: log((n.get("", 0) + 1) / (n.get(w, 0) + 1)) for w in known}
 
 
-def postings(idf: dict[str, float], templates: tuple[Template, ...] = TEMPLATES) -> list[tuple[str, int]]:
-    """For each template its rarest key word and that word's position; of equally rare ones the first."""
-    found = []
-    for t in templates:
-        at = min(range(*t.key), key=lambda i: (-idf[t.words[i]], i))
-        found.append((t.words[at], at))
-    return found
-
-
-def matches(w: Column, idf: dict[str, float], templates: tuple[Template, ...] = TEMPLATES) -> Column:
-    """(label, base, at, score) of each place of a template in the words w."""
-    index = postings(idf, templates)
-    rare = sorted({word for word, _ in index})
-    kind = "array<struct<label:string,base:boolean,at:int,score:double>>"
-    places = F.filter(F.transform(w, lambda x, i: F.struct(x.alias("word"), i.alias("at"))), lambda p: p["word"].isin(rare))
+def postings(idf: dict[str, float], templates: tuple[Template, ...] = TEMPLATES) -> list[list[tuple[str, int]]]:
+    """For each template the rarest words of its key phrase with their positions, rarest first; of equally rare ones the first."""
+    return [[(t.words[i], i) for i in sorted(range(*t.key), key=lambda i: (-idf[t.words[i]], i))[:POSTED]] for t in templates]
 
-    def of(t: Template, word: str, offset: int, hits: Column) -> Column:
-        same = lambda at, j: F.coalesce(F.get(w, at + j) == t.words[j], F.lit(False))
-        starts = F.transform(F.filter(hits, lambda p: p["word"] == word), lambda p: (p["at"] - offset).cast("int"))
 
-        def verified(at: Column) -> Column:
-            found = at + t.key[0] >= 0
-            for j in range(*t.key):
-                found = found & same(at, j)
-            return found
+KIND = "array<struct<label:string,base:boolean,at:int,score:double>>"
+INDEX = "map<string,array<struct<t:int,at:int,n:int>>>"
+TABLE = "array<struct<label:string,base:boolean,first:int,last:int,words:array<string>,weights:array<double>,total:double>>"
 
-        total = sum(idf[x] for x in t.words)
 
-        def score(at: Column) -> Column:
-            if t.base or total <= 0:
-                return F.lit(1.0)
-            return sum((F.when(same(at, j), F.lit(idf[t.words[j]])).otherwise(F.lit(0.0)) for j in range(len(t.words))), F.lit(0.0)) / F.lit(total)
+def literal(value: object, kind: str) -> Column:
+    """value as one literal: the optimizer reads it once."""
+    return F.from_json(F.lit(json.dumps(value)), kind)
 
-        made = F.transform(F.filter(starts, verified), lambda at: F.struct(F.lit(t.label).alias("label"), F.lit(t.base).alias("base"), at.alias("at"), score(at).alias("score")))
-        return F.filter(made, lambda m: m["score"] >= LEAST_SHARE)
 
-    found = let(places, lambda hits: F.concat(*[of(t, word, offset, hits) for t, (word, offset) in zip(templates, index, strict=True)]).cast(kind))
-    return F.when(F.arrays_overlap(w, F.array(*map(F.lit, rare))), found).otherwise(F.array().cast(kind))
-
-
-def scan(documents: DataFrame) -> DataFrame:
+def matches(w: Column, idf: dict[str, float], templates: tuple[Template, ...] = TEMPLATES) -> Column:
+    """(label, base, at, score) of each place of a template in the words w."""
+    posted = postings(idf, templates)
+    index: dict[str, list[dict[str, int]]] = {}
+    for t, words_ in enumerate(posted):
+        for word, at in words_:
+            index.setdefault(word, []).append({"t": t, "at": at, "n": len(words_)})
+    rows = [{"label": t.label, "base": t.base, "first": t.key[0], "last": t.key[1] - 1, "words": t.words, "weights": [idf[x] for x in t.words], "total": sum(idf[x] for x in t.words)} for t in templates]
+    table_, lookup = literal(rows, TABLE), literal(index, INDEX)
+    rarest = sorted({x[0][0] for x in posted})
+
+    # (template, begin, postings of the template) for each posting of each place of a posted word.
+    places = F.filter(F.transform(w, lambda x, i: F.struct(x.alias("word"), i.alias("at"))), lambda p: p["word"].isin(sorted(index)))
+    begins = F.flatten(F.transform(places, lambda p: F.transform(lookup[p["word"]], lambda q: F.struct(q["t"].alias("t"), (p["at"] - q["at"]).alias("at"), q["n"].alias("n")))))
+    # Sorted, a begin stands as often as postings agree on it: it is a candidate if as many do as the template has.
+    agreed = let(F.sort_array(begins), lambda s: F.filter(s, lambda x, i: F.get(s, i + x["n"] - 1).eqNullSafe(x)))
+
+    def scored(c: Column) -> Column:
+        """The candidate's match, null where the key phrase doesn't stand."""
+        t = F.get(table_, c["t"])
+        same = lambda t, j: F.coalesce(F.get(w, c["at"] + j) == F.get(t["words"], j), F.lit(False))
+        numbers = lambda t: F.sequence(F.lit(0), F.size(t["words"]) - 1)
+        stands = lambda t: (c["at"] + t["first"] >= 0) & F.forall(F.sequence(t["first"], t["last"]), lambda j: same(t, j))
+        found = lambda t: F.aggregate(numbers(t), F.lit(0.0), lambda a, j: a + F.when(same(t, j), F.get(t["weights"], j)).otherwise(0.0))
+        score = lambda t: F.when(t["base"] | (t["total"] <= 0), 1.0).otherwise(found(t) / t["total"])
+        made = lambda t: F.struct(t["label"].alias("label"), t["base"].alias("base"), c["at"].alias("at"), score(t).alias("score"))
+        return let(t, lambda t: F.when(stands(t), made(t)))
+
+    found = F.filter(F.transform(agreed, scored), lambda m: m.isNotNull() & (m["score"] >= LEAST_SHARE)).cast(KIND)
+    return F.when(F.arrays_overlap(w, F.array(*map(F.lit, rarest))), found).otherwise(F.array().cast(KIND))
+
+
+def scan(documents: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> DataFrame:
     """doc_id, n_words and matches of each row."""
-    idf = inverse_frequencies(documents)
-    found = let(words(F.col("text")), lambda w: F.struct(F.size(w).cast("bigint").alias("n_words"), matches(w, idf).alias("matches")))
+    idf = inverse_frequencies(documents, templates)
+    found = let(words(F.col("text")), lambda w: F.struct(F.size(w).cast("bigint").alias("n_words"), matches(w, idf, templates).alias("matches")))
     return documents.select("doc_id", found.alias("found")).select("doc_id", "found.n_words", "found.matches")
 
 

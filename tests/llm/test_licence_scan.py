@@ -48,3 +48,21 @@ def test_no_python_in_the_plan_and_empty_table(odd, none):
     plan = S.scan(odd)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
     assert S.scan(none).collect() == []
+
+
+def test_hundreds_of_templates(spark):
+    words = [f"w{i % 211} x{i % 97} y{i}".split() for i in range(40)]
+    made = [S._template(f"t{n}", " ".join([f"n{n}", *sum(words[n % 7 : n % 7 + 12], []), f"end{n % 5}"]), " ".join([f"n{n}", *words[n % 7][:2]])) for n in range(300)]
+    df = spark.createDataFrame([(n, "before " + " ".join(t.words) + " after") for n, t in enumerate(made)], "doc_id bigint, text string")
+    scan = S.scan(df, tuple(made))
+    assert "from_json" not in scan._jdf.queryExecution().optimizedPlan().toString()
+    rows = {r["doc_id"]: r["matches"] for r in scan.collect()}
+    assert all([(m["label"], m["at"]) for m in rows[n]] == [(f"t{n}", 1)] and rows[n][0]["score"] > 0.999 for n in range(300))
+
+
+def test_postings_must_agree_on_the_begin(spark):
+    t = S._template("x", "alpha beta gamma delta epsilon", "alpha beta gamma")
+    assert [[w for w, _ in p] for p in S.postings({"alpha": 1.0, "beta": 3.0, "gamma": 2.0, "delta": 9.0, "epsilon": 9.0}, (t,))] == [["beta", "gamma", "alpha"]]
+    df = spark.createDataFrame([(1, "beta alpha gamma delta epsilon"), (2, "alpha beta gamma delta epsilon alpha beta gamma"), (3, "alpha beta x gamma")], "doc_id bigint, text string")
+    got = {r["doc_id"]: [(m["at"], round(m["score"], 3)) for m in r["matches"]] for r in S.scan(df, (t,)).collect()}
+    assert got[1] == got[3] == [] and got[2][0] == (0, 1.0)

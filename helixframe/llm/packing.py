@@ -9,8 +9,9 @@ joining on their rank within their length.
 A piece's rank is its rank within a share of its length, plus the sizes of earlier shares, so that a length
 that a third of all pieces has is still ranked in parallel.
 
-Defined results: a null or empty text is one piece, the end token; a document of over LIMIT tokens alone is
-cut; rows that repeat a doc_id are packed each for itself; an empty table gives an empty result; other
+Defined results: a null or empty text is one piece, the end token; a document of over LIMIT tokens alone, however
+long, is cut; of pieces of one length the order by share, doc_id, piece and crc decides, and pieces equal in all these
+are interchangeable; rows that repeat a doc_id are packed each for itself; an empty table gives an empty result; other
 columns are ignored here, whatever their names.
 """
 
@@ -41,7 +42,7 @@ MARK = "\u2665"
 #: Rows of a batch that are tokenized at once.
 ROWS = 256
 #: Pieces in a share of a length, about; see above.
-SHARE = 20_000
+SHARE = 1_000
 #: Runs that are broadcast at most (some 40 bytes each); a longer plan is joined by shuffle.
 MOST_BROADCAST_RUNS = 200_000
 
@@ -216,8 +217,10 @@ def plan(counts: dict[int, int], limit: int = LIMIT) -> pd.DataFrame:
 
 def ranked(found: DataFrame, counts: dict[int, int]) -> DataFrame:
     """found with the column rank: each piece's number, from 0, within its length."""
-    shares = max(1, -(-max(counts.values(), default=0) // SHARE))
-    shared = found.withColumn("share", F.pmod(F.xxhash64("doc_id", "piece", "start"), F.lit(shares)).cast("int"))
+    # Each length has as many shares as its pieces need; a row for each of `limit` lengths at most.
+    shares = found.sparkSession.createDataFrame([(n, max(1, -(-k // SHARE))) for n, k in counts.items()], "length bigint, shares bigint")
+    share = F.pmod(F.xxhash64("doc_id", "piece", "start"), F.col("shares")).cast("int")
+    shared = found.join(F.broadcast(shares), "length").withColumn("share", share).drop("shares").select(*found.columns, "share")
     sizes = shared.groupBy("length", "share").agg(F.count(F.lit(1)).alias("size"))
     earlier = Window.partitionBy("length").orderBy("share").rowsBetween(Window.unboundedPreceding, -1)
     before = sizes.select("length", "share", F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("before"))

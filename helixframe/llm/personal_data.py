@@ -6,13 +6,18 @@ linear in the text: an address is looked for around each @, and digit runs are e
 The field labels white-space-parted words as O, secret, email, phone, ip or card (labelled_table() makes its
 training sentences by rule).  A word's features depend on the word alone and enter for it, for the word before
 and the word after, so that words with equal features share three rows of scores; a task remembers each
-distinct word's row number.  Viterbi runs in numpy over batches: where O's lead at a word exceeds what any
-transition could make up, the best path has O there, so only the runs between such words are decoded, all
-those of one length together.
+distinct word's row number.  Viterbi runs in numpy over batches: where no run of other labels that holds a word could
+make up O's lead by its words and moves, the best path has O there, so only the runs between such words are decoded,
+all those of one length together.
+
+The labelled table mixes secrets of several unlike makes (assigned values, prefixed keys, capitals with digits, pass
+phrases, dotted tokens, key headers) with what only looks like them.  Features are classes of a word, so that makes that
+the table lacks are found too; of a shape its first 12 marks are one feature, and more than 20 digits count as 20.
 
 Spans of the field are added where no pattern's span overlaps; the patterns' spans stay.
 
-Defined results: a null text counts as empty and has no spans; rows that repeat a doc_id each come out; an
+Defined results: a null text counts as empty and has no spans; long texts are searched whole, many short ones together;
+a path that ties with another of the field goes by the order of LABELS; rows that repeat a doc_id each come out; an
 empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
@@ -37,7 +42,7 @@ LABELS = ("O", "secret", "email", "phone", "ip", "card")
 ORDER = {kind: i for i, kind in enumerate((*BASE, "secret"))}
 #: Words a task remembers; then it starts anew.
 MOST_WORDS = 200_000
-SENTENCES, SEED, STEPS, STEP, PRIOR = 400, 11, 150, 0.1, 0.01
+SENTENCES, SEED, STEPS, STEP, PRIOR = 500, 11, 150, 0.1, 0.01
 
 Span = tuple[str, int, int]
 
@@ -115,6 +120,16 @@ def word_features(word: str) -> tuple[str, ...]:
     found.append(f"long={'no' if len(core) < 16 else 'yes' if len(core) < 24 else 'very'}")
     if mixed:
         found.append(f"mixed-{'long' if len(core) >= 20 else 'short'}{'-hex' if re.fullmatch(r'[0-9a-fA-F]+', core) else ''}")
+    if digits and not core.isdigit():
+        # How often the word goes from one kind of character to another: keys do so all along, words and dates rarely.
+        letters = s.replace("_", "").replace("-", "")
+        found.append(f"changes={'few' if len(letters) < 5 else 'some' if len(letters) < 9 else 'many'}")
+        if ("_" in core or "-" in core) and any(c.isalpha() for c in core):
+            found.append(f"joined={'short' if len(core) < 12 else 'long'}")
+    if core.count(".") == 2 and len(core) >= 24:
+        found.append("dotted")
+    if core[:5] == "-----" or core[-5:] == "-----":
+        found.append("header")
     if word == "=" or word.endswith((":", "=")):
         found.append("assigns")
     if "@" in core:
@@ -133,6 +148,7 @@ def labelled_table(sentences: int = SENTENCES, seed: int = SEED) -> list[tuple[l
     rng = random.Random(seed)
     digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
     hexes = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    mixed = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(n))
     syllables = "an be co da en fi ge ha in jo ka lo mi ne or pa qu re so te un vi wh za".split()
 
     def word() -> str:
@@ -142,7 +158,25 @@ def labelled_table(sentences: int = SENTENCES, seed: int = SEED) -> list[tuple[l
 
     def item() -> list[tuple[str, str]]:
         end = rng.choice(("", "", ".", ",", "###", "!!", "%%%"))
-        kind = rng.randrange(15)
+        kind = min(rng.randrange(23), 20)
+        if kind == 15:  # a prefixed key, with or without a word that announces it
+            body = mixed(rng.randint(18, 40))
+            prefix = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 5)))
+            value = [(prefix + rng.choice("_-") + rng.choice(("", "", "test_", "prod-")) + body + end, "secret")]
+            return value if rng.random() < 0.6 else [(rng.choice(("token", "key", "auth")), "O"), *value]
+        if kind == 16:
+            return [("".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(4)) + "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(rng.randint(12, 20))) + end, "secret")]
+        if kind == 17:  # a pass phrase after its word
+            part = lambda: word().strip(EDGES).lower()
+            value = rng.choice((f"{part()}{digits(1)}-{part()}-{part()}", f"{part().capitalize()}{digits(2)}!{part()}", f"{part()}_{digits(4)}", f"{part()}{digits(3)}{part().upper()}"))
+            return [(rng.choice(("password", "passwd", "pwd", "Password:", "password:")), "O"), *([("is", "O")] if rng.random() < 0.2 else []), (value + end, "secret")]
+        if kind == 18:
+            return [(f"ey{mixed(rng.randint(16, 30))}.{mixed(rng.randint(20, 50))}.{mixed(rng.randint(24, 43))}{end}", "secret")]
+        if kind == 19:
+            return [(x, "secret") for x in rng.choice((("-----BEGIN", "PRIVATE", "KEY-----"), ("-----BEGIN", rng.choice(("EC", "DSA")), "PRIVATE", "KEY-----")))]
+        if kind == 20:  # what only looks like a key
+            part = lambda: word().strip(EDGES).lower()
+            return [(rng.choice((f"{part()}-{part()}", f"{part()}_{part()}_{digits(4)}", f"{part()}-{part()}-{digits(1)}", f"v{digits(1)}-{part()}{digits(1)}", f"{digits(4)}-{digits(2)}-{digits(2)}T{digits(2)}:{digits(2)}", part().upper() + part().upper(), f"{part()}.{part()}.{part()}", f"{part()}{digits(2)}", "-----", part().upper() + digits(4), f"{part()}_{digits(4)}_{part()}.pdf", f"https://www.{part()}.example.org/{part()}/{part()[:1]}-{digits(3)}/{part()}.html", f"{digits(3)}-{digits(1)}-{digits(2)}-{digits(6)}-{digits(1)}", f"{digits(4)}-{digits(2)}-{digits(2)}T{digits(2)}:{digits(2)}:{digits(2)}Z", f"{part()}/{part()}-{digits(2)}.{part()}", f"{part()}{digits(1)}{part()[:1]}")) + end, "O")]
         if kind < 4:
             quote = rng.choice(('"', '"', "'", ""))
             value = quote + rng.choice((hexes(rng.choice((20, 32, 40, 64))), "".join(rng.choice("abcdefGHIJKLmnop0123456789") for _ in range(rng.randint(24, 44))))) + quote + end
@@ -157,7 +191,7 @@ def labelled_table(sentences: int = SENTENCES, seed: int = SEED) -> list[tuple[l
         if kind == 7:
             return [(digits(16) + end, "card")]
         if kind == 8:  # what only looks like it
-            return [(rng.choice((digits(4), digits(2), f"{digits(1)}.{digits(1)}", f"{digits(1)}.{digits(2)}.{digits(1)}", f"{digits(3)}-{digits(2)}", f"v{digits(1)}.{digits(1)}")) + end, "O")]
+            return [(rng.choice((digits(4), digits(2), f"{digits(1)}.{digits(1)}", f"{digits(1)}.{digits(2)}.{digits(1)}", f"{digits(3)}-{digits(2)}", f"{digits(4)}-{digits(2)}", f"{digits(2)}-{digits(2)}", f"v{digits(1)}.{digits(1)}")) + end, "O")]
         if kind == 9:
             return [("key", "O"), (word(), "O"), ("=", "O"), (word(), "O")]
         if kind == 10:
@@ -217,25 +251,32 @@ def _forward_backward(emit: np.ndarray, moves: np.ndarray, mask: np.ndarray) ->
 
 def train(rows: list[tuple[list[str], list[str]]]) -> Field:
     """Maximum likelihood with a Gaussian prior, by Adam steps on the exact gradient."""
-    names = sorted({f for words, _ in rows for w in words for f in word_features(w)})
+    # Words with equal features are one row of `known`; the last row, of no features, stands beyond a sentence's ends.
+    kinds = sorted({word_features(w) for words, _ in rows for w in words})
+    number = {k: i for i, k in enumerate(kinds)}
+    names = sorted({f for k in kinds for f in k})
     index = {f: i for i, f in enumerate(names)}
-    n, length, width = len(rows), max(len(w) for w, _ in rows), len(names)
-    x = np.zeros((n, length, width), np.float32)
+    n, length, width, none = len(rows), max(len(w) for w, _ in rows), len(names), len(kinds)
+    known = np.zeros((none + 1, width))
+    for i, k in enumerate(kinds):
+        known[i, [index[f] for f in k]] = 1
+    at = np.full((n, length + 2), none)
     gold, mask = np.zeros((n, length, len(LABELS))), np.zeros((n, length), bool)
     for i, (words, labels) in enumerate(rows):
         for t, (word, label) in enumerate(zip(words, labels, strict=True)):
-            x[i, t, [index[f] for f in word_features(word)]] = 1
+            at[i, t + 1] = number[word_features(word)]
             gold[i, t, LABELS.index(label)], mask[i, t] = 1, True
-    left, right = np.zeros_like(x), np.zeros_like(x)
-    left[:, 1:], right[:, :-1] = x[:, :-1], x[:, 1:]
-    flat = np.concatenate([x, left, right], axis=2).reshape(n * length, 3 * width) * mask.reshape(-1, 1)
+    views = [at[:, 1:-1], at[:, :-2], at[:, 2:]]  # the word, the one before, the one after
     gold_pairs = np.einsum("ntk,ntl->kl", gold[:, :-1], gold[:, 1:])
     theta = np.zeros((3 * width + len(LABELS), len(LABELS)))
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, STEPS + 1):
-        emit = (flat @ theta[: 3 * width]).reshape(n, length, -1) * mask[:, :, None]
+        parts = theta[: 3 * width].reshape(3, width, -1)
+        emit = sum((known @ p)[x] for p, x in zip(parts, views, strict=True)) * mask[:, :, None]
         single, pairs = _forward_backward(emit, theta[3 * width :], mask)
-        g = np.concatenate([flat.T @ (gold - single).reshape(n * length, -1), gold_pairs - pairs]) / n - PRIOR * theta / 10
+        off = (gold - single) * mask[:, :, None]
+        by_kind = [np.stack([np.bincount(x.ravel(), off[:, :, k].ravel(), none + 1) for k in range(len(LABELS))], axis=1) for x in views]
+        g = np.concatenate([*(known.T @ x for x in by_kind), gold_pairs - pairs]) / n - PRIOR * theta / 10
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         theta += STEP * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
     return Field(index, theta[:width], theta[width : 2 * width], theta[2 * width : 3 * width], theta[3 * width :])
@@ -268,8 +309,10 @@ class Decoder:
     def __init__(self, found: Field):
         self.field = found
         self.moves = found.moves
-        # O at a word changes two transitions at most.
-        self.lead = 2 * (found.moves.max() - found.moves.min())
+        # What a run of other labels can gain over O's by its moves: at its ends, and for each step inside.
+        here = found.moves[0, 0]
+        self.ends = max(0.0, (found.moves[0, 1:] - here).max()) + max(0.0, (found.moves[1:, 0] - here).max())
+        self.step = (found.moves[1:, 1:] - here).max()
         self.known: dict[str, int] = {}
         self.by_features: dict[tuple[str, ...], int] = {}
         self.scores: list[np.ndarray] = []
@@ -283,6 +326,13 @@ class Decoder:
         self.known[word] = at
         return at
 
+    def unsure(self, emit: np.ndarray) -> np.ndarray:
+        """The words that may have another label than O: those in a run whose words and moves together may beat O's."""
+        sums = np.concatenate([[0], np.cumsum(emit[:, 1:].max(axis=1) - emit[:, 0] + self.step)])
+        # The best run that holds a word begins where the sum before it is least and ends where it is greatest.
+        best = np.maximum.accumulate(sums[:0:-1])[::-1] - np.minimum.accumulate(sums[:-1])
+        return best >= self.step - self.ends - 1e-6
+
     def labels(self, texts: list[list[str]]) -> dict[int, list[tuple[int, int]]]:
         """text number -> (word number, label) of its words that aren't O."""
         if len(self.known) > MOST_WORDS:
@@ -301,7 +351,7 @@ class Decoder:
         emit = rows[at, 0]
         emit[1:] += np.where(starts[1:, None], 0, rows[at[:-1], 1])
         emit[:-1] += np.where(ends[:-1, None], 0, rows[at[1:], 2])
-        unsure = emit[:, 0] - emit[:, 1:].max(axis=1) <= self.lead
+        unsure = self.unsure(emit)
         where = np.flatnonzero(unsure)
         if not len(where):
             return {}

@@ -16,7 +16,7 @@ Nothing is shuffled, broadcast or collected.  A task's dictionary restarts when
 its memory is bounded.  Words over LONG_WORD bytes, for which a fold takes time as the square of the length,
 have their merges ordered by a heap instead, with the same result.
 
-Defined results: a null or empty text has no tokens (the hashes are those of no bytes); rows that repeat a
+Defined results: of equally ranked pairs the leftmost is merged first; a null or empty text has no tokens (the hashes are those of no bytes); rows that repeat a
 doc_id each come out; an empty table gives an empty result; other columns are ignored, whatever their names.
 """
 

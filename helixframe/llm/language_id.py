@@ -9,7 +9,7 @@ softmax, and the confidence below which a text is rejected.
 For prediction the embedding times the softmax weights is one table (bucket, language), so that whole texts
 are scored by vectorised look-ups, in parts of PART bytes.
 
-Defined results: a null text, one without a letter, or a table without labelled rows gives `und` with score 0;
+Defined results: of equally likely languages the first by name is given; texts of any length are read in parts; a null text, one without a letter, or a table without labelled rows gives `und` with score 0;
 a text with letters but without subwords (one or two bytes) gets the prior's best language; rows that
 repeat a doc_id each come out; an empty table gives an empty result; other columns are ignored, whatever their
 names.

@@ -8,7 +8,8 @@ A word is a longest run of characters other than space and \\x09-\\x0D.  Repeate
 found in three steps within the row: each window's hash and position are packed into one long, sorted,
 and windows that share the hash bits with a neighbour are compared as texts.
 
-Defined results: a null or empty text has no words and fails; a null source is no host, so that its
+Defined results: a null or empty text has no words and fails; texts of up to 2^28 words are judged whole, each within its
+row; a host at the bound itself is not rejected; a null source is no host, so that its
 documents are judged by the base rules alone; rows that repeat a doc_id each count; an empty table gives
 an empty result; other columns are ignored, whatever their names.
 """

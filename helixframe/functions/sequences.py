@@ -228,6 +228,7 @@ def within_hamming(a: str | Column, b: str | Column, most: int = 1) -> Column:
 
 
 def trimmed_number(c: str | Column, digits: int) -> Column:
-    """A number as text with at most so many digits after the point, without zeros at its end."""
+    """A number as text with at most so many digits after the point, without zeros at its end; a half, as the shortest
+    decimal that stands for the number shows it, is rounded away from zero."""
     text = F.format_string(f"%.{digits}f", col(c).cast("double"))
     return F.when(F.lit(digits) > 0, F.regexp_replace(F.regexp_replace(text, "0+$", ""), r"\.$", "")).otherwise(text)

@@ -30,7 +30,35 @@ def threshold_consensus(pileup: DataFrame, keys: list[str], base: str, n: str, t
 def pileup(alignments: DataFrame, ref: str, pos: str, cigar_ops: str, seq: str, most_deletion: int = 150) -> DataFrame:
     """ref, position, base, n from alignments with an array of (length, op); deleted bases count as -, unless the
     alignment has a deletion or skip over most_deletion, and insertions are left to `insertions`."""
-    spans = F.aggregate(
+    spans = _spans(cigar_ops, pos)
+    long_gap = F.exists(cigar_ops, lambda o: o["op"].isin("D", "N") & (o["length"] > most_deletion))
+    rows = alignments.select(ref, seq, long_gap.alias("__long"), F.explode(spans).alias("s")).where(F.col("s.op").isin("M", "=", "X") | (F.col("s.op").isin("D", "N") & ~F.col("__long")))
+    bases = rows.select(ref, seq, "s", F.explode(F.sequence(F.lit(0), F.col("s.length") - 1)).alias("i"))
+    base = F.when(F.col("s.op").isin("D", "N"), "-").otherwise(F.upper(F.substring(F.col(seq), F.col("s.q") + F.col("i") + 1, F.lit(1))))
+    return bases.select(ref, (F.col("s.r") + F.col("i")).alias("position"), F.when(base.isin("A", "C", "G", "T", "-"), base).otherwise("N").alias("base")).groupBy(ref, "position", "base").agg(F.count(F.lit(1)).alias("n"))
+
+
+def insertions(alignments: DataFrame, piles: DataFrame, ref: str, pos: str, cigar_ops: str, seq: str) -> DataFrame:
+    """ref, position, column, base, n: the columns inserted after a reference position (-1: before the first), each with
+    the bases of the alignments that have it; `-` counts the rest of the coverage there, the sum of the piles of the
+    position (of the nearest end for one outside)."""
+    spans = alignments.select(ref, seq, F.explode(_spans(cigar_ops, pos)).alias("s")).where("s.op = 'I'")
+    columns = spans.select(ref, seq, "s", F.explode(F.sequence(F.lit(0), F.col("s.length") - 1)).alias("column"))
+    base = F.upper(F.substring(F.col(seq), F.col("s.q") + F.col("column") + 1, F.lit(1)))
+    found = columns.select(ref, (F.col("s.r") - 1).alias("position"), "column", F.when(base.isin("A", "C", "G", "T"), base).otherwise("N").alias("base"))
+    counts = found.groupBy(ref, "position", "column", "base").agg(F.count(F.lit(1)).alias("n"))
+    observed = counts.groupBy(ref, "position", "column").agg(F.sum("n").alias("__seen"))
+    coverage = piles.groupBy(ref, "position").agg(F.sum("n").alias("__coverage"))
+    ends = coverage.groupBy(ref).agg(F.max("position").alias("__last"))
+    at = F.least(F.greatest("position", F.lit(0)), "__last")
+    sides = observed.join(ends, ref).withColumn("__at", at).join(coverage.withColumnRenamed("position", "__at"), [ref, "__at"], "left")
+    rest = sides.select(ref, "position", "column", F.lit("-").alias("base"), (F.coalesce("__coverage", F.lit(0)) - F.col("__seen")).alias("n")).where("n > 0")
+    return counts.unionByName(rest)
+
+
+def _spans(cigar_ops: str, pos: str) -> Column:
+    """(r, q, length, op) of each operation: where it begins in the reference and in the read."""
+    return F.aggregate(
         cigar_ops,
         F.struct(F.col(pos).cast("int").alias("r"), F.lit(0).alias("q"), F.array().cast("array<struct<r:int,q:int,length:int,op:string>>").alias("out")),
         lambda a, o: F.struct(
@@ -40,11 +68,6 @@ def pileup(alignments: DataFrame, ref: str, pos: str, cigar_ops: str, seq: str,
         ),
         lambda a: a["out"],
     )
-    long_gap = F.exists(cigar_ops, lambda o: o["op"].isin("D", "N") & (o["length"] > most_deletion))
-    rows = alignments.select(ref, seq, long_gap.alias("__long"), F.explode(spans).alias("s")).where(F.col("s.op").isin("M", "=", "X") | (F.col("s.op").isin("D", "N") & ~F.col("__long")))
-    bases = rows.select(ref, seq, "s", F.explode(F.sequence(F.lit(0), F.col("s.length") - 1)).alias("i"))
-    base = F.when(F.col("s.op").isin("D", "N"), "-").otherwise(F.upper(F.substring(F.col(seq), F.col("s.q") + F.col("i") + 1, F.lit(1))))
-    return bases.select(ref, (F.col("s.r") + F.col("i")).alias("position"), F.when(base.isin("A", "C", "G", "T", "-"), base).otherwise("N").alias("base")).groupBy(ref, "position", "base").agg(F.count(F.lit(1)).alias("n"))
 
 
 def presence(effective: Column, specific: Column, ambiguous: Column) -> Column:
@@ -152,10 +175,13 @@ def sample_stats(rows: DataFrame, sample: str) -> DataFrame:
 
 
 def best_candidate(candidates: DataFrame, locus: str) -> DataFrame:
-    """The best contig of each locus: supported bases damped by low unique density, uneven depth and depth peaks; then
-    unique reads, length, id."""
-    score = F.col("supported") * F.least(F.lit(1.0), F.col("unique_density") / 0.01) / (1 + F.col("depth_cv")) * F.least(F.lit(1.0), 10 / F.col("depth_ratio"))
-    order = [F.desc("score"), F.desc("unique_reads"), F.desc("length"), F.col("id")]
+    """The best contig of each locus by nine keys in turn, the greater each time: supported bases damped by low density of
+    unique reads, uneven depth and depth peaks (score); breadth; that density; the least share of its widest gap; length;
+    unique reads; reads; flank balance; weight.  Of equals the least id."""
+    density = F.when(F.col("length") > 0, F.col("unique_reads") / F.col("length")).otherwise(0.0)
+    gap = F.when(F.col("length") > 0, F.col("max_gap") / F.col("length")).otherwise(1.0)
+    score = F.col("supported") * F.least(F.lit(1.0), density / 0.01) * (1 / (1 + F.col("depth_cv"))) * F.least(F.lit(1.0), 10 / F.greatest(F.col("depth_ratio"), F.lit(1.0)))
+    order = [F.desc("score"), F.desc("breadth"), density.desc(), gap.asc(), *map(F.desc, ("length", "unique_reads", "reads", "flank_balance", "weight")), F.col("id")]
     ranked = candidates.withColumn("score", score)
     return ranked.withColumn("__n", F.row_number().over(Window.partitionBy(locus).orderBy(*order))).where("__n = 1").drop("__n")
 
@@ -183,6 +209,15 @@ def reference_lengths(refs: DataFrame, locus: str, seq: str) -> DataFrame:
     return refs.groupBy(locus).agg(F.round(F.avg(F.length(F.regexp_replace(seq, "[-Nn]", "")))).cast("bigint").alias("mean_length"))
 
 
+def exact_subset(sites: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of sites whose keys wanted has; an error unless each of wanted has exactly one."""
+    found = sites.join(wanted.select(*keys).distinct(), keys, "left_semi")
+    n, distinct, total = found.count(), found.select(*keys).distinct().count(), wanted.select(*keys).distinct().count()
+    if not n == distinct == total:
+        raise ValueError(f"{total} sites wanted, {n} rows of {distinct} sites found")
+    return found
+
+
 def enrich(df: DataFrame, tables: list[tuple[DataFrame, str, dict[str, str]]]) -> DataFrame:
     """df with columns of other tables, each (table, key, column -> literal where it has no row)."""
     for other, key, defaults in tables:

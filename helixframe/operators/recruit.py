@@ -1,6 +1,6 @@
 """Recruitment of fragments to reference loci by shared canonical k-mers.
 
-The reference's k-mers form an index.  If it has at most MOST_BROADCAST of them, it goes to the executors as two
+The reference's k-mers form an index.  If it takes at most MOST_BROADCAST bytes, it goes to the executors as two
 sorted arrays, and each task looks its fragments' k-mers up: fragments are neither exploded nor shuffled.  A
 larger reference is joined by a shuffle on the k-mer.
 """
@@ -8,6 +8,7 @@ larger reference is joined by a shuffle on the k-mer.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -17,8 +18,8 @@ from pyspark.sql import functions as F
 from helixframe.functions import kernels
 from helixframe.operators.tables import stored
 
-#: (k-mer, locus) pairs of an index that is broadcast: 16 bytes each.
-MOST_BROADCAST = 4_000_000
+#: Bytes of an index that is broadcast: a k-mer has 8, or k over 31 bases, and its locus 8.
+MOST_BROADCAST = 64_000_000
 #: Sequences of a batch that are looked up at once.
 ROWS = 512
 
@@ -70,17 +71,14 @@ def reference_index(refs: DataFrame, locus: str, seq: str, k: int) -> DataFrame:
 def recruit(frags: DataFrame, frag: str, seqs: list[str], index: DataFrame, k: int, step: int = 1) -> DataFrame:
     """frag, locus: each locus of which any of the fragment's sequences has a k-mer; a fragment may have many.
 
-    frags has one row for each fragment, both mates of a pair in its columns `seqs`.
+    frags has one row for each fragment, all its sequences (both mates of a pair) in its columns `seqs`.
     """
     spark = frags.sparkSession
-    index = index.cache()
-    size = index.limit(MOST_BROADCAST + 1).count()
-    if size > MOST_BROADCAST:
-        parts = [seq_kmers(frags, [frag], s, k, step).select(frag, "kmer").distinct() for s in seqs]
-        hits = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1]).distinct()
-        return hits.join(index, "kmer").select(frag, "locus").distinct()
+    index = stored(index)
+    if index.count() * (8 + (8 if k <= kernels.MOST_K else k)) > MOST_BROADCAST:
+        parts = [seq_kmers(frags, [frag], s, k, step).select(frag, "kmer") for s in seqs]
+        return reduce(DataFrame.unionByName, parts).distinct().join(index, "kmer").select(frag, "locus").distinct()
     table = index.toArrow()
-    index.unpersist()
     loci = sorted(set(table.column("locus").to_pylist()))
     number = {x: i for i, x in enumerate(loci)}
     keys = table.column("kmer").to_numpy() if k <= kernels.MOST_K else np.array([x.encode() for x in table.column("kmer").to_pylist()], f"S{k}")

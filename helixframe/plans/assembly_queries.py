@@ -164,22 +164,29 @@ def _contigs(spark, sf_dir):
         F.floor(F.col("l_quantity") * (1 - F.col("l_discount"))).cast("bigint").alias("supported"),
         (F.col("l_tax") / 4).alias("unique_density"),
         F.col("l_discount").alias("depth_cv"),
-        (F.col("l_linenumber") * 3.0).alias("depth_ratio"),
+        ((F.col("l_linenumber") - 1) * 3.0).alias("depth_ratio"),
         (F.col("l_suppkey") % 9).alias("unique_reads"),
+        (F.col("l_suppkey") % 5 / 4).alias("breadth"),
+        (F.col("l_orderkey") % 7).alias("max_gap"),
+        (F.col("l_suppkey") % 9 + F.col("l_orderkey") % 3).alias("reads"),
+        (F.col("l_partkey") % 3 / 2).alias("flank_balance"),
+        (F.col("l_orderkey") % 11).alias("weight"),
         (F.col("l_linestatus") == "F").alias("accepted"),
     )
 
 
 SQL_CONTIGS = """c AS (SELECT l_partkey AS locus, l_orderkey * 8 + l_linenumber AS id, l_quantity AS length, floor(l_quantity * (1 - l_discount))::BIGINT AS supported, l_tax / 4 AS unique_density, l_discount AS depth_cv,
-l_linenumber * 3.0::DOUBLE AS depth_ratio, l_suppkey % 9 AS unique_reads, l_linestatus = 'F' AS accepted FROM lineitem)"""
+(l_linenumber - 1) * 3.0::DOUBLE AS depth_ratio, l_suppkey % 9 AS unique_reads, l_suppkey % 5 / 4 AS breadth, l_orderkey % 7 AS max_gap,
+l_suppkey % 9 + l_orderkey % 3 AS reads, l_partkey % 3 / 2 AS flank_balance, l_orderkey % 11 AS weight, l_linestatus = 'F' AS accepted FROM lineitem)"""
 
 
 def best_candidate(spark, sf_dir):
     return cohort.best_candidate(_contigs(spark, sf_dir), "locus").select("locus", "id", F.round("score", 6).alias("score"))
 
 
-BEST = f"""WITH {SQL_CONTIGS}, s AS (SELECT *, supported * least(1.0::DOUBLE, unique_density / 0.01::DOUBLE) / (1 + depth_cv) * least(1.0::DOUBLE, 10 / depth_ratio) AS score FROM c),
-r AS (SELECT *, row_number() OVER (PARTITION BY locus ORDER BY score DESC, unique_reads DESC, length DESC, id) AS n FROM s) SELECT locus, id, round(score, 6)::DOUBLE AS score FROM r WHERE n = 1"""
+BEST = f"""WITH {SQL_CONTIGS}, d AS (SELECT *, unique_reads / length AS density, max_gap / length AS gap FROM c),
+s AS (SELECT *, supported * least(1.0::DOUBLE, density / 0.01::DOUBLE) * (1 / (1 + depth_cv)) * least(1.0::DOUBLE, 10 / greatest(depth_ratio, 1)) AS score FROM d),
+r AS (SELECT *, row_number() OVER (PARTITION BY locus ORDER BY score DESC, breadth DESC, density DESC, gap, length DESC, unique_reads DESC, reads DESC, flank_balance DESC, weight DESC, id) AS n FROM s) SELECT locus, id, round(score, 6)::DOUBLE AS score FROM r WHERE n = 1"""
 
 
 def population_reference(spark, sf_dir):

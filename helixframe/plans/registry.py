@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from helixframe.plans import assembly_queries, cohort_queries, recruit_queries
+from helixframe.plans import assembly_queries, cohort_queries, recruit_queries, source_queries, table_queries
 
-_ALL = recruit_queries.QUERIES | cohort_queries.QUERIES | assembly_queries.QUERIES
+_ALL = recruit_queries.QUERIES | cohort_queries.QUERIES | assembly_queries.QUERIES | table_queries.QUERIES | source_queries.QUERIES
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: query for name, (query, _) in _ALL.items()}
 #: Queries that SQL cannot express have none.

@@ -5,7 +5,7 @@ Lines are numbered per file: within a split by their order, before it by the cou
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from helixframe.functions.sequences import locus_name, pair_id
@@ -39,9 +39,38 @@ def _check(condition, message: str, value):
     return F.when(condition, value).otherwise(F.raise_error(F.lit(message)).cast("string"))
 
 
+def _is_blank() -> Column:
+    return F.trim("line") == ""
+
+
+def _without_gaps(lines: DataFrame) -> DataFrame:
+    """lines, numbered anew, without blank ones between records.
+
+    A blank line between a header and a plus line is a sequence, and one after such a plus line its quality; no other line
+    of a record is blank, and no record has a plus line elsewhere.
+    """
+    blank = lines.where(_is_blank()).select("file", "n")
+    near = blank
+    for name, step in (("after", 1), ("before", -1), ("before2", -2), ("before3", -3)):
+        near = near.join(lines.select("file", (F.col("n") - step).alias("n"), F.col("line").alias(name)), ["file", "n"], "left")
+    is_seq = F.col("before").startswith("@") & F.col("after").startswith("+")
+    is_qual = F.col("before").startswith("+") & (F.trim("before2") == "") & F.col("before3").startswith("@")
+    gaps = near.where(~F.coalesce(is_seq | is_qual, F.lit(False))).select("file", "n")
+    rest = lines.join(gaps, ["file", "n"], "left_anti").withColumn("__block", F.floor(F.col("n") / 100_000))
+    sizes = rest.groupBy("file", "__block").agg(F.count(F.lit(1)).alias("__size"))
+    before = F.coalesce(F.sum("__size").over(Window.partitionBy("file").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = F.row_number().over(Window.partitionBy("file", "__block").orderBy("n")) - 1
+    return rest.withColumn("__inside", inside).join(sizes.withColumn("__before", before), ["file", "__block"]).select("file", (F.col("__before") + F.col("__inside")).alias("n"), "line")
+
+
 def read_fastq(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """file, ord (from 0), header, seq, plus, qual; a malformed record is an error."""
-    lines = numbered_lines(spark, path)
+    """file, ord (from 0), header, seq, plus, qual; a malformed record is an error.
+
+    Blank lines before a header are passed over; those of a read without bases are its sequence and quality.
+    """
+    lines = numbered_lines(spark, path, drop_blank=False)
+    if not lines.where(_is_blank()).isEmpty():
+        lines = _without_gaps(lines)
     records = lines.groupBy("file", F.floor(F.col("n") / 4).cast("bigint").alias("ord")).agg(*[F.max(F.when(F.col("n") % 4 == i, F.col("line"))).alias(c) for i, c in enumerate(("header", "seq", "plus", "qual"))])
     whole = F.col("header").isNotNull() & F.col("seq").isNotNull() & F.col("plus").isNotNull() & F.col("qual").isNotNull()
     good = F.coalesce(whole & F.col("header").startswith("@") & F.col("plus").startswith("+") & (F.length("seq") == F.length("qual")), F.lit(False))

@@ -36,6 +36,16 @@ def test_recruit_both_ways_and_both_strands(spark, monkeypatch, k):
     assert {tuple(r) for r in recruit.recruit(frags, "frag", ["seq"], recruit.reference_index(refs, "locus", "seq", k), k).collect()} == want
 
 
+def test_each_of_three_sequences_counts_both_ways(spark, monkeypatch):
+    a, b, c = dna(60, 11), dna(60, 12), dna(60, 13)
+    refs = spark.createDataFrame([(0, a), (1, b), (2, c)], "locus bigint, seq string")
+    frags = spark.createDataFrame([(1, a[:40], b[:40], c[:40])], "frag bigint, r1 string, r2 string, r3 string")
+    found = lambda: sorted(r["locus"] for r in recruit.recruit(frags, "frag", ["r1", "r2", "r3"], recruit.reference_index(refs, "locus", "seq", 21), 21).collect())
+    assert found() == [0, 1, 2]
+    monkeypatch.setattr(recruit, "MOST_BROADCAST", 10)
+    assert found() == [0, 1, 2]
+
+
 def test_either_mate_suffices_and_pairs_count_twice(spark):
     a = dna(75, 5)
     refs = spark.createDataFrame([(1, a)], "locus bigint, seq string")
@@ -384,6 +394,10 @@ def test_repeats(spark):
     df = spark.createDataFrame([(2, 0.0, 9, 0.0, 0.0, 0.0, "X"), (170, 0.0, 9, 0.0, 0.0, 0.0, "X"), (0, 0.0, 9, 0.9, 0.7, 0.2, "LTR"), (0, 0.9, 9, 0.0, 0.0, 0.0, "X"), (0, 0.0, 9, 0.0, 0.0, 0.0, "X"), (0, 0.0, 1, 0.0, 0.0, 0.0, "X")], "p int, f double, s int, i double, c double, d double, k string")
     assert [r[0] for r in df.select(repeats.annotation(*(F.col(x) for x in "pfsicdk"))).collect()] == ["simple_repeat", "satellite", "LTR", "foldback", "unknown", "unsupported"]
     low, high = repeats.bootstrap_interval(100, 10_000)
+    assert (low, high) == repeats.bootstrap_interval(100, 10_000) != repeats.bootstrap_interval(100, 10_000, seed=2)
+    assert repeats.bootstrap_interval(10, 10) == (1e6, 1e6) and repeats.bootstrap_interval(0, 10) == (0.0, 0.0)
+    first = next(repeats.xorshift(1))  # 1 -> 8193 -> 8193 ^ 64 -> shifted left by 17
+    assert first == (((8193 ^ 64) ^ ((8193 ^ 64) << 17)) >> 11) / 2**53
     assert low < 10_000 < high and repeats.bootstrap_interval(1, 0) == (0.0, 0.0)
 
 
@@ -433,9 +447,17 @@ def test_exact_evidence_and_votes(spark):
 
 
 def test_candidates(spark):
-    rows = [("u", 1, 100, 90, 0.02, 0.5, 2.0, 3, True), ("u", 2, 200, 150, 0.001, 3.0, 40.0, 9, True), ("u", 3, 300, 250, 0.02, 0.1, 2.0, 0, True), ("u", 4, 400, 400, 0.02, 0.1, 2.0, 5, False)]
+    rows = [("u", 1, 100, 90, 0.02, 0.5, 2.0, 3, True), ("u", 2, 200, 150, 0.001, 3.0, 40.0, 9, True), ("u", 3, 300, 250, 0.02, 0.1, 2.0, 0, True), ("u", 4, 400, 400, 0.02, 0.1, 0.0, 5, False)]
     df = spark.createDataFrame(rows, "locus string, id int, length int, supported int, unique_density double, depth_cv double, depth_ratio double, unique_reads int, accepted boolean")
-    assert cohort.best_candidate(df, "locus").first()["id"] == 4
+    keys = {"breadth": 0.5, "max_gap": 3, "reads": 9, "flank_balance": 0.5, "weight": 7}
+    whole = df.withColumns({k: F.lit(v) for k, v in keys.items()})
+    assert cohort.best_candidate(whole, "locus").first()["id"] == 4
+    # Equal in all but one key, in its order: each of the later ones decides alone.
+    same = dict(locus="u", length=100, supported=90, depth_cv=0.0, depth_ratio=0.0, unique_reads=50, **keys)
+    for key, better in (("breadth", 0.6), ("max_gap", 2), ("reads", 10), ("flank_balance", 0.6), ("weight", 8)):
+        pair = spark.createDataFrame([same | {"id": 1}, same | {"id": 2, key: better}])
+        assert cohort.best_candidate(pair, "locus").first()["id"] == 2
+    assert cohort.best_candidate(spark.createDataFrame([same | {"id": 2}, same | {"id": 1}]), "locus").first()["id"] == 1
     assert [cohort.population_reference(df, "locus", s).first()["id"] for s in ("longest", "density")] == [2, 1]
     assert cohort.population_reference(df, "locus").first()["candidate_count"] == 2
     with pytest.raises(ValueError):

@@ -127,3 +127,9 @@ def test_sinks(spark, tmp_path):
     assert sinks.same_rows(back.select("name", "seq"), df)
     sinks.write_by_locus(df, str(tmp_path / "parts"), "name")
     assert sinks.same_rows(spark.read.parquet(str(tmp_path / "parts")).select(F.col("name").cast("string"), "seq"), df)
+
+
+def test_fastq_reads_without_bases_and_gaps_between_records(spark, tmp_path):
+    text = "\n\n@a\n\n+\n\n\n@b\nAC\n+\n@+\n@c\n\n+\n\n@d\nG\n+b\n+\n\n"
+    rows = fastx.read_fastq(spark, put(tmp_path, "gaps.fastq", text)).orderBy("ord").collect()
+    assert [(r["header"], r["seq"], r["qual"]) for r in rows] == [("a", "", ""), ("b", "AC", "@+"), ("c", "", ""), ("d", "G", "+")]

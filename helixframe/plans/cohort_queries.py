@@ -19,7 +19,7 @@ def near_duplicate_pairs(spark, sf_dir):
 PAIRS = f"""WITH RECURSIVE {FRAGMENTS}, {sql_windows('w', 'fragments', 'frag', 'seq', 15)},
 m AS (SELECT frag, pos, min(kmer) OVER (PARTITION BY frag ORDER BY pos ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING) AS m, count(*) OVER (PARTITION BY frag) AS n FROM w),
 s AS (SELECT DISTINCT frag, m FROM m WHERE pos <= greatest(n - 10, 0)),
-few AS (SELECT m FROM s GROUP BY m HAVING count(*) BETWEEN 2 AND 128),
+few AS (SELECT m FROM s GROUP BY m HAVING count(*) > 1),
 size AS (SELECT frag, count(*) AS n FROM s GROUP BY frag),
 cand AS (SELECT DISTINCT x.frag AS a, y.frag AS b FROM s x JOIN few USING (m) JOIN s y USING (m) WHERE x.frag < y.frag),
 shared AS (SELECT a, b, count(*) AS k FROM cand JOIN s x ON x.frag = a JOIN s y ON y.frag = b AND x.m = y.m GROUP BY a, b),

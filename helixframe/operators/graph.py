@@ -168,9 +168,15 @@ def similar_pairs(sketches: DataFrame, id_: str, sketch: str, least: float) -> D
 
 
 def similarity_edges(sketches: DataFrame, id_: str, sketch: str, least: float) -> DataFrame:
-    """a, b: fewer edges than similar_pairs has pairs, with the same components; equal sketches make a star."""
+    """a, b, jaccard: similar_pairs without all pairs of equal sketches.
+
+    Of rows with equal sketches the one with the least id represents them: it has a pair of similarity 1 with each of
+    the others, and it alone is in the pairs with other sketches.  A group of n equal rows thus gives n - 1 rows, the
+    components are those of similar_pairs, and every pair follows from its rows' representatives.
+    """
     members, near = _near_groups(sketches, id_, sketch, least)
-    return near.select("a", "b").unionByName(members.where("rep < id").select(F.col("rep").alias("a"), F.col("id").alias("b")))
+    equal = members.where("rep < id").select(F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("jaccard"))
+    return near.select("a", "b", "jaccard").unionByName(equal)
 
 
 def connected_components(edges: DataFrame) -> DataFrame:

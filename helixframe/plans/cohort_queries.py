@@ -13,7 +13,7 @@ LENGTH = 150.0
 
 def near_duplicate_pairs(spark, sf_dir):
     sketches = evidence.minimizer_sketches(fragments(spark, sf_dir), "frag", "seq", 15, 10)
-    return graph.similar_pairs(sketches, "frag", "sketch", 0.8).withColumn("jaccard", F.round("jaccard", 9))
+    return graph.similarity_edges(sketches, "frag", "sketch", 0.8).withColumn("jaccard", F.round("jaccard", 9))
 
 
 PAIRS = f"""WITH RECURSIVE {FRAGMENTS}, {sql_windows('w', 'fragments', 'frag', 'seq', 15)},
@@ -24,7 +24,11 @@ size AS (SELECT frag, count(*) AS n FROM s GROUP BY frag),
 cand AS (SELECT DISTINCT x.frag AS a, y.frag AS b FROM s x JOIN few USING (m) JOIN s y USING (m) WHERE x.frag < y.frag),
 shared AS (SELECT a, b, count(*) AS k FROM cand JOIN s x ON x.frag = a JOIN s y ON y.frag = b AND x.m = y.m GROUP BY a, b),
 pairs AS (SELECT a, b, k::DOUBLE / (p.n + q.n - k) AS jaccard FROM shared JOIN size p ON p.frag = a JOIN size q ON q.frag = b WHERE k::DOUBLE / (p.n + q.n - k) >= 0.8)"""
-NEAR_PAIRS = f"{PAIRS} SELECT a, b, round(jaccard, 9) AS jaccard FROM pairs"
+NEAR_PAIRS = f"""{PAIRS},
+alike AS (SELECT frag, min(frag) OVER (PARTITION BY sketch) AS rep FROM (SELECT frag, list(m ORDER BY m) AS sketch FROM s GROUP BY frag)),
+reps AS (SELECT rep FROM alike WHERE rep = frag)
+SELECT a, b, round(jaccard, 9) AS jaccard FROM pairs WHERE a IN (FROM reps) AND b IN (FROM reps)
+UNION ALL SELECT rep, frag, 1.0::DOUBLE FROM alike WHERE rep < frag"""
 
 
 def similarity_components(spark, sf_dir):

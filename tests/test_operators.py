@@ -193,7 +193,13 @@ def test_similar_pairs_of_a_group_beyond_any_cap(spark):
         want = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b and sets[a] and len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b])}
         found = graph.similar_pairs(df, "id", "s", least).collect()
         assert len(found) == len(want) and {(x["a"], x["b"]): x["jaccard"] for x in found} == want
-        part = graph.connected_components(graph.similarity_edges(df, "id", "s", least))
+        edges = graph.similarity_edges(df, "id", "s", least)
+        rep = {i: min(j for j in sets if sets[j] == sets[i]) for i in sets}
+        stars = {(rep[i], i): 1.0 for i in sets if rep[i] < i and sets[i]}
+        rows = edges.collect()
+        assert len(rows) == len({(x["a"], x["b"]) for x in rows})
+        assert {(x["a"], x["b"]): x["jaccard"] for x in rows} == stars | {(a, b): j for (a, b), j in want.items() if rep[a] == a and rep[b] == b}
+        part = graph.connected_components(edges)
         whole = graph.connected_components(spark.createDataFrame(list(want), "a bigint, b bigint"))
         assert sorted(map(tuple, part.collect())) == sorted(map(tuple, whole.collect()))
     assert graph.similar_pairs(df.limit(0), "id", "s", 0.8).collect() == []

@@ -102,6 +102,21 @@ def translate_codons(c: str | Column) -> Column:
     return F.when(n > 0, F.array_join(found, "")).otherwise(F.lit(""))
 
 
+def back_translate(aligned: str | Column, cds: str | Column) -> Column:
+    """Codons of cds in the columns of its aligned amino acids, --- for each gap; null where cds has too few codons."""
+    cds = col(cds)
+    runs = F.regexp_extract_all(col(aligned), F.lit("(-+|[^-]+)"), 1)
+    start = F.struct(F.lit(0).alias("used"), F.lit("").alias("codons"))
+
+    def longer(state: Column, run: Column) -> Column:
+        n, gap = F.length(run), run.startswith("-")
+        codons = F.when(gap, F.repeat(F.lit("---"), n)).otherwise(F.substring(cds, state["used"] * 3 + 1, n * 3))
+        return F.struct((state["used"] + F.when(gap, 0).otherwise(n)).alias("used"), F.concat(state["codons"], codons).alias("codons"))
+
+    found = F.aggregate(runs, start, longer)
+    return F.when(found["used"] * 3 <= F.length(cds), found["codons"])
+
+
 def dinucleotide_entropy(c: str | Column) -> Column:
     """Shannon entropy in bits of the two-base windows without ambiguous bases; 0 without any."""
     pairs = F.filter(kmers(F.upper(col(c)), 2), lambda x: x.rlike("^[ACGT]{2}$"))

@@ -168,6 +168,24 @@ def informative_columns(alignment: DataFrame, keys: list[str], seq: str, least:
     return found.where(F.col("informative") >= least)
 
 
+def alignment_qc(alignment: DataFrame, keys: list[str], seq: str, order: str, unit: int = 1) -> DataFrame:
+    """keys, columns, effective, fraction of alignments in columns of `unit` letters (3: codons).
+
+    A column is effective where half of the rows or more have letters alone there, none of them X.  Rows of unequal
+    lengths, or lengths that are no multiple of unit, give no effective columns; their columns are those of the first row
+    in `order`.  A null row is an empty one.
+    """
+    rows = alignment.select(*keys, F.col(order).alias("__order"), F.coalesce(seq, F.lit("")).alias("__seq"))
+    length = F.length("__seq")
+    sizes = rows.groupBy(*keys).agg(F.min_by(length, "__order").alias("__length"), (F.min(length) == F.max(length)).alias("__even"), F.count(F.lit(1)).alias("__rows"))
+    cells = rows.select(*keys, F.posexplode(F.regexp_extract_all("__seq", F.lit(f"(?s)(.{{{unit}}})"), 1)).alias("__column", "__cell"))
+    whole = cells.where(F.col("__cell").rlike("^[A-WYZa-z]+$")).groupBy(*keys, "__column").agg(F.count(F.lit(1)).alias("__whole"))
+    effective = whole.join(sizes, keys).where(F.col("__whole") * 2 >= F.col("__rows")).groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    columns = F.floor(F.col("__length") / unit)
+    n = F.when(F.col("__even") & (F.col("__length") % unit == 0), F.coalesce("__n", F.lit(0))).otherwise(F.lit(0))
+    return sizes.join(effective, keys, "left").select(*keys, columns.alias("columns"), n.alias("effective"), F.when(columns > 0, n / columns).otherwise(0.0).alias("fraction"))
+
+
 def sample_stats(rows: DataFrame, sample: str) -> DataFrame:
     """Per sample: loci, accepted, with reads, lengths' mean, median and sum of accepted ones."""
     good = F.when(F.col("accepted"), F.col("length"))

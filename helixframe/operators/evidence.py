@@ -6,12 +6,11 @@ from collections.abc import Iterator
 from math import log, log2, sqrt
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixframe.functions import kernels
+from helixframe.functions import kernels, sequences
 from helixframe.operators.recruit import _parts, _texts
 
 BINS = 64
@@ -283,11 +282,8 @@ def orientation_votes(hits: DataFrame, frags: DataFrame, refs: DataFrame, k: int
     return pairs.mapInArrow(run, f"frag {dict(frags.dtypes)['frag']}, locus {dict(refs.dtypes)['locus']}, windows bigint, orientation int")
 
 
-def depth_stability(values: pd.Series) -> int:
-    """100 * median / (MAD + 1) with upper medians, in whole numbers."""
-    v = np.sort(np.asarray(values, np.int64))
-    if not len(v):
-        return 0
-    middle = int(v[len(v) // 2])
-    mad = int(np.sort(np.abs(v - middle))[len(v) // 2])
-    return 100 * middle // (mad + 1)
+def depth_stability(depths: str | Column) -> Column:
+    """100 * median / (MAD + 1) of an array's depths over 0, with upper medians, in whole numbers; 0 if there is none."""
+    found = F.filter(sequences.col(depths), lambda x: x > 0)
+    score = lambda v, m: F.floor(m * 100 / (sequences.upper_median(F.transform(v, lambda x: F.abs(x - m))) + 1))
+    return F.coalesce(sequences.let(found, lambda v: sequences.let(sequences.upper_median(v), lambda m: score(v, m))), F.lit(0)).cast("bigint")

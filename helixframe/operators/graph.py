@@ -198,6 +198,14 @@ def connected_components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def largest_components(labels: DataFrame, least: int = 20, most: int = 256) -> DataFrame:
+    """rank, component, size of the `most` largest components of labels (node, component) with `least` nodes; of equal
+    sizes the least label comes first."""
+    sizes = labels.groupBy("component").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= least)
+    top = sizes.orderBy(F.desc("size"), "component").limit(most)  # few rows: the window below has one task
+    return top.select(F.row_number().over(Window.orderBy(F.desc("size"), "component")).alias("rank"), "component", "size")
+
+
 def bridge_components(edges: list[tuple[int, int]], nodes: list[int]) -> list[set[int]]:
     """Connected components left when all bridges of a small graph are cut (iterative depth-first search)."""
     near: dict[int, list[tuple[int, int]]] = {v: [] for v in nodes}

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 #: Fixed values of the automatic mode.
 LEAST_CANDIDATES, ACTIVATION_DEPTH, LEAST_BINS, TARGET_DEPTH, RETAIN = 512, 160.0, 48, 80.0, (3, 5)
 PER_EXTENSION, PER_SIDE, BINS = 4, 768, 64
+#: Reads of a block, in which caps on reads are given.
+BLOCK_READS = 2**20
 
 
 def select_auto(candidates: DataFrame, effective_length: float) -> DataFrame:
@@ -105,3 +107,13 @@ def smallest_hashes(df: DataFrame, sample: str, order: str, cap: int, taxon: str
         return ranked.where(F.col("__n") <= cap).drop("__n")
     samples = df.select(taxon, sample).distinct().groupBy(taxon).agg(F.count(F.lit(1)).alias("__samples"))
     return ranked.join(samples, taxon).where(F.col("__n") <= F.greatest(F.floor(F.lit(cap) / F.col("__samples")), F.lit(1))).drop("__n", "__samples")
+
+
+def smallest_of_cohort(df: DataFrame, order: list[str], cap: int = 50_000) -> DataFrame:
+    """The cap rows of least `order` of all samples together: each task gives its cap least ones, one merges these."""
+    return df.orderBy(*order).limit(cap)
+
+
+def read_cap(reads: DataFrame, ordinal: str, blocks: int) -> DataFrame:
+    """The reads of the first `blocks` blocks of BLOCK_READS, by their ordinal in the file from 0; all for 0 blocks."""
+    return reads.where(F.col(ordinal) < blocks * BLOCK_READS) if blocks > 0 else reads

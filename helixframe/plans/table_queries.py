@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from helixframe.functions import sequences
 from helixframe.functions.sequences import IUPAC, IUPAC_COMPLEMENT, dna_of_text
-from helixframe.operators import cohort, evidence, graph, population, rad, recruit, repeats, workflow
+from helixframe.operators import cohort, evidence, graph, population, rad, recruit, repeats, selection, workflow
 from helixframe.plans.fixtures import dna, load, rc
 from helixframe.sources import formats
 
@@ -284,6 +284,75 @@ def sample_statistics(spark, sf_dir):
 SAMPLE_STATS = """SELECT l_suppkey, count(*) AS loci, count(*) FILTER (l_linestatus = 'F') AS accepted_loci, count(*) FILTER (l_partkey % 4 > 0) AS loci_with_reads, round(avg(l_quantity::BIGINT) FILTER (l_linestatus = 'F'), 6)::DOUBLE AS mean_length FROM lineitem GROUP BY 1"""
 
 
+def back_translation(spark, sf_dir):
+    """Names of parts as aligned amino acids, blanks and e as gaps; a fifth of them with fewer codons."""
+    p = load(spark, sf_dir, "part").select("p_partkey", F.translate("p_name", " e", "--").alias("aligned"), dna_of_text("p_name").alias("seq"))
+    cds = F.when(F.col("p_partkey") % 5 == 0, F.repeat("seq", F.lit(2))).otherwise(F.repeat("seq", F.lit(3)))
+    return p.select("p_partkey", sequences.back_translate("aligned", cds).alias("codons"))
+
+
+BACK_TRANSLATION = f"""WITH p AS (SELECT p_partkey, translate(p_name, ' e', '--') AS a, repeat({dna('p_name')}, CASE WHEN p_partkey % 5 = 0 THEN 2 ELSE 3 END) AS cds FROM part),
+r AS (SELECT p_partkey, cds, unnest(string_split(a, '')) AS c, unnest(range(length(a))) AS i FROM p),
+o AS (SELECT *, sum((c <> '-')::INT) OVER (PARTITION BY p_partkey ORDER BY i) AS n FROM r)
+SELECT p_partkey, CASE WHEN max(n) * 3 <= max(length(cds)) THEN string_agg(CASE WHEN c = '-' THEN '---' ELSE substring(cds, (n * 3 - 2)::BIGINT, 3) END, '' ORDER BY i) END AS codons FROM o GROUP BY 1"""
+
+
+def alignment_qc(spark, sf_dir):
+    """Names of parts, padded by gaps, as alignments by size, in letters and codons; some have rows of unequal lengths."""
+    group = F.col("p_size") % 10
+    width = F.when(group == 3, 60 + F.col("p_partkey") % 2).when(group == 4, 61).otherwise(60).cast("int")
+    rows = load(spark, sf_dir, "part").select(group.alias("grp"), "p_partkey", F.rpad(F.translate("p_name", " r", "-X"), width, F.lit("-")).alias("seq"))
+    found = [cohort.alignment_qc(rows, ["grp"], "seq", "p_partkey", u).withColumn("unit", F.lit(u)) for u in (1, 3)]
+    return found[0].unionByName(found[1]).withColumn("fraction", F.round("fraction", 9))
+
+
+ALIGNMENT_QC = """WITH r AS (SELECT p_size % 10 AS grp, p_partkey, rpad(translate(p_name, ' r', '-X'), (CASE p_size % 10 WHEN 3 THEN 60 + p_partkey % 2 WHEN 4 THEN 61 ELSE 60 END)::INT, '-') AS seq FROM part),
+g AS (SELECT grp, arg_min(length(seq), p_partkey) AS len, min(length(seq)) = max(length(seq)) AS even, count(*) AS n FROM r GROUP BY grp), u AS (SELECT unnest([1, 3]) AS unit),
+c AS (SELECT grp, unit, k, count(*) FILTER (regexp_full_match(substring(seq, k * unit + 1, unit), '[A-WYZa-z]+')) AS whole FROM (SELECT grp, unit, seq, unnest(range(length(seq) // unit)) AS k FROM r CROSS JOIN u) GROUP BY ALL),
+e AS (SELECT grp, unit, count(*) AS whole FROM c JOIN g USING (grp) WHERE whole * 2 >= n GROUP BY ALL),
+f AS (SELECT g.grp, u.unit, len // u.unit AS columns, CASE WHEN even AND len % u.unit = 0 THEN coalesce(whole, 0) ELSE 0 END AS effective FROM g CROSS JOIN u LEFT JOIN e ON e.grp = g.grp AND e.unit = u.unit)
+SELECT grp, unit, columns, effective, round(effective::DOUBLE / columns, 9) AS fraction FROM f"""
+
+
+def cohort_smallest_hashes(spark, sf_dir):
+    reads = load(spark, sf_dir, "lineitem").select("l_suppkey", F.md5(F.concat_ws(":", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"))).alias("hash"))
+    return selection.smallest_of_cohort(reads, ["hash"]).groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("reads"), F.max("hash").alias("last_hash"))
+
+
+COHORT_HASHES = """WITH r AS (SELECT l_suppkey, md5(l_orderkey || ':' || l_linenumber) AS hash FROM lineitem ORDER BY hash LIMIT 50000)
+SELECT l_suppkey, count(*) AS reads, max(hash) AS last_hash FROM r GROUP BY 1"""
+
+
+def largest_components(spark, sf_dir):
+    """Orders as reads, their customers as components."""
+    return graph.largest_components(load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("node"), F.col("o_custkey").alias("component")))
+
+
+LARGEST_COMPONENTS = """SELECT row_number() OVER (ORDER BY count(*) DESC, o_custkey)::INT AS rank, o_custkey AS component, count(*) AS size FROM orders GROUP BY o_custkey HAVING count(*) >= 20 QUALIFY rank <= 256"""
+
+
+def read_cap(spark, sf_dir):
+    """Orders as reads of a file, 500 ordinals apart: some are within a block."""
+    reads = load(spark, sf_dir, "orders").withColumn("ordinal", F.col("o_orderkey") * 500)
+    return selection.read_cap(reads, "ordinal", 1).groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("reads"), F.max("ordinal").alias("last"))
+
+
+READ_CAP = "SELECT o_orderstatus, count(*) AS reads, max(o_orderkey * 500) AS last FROM orders WHERE o_orderkey * 500 < 1048576 GROUP BY 1"
+
+
+def depth_stability(spark, sf_dir):
+    """Quantities of an order's lines as depths, less 10 and no less than 0."""
+    depth = F.greatest(F.col("l_quantity").cast("bigint") - 10, F.lit(0))
+    depths = load(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(depth).alias("depths"))
+    return depths.select("l_orderkey", evidence.depth_stability("depths").alias("score"))
+
+
+DEPTH_STABILITY = """WITH d AS (SELECT l_orderkey, greatest(l_quantity::BIGINT - 10, 0) AS d FROM lineitem),
+m AS (SELECT l_orderkey, list(d ORDER BY d) FILTER (d > 0) AS v FROM d GROUP BY 1),
+n AS (SELECT l_orderkey, v, v[len(v) // 2 + 1] AS m FROM m), o AS (SELECT l_orderkey, m, list_sort(list_transform(v, lambda x: abs(x - m))) AS w FROM n)
+SELECT l_orderkey, coalesce(m * 100 // (w[len(w) // 2 + 1] + 1), 0)::BIGINT AS score FROM o"""
+
+
 QUERIES = {
     "sibling_arms": (sibling_arms, SIBLINGS),
     "pair_rule": (pair_rule, PAIR_RULE),
@@ -309,4 +378,10 @@ QUERIES = {
     "sequence_slices": (sequence_slices, SLICES),
     "pileup_insertions": (pileup_insertions, INSERTIONS),
     "sample_statistics": (sample_statistics, SAMPLE_STATS),
+    "back_translation": (back_translation, BACK_TRANSLATION),
+    "alignment_qc": (alignment_qc, ALIGNMENT_QC),
+    "cohort_smallest_hashes": (cohort_smallest_hashes, COHORT_HASHES),
+    "largest_components": (largest_components, LARGEST_COMPONENTS),
+    "read_cap": (read_cap, READ_CAP),
+    "depth_stability": (depth_stability, DEPTH_STABILITY),
 }

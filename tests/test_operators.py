@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from helixframe.functions import sequences
 from helixframe.operators import alignment as A
 from helixframe.operators import assembly as G
 from helixframe.operators import cleaning, cohort, evidence, graph, organelle, population, rad, recruit, repeats, selection, trees, workflow
@@ -133,7 +134,8 @@ def test_pair_rule_and_stability(spark):
     df = spark.createDataFrame([(1, 1), (2, 2), (1, 2), (0, 0), (3, 3), (0, 1)], "a int, b int")
     assert [r[0] for r in df.select(evidence.pair_kept(F.col("a"), F.col("b"))).collect()] == [False, False, True, True, True, True]
     assert [r[0] for r in df.select(evidence.pair_kept(F.col("a"), F.col("b"), True)).collect()] == [False, False, True, False, True, True]
-    assert evidence.depth_stability([10, 10, 12, 30]) == 100 * 12 // 3 and evidence.depth_stability([]) == 0
+    depths = spark.createDataFrame([([10, 10, 0, 12, 30],), ([0],), ([],)], "d array<int>")
+    assert [r[0] for r in depths.select(evidence.depth_stability("d")).collect()] == [100 * 12 // 3, 0, 0]
 
 
 # Selection -----------------------------------------------------------------------------------------------
@@ -205,6 +207,25 @@ def test_similar_pairs_of_a_group_beyond_any_cap(spark):
     assert graph.similar_pairs(df.limit(0), "id", "s", 0.8).collect() == []
 
 
+def test_largest_components_and_read_cap(spark):
+    labels = spark.createDataFrame([(i, c) for c, n in ((1, 3), (2, 5), (3, 5), (4, 2)) for i in range(n)], "node bigint, component bigint")
+    assert [tuple(r) for r in graph.largest_components(labels, 3, 2).collect()] == [(1, 2, 5), (2, 3, 5)]
+    assert graph.largest_components(labels.limit(0)).collect() == []
+    reads = spark.createDataFrame([(0,), (selection.BLOCK_READS - 1,), (selection.BLOCK_READS,)], "n bigint")
+    assert [selection.read_cap(reads, "n", blocks).count() for blocks in (0, 1, 2)] == [3, 2, 3]
+    assert [r["n"] for r in selection.smallest_of_cohort(reads, ["n"], 2).collect()] == [0, selection.BLOCK_READS - 1]
+
+
+def test_back_translation_and_alignment_qc(spark):
+    df = spark.createDataFrame([("M-K-", "ATGAAACC"), ("MK", "ATGAA"), ("--", ""), ("", "ATG"), (None, "ATG"), ("M", None)], "a string, c string")
+    assert [r[0] for r in df.select(sequences.back_translate("a", "c")).collect()] == ["ATG---AAA---", None, "------", "", None, None]
+    rows = [("x", 1, "ACX-NA"), ("x", 2, "AC---A"), ("x", 3, "A-X--*"), ("y", 1, "AC"), ("y", 2, "ACG"), ("z", 1, None)]
+    df = spark.createDataFrame(rows, "g string, o int, s string")
+    found = lambda unit: {r["g"]: (r["columns"], r["effective"], r["fraction"]) for r in cohort.alignment_qc(df, ["g"], "s", "o", unit).collect()}
+    assert found(1) == {"x": (6, 3, 0.5), "y": (2, 0, 0.0), "z": (0, 0, 0.0)}
+    assert found(3) == {"x": (2, 0, 0.0), "y": (0, 0, 0.0), "z": (0, 0, 0.0)}
+
+
 def test_transitions_and_mate_links(spark):
     df = spark.createDataFrame([(1, 1, "a"), (1, 2, None), (1, 3, "b"), (1, 4, "b"), (1, 5, "a")], "read int, o int, g string")
     assert [tuple(r) for r in graph.transitions(df, "read", "o", "g").collect()] == [("a", "b", 2)]

@@ -15,6 +15,8 @@ from helixframe.operators.tables import stored
 DEALT = 256
 #: Sketch values that are broadcast with their counts: the most frequent ones, from LEAST_RANKED rows on.
 MOST_RANKED, LEAST_RANKED = 2_000_000, 2
+#: Groups of equal sketches that are broadcast at most.
+MOST_HOT = 10_000
 #: Ids that are broadcast at most; more are joined by a shuffle.
 MOST_BROADCAST = 1_000_000
 #: Against rounding where a product of sizes and `least` is a whole number.
@@ -115,13 +117,26 @@ def _part(id_: str, parts: str) -> Column:
     return F.pmod(F.xxhash64(id_), F.col(parts))
 
 
+def _with_group(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """rows joined to groups, which has each digest once with its `size`.
+
+    Groups of so many rows that there can be MOST_HOT of them at most are broadcast, their rows staying where they are;
+    the others' rows meet by digest, few in each.
+    """
+    total = groups.agg(F.sum("size")).first()[0] or 0
+    is_hot = F.col("size") >= max(DEALT, -(-total // MOST_HOT))
+    hot, cold = groups.where(is_hot), groups.where(~is_hot)
+    rest = rows.join(F.broadcast(hot.select("digest")), "digest", "left_anti").join(cold, "digest")
+    return rows.join(F.broadcast(hot), "digest").unionByName(rest)
+
+
 def _near_groups(sketches: DataFrame, id_: str, sketch: str, least: float) -> tuple[DataFrame, DataFrame]:
     """(members, near): rep, id, parts of the rows with a sketch, rep being the least id with an equal one; and
     a, b, jaccard of the reps whose sketches have `least` similarity."""
     own = sketches.select(F.col(id_).alias("id"), F.array_sort(F.array_distinct(sketch)).alias("s")).where(F.size("s") > 0)
     own = stored(own.withColumn("digest", F.sha2(F.array_join(F.col("s").cast("array<string>"), ","), 256)))
-    groups = own.groupBy("digest").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("size"))
-    members = stored(own.select("digest", "id").join(groups, "digest").select("rep", "id", _parts("size").alias("parts")))
+    groups = stored(own.groupBy("digest").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("size")))
+    members = stored(_with_group(own.select("digest", "id"), groups).select("rep", "id", _parts("size").alias("parts")))
     postings = stored(_prefixes(own, least).join(members.where("id = rep").select("id"), "id", "left_semi"))
     shared = postings.groupBy("v").agg(F.count(F.lit(1)).alias("f")).where("f > 1").select("v", _parts("f").alias("parts"))
     dealt = postings.join(shared, "v")

@@ -205,6 +205,8 @@ def test_similar_pairs_of_a_group_beyond_any_cap(spark):
         whole = graph.connected_components(spark.createDataFrame(list(want), "a bigint, b bigint"))
         assert sorted(map(tuple, part.collect())) == sorted(map(tuple, whole.collect()))
     assert graph.similar_pairs(df.limit(0), "id", "s", 0.8).collect() == []
+    copies = spark.range(600).select("id", F.when(F.col("id") < 500, F.array(F.lit(7), F.lit(9))).otherwise(F.array("id")).cast("array<bigint>").alias("s"))
+    assert sorted((x["a"], x["b"], x["jaccard"]) for x in graph.similarity_edges(copies, "id", "s", 0.8).collect()) == [(0, i, 1.0) for i in range(1, 500)]
 
 
 def test_largest_components_and_read_cap(spark):

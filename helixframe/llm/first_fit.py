@@ -8,7 +8,7 @@
    sequences fill the gaps of the others, cut where they must be, and what is left of the last one is dealt over
    sequences whose lengths are powers of two, which are not padded.  So a group has no padding at all.
 
-Words are encoded once for each task that meets them: white space aside, a token never crosses the space between two
+Words are encoded once for each worker that meets them: white space aside, a token never crosses the space between two
 words, and that space belongs to the second.
 
 Defined results: a null or empty text is one piece, the end token; documents of any length are cut; of equally long
@@ -39,14 +39,15 @@ LIMIT = 2048
 END_ID = 1
 #: Rows of a group, about.
 GROUP_ROWS = 1024
-#: Words a task remembers; then it starts anew.
-MOST_WORDS = 400_000
+#: Words a worker remembers; then it starts anew.
+MOST_WORDS = 600_000
 #: Rows of a batch that are encoded at once.
 ROWS = 256
-#: ASCII marks that make tokens of their own after a letter.
-TAIL = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: A space beside other white space; texts without it are words parted by single spaces.
 BESIDE = re.compile("[ ][\\s\u180e]|[\\s\u180e][ ]")
+SINGLE = re.compile("(?<=[^\\s\u180e])[ ](?=[^\\s\u180e])")
+#: Bytes of visible ASCII characters and, with C3 before them, of the letters U+00C0 to U+00FF.
+PLAIN = bytes([*range(0x21, 0x7F), *range(0x80, 0xC0), 0xC3])
 #: Bytes of which no white space but the space and the newline can be made.
 USUAL = bytes(c for c in range(256) if c not in b"\t\x0b\x0c\r\x1c\x1d\x1e\x1f\xc2\xe1\xe2\xe3")
 
@@ -78,56 +79,65 @@ def ranked(path: str):
     return tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-class Words(dict):
-    """word (UTF-8) -> its ids, two bytes each, encoded after `before` (a space or nothing)."""
-
-    def __init__(self, path: str, before: str):
-        self.tokenizer, self.ranked, self.before = tokenizer(path), ranked(path), before
-        self.tails: dict[bytes, bytes] = {}
-
-    def ids(self, text: str) -> bytes:
-        if self.ranked and (text.isascii() or max(text) < "\u0100"):
-            return array("H", self.ranked.encode_ordinary(text)).tobytes()
-        return array("H", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-
-    def __missing__(self, word: bytes) -> bytes:
-        core = word.rstrip(TAIL)
-        if len(core) < len(word) and core[-1:].isalpha():
-            tail = word[len(core) :]
-            if tail not in self.tails:
-                self.tails[tail] = self.ids(tail.decode())
-            found = self[core] + self.tails[tail]
-        else:
-            found = self.ids(self.before + word.decode())
-        self[word] = found
-        return found
-
-
 class Encoder:
-    """The ids of texts, two bytes each; the dictionary of words starts anew when it is full."""
+    """The ids of texts, two bytes each; the dictionaries of words start anew when they are full."""
 
     def __init__(self, path: str):
-        self.path = path
+        self.tokenizer, self.ranked = tokenizer(path), ranked(path)
         self.restart()
 
     def restart(self) -> None:
-        self.first, self.words = Words(self.path, ""), Words(self.path, " ")
-
-    def __call__(self, text: bytes) -> bytes:
+        self.first: dict[bytes, bytes] = {}  # of words at the begin of a text
+        self.words: dict[bytes, bytes] = {}  # of words after a space
+
+    def learn(self, known: dict[bytes, bytes], before: str, fresh: set[bytes]) -> None:
+        """Adds the words of fresh.  Plain ones are encoded as one text, parted by newlines, which are one token each
+        and stand apart from what is before and after them."""
+        plain = [x for x in fresh if x and not x.translate(None, PLAIN)] if self.ranked else []
+        if plain:
+            ids = self.ranked.encode_to_numpy((before.encode() + f"\n{before}".encode().join(plain)).decode())
+            data, cuts = ids.astype("<u2").tobytes(), (2 * np.flatnonzero(ids == self.newline())).tolist()
+            if len(cuts) != len(plain) - 1:
+                raise AssertionError("words and newlines don't match")
+            known.update(zip(plain, [data[a:b] for a, b in zip([0, *(x + 2 for x in cuts)], [*cuts, len(data)], strict=True)], strict=True))
+        for word in fresh.difference(plain):
+            text = before + word.decode()
+            latin = self.ranked and (text.isascii() or max(text) < "\u0100")
+            ids = self.ranked.encode_ordinary(text) if latin else self.tokenizer.encode(text, add_special_tokens=False).ids
+            known[word] = array("H", ids).tobytes()
+
+    def newline(self) -> int:
+        return self.ranked.encode_ordinary("\n")[0]
+
+    def __call__(self, texts: list[bytes]) -> list[bytes]:
         if len(self.words) + len(self.first) > MOST_WORDS:
             self.restart()
-        beside = b"  " in text or b" \n" in text or b"\n " in text or text.translate(None, USUAL) and BESIDE.search(text.decode())
-        first, *rest = [x.encode() for x in re.split(r"(?<=[^\s\u180e])[ ](?=[^\s\u180e])", text.decode())] if beside else text.split(b" ")
-        known = self.words
-        return b"".join([self.first[first], *[known[x] for x in rest]])
+        rows = [words_of(x) for x in texts]
+        firsts = [x.pop(0) for x in rows]
+        self.learn(self.first, "", {*firsts}.difference(self.first))
+        self.learn(self.words, " ", set().union(*rows).difference(self.words))
+        known = self.words.__getitem__
+        return [self.first[a] + b"".join(map(known, x)) for a, x in zip(firsts, rows, strict=True)]
+
+
+def words_of(text: bytes) -> list[bytes]:
+    """text cut at its single spaces, which are left out."""
+    beside = b"  " in text or b" \n" in text or b"\n " in text or text.translate(None, USUAL) and BESIDE.search(text.decode())
+    return [x.encode() for x in SINGLE.split(text.decode())] if beside else text.split(b" ")
+
+
+@lru_cache(1)
+def encoder(path: str) -> Encoder:
+    """One for all tasks of a worker."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    return Encoder(path)
 
 
 def _encoded(path: str, end_id: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encode, end = Encoder(path), array("H", [end_id]).tobytes()
+        encode, end = encoder(path), array("H", [end_id]).tobytes()
         for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
-            ids = [encode(x.as_py() or b"") + end for x in batch.column(1).cast(pa.binary())]
+            ids = [x + end for x in encode([x.as_py() or b"" for x in batch.column(1).cast(pa.binary())])]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "doc_tokens", "ids"])
 
     return run

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from helixframe.llm import byte_bpe, exact_dedup, html_text, language_id, licence_scan, packing, personal_data, quality_rules, simhash, toxicity
+from helixframe.llm import byte_bpe, exact_dedup, first_fit, html_text, importance, language_id, licence_scan, packing, personal_data, quality_rules, simhash, spelling, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -19,6 +19,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_best_fit_packing": packing.op8_best_fit_packing,
     "op9_simhash_near_dedup": simhash.op9_simhash_near_dedup,
     "op10_language_id": language_id.op10_language_id,
+    "op11_first_fit_packing": first_fit.op11_first_fit_packing,
+    "op12_spelling_variants": spelling.op12_spelling_variants,
+    "op13_importance_resampling": importance.op13_importance_resampling,
 }
 ORACLES: dict[str, str] = {
     "op1_quality_rules": quality_rules.ORACLE,

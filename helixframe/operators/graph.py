@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -130,26 +130,34 @@ def _with_group(rows: DataFrame, groups: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(hot), "digest").unionByName(rest)
 
 
-def _near_groups(sketches: DataFrame, id_: str, sketch: str, least: float) -> tuple[DataFrame, DataFrame]:
-    """(members, near): rep, id, parts of the rows with a sketch, rep being the least id with an equal one; and
-    a, b, jaccard of the reps whose sketches have `least` similarity."""
+def _groups(sketches: DataFrame, id_: str, sketch: str) -> tuple[DataFrame, DataFrame]:
+    """(own, members): id, s (sorted) of the rows with a sketch; and rep, id, size, parts of each, rep being the least id with
+    an equal sketch, `size` rows having that."""
     own = sketches.select(F.col(id_).alias("id"), F.array_sort(F.array_distinct(sketch)).alias("s")).where(F.size("s") > 0)
     own = stored(own.withColumn("digest", F.sha2(F.array_join(F.col("s").cast("array<string>"), ","), 256)))
     groups = stored(own.groupBy("digest").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("size")))
-    members = stored(_with_group(own.select("digest", "id"), groups).select("rep", "id", _parts("size").alias("parts")))
-    postings = stored(_prefixes(own, least).join(members.where("id = rep").select("id"), "id", "left_semi"))
-    shared = postings.groupBy("v").agg(F.count(F.lit(1)).alias("f")).where("f > 1").select("v", _parts("f").alias("parts"))
+    return own, stored(_with_group(own.select("digest", "id"), groups).select("rep", "id", "size", _parts("size").alias("parts")))
+
+
+def _sharing(postings: DataFrame, shared: DataFrame, least: float, apart: bool = False) -> DataFrame:
+    """x, y of the rows that share a prefix value of `shared` (v, parts) and may have `least` similarity; `apart`: of
+    different components alone."""
     dealt = postings.join(shared, "v")
     # The smaller sketch of a pair, x, needs a shorter prefix, as the overlap is 2 * least / (1 + least) of it at least.
     x = dealt.where(F.col("pos") < F.col("n") - F.ceil(2 * least / (1 + least) * F.col("n") - SLACK) + 1)
-    x = x.select("v", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("pos").alias("px"), _part("id", "parts").alias("part"))
-    y = dealt.select("v", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("pos").alias("py"), _each("parts").alias("part"))
+    own = lambda name: [F.col("component").alias(f"c{name}")] if apart else []
+    x = x.select("v", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("pos").alias("px"), _part("id", "parts").alias("part"), *own("x"))
+    y = dealt.select("v", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("pos").alias("py"), _each("parts").alias("part"), *own("y"))
     ordered = (F.col("nx") < F.col("ny")) | (F.col("nx") == F.col("ny")) & (F.col("x") < F.col("y"))
     # At the first value that two sketches share, what comes after it in both is all that they can share besides.
     enough = F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py")) >= least / (1 + least) * (F.col("nx") + F.col("ny")) - SLACK
-    pairs = x.join(y, ["v", "part"]).where(ordered & enough & (F.col("nx") >= F.col("ny") * least - SLACK)).select("x", "y").distinct()
+    wanted = ordered & enough & (F.col("nx") >= F.col("ny") * least - SLACK)
+    return x.join(y, ["v", "part"]).where(wanted & (F.col("cx") != F.col("cy")) if apart else wanted).select("x", "y").distinct()
+
+
+def _verified(pairs: DataFrame, own: DataFrame, bits: DataFrame, least: float) -> DataFrame:
+    """a, b, jaccard of the pairs (x, y) that have `least` similarity."""
     # Two sketches differ by as many values at least as their bitmaps differ by bits.
-    bits = stored(_bitmaps(own))
     map_ = lambda name: bits.select(F.col("id").alias(name), F.col("n").alias(f"n{name}"), F.col("bits").alias(f"b{name}"))
     differ = sum((F.bit_count(F.col("bx")[i].bitwiseXOR(F.col("by")[i])) for i in range(BITS // 64)), F.lit(0))
     sizes = F.col("nx") + F.col("ny")
@@ -159,7 +167,114 @@ def _near_groups(sketches: DataFrame, id_: str, sketch: str, least: float) -> tu
     side = lambda name: mine.select(F.col("id").alias(name), F.col("s").alias(f"s{name}"))
     common = F.size(F.array_intersect("sx", "sy"))
     both = pairs.join(side("x"), "x").join(side("y"), "y").select("x", "y", (common / (F.size("sx") + F.size("sy") - common)).alias("jaccard"))
-    return members, stored(both.where(F.col("jaccard") >= least).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "jaccard"))
+    return stored(both.where(F.col("jaccard") >= least).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "jaccard"))
+
+
+def _near_groups(sketches: DataFrame, id_: str, sketch: str, least: float) -> tuple[DataFrame, DataFrame]:
+    """(members, near): see _groups; and a, b, jaccard of the reps whose sketches have `least` similarity."""
+    own, members = _groups(sketches, id_, sketch)
+    postings = stored(_prefixes(own, least).join(members.where("id = rep").select("id"), "id", "left_semi"))
+    shared = postings.groupBy("v").agg(F.count(F.lit(1)).alias("f")).where("f > 1").select("v", _parts("f").alias("parts"))
+    return members, _verified(_sharing(postings, shared, least), own, stored(_bitmaps(own)), least)
+
+
+def similarity_classes(sketches: DataFrame, id_: str, sketch: str, least: float) -> tuple[DataFrame, DataFrame]:
+    """(classes, own): id, rep, size, component of the rows with a sketch, component being the least id that links of
+    `least` similarity reach; and their sketches (id, s).
+
+    First each row of a prefix value is compared with one hub of that value, so that a group of near copies gives as
+    many pairs as it has rows.  Then rows that share a value but no component yet are compared with each other: all
+    links between components are found, and none that would join what is joined.
+    """
+    own, members = _groups(sketches, id_, sketch)
+    postings = stored(_prefixes(own, least).join(members.where("id = rep").select("id"), "id", "left_semi"))
+    bits = stored(_bitmaps(own.join(members.where("id = rep").select("id"), "id", "left_semi")))
+    hubs = postings.groupBy("v").agg(F.count(F.lit(1)).alias("f"), F.max_by(F.struct("id", "n"), F.struct("n", "id")).alias("hub")).where("f > 1")
+    hub, ratio = F.col("hub.id"), F.least("n", "hub.n") >= F.greatest("n", "hub.n") * least - SLACK
+    stars = postings.join(hubs, "v").where((F.col("id") != hub) & ratio).select(F.least("id", hub).alias("x"), F.greatest("id", hub).alias("y")).distinct()
+    first = _verified(stars, own, bits, least)
+    labels = connected_components(first)
+    named = postings.join(labels.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    named = stored(named)
+    mixed = named.groupBy("v").agg(F.count(F.lit(1)).alias("f"), F.min("component").alias("low"), F.max("component").alias("high"))
+    mixed = mixed.where("low <> high").select("v", _parts("f").alias("parts"))
+    second = _verified(_sharing(named, mixed, least, apart=True), own, bits, least)
+    # A component stands for its rows in the links between components.
+    of = lambda name: labels.select(F.col("node").alias(name), F.col("component").alias(f"c{name}"))
+    joined = second.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    over = connected_components(joined).select(F.col("node").alias("component"), F.col("component").alias("least"))
+    ends = labels.unionByName(second.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(labels.select("node"), "node", "left_anti").select("node", F.col("node").alias("component")))
+    ends = ends.join(over, "component", "left").select(F.col("node").alias("rep"), F.coalesce("least", "component").alias("component"))
+    ends = stored(ends)
+    return members.join(ends, "rep", "left").select("id", "rep", "size", F.coalesce("component", "rep").alias("component")), own
+
+
+#: Sketches that are compared with each other in one task: rows, and values.
+BLOCK_ROWS, BLOCK_VALUES = 1024, 2_000_000
+#: Values whose bits are in memory at once, for each sketch.
+BLOCK_COLUMNS = 4096
+
+
+def _shared_counts(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """How many values each sketch of a has in common with each of b."""
+    values = np.concatenate([*a, *b])
+    row = np.repeat(np.arange(len(a) + len(b)), [len(x) for x in (*a, *b)])
+    _, column, times = np.unique(values, return_inverse=True, return_counts=True)
+    keep = times[column] > 1  # others are in one sketch
+    row, column = row[keep], np.unique(column[keep], return_inverse=True)[1]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    found = np.zeros((len(a), len(b)), np.float32)
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, BLOCK_COLUMNS):
+        lo, hi = np.searchsorted(column, [at, at + BLOCK_COLUMNS])
+        bits = np.zeros((len(a) + len(b), BLOCK_COLUMNS), np.float32)
+        bits[row[lo:hi], column[lo:hi] - at] = 1
+        found += bits[: len(a)] @ bits[len(a) :].T
+    return found
+
+
+def _linked(least: float) -> Callable[[pa.Table], pa.Table]:
+    def run(rows: pa.Table) -> pa.Table:
+        component, part, size, p, q = (rows.column(c).to_numpy() for c in ("component", "part", "size", "p", "q"))
+        sketches = [np.array(x.values) for x in rows.column("s").combine_chunks()]
+        links = np.zeros(len(size), np.int64)
+        order = np.argsort(component, kind="stable")
+        for at in np.split(order, np.flatnonzero(np.diff(component[order])) + 1):
+            own, other = at[part[at] == p[at]], at[part[at] == q[at]]
+            n = np.array([len(sketches[i]) for i in own])[:, None], np.array([len(sketches[i]) for i in other])[None, :]
+            common = _shared_counts([sketches[i] for i in own], [sketches[i] for i in other]).astype(np.float64)
+            near = (common / (n[0] + n[1] - common) >= least) & (own[:, None] != other[None, :])
+            links[own] += near @ size[other]
+            if p[at[0]] != q[at[0]]:
+                links[other] += size[own] @ near
+        return pa.table({"id": rows.column("id"), "links": pa.array(links)})
+
+    return run
+
+
+def similarity_links(sketches: DataFrame, id_: str, sketch: str, least: float) -> DataFrame:
+    """id, rep, component, links of each row with a sketch: see similarity_classes; links is the number of other rows
+    with `least` similarity, rows with an equal sketch included.
+
+    All links lie within components, so the rows of one are compared with each other there, in blocks of a bounded
+    size as products of bit matrices; only counts come out, not pairs.
+    """
+    classes, own = similarity_classes(sketches, id_, sketch, least)
+    classes = stored(classes)
+    reps = classes.where("id = rep").select("id", "size", "component")
+    sizes = stored(reps.join(own.select("id", F.size("s").alias("values")), "id").groupBy("component").agg(F.count(F.lit(1)).alias("rows"), F.sum("values").alias("values")).where("`rows` > 1"))
+    parts = F.greatest(F.ceil(F.col("rows") / BLOCK_ROWS), F.ceil(F.col("values") / BLOCK_VALUES))
+    sizes = sizes.withColumn("parts", parts)
+    homes = max(32, (sizes.agg(F.sum("rows")).first()[0] or 0) // BLOCK_ROWS)  # of small components, several in each
+    inside = reps.join(F.broadcast(sizes) if sizes.count() <= MOST_BROADCAST else sizes, "component").join(own.select("id", "s"), "id")
+    part = F.when(F.col("parts") > 1, _part("id", "parts")).otherwise(0)
+    other = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("with")
+    each = inside.withColumn("part", part).select("*", other).select("id", "size", "component", "s", "part", F.least("part", "with").alias("p"), F.greatest("part", "with").alias("q"), F.when(F.col("parts") > 1, -1).otherwise(F.pmod(F.xxhash64("component"), F.lit(homes))).alias("home"), F.when(F.col("parts") > 1, F.col("component")).alias("large"))
+    kind = dict(classes.dtypes)["id"]
+    counts = each.groupBy("home", "large", "p", "q").applyInArrow(_linked(least), f"id {kind}, links bigint").groupBy("id").agg(F.sum("links").alias("links"))
+    counts = stored(counts.select(F.col("id").alias("rep"), "links"))
+    found = classes.join(counts, "rep", "left")
+    return found.select("id", "rep", "component", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).cast("bigint").alias("links"))
 
 
 def similar_pairs(sketches: DataFrame, id_: str, sketch: str, least: float) -> DataFrame:

@@ -6,14 +6,20 @@ from pyspark.sql import functions as F
 
 from helixframe.functions.sequences import IUPAC_OF
 from helixframe.operators import cohort, evidence, graph, population, selection
+from helixframe.operators.tables import stored
 from helixframe.plans.fixtures import FRAGMENTS, fragments, load, sql_windows
 
 LENGTH = 150.0
 
 
+def _sketches(spark, sf_dir):
+    return evidence.minimizer_sketches(fragments(spark, sf_dir), "frag", "seq", 15, 10)
+
+
 def near_duplicate_pairs(spark, sf_dir):
-    sketches = evidence.minimizer_sketches(fragments(spark, sf_dir), "frag", "seq", 15, 10)
-    return graph.similarity_edges(sketches, "frag", "sketch", 0.8).withColumn("jaccard", F.round("jaccard", 9))
+    """Each text with a sketch: its class (the least text that links reach), the least text with an equal sketch, its links."""
+    found = graph.similarity_links(_sketches(spark, sf_dir), "frag", "sketch", 0.8)
+    return found.select(F.col("id").alias("frag"), F.col("component").alias("class_id"), F.col("rep").alias("representative"), "links")
 
 
 PAIRS = f"""WITH RECURSIVE {FRAGMENTS}, {sql_windows('w', 'fragments', 'frag', 'seq', 15)},
@@ -24,21 +30,22 @@ size AS (SELECT frag, count(*) AS n FROM s GROUP BY frag),
 cand AS (SELECT DISTINCT x.frag AS a, y.frag AS b FROM s x JOIN few USING (m) JOIN s y USING (m) WHERE x.frag < y.frag),
 shared AS (SELECT a, b, count(*) AS k FROM cand JOIN s x ON x.frag = a JOIN s y ON y.frag = b AND x.m = y.m GROUP BY a, b),
 pairs AS (SELECT a, b, k::DOUBLE / (p.n + q.n - k) AS jaccard FROM shared JOIN size p ON p.frag = a JOIN size q ON q.frag = b WHERE k::DOUBLE / (p.n + q.n - k) >= 0.8)"""
-NEAR_PAIRS = f"""{PAIRS},
+COMPONENTS = f"""{PAIRS}, arcs AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs),
+reach AS (SELECT a AS node, a AS other FROM arcs UNION SELECT reach.node, arcs.b FROM reach JOIN arcs ON arcs.a = reach.other),
+labels AS (SELECT node, min(other) AS component FROM reach GROUP BY node)"""
+NEAR_PAIRS = f"""{COMPONENTS},
 alike AS (SELECT frag, min(frag) OVER (PARTITION BY sketch) AS rep FROM (SELECT frag, list(m ORDER BY m) AS sketch FROM s GROUP BY frag)),
-reps AS (SELECT rep FROM alike WHERE rep = frag)
-SELECT a, b, round(jaccard, 9) AS jaccard FROM pairs WHERE a IN (FROM reps) AND b IN (FROM reps)
-UNION ALL SELECT rep, frag, 1.0::DOUBLE FROM alike WHERE rep < frag"""
+links AS (SELECT a, count(*) AS links FROM arcs GROUP BY a)
+SELECT frag, coalesce(component, frag) AS class_id, rep AS representative, coalesce(links, 0) AS links FROM alike LEFT JOIN labels ON node = frag LEFT JOIN links ON a = frag"""
+COMPONENTS = f"{COMPONENTS} SELECT node, component FROM labels"
 
 
 def similarity_components(spark, sf_dir):
-    sketches = evidence.minimizer_sketches(fragments(spark, sf_dir), "frag", "seq", 15, 10)
-    return graph.connected_components(graph.similarity_edges(sketches, "frag", "sketch", 0.8))
-
-
-COMPONENTS = f"""{PAIRS}, arcs AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs),
-reach AS (SELECT a AS node, a AS other FROM arcs UNION SELECT reach.node, arcs.b FROM reach JOIN arcs ON arcs.a = reach.other)
-SELECT node, min(other) AS component FROM reach GROUP BY node"""
+    """Each text that is linked to another one, and its class."""
+    found, _ = graph.similarity_classes(_sketches(spark, sf_dir), "frag", "sketch", 0.8)
+    found = stored(found)
+    linked = found.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("component")
+    return found.join(linked, "component", "left_semi").select(F.col("id").alias("node"), "component")
 
 
 def hash_topk_per_sample(spark, sf_dir):

@@ -185,7 +185,7 @@ def test_sketch_pairs_against_brute_force(spark):
         assert {(x["a"], x["b"]) for x in graph.sketch_pairs(df, "id", "s", 0.3, cap).collect()} == want
 
 
-def test_similar_pairs_of_a_group_beyond_any_cap(spark):
+def test_similar_pairs_of_a_group_beyond_any_cap(spark, monkeypatch):
     r = random.Random(8)
     base = r.sample(range(10**6), 30)
     sets = {i: set(base) for i in range(140)} | {i: set(base[:29]) | {10**6 + i} for i in range(140, 290)} | {290: set(), 291: set(), 292: {5}}
@@ -204,7 +204,13 @@ def test_similar_pairs_of_a_group_beyond_any_cap(spark):
         part = graph.connected_components(edges)
         whole = graph.connected_components(spark.createDataFrame(list(want), "a bigint, b bigint"))
         assert sorted(map(tuple, part.collect())) == sorted(map(tuple, whole.collect()))
-    assert graph.similar_pairs(df.limit(0), "id", "s", 0.8).collect() == []
+        links = Counter(i for pair in want for i in pair)
+        label = dict(map(tuple, whole.collect()))
+        for block in (1024, 40) if least == 0.8 else ():
+            monkeypatch.setattr(graph, "BLOCK_ROWS", block)
+            rows = graph.similarity_links(df, "id", "s", least).collect()
+            assert {r["id"]: (r["rep"], r["component"], r["links"]) for r in rows} == {i: (rep[i], label.get(i, i), links[i]) for i in sets if sets[i]} and len(rows) == sum(map(bool, sets.values()))
+    assert graph.similar_pairs(df.limit(0), "id", "s", 0.8).collect() == [] and graph.similarity_links(df.limit(0), "id", "s", 0.8).collect() == []
     copies = spark.range(600).select("id", F.when(F.col("id") < 500, F.array(F.lit(7), F.lit(9))).otherwise(F.array("id")).cast("array<bigint>").alias("s"))
     assert sorted((x["a"], x["b"], x["jaccard"]) for x in graph.similarity_edges(copies, "id", "s", 0.8).collect()) == [(0, i, 1.0) for i in range(1, 500)]
 

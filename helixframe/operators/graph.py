@@ -51,31 +51,33 @@ def sketch_pairs(sketches: DataFrame, id_: str, sketch: str, least: float, most_
     return both.select("a", "b", F.when(union > 0, shared / union).otherwise(0.0).alias("jaccard")).where(F.col("jaccard") >= least)
 
 
-def _ranked(sketches: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent sketch values (sorted) and their counts, MOST_RANKED at most."""
-    counts = stored(sketches.select(F.explode("s").alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_RANKED))
-    bound, total = LEAST_RANKED, 0
+def _ranked(counts: DataFrame) -> tuple[np.ndarray, np.ndarray, bool]:
+    """The most frequent values (sorted) of counts (v, n) and their numbers, MOST_RANKED at most; whether these are all."""
+    bound, total, all_ = LEAST_RANKED, 0, True
     for n, values in sorted(counts.groupBy("n").count().collect(), reverse=True):
         total += values
         if total > MOST_RANKED:
-            bound = n + 1
+            bound, all_ = n + 1, False
             break
     found = counts.where(F.col("n") >= bound).toArrow()
     v, n = (found.column(c).to_numpy() for c in ("v", "n"))
     order = np.argsort(v)
-    return v[order], n[order]
+    return v[order], n[order], all_
 
 
 def _prefixes(sketches: DataFrame, least: float) -> DataFrame:
-    """id, n, v, pos: the first n - ceil(least * n) + 1 of the n values of each sketch, rare ones first.
+    """id, n, v, pos: the first n - ceil(least * n) + 1 of the n values of each sketch, rare ones first, as far as
+    other sketches have them too.
 
     The order is the same for all rows, so two sketches with `least` similarity share one of these.  It does not
     matter to the result which order it is: counts are known of the most frequent values alone.
     """
-    known = sketches.sparkSession.sparkContext.broadcast(_ranked(sketches))
+    counts = stored(sketches.select(F.explode("s").alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_RANKED))
+    ranked = _ranked(counts)
+    known = sketches.sparkSession.sparkContext.broadcast(ranked)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        values, counts = known.value
+        values, counts, all_ = known.value
         for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
             sizes = batch.column(1).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
             v = batch.column(1).flatten().to_numpy(zero_copy_only=False)
@@ -85,9 +87,12 @@ def _prefixes(sketches: DataFrame, least: float) -> DataFrame:
             order = np.lexsort((v, count, row))
             pos, n = np.arange(len(v)) - np.repeat(np.cumsum(sizes) - sizes, sizes), sizes[row]
             keep = pos < n - np.ceil(least * n - SLACK) + 1
+            if all_:
+                keep &= count[order] > 0
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[keep])), pa.array(n[keep]), pa.array(v[order][keep]), pa.array(pos[keep])], names=["id", "n", "v", "pos"])
 
-    return sketches.select("id", "s").mapInArrow(run, f"id {dict(sketches.dtypes)['id']}, n bigint, v bigint, pos bigint")
+    found = sketches.select("id", "s").mapInArrow(run, f"id {dict(sketches.dtypes)['id']}, n bigint, v bigint, pos bigint")
+    return stored(found if ranked[2] else found.join(counts.select("v"), "v", "left_semi").select("id", "n", "v", "pos"))
 
 
 def _bitmaps(sketches: DataFrame) -> DataFrame:
@@ -130,13 +135,19 @@ def _with_group(rows: DataFrame, groups: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(hot), "digest").unionByName(rest)
 
 
+def _few(ids: DataFrame) -> DataFrame:
+    """ids, to be broadcast if they are few enough."""
+    return F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids
+
+
 def _groups(sketches: DataFrame, id_: str, sketch: str) -> tuple[DataFrame, DataFrame]:
-    """(own, members): id, s (sorted) of the rows with a sketch; and rep, id, size, parts of each, rep being the least id with
-    an equal sketch, `size` rows having that."""
+    """(own, members): id, s (sorted) of one row for each different sketch, its least id; and rep (that id), id, size
+    (rows with the sketch), parts of all rows with a sketch."""
     own = sketches.select(F.col(id_).alias("id"), F.array_sort(F.array_distinct(sketch)).alias("s")).where(F.size("s") > 0)
     own = stored(own.withColumn("digest", F.sha2(F.array_join(F.col("s").cast("array<string>"), ","), 256)))
     groups = stored(own.groupBy("digest").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("size")))
-    return own, stored(_with_group(own.select("digest", "id"), groups).select("rep", "id", "size", _parts("size").alias("parts")))
+    members = stored(_with_group(own.select("digest", "id"), groups).select("rep", "id", "size", _parts("size").alias("parts")))
+    return own.join(_few(members.where("id <> rep").select("id")), "id", "left_anti").select("id", "s"), members
 
 
 def _sharing(postings: DataFrame, shared: DataFrame, least: float, apart: bool = False) -> DataFrame:
@@ -163,7 +174,7 @@ def _verified(pairs: DataFrame, own: DataFrame, bits: DataFrame, least: float) -
     sizes = F.col("nx") + F.col("ny")
     pairs = stored(pairs.join(map_("x"), "x").join(map_("y"), "y").where((sizes - differ) / 2 >= least / (1 + least) * sizes - SLACK).select("x", "y"))
     needed = stored(pairs.select(F.col("x").alias("id")).union(pairs.select("y")).distinct())
-    mine = own.select("id", "s").join(F.broadcast(needed) if needed.count() <= MOST_BROADCAST else needed, "id", "left_semi")
+    mine = own.select("id", "s").join(_few(needed), "id", "left_semi")
     side = lambda name: mine.select(F.col("id").alias(name), F.col("s").alias(f"s{name}"))
     common = F.size(F.array_intersect("sx", "sy"))
     both = pairs.join(side("x"), "x").join(side("y"), "y").select("x", "y", (common / (F.size("sx") + F.size("sy") - common)).alias("jaccard"))
@@ -173,25 +184,23 @@ def _verified(pairs: DataFrame, own: DataFrame, bits: DataFrame, least: float) -
 def _near_groups(sketches: DataFrame, id_: str, sketch: str, least: float) -> tuple[DataFrame, DataFrame]:
     """(members, near): see _groups; and a, b, jaccard of the reps whose sketches have `least` similarity."""
     own, members = _groups(sketches, id_, sketch)
-    postings = stored(_prefixes(own, least).join(members.where("id = rep").select("id"), "id", "left_semi"))
+    postings = _prefixes(own, least)
     shared = postings.groupBy("v").agg(F.count(F.lit(1)).alias("f")).where("f > 1").select("v", _parts("f").alias("parts"))
     return members, _verified(_sharing(postings, shared, least), own, stored(_bitmaps(own)), least)
 
 
 def similarity_classes(sketches: DataFrame, id_: str, sketch: str, least: float) -> tuple[DataFrame, DataFrame]:
     """(classes, own): id, rep, size, component of the rows with a sketch, component being the least id that links of
-    `least` similarity reach; and their sketches (id, s).
+    `least` similarity reach; and the different sketches (id, s).
 
     First each row of a prefix value is compared with one hub of that value, so that a group of near copies gives as
     many pairs as it has rows.  Then rows that share a value but no component yet are compared with each other: all
     links between components are found, and none that would join what is joined.
     """
     own, members = _groups(sketches, id_, sketch)
-    postings = stored(_prefixes(own, least).join(members.where("id = rep").select("id"), "id", "left_semi"))
-    bits = stored(_bitmaps(own.join(members.where("id = rep").select("id"), "id", "left_semi")))
-    hubs = postings.groupBy("v").agg(F.count(F.lit(1)).alias("f"), F.max_by(F.struct("id", "n"), F.struct("n", "id")).alias("hub")).where("f > 1")
-    hub, ratio = F.col("hub.id"), F.least("n", "hub.n") >= F.greatest("n", "hub.n") * least - SLACK
-    stars = postings.join(hubs, "v").where((F.col("id") != hub) & ratio).select(F.least("id", hub).alias("x"), F.greatest("id", hub).alias("y")).distinct()
+    postings, bits = _prefixes(own, least), stored(_bitmaps(own))
+    hubs = postings.groupBy("v").agg(F.count(F.lit(1)).alias("f"), F.min("id").alias("hub")).where("f > 1").select("v", "hub")
+    stars = postings.join(hubs, "v").where("id <> hub").select(F.col("hub").alias("x"), F.col("id").alias("y")).distinct()
     first = _verified(stars, own, bits, least)
     labels = connected_components(first)
     named = postings.join(labels.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))

@@ -13,8 +13,8 @@ from helixframe.operators.tables import stored
 
 #: Rows of a key that meet in one task; the rows of larger keys are dealt over several.
 DEALT = 256
-#: Sketch values that are broadcast with their counts: the most frequent ones, from LEAST_RANKED rows on.
-MOST_RANKED, LEAST_RANKED = 2_000_000, 2
+#: Sketch values that are broadcast with their counts: the most frequent ones, of those that LEAST_RANKED rows of a batch have.
+MOST_RANKED, LEAST_RANKED = 250_000, 4
 #: Groups of equal sketches that are broadcast at most.
 MOST_HOT = 10_000
 #: Ids that are broadcast at most; more are joined by a shuffle.
@@ -23,8 +23,6 @@ MOST_BROADCAST = 1_000_000
 SLACK = 1e-9
 #: Sketches that are worked on at once.
 ROWS = 256
-#: Bits of the bitmaps that bound the similarity of two sketches.
-BITS = 1024
 
 
 def sketch_pairs(sketches: DataFrame, id_: str, sketch: str, least: float, most_postings: int = 128) -> DataFrame:
@@ -51,33 +49,38 @@ def sketch_pairs(sketches: DataFrame, id_: str, sketch: str, least: float, most_
     return both.select("a", "b", F.when(union > 0, shared / union).otherwise(0.0).alias("jaccard")).where(F.col("jaccard") >= least)
 
 
-def _ranked(counts: DataFrame) -> tuple[np.ndarray, np.ndarray, bool]:
-    """The most frequent values (sorted) of counts (v, n) and their numbers, MOST_RANKED at most; whether these are all."""
-    bound, total, all_ = LEAST_RANKED, 0, True
+def _ranked(sketches: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent values (sorted) and about how often they occur, MOST_RANKED at most: values that LEAST_RANKED
+    rows of a batch have are counted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            v, n = np.unique(batch.column(0).flatten().to_numpy(zero_copy_only=False), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(v[n >= LEAST_RANKED]), pa.array(n[n >= LEAST_RANKED])], names=["v", "n"])
+
+    counts = stored(sketches.select("s").mapInArrow(run, "v bigint, n bigint").groupBy("v").agg(F.sum("n").alias("n")))
+    bound, total = 0, 0
     for n, values in sorted(counts.groupBy("n").count().collect(), reverse=True):
         total += values
         if total > MOST_RANKED:
-            bound, all_ = n + 1, False
+            bound = n + 1
             break
     found = counts.where(F.col("n") >= bound).toArrow()
     v, n = (found.column(c).to_numpy() for c in ("v", "n"))
     order = np.argsort(v)
-    return v[order], n[order], all_
+    return v[order], n[order]
 
 
 def _prefixes(sketches: DataFrame, least: float) -> DataFrame:
-    """id, n, v, pos: the first n - ceil(least * n) + 1 of the n values of each sketch, rare ones first, as far as
-    other sketches have them too.
+    """id, n, v, pos: the first n - ceil(least * n) + 1 of the n values of each sketch, rare ones first.
 
     The order is the same for all rows, so two sketches with `least` similarity share one of these.  It does not
-    matter to the result which order it is: counts are known of the most frequent values alone.
+    matter to the result which order it is: counts are known of frequent values alone, and about.
     """
-    counts = stored(sketches.select(F.explode("s").alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_RANKED))
-    ranked = _ranked(counts)
-    known = sketches.sparkSession.sparkContext.broadcast(ranked)
+    known = sketches.sparkSession.sparkContext.broadcast(_ranked(sketches))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        values, counts, all_ = known.value
+        values, counts = known.value
         for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
             sizes = batch.column(1).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
             v = batch.column(1).flatten().to_numpy(zero_copy_only=False)
@@ -87,27 +90,50 @@ def _prefixes(sketches: DataFrame, least: float) -> DataFrame:
             order = np.lexsort((v, count, row))
             pos, n = np.arange(len(v)) - np.repeat(np.cumsum(sizes) - sizes, sizes), sizes[row]
             keep = pos < n - np.ceil(least * n - SLACK) + 1
-            if all_:
-                keep &= count[order] > 0
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[keep])), pa.array(n[keep]), pa.array(v[order][keep]), pa.array(pos[keep])], names=["id", "n", "v", "pos"])
 
-    found = sketches.select("id", "s").mapInArrow(run, f"id {dict(sketches.dtypes)['id']}, n bigint, v bigint, pos bigint")
-    return stored(found if ranked[2] else found.join(counts.select("v"), "v", "left_semi").select("id", "n", "v", "pos"))
+    return stored(sketches.select("id", "s").mapInArrow(run, f"id {dict(sketches.dtypes)['id']}, n bigint, v bigint, pos bigint"))
 
 
 def _bitmaps(sketches: DataFrame) -> DataFrame:
-    """id, n, bits: BITS bits as longs; each value of a sketch sets one."""
+    """id, n, bits: a bitmap of four bits for each value at least, a power of two; each value of a sketch sets one.
+
+    A bitmap of half the size is the union of the halves of a larger one.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
-            sizes = batch.column(1).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-            v = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.uint64)
-            there = np.zeros((len(sizes), BITS), bool)
-            there[np.repeat(np.arange(len(sizes)), sizes), (v * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40) & np.uint64(BITS - 1)] = True
-            bits = np.packbits(there, axis=1).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array(list(bits), pa.list_(pa.int64()))], names=["id", "n", "bits"])
+            sizes, found = batch.column(1).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64), []
+            for x in batch.column(1):
+                v = x.values.to_numpy(zero_copy_only=False).astype(np.uint64)
+                there = np.zeros(max(8, 1 << (4 * len(v) - 1).bit_length()), bool)
+                there[(v * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(24) & np.uint64(len(there) - 1)] = True
+                found.append(np.packbits(there).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array(found, pa.binary())], names=["id", "n", "bits"])
+
+    return sketches.select("id", "s").mapInArrow(run, f"id {dict(sketches.dtypes)['id']}, n bigint, bits binary")
+
+
+def _folded(bits: np.ndarray, size: int) -> np.ndarray:
+    while len(bits) > size:
+        bits = bits[: len(bits) // 2] | bits[len(bits) // 2 :]
+    return bits
 
-    return sketches.select("id", "s").mapInArrow(run, f"id {dict(sketches.dtypes)['id']}, n bigint, bits array<bigint>")
+
+def _may_be_near(least: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Keeps pairs unless their bitmaps differ by more bits than their sketches may differ by values."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for nx, ny, x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4), batch.column(5), strict=True):
+                x, y = (np.frombuffer(z.as_buffer(), np.uint8) for z in (x, y))
+                size = min(len(x), len(y))
+                differ = int(np.bitwise_count(_folded(x, size) ^ _folded(y, size)).sum())
+                keep.append((nx + ny - differ) / 2 >= least / (1 + least) * (nx + ny) - SLACK)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["x", "y"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
 
 
 def _parts(n: str) -> Column:
@@ -144,35 +170,41 @@ def _groups(sketches: DataFrame, id_: str, sketch: str) -> tuple[DataFrame, Data
     """(own, members): id, s (sorted) of one row for each different sketch, its least id; and rep (that id), id, size
     (rows with the sketch), parts of all rows with a sketch."""
     own = sketches.select(F.col(id_).alias("id"), F.array_sort(F.array_distinct(sketch)).alias("s")).where(F.size("s") > 0)
-    own = stored(own.withColumn("digest", F.sha2(F.array_join(F.col("s").cast("array<string>"), ","), 256)))
+    own = stored(own.withColumn("digest", F.sha2(F.array_join(F.col("s").cast("array<string>"), ","), 256)), "zstd")
     groups = stored(own.groupBy("digest").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("size")))
     members = stored(_with_group(own.select("digest", "id"), groups).select("rep", "id", "size", _parts("size").alias("parts")))
     return own.join(_few(members.where("id <> rep").select("id")), "id", "left_anti").select("id", "s"), members
 
 
+def _short(least: float) -> Column:
+    """The prefix that the smaller sketch of a pair needs, as the overlap is 2 * least / (1 + least) of it at least."""
+    return F.col("n") - F.ceil(2 * least / (1 + least) * F.col("n") - SLACK) + 1
+
+
+def _enough(least: float, nx: Column, px: Column, ny: Column, py: Column) -> Column:
+    """At the first value that two sketches share, what comes after it in both is all that they can share besides."""
+    return F.least(nx - px, ny - py) >= least / (1 + least) * (nx + ny) - SLACK
+
+
 def _sharing(postings: DataFrame, shared: DataFrame, least: float, apart: bool = False) -> DataFrame:
     """x, y of the rows that share a prefix value of `shared` (v, parts) and may have `least` similarity; `apart`: of
     different components alone."""
     dealt = postings.join(shared, "v")
-    # The smaller sketch of a pair, x, needs a shorter prefix, as the overlap is 2 * least / (1 + least) of it at least.
-    x = dealt.where(F.col("pos") < F.col("n") - F.ceil(2 * least / (1 + least) * F.col("n") - SLACK) + 1)
+    x = dealt.where(F.col("pos") < _short(least))
     own = lambda name: [F.col("component").alias(f"c{name}")] if apart else []
     x = x.select("v", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("pos").alias("px"), _part("id", "parts").alias("part"), *own("x"))
     y = dealt.select("v", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("pos").alias("py"), _each("parts").alias("part"), *own("y"))
     ordered = (F.col("nx") < F.col("ny")) | (F.col("nx") == F.col("ny")) & (F.col("x") < F.col("y"))
-    # At the first value that two sketches share, what comes after it in both is all that they can share besides.
-    enough = F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py")) >= least / (1 + least) * (F.col("nx") + F.col("ny")) - SLACK
-    wanted = ordered & enough & (F.col("nx") >= F.col("ny") * least - SLACK)
+    wanted = ordered & _enough(least, *map(F.col, ("nx", "px", "ny", "py"))) & (F.col("nx") >= F.col("ny") * least - SLACK)
     return x.join(y, ["v", "part"]).where(wanted & (F.col("cx") != F.col("cy")) if apart else wanted).select("x", "y").distinct()
 
 
 def _verified(pairs: DataFrame, own: DataFrame, bits: DataFrame, least: float) -> DataFrame:
     """a, b, jaccard of the pairs (x, y) that have `least` similarity."""
-    # Two sketches differ by as many values at least as their bitmaps differ by bits.
     map_ = lambda name: bits.select(F.col("id").alias(name), F.col("n").alias(f"n{name}"), F.col("bits").alias(f"b{name}"))
-    differ = sum((F.bit_count(F.col("bx")[i].bitwiseXOR(F.col("by")[i])) for i in range(BITS // 64)), F.lit(0))
-    sizes = F.col("nx") + F.col("ny")
-    pairs = stored(pairs.join(map_("x"), "x").join(map_("y"), "y").where((sizes - differ) / 2 >= least / (1 + least) * sizes - SLACK).select("x", "y"))
+    both = pairs.join(map_("x"), "x").join(map_("y"), "y").select("x", "y", "nx", "ny", "bx", "by")
+    kind = dict(own.dtypes)["id"]
+    pairs = stored(both.mapInArrow(_may_be_near(least), f"x {kind}, y {kind}"))
     needed = stored(pairs.select(F.col("x").alias("id")).union(pairs.select("y")).distinct())
     mine = own.select("id", "s").join(_few(needed), "id", "left_semi")
     side = lambda name: mine.select(F.col("id").alias(name), F.col("s").alias(f"s{name}"))
@@ -195,16 +227,18 @@ def similarity_classes(sketches: DataFrame, id_: str, sketch: str, least: float)
 
     First each row of a prefix value is compared with one hub of that value, so that a group of near copies gives as
     many pairs as it has rows.  Then rows that share a value but no component yet are compared with each other: all
-    links between components are found, and none that would join what is joined.
+    links between components are found, and none that would join what is joined.  (A value of two rows has one pair
+    alone, which the hub had.)
     """
     own, members = _groups(sketches, id_, sketch)
     postings, bits = _prefixes(own, least), stored(_bitmaps(own))
-    hubs = postings.groupBy("v").agg(F.count(F.lit(1)).alias("f"), F.min("id").alias("hub")).where("f > 1").select("v", "hub")
-    stars = postings.join(hubs, "v").where("id <> hub").select(F.col("hub").alias("x"), F.col("id").alias("y")).distinct()
+    hubs = postings.groupBy("v").agg(F.count(F.lit(1)).alias("f"), F.max(F.struct("n", "id", "pos")).alias("hub")).where("f > 1")
+    postings = stored(postings.join(hubs, "v").withColumn("first", F.col("pos") < _short(least)))
+    near = (F.col("n") >= F.col("hub.n") * least - SLACK) & _enough(least, F.col("n"), F.col("pos"), F.col("hub.n"), F.col("hub.pos"))
+    stars = postings.where(F.col("first") & near & (F.col("id") != F.col("hub.id"))).select(F.col("id").alias("x"), F.col("hub.id").alias("y")).distinct()
     first = _verified(stars, own, bits, least)
     labels = connected_components(first)
-    named = postings.join(labels.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    named = stored(named)
+    named = postings.where("f > 2").join(_few(labels.select(F.col("node").alias("id"), "component")), "id", "left").select("id", "n", "v", "pos", F.coalesce("component", "id").alias("component"))
     mixed = named.groupBy("v").agg(F.count(F.lit(1)).alias("f"), F.min("component").alias("low"), F.max("component").alias("high"))
     mixed = mixed.where("low <> high").select("v", _parts("f").alias("parts"))
     second = _verified(_sharing(named, mixed, least, apart=True), own, bits, least)
@@ -271,11 +305,12 @@ def similarity_links(sketches: DataFrame, id_: str, sketch: str, least: float) -
     classes, own = similarity_classes(sketches, id_, sketch, least)
     classes = stored(classes)
     reps = classes.where("id = rep").select("id", "size", "component")
-    sizes = stored(reps.join(own.select("id", F.size("s").alias("values")), "id").groupBy("component").agg(F.count(F.lit(1)).alias("rows"), F.sum("values").alias("values")).where("`rows` > 1"))
+    sizes = stored(reps.join(own.select("id", F.size("s").cast("bigint").alias("values")), "id").groupBy("component").agg(F.count(F.lit(1)).alias("rows"), F.sum("values").alias("values")).where("`rows` > 1"))
     parts = F.greatest(F.ceil(F.col("rows") / BLOCK_ROWS), F.ceil(F.col("values") / BLOCK_VALUES))
     sizes = sizes.withColumn("parts", parts)
     homes = max(32, (sizes.agg(F.sum("rows")).first()[0] or 0) // BLOCK_ROWS)  # of small components, several in each
-    inside = reps.join(F.broadcast(sizes) if sizes.count() <= MOST_BROADCAST else sizes, "component").join(own.select("id", "s"), "id")
+    inside = stored(reps.join(_few(sizes), "component"))
+    inside = inside.join(own.join(_few(inside.select("id")), "id", "left_semi").select("id", "s"), "id")
     part = F.when(F.col("parts") > 1, _part("id", "parts")).otherwise(0)
     other = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("with")
     each = inside.withColumn("part", part).select("*", other).select("id", "size", "component", "s", "part", F.least("part", "with").alias("p"), F.greatest("part", "with").alias("q"), F.when(F.col("parts") > 1, -1).otherwise(F.pmod(F.xxhash64("component"), F.lit(homes))).alias("home"), F.when(F.col("parts") > 1, F.col("component")).alias("large"))

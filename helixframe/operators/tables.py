@@ -19,15 +19,15 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """df as a table in the folder that all executors share, read again."""
     path = f"{shared_folder(df.sparkSession)}/graphs/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def spread(df: DataFrame) -> DataFrame:
     """df over all cores if it is read in fewer parts than that (a small file, one row group); else as it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    few = df._jdf.queryExecution().toRdd().getNumPartitions() < 2 * cores
+    few = df._jdf.queryExecution().toRdd().getNumPartitions() < cores
     return df.repartition(cores) if few else df

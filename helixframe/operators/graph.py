@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -9,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixframe.operators.tables import stored
+from helixframe.operators.tables import PACKED, stored
 
 #: Rows of a key that meet in one task; the rows of larger keys are dealt over several.
 DEALT = 256
@@ -92,7 +93,7 @@ def _prefixes(sketches: DataFrame, least: float) -> DataFrame:
             keep = pos < n - np.ceil(least * n - SLACK) + 1
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[keep])), pa.array(n[keep]), pa.array(v[order][keep]), pa.array(pos[keep])], names=["id", "n", "v", "pos"])
 
-    return stored(sketches.select("id", "s").mapInArrow(run, f"id {dict(sketches.dtypes)['id']}, n bigint, v bigint, pos bigint"))
+    return sketches.select("id", "s").mapInArrow(run, f"id {dict(sketches.dtypes)['id']}, n bigint, v bigint, pos bigint")
 
 
 def _bitmaps(sketches: DataFrame) -> DataFrame:
@@ -169,8 +170,15 @@ def _few(ids: DataFrame) -> DataFrame:
 def _groups(sketches: DataFrame, id_: str, sketch: str) -> tuple[DataFrame, DataFrame]:
     """(own, members): id, s (sorted) of one row for each different sketch, its least id; and rep (that id), id, size
     (rows with the sketch), parts of all rows with a sketch."""
-    own = sketches.select(F.col(id_).alias("id"), F.array_sort(F.array_distinct(sketch)).alias("s")).where(F.size("s") > 0)
-    own = stored(own.withColumn("digest", F.sha2(F.array_join(F.col("s").cast("array<string>"), ","), 256)), "zstd")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
+            found = [np.unique(x.values.drop_null().to_numpy(zero_copy_only=False)) for x in batch.column(1)]
+            digests = pa.array([hashlib.sha256(x.tobytes()).digest() for x in found], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64())), digests], names=["id", "s", "digest"])
+
+    some = sketches.select(F.col(id_).alias("id"), F.col(sketch).alias("s")).where(F.size("s") > 0)
+    own = stored(some.mapInArrow(run, f"id {dict(sketches.dtypes)[id_]}, s array<bigint>, digest binary"), **PACKED)
     groups = stored(own.groupBy("digest").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("size")))
     members = stored(_with_group(own.select("digest", "id"), groups).select("rep", "id", "size", _parts("size").alias("parts")))
     return own.join(_few(members.where("id <> rep").select("id")), "id", "left_anti").select("id", "s"), members
@@ -199,14 +207,20 @@ def _sharing(postings: DataFrame, shared: DataFrame, least: float, apart: bool =
     return x.join(y, ["v", "part"]).where(wanted & (F.col("cx") != F.col("cy")) if apart else wanted).select("x", "y").distinct()
 
 
-def _verified(pairs: DataFrame, own: DataFrame, bits: DataFrame, least: float) -> DataFrame:
+def _of(pairs: DataFrame, own: DataFrame) -> DataFrame:
+    """The sketches of the rows of pairs."""
+    ids = stored(pairs.select(F.col("x").alias("id")).union(pairs.select("y")).distinct())
+    return own.join(_few(ids), "id", "left_semi").select("id", "s")
+
+
+def _verified(pairs: DataFrame, own: DataFrame, least: float) -> DataFrame:
     """a, b, jaccard of the pairs (x, y) that have `least` similarity."""
+    pairs, kind = stored(pairs), dict(own.dtypes)["id"]
+    bits = _bitmaps(_of(pairs, own))
     map_ = lambda name: bits.select(F.col("id").alias(name), F.col("n").alias(f"n{name}"), F.col("bits").alias(f"b{name}"))
     both = pairs.join(map_("x"), "x").join(map_("y"), "y").select("x", "y", "nx", "ny", "bx", "by")
-    kind = dict(own.dtypes)["id"]
     pairs = stored(both.mapInArrow(_may_be_near(least), f"x {kind}, y {kind}"))
-    needed = stored(pairs.select(F.col("x").alias("id")).union(pairs.select("y")).distinct())
-    mine = own.select("id", "s").join(_few(needed), "id", "left_semi")
+    mine = _of(pairs, own)
     side = lambda name: mine.select(F.col("id").alias(name), F.col("s").alias(f"s{name}"))
     common = F.size(F.array_intersect("sx", "sy"))
     both = pairs.join(side("x"), "x").join(side("y"), "y").select("x", "y", (common / (F.size("sx") + F.size("sy") - common)).alias("jaccard"))
@@ -216,9 +230,9 @@ def _verified(pairs: DataFrame, own: DataFrame, bits: DataFrame, least: float) -
 def _near_groups(sketches: DataFrame, id_: str, sketch: str, least: float) -> tuple[DataFrame, DataFrame]:
     """(members, near): see _groups; and a, b, jaccard of the reps whose sketches have `least` similarity."""
     own, members = _groups(sketches, id_, sketch)
-    postings = _prefixes(own, least)
+    postings = stored(_prefixes(own, least))
     shared = postings.groupBy("v").agg(F.count(F.lit(1)).alias("f")).where("f > 1").select("v", _parts("f").alias("parts"))
-    return members, _verified(_sharing(postings, shared, least), own, stored(_bitmaps(own)), least)
+    return members, _verified(_sharing(postings, shared, least), own, least)
 
 
 def similarity_classes(sketches: DataFrame, id_: str, sketch: str, least: float) -> tuple[DataFrame, DataFrame]:
@@ -231,17 +245,17 @@ def similarity_classes(sketches: DataFrame, id_: str, sketch: str, least: float)
     alone, which the hub had.)
     """
     own, members = _groups(sketches, id_, sketch)
-    postings, bits = _prefixes(own, least), stored(_bitmaps(own))
+    postings = _prefixes(own, least)
     hubs = postings.groupBy("v").agg(F.count(F.lit(1)).alias("f"), F.max(F.struct("n", "id", "pos")).alias("hub")).where("f > 1")
     postings = stored(postings.join(hubs, "v").withColumn("first", F.col("pos") < _short(least)))
     near = (F.col("n") >= F.col("hub.n") * least - SLACK) & _enough(least, F.col("n"), F.col("pos"), F.col("hub.n"), F.col("hub.pos"))
     stars = postings.where(F.col("first") & near & (F.col("id") != F.col("hub.id"))).select(F.col("id").alias("x"), F.col("hub.id").alias("y")).distinct()
-    first = _verified(stars, own, bits, least)
+    first = _verified(stars, own, least)
     labels = connected_components(first)
     named = postings.where("f > 2").join(_few(labels.select(F.col("node").alias("id"), "component")), "id", "left").select("id", "n", "v", "pos", F.coalesce("component", "id").alias("component"))
     mixed = named.groupBy("v").agg(F.count(F.lit(1)).alias("f"), F.min("component").alias("low"), F.max("component").alias("high"))
     mixed = mixed.where("low <> high").select("v", _parts("f").alias("parts"))
-    second = _verified(_sharing(named, mixed, least, apart=True), own, bits, least)
+    second = _verified(_sharing(named, mixed, least, apart=True), own, least)
     # A component stands for its rows in the links between components.
     of = lambda name: labels.select(F.col("node").alias(name), F.col("component").alias(f"c{name}"))
     joined = second.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))

@@ -99,17 +99,29 @@ def only_kept(documents: DataFrame, marked: DataFrame) -> DataFrame:
     rows = marked.groupBy("doc_id", "text_sha256").agg(F.max("kept").alias("stays"), F.count(F.lit(1)).alias("n"))
     by_id = rows.groupBy("doc_id").agg(F.max("stays").alias("any"), F.min("stays").alias("all"), F.max("n").alias("n"))
     ids = written(by_id.where(F.col("doc_id").isNull() | ~F.col("all") | (F.col("n") > 1)), "ids")
-    gone = ids.where(F.col("doc_id").isNotNull() & ~F.col("any")).select(F.col("doc_id").alias("__gone"))
-    found = documents.join(_small(gone), documents["doc_id"] == F.col("__gone"), "left_anti")
-    mixed = ids.where(F.col("doc_id").isNull() | F.col("any")).select(F.col("doc_id").alias("__id"))
+    own_gone, own_id, own_sha, own_text = unused(documents.columns, "gone", "id", "sha", "text")
+    gone = ids.where(F.col("doc_id").isNotNull() & ~F.col("any")).select(F.col("doc_id").alias(own_gone))
+    found = documents.join(_small(gone), documents["doc_id"] == F.col(own_gone), "left_anti")
+    mixed = ids.where(F.col("doc_id").isNull() | F.col("any")).select(F.col("doc_id").alias(own_id))
     if mixed.isEmpty():
         return found
-    pairs = written(marked.where("kept").join(mixed, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).distinct(), "kept-pairs")
-    is_mixed = documents["doc_id"].eqNullSafe(F.col("__id"))
+    pairs = written(marked.where("kept").join(mixed, F.col("doc_id").eqNullSafe(F.col(own_id)), "left_semi").select(F.col("doc_id").alias(own_id), F.col("text_sha256").alias(own_sha)).distinct(), "kept-pairs")
+    is_mixed = documents["doc_id"].eqNullSafe(F.col(own_id))
     rest = found.join(_small(mixed), is_mixed, "left_anti")
-    told = found.withColumn("__text", digest(documents["text"]))
-    told = told.join(_small(pairs, MOST_BROADCAST_IDS // 8), is_mixed & (F.col("__text") == F.col("__sha")), "left_semi")
-    return rest.unionByName(told.dropDuplicates(["doc_id", "__text"]).drop("__text"))
+    told = found.withColumn(own_text, digest(documents["text"]))
+    told = told.join(_small(pairs, MOST_BROADCAST_IDS // 8), is_mixed & (F.col(own_text) == F.col(own_sha)), "left_semi")
+    return rest.unionByName(told.dropDuplicates(["doc_id", own_text]).drop(own_text))
+
+
+def unused(columns: list[str], *names: str) -> list[str]:
+    """names, longer where columns (in any case) have them already."""
+    taken, found = {c.lower() for c in columns}, []
+    for name in names:
+        name = f"own_{name}"
+        while name in taken:
+            name += "_"
+        found.append(name)
+    return found
 
 
 def _small(keys: DataFrame, most: int = MOST_BROADCAST_IDS) -> DataFrame:

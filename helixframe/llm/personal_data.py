@@ -11,7 +11,9 @@ make up O's lead by its words and moves, the best path has O there, so only the
 all those of one length together.
 
 The labelled table mixes secrets of several unlike makes (assigned values, prefixed keys, capitals with digits, pass
-phrases, dotted tokens, key headers) with what only looks like them.  Features are classes of a word, so that makes that
+phrases, dotted tokens, key headers) with what only looks like them, and with public identifiers: commits, sums, UUIDs,
+addresses of network cards and hosts, of web pages and files.  A bare number in hexadecimal digits is a secret where a word
+announces one.  The words of a key header are one span.  Features are classes of a word, so that makes that
 the table lacks are found too; of a shape its first 12 marks are one feature, and more than 20 digits count as 20.
 
 Spans of the field are added where no pattern's span overlaps; the patterns' spans stay.
@@ -42,7 +44,7 @@ LABELS = ("O", "secret", "email", "phone", "ip", "card")
 ORDER = {kind: i for i, kind in enumerate((*BASE, "secret"))}
 #: Words a task remembers; then it starts anew.
 MOST_WORDS = 200_000
-SENTENCES, SEED, STEPS, STEP, PRIOR = 500, 11, 150, 0.1, 0.01
+SENTENCES, SEED, STEPS, STEP, PRIOR = 800, 11, 150, 0.1, 0.01
 
 Span = tuple[str, int, int]
 
@@ -101,6 +103,14 @@ def base_spans(text: str) -> list[Span]:
 
 DIGITS, LOWER, UPPER = re.compile(r"[0-9]+"), re.compile(r"[^\W\d_A-Z]+"), re.compile(r"[A-ZÀ-ÖØ-Þ]+")
 EDGES = "\"'.,;:!?()[]{}<>#$%&*|"
+#: Identifiers that are public as a rule: of objects, network cards and hosts; places in the web and in file systems.
+PUBLIC = (
+    ("uuid", re.compile(r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")),
+    ("host", re.compile(r"[0-9A-Fa-f]{2}([:-][0-9A-Fa-f]{2}){5}|(?=.*:.*:)[0-9A-Fa-f]{0,4}(:[0-9A-Fa-f]{0,4}){2,7}")),
+    ("url", re.compile(r"[A-Za-z][A-Za-z+.-]*://.*|www\..*")),
+    ("path", re.compile(r"(?=.*/.*/)[\w.~/+@=-]+")),
+    ("sum", re.compile(r"(sha(1|256|512)|md5)[:-][0-9A-Fa-f]{32,128}")),
+)
 #: Words that announce a secret or a way to reach somebody.
 CUES = {x: "secret" for x in "token secret password passwd pwd apikey api_key key auth bearer".split()} | {x: "reach" for x in "phone tel call mobile fax email mail contact".split()}
 
@@ -117,6 +127,7 @@ def word_features(word: str) -> tuple[str, ...]:
     mixed = bool(digits) and core.isalnum() and not core.isdigit()
     found = ["plain" if plain else f"shape={s[:12]}", f"digits={min(digits, 20)}" if digits else "no-digit"]
     found.append(f"cue={CUES.get(core.lower().rstrip('='), '-')}")
+    found += [f"public={name}" for name, pattern in PUBLIC if len(core) >= 8 and pattern.fullmatch(core)]
     found.append(f"long={'no' if len(core) < 16 else 'yes' if len(core) < 24 else 'very'}")
     if mixed:
         found.append(f"mixed-{'long' if len(core) >= 20 else 'short'}{'-hex' if re.fullmatch(r'[0-9a-fA-F]+', core) else ''}")
@@ -130,6 +141,8 @@ def word_features(word: str) -> tuple[str, ...]:
         found.append("dotted")
     if core[:5] == "-----" or core[-5:] == "-----":
         found.append("header")
+    if re.split("[=:]", core, maxsplit=1)[0].lower() in CUES and re.search("[=:].", core):
+        found.append("assigned")
     if word == "=" or word.endswith((":", "=")):
         found.append("assigns")
     if "@" in core:
@@ -158,7 +171,7 @@ def labelled_table(sentences: int = SENTENCES, seed: int = SEED) -> list[tuple[l
 
     def item() -> list[tuple[str, str]]:
         end = rng.choice(("", "", ".", ",", "###", "!!", "%%%"))
-        kind = min(rng.randrange(23), 20)
+        kind = rng.choice((*range(24), 20, 20))
         if kind == 15:  # a prefixed key, with or without a word that announces it
             body = mixed(rng.randint(18, 40))
             prefix = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 5)))
@@ -177,10 +190,22 @@ def labelled_table(sentences: int = SENTENCES, seed: int = SEED) -> list[tuple[l
         if kind == 20:  # what only looks like a key
             part = lambda: word().strip(EDGES).lower()
             return [(rng.choice((f"{part()}-{part()}", f"{part()}_{part()}_{digits(4)}", f"{part()}-{part()}-{digits(1)}", f"v{digits(1)}-{part()}{digits(1)}", f"{digits(4)}-{digits(2)}-{digits(2)}T{digits(2)}:{digits(2)}", part().upper() + part().upper(), f"{part()}.{part()}.{part()}", f"{part()}{digits(2)}", "-----", part().upper() + digits(4), f"{part()}_{digits(4)}_{part()}.pdf", f"https://www.{part()}.example.org/{part()}/{part()[:1]}-{digits(3)}/{part()}.html", f"{digits(3)}-{digits(1)}-{digits(2)}-{digits(6)}-{digits(1)}", f"{digits(4)}-{digits(2)}-{digits(2)}T{digits(2)}:{digits(2)}:{digits(2)}Z", f"{part()}/{part()}-{digits(2)}.{part()}", f"{part()}{digits(1)}{part()[:1]}")) + end, "O")]
+        if kind in (21, 22, 23):  # identifiers, places and sums
+            part = lambda: word().strip(EDGES).lower()
+            uuid = "-".join(hexes(n) for n in (8, 4, 4, 4, 12))
+            value = rng.choice((
+                *[hexes(rng.choice((32, 40, 64)))] * 4, *[uuid, uuid.upper()] * 2, ":".join(hexes(2) for _ in range(6)), "-".join(hexes(2) for _ in range(6)).upper(), ":".join(hexes(4) for _ in range(8)), f"fe80::{hexes(4)}:{hexes(4)}", f"2001:db8::{hexes(3)}",
+                f"https://{part()}.example.org/{part()}/{hexes(rng.choice((8, 12, 40)))}", f"https://{part()}.example.com/{part()}-{part()}-{digits(rng.randint(2, 9))}?id={digits(6)}&x={mixed(8)}", f"/usr/{part()}/{part()}-{digits(1)}.{digits(2)}/{part()}{digits(2)}.so",
+                f"{part()}/{part()}{digits(1)}/{part()}-{digits(3)}", f"sha256:{hexes(64)}", f"doi:{digits(2)}.{digits(4)}/{part()}.{digits(5)}", hexes(rng.randint(7, 12)), f"www.{part()}{digits(2)}.example.org/{part()}",
+            ))
+            cue = rng.choice(("commit", "id", "sha256", "object", "revision", "at", "see", "md5:", "checksum:", "uuid:", "host", word()))
+            return [(cue, "O"), (value + end, "O")]
         if kind < 4:
             quote = rng.choice(('"', '"', "'", ""))
             value = quote + rng.choice((hexes(rng.choice((20, 32, 40, 64))), "".join(rng.choice("abcdefGHIJKLmnop0123456789") for _ in range(rng.randint(24, 44))))) + quote + end
             cue = rng.choice(("token", "secret", "password", "api_key", "key", "TOKEN"))
+            if rng.random() < 0.25:  # all in one word
+                return [(f"{cue}{rng.choice('==:')}{rng.choice((hexes(rng.randint(12, 40)), mixed(rng.randint(14, 40))))}{end}", "secret")]
             return [(x, "O") for x in rng.choice(((cue, "="), (f"{cue}:",), (f"{cue}=",)))] + [(value, "secret")]
         if kind == 4:
             return [(f"{word().strip(EDGES).lower()}.{digits(2)}@mail{digits(1)}.example.com{end}", "email")]
@@ -385,7 +410,8 @@ def field_spans(text: str, labels: list[tuple[int, int]]) -> list[Span]:
             core = m.group().strip(EDGES)
             start = m.start() + (m.group().find(core) if core else 0)
             end = start + len(core or m.group())
-            if before == (i - 1, label) and LABELS[label] == "phone":
+            header = found and text.startswith("-----", found[-1][1]) and not text.endswith("-----", found[-1][1] + 5, found[-1][2])
+            if before == (i - 1, label) and (LABELS[label] == "phone" or LABELS[label] == "secret" and header):
                 found[-1] = (found[-1][0], found[-1][1], end)
             else:
                 found.append((LABELS[label], start, end))

@@ -31,7 +31,7 @@ def odd(spark):
     from pyspark.sql import functions as F
 
     df = spark.createDataFrame(odd_rows(), SCHEMA)
-    return df.withColumns({"fp": F.lit(1), "node": F.lit("n"), "kept": F.lit(True), "length": F.lit(7), "label": F.lit(0), "__x": F.lit(None).cast("int")})
+    return df.withColumns({"fp": F.lit(1), "node": F.lit("n"), "kept": F.lit(True), "length": F.lit(7), "label": F.lit(0), "__x": F.lit(None).cast("int"), "__gone": F.lit(1), "__id": F.lit(2), "__text": F.lit("t"), "__sha": F.lit("s"), "own_id": F.lit(3), "Own_Text": F.lit("x")})
 
 
 @pytest.fixture(scope="session")

@@ -52,10 +52,10 @@ def sketch_pairs(sketches: DataFrame, id_: str, sketch: str, least: float, most_
 
 def _ranked(sketches: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """The most frequent values (sorted) and about how often they occur, MOST_RANKED at most: values that LEAST_RANKED
-    rows of a batch have are counted."""
+    of some rows read together have are counted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, 8 * ROWS) for b in batches for at in range(0, b.num_rows, 8 * ROWS)):
             v, n = np.unique(batch.column(0).flatten().to_numpy(zero_copy_only=False), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(v[n >= LEAST_RANKED]), pa.array(n[n >= LEAST_RANKED])], names=["v", "n"])
 
@@ -97,7 +97,7 @@ def _prefixes(sketches: DataFrame, least: float) -> DataFrame:
 
 
 def _bitmaps(sketches: DataFrame) -> DataFrame:
-    """id, n, bits: a bitmap of four bits for each value at least, a power of two; each value of a sketch sets one.
+    """id, n, bits: a bitmap of a bit for each value at least, a power of two; each value of a sketch sets one.
 
     A bitmap of half the size is the union of the halves of a larger one.
     """
@@ -107,7 +107,7 @@ def _bitmaps(sketches: DataFrame) -> DataFrame:
             sizes, found = batch.column(1).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64), []
             for x in batch.column(1):
                 v = x.values.to_numpy(zero_copy_only=False).astype(np.uint64)
-                there = np.zeros(max(8, 1 << (4 * len(v) - 1).bit_length()), bool)
+                there = np.zeros(max(8, 1 << (len(v) - 1).bit_length()), bool)
                 there[(v * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(24) & np.uint64(len(there) - 1)] = True
                 found.append(np.packbits(there).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array(found, pa.binary())], names=["id", "n", "bits"])

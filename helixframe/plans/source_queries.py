@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from helixframe.functions.sequences import dna_of_text
 from helixframe.operators.tables import shared_folder
-from helixframe.plans.fixtures import dna, load
+from helixframe.plans.fixtures import PAIRS, dna, load, pairs
 from helixframe.sources import fastx, formats, sinks
 
 
@@ -47,25 +47,31 @@ def fasta_round_trip(spark, sf_dir):
 FASTA = f"SELECT 'doc ' || doc_id AS name, {dna('text')} AS seq FROM documents WHERE {dna('text')} <> ''"
 
 
-def _mates(spark, sf_dir, mate):
-    turns = load(spark, sf_dir, "conversations").where(F.col("turn") < 2)
-    both = turns.groupBy("conv_id").agg(*[F.max(F.when(F.col("turn") == i, dna_of_text("text"))).alias(f"r{i + 1}") for i in (0, 1)]).where("r1 <> '' AND r2 <> ''")
-    return both.select("conv_id", F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit(f"/{mate}")).alias("header"), F.col(f"r{mate}").alias("seq")).withColumn("qual", F.repeat(F.lit("I"), F.length("seq")))
+#: Files of each side of pairs.
+FILES = 4
+
+
+def _mates(spark, sf_dir):
+    """conv_id, pair, mate, header, seq, qual: turns 2i and 2i + 1 of a conversation as mates, dealt over FILES files."""
+    both = pairs(spark, sf_dir).where("r1 <> '' AND r2 <> ''")
+    each = both.select("frag", F.posexplode(F.array("r1", "r2")).alias("mate", "seq"))
+    name = F.concat(F.lit("c"), F.col("frag").cast("string"), F.lit("/"), (F.col("mate") + 1).cast("string"))
+    return each.select("frag", "mate", name.alias("header"), "seq", F.repeat(F.lit("I"), F.length("seq")).alias("qual")).repartition(FILES, "frag").sortWithinPartitions("frag", "mate")
 
 
 def paired_round_trip(spark, sf_dir):
-    first, second = (_file(sinks.fastq_lines(_mates(spark, sf_dir, m).coalesce(1), "header", "seq", "qual", ["conv_id"]).coalesce(1)) for m in (1, 2))
+    """Both sides in several files each, whose reads correspond by file and place."""
+    mates = _mates(spark, sf_dir)
+    first, second = (_file(sinks.fastq_lines(mates.where(F.col("mate") == m), "header", "seq", "qual")) for m in (0, 1))
     return fastx.read_pairs(spark, first, second).select("frag_id", F.col("r1.seq").alias("r1"), F.col("r2.seq").alias("r2"))
 
 
 def interleaved_round_trip(spark, sf_dir):
-    both = _mates(spark, sf_dir, 1).unionByName(_mates(spark, sf_dir, 2))
-    path = _file(sinks.fastq_lines(both, "header", "seq", "qual", ["conv_id", "header"]).coalesce(1))
+    path = _file(sinks.fastq_lines(_mates(spark, sf_dir), "header", "seq", "qual"))
     return fastx.read_interleaved(spark, path).select("frag_id", F.col("r1.seq").alias("r1"), F.col("r2.seq").alias("r2"))
 
 
-PAIRED = f"""WITH m AS (SELECT conv_id, max(CASE WHEN turn = 0 THEN {dna('text')} END) AS r1, max(CASE WHEN turn = 1 THEN {dna('text')} END) AS r2 FROM conversations WHERE turn < 2 GROUP BY 1)
-SELECT 'c' || conv_id AS frag_id, r1, r2 FROM m WHERE r1 <> '' AND r2 <> ''"""
+PAIRED = f"WITH {PAIRS} SELECT 'c' || frag AS frag_id, r1, r2 FROM pairs WHERE r1 <> '' AND r2 <> ''"
 
 
 def _tabbed(df: DataFrame, *columns) -> DataFrame:

@@ -5,6 +5,8 @@ Lines are numbered per file: within a split by their order, before it by the cou
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -102,19 +104,36 @@ def read_references(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("locus", F.col("ord").alias("ref_ord"), "name", "seq")
 
 
-def read_pairs(spark: SparkSession, r1: str, r2: str, check_ids: bool = True) -> DataFrame:
-    """frag_ord, frag_id, r1, r2 (structs of header, seq, qual): mates on one row; unequal files are an error."""
-    side = lambda path, name: read_fastq(spark, path).select("ord", F.struct("header", "seq", "qual").alias(name))
-    both = side(r1, "r1").join(side(r2, "r2"), "ord", "full_outer")
+def _file_numbers(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """file, pair: the files of one side of pairs, numbered by name; those of a list in its order."""
+    names = [f for x in ([path] if isinstance(path, str) else path) for f in sorted(spark.read.text(x).inputFiles())]
+    # One names a file by file:///, the other by file:/.
+    return spark.createDataFrame([(re.sub("^file:/+", "file:/", f), i) for i, f in enumerate(dict.fromkeys(names))], "file string, pair int")
+
+
+def read_pairs(spark: SparkSession, r1: str | list[str], r2: str | list[str], check_ids: bool = True) -> DataFrame:
+    """pair (number of the pair of files), frag_ord, frag_id, r1, r2 (structs of header, seq, qual): mates on one row.
+
+    The files of a side are taken by name, those of a list in its order; the n-th of r1 has the mates of the n-th of r2.
+    Unequal numbers of files or of reads are an error.
+    """
+    sides = []
+    for path, name in ((r1, "r1"), (r2, "r2")):
+        reads = read_fastq(spark, path)
+        numbers = _file_numbers(spark, path)
+        sides.append((numbers.count(), reads.withColumn("file", F.regexp_replace("file", "^file:/+", "file:/")).join(F.broadcast(numbers), "file").select("pair", "ord", F.struct("header", "seq", "qual").alias(name))))
+    if sides[0][0] != sides[1][0]:
+        raise ValueError(f"{sides[0][0]} files of first mates, {sides[1][0]} of second ones")
+    both = sides[0][1].join(sides[1][1], ["pair", "ord"], "full_outer")
     same = F.col("r1").isNotNull() & F.col("r2").isNotNull()
     if check_ids:
         same = same & (pair_id("r1.header") == pair_id("r2.header"))
-    return both.select(F.col("ord").alias("frag_ord"), _check(same, "mates don't match", pair_id("r1.header")).alias("frag_id"), "r1", "r2")
+    return both.select("pair", F.col("ord").alias("frag_ord"), _check(same, "mates don't match", pair_id("r1.header")).alias("frag_id"), "r1", "r2")
 
 
-def read_interleaved(spark: SparkSession, path: str) -> DataFrame:
-    """The same from one file with mates in turn."""
-    reads = read_fastq(spark, path).select(F.floor(F.col("ord") / 2).alias("frag_ord"), (F.col("ord") % 2).alias("mate"), F.struct("header", "seq", "qual").alias("r"))
-    both = reads.groupBy("frag_ord").agg(F.max(F.when(F.col("mate") == 0, F.col("r"))).alias("r1"), F.max(F.when(F.col("mate") == 1, F.col("r"))).alias("r2"))
+def read_interleaved(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """file, frag_ord, frag_id, r1, r2 of files with mates in turn."""
+    reads = read_fastq(spark, path).select("file", F.floor(F.col("ord") / 2).alias("frag_ord"), (F.col("ord") % 2).alias("mate"), F.struct("header", "seq", "qual").alias("r"))
+    both = reads.groupBy("file", "frag_ord").agg(F.max(F.when(F.col("mate") == 0, F.col("r"))).alias("r1"), F.max(F.when(F.col("mate") == 1, F.col("r"))).alias("r2"))
     same = F.col("r2").isNotNull() & (pair_id("r1.header") == pair_id("r2.header"))
-    return both.select("frag_ord", _check(F.coalesce(same, F.lit(False)), "mates don't match", pair_id("r1.header")).alias("frag_id"), "r1", "r2")
+    return both.select("file", "frag_ord", _check(F.coalesce(same, F.lit(False)), "mates don't match", pair_id("r1.header")).alias("frag_id"), "r1", "r2")

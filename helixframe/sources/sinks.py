@@ -17,8 +17,9 @@ def fasta_lines(df: DataFrame, name: str, seq: str, order: list[str], width: int
     return df.orderBy(*order).select(F.concat(F.lit(">"), F.col(name), F.lit("\n"), body).alias("value"))
 
 
-def fastq_lines(df: DataFrame, header: str, seq: str, qual: str, order: list[str]) -> DataFrame:
-    return df.orderBy(*order).select(F.concat_ws("\n", F.concat(F.lit("@"), F.col(header)), F.col(seq), F.lit("+"), F.col(qual)).alias("value"))
+def fastq_lines(df: DataFrame, header: str, seq: str, qual: str, order: list[str] | None = None) -> DataFrame:
+    """value: a record a row; without an order they stay where they are."""
+    return (df.orderBy(*order) if order else df).select(F.concat_ws("\n", F.concat(F.lit("@"), F.col(header)), F.col(seq), F.lit("+"), F.col(qual)).alias("value"))
 
 
 def gfa_lines(segments: DataFrame, links: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from helixframe.sources import fastx, formats, sinks
 
 def put(tmp_path, name, text):
     path = tmp_path / name
+    path.parent.mkdir(exist_ok=True)
     (gzip.open(path, "wt") if name.endswith(".gz") else path.open("w")).write(text)
     if name.endswith(".gz"):
         with gzip.open(path, "wt") as file:
@@ -62,6 +63,16 @@ def test_pairs(spark, tmp_path):
     r1, r2 = put(tmp_path, "1.fq", "@x/1\nAC\n+\nII\n@y/1\nGG\n+\nII\n"), put(tmp_path, "2.fq", "@x/2\nTT\n+\nII\n@y/2\nCC\n+\nII\n")
     rows = fastx.read_pairs(spark, r1, r2).orderBy("frag_ord").collect()
     assert [(r["frag_id"], r["r1"]["seq"], r["r2"]["seq"]) for r in rows] == [("x", "AC", "TT"), ("y", "GG", "CC")]
+    for i, (a, b) in enumerate((("AA", "CC"), ("GG", "TT"))):
+        put(tmp_path / "first", f"l {i}.fq", "".join(f"@{n}{i}/1\n{s}\n+\nII\n" for n, s in (("p", a), ("q", b))))
+        put(tmp_path / "second", f"r {i}.fq", "".join(f"@{n}{i}/2\n{s}\n+\nII\n" for n, s in (("p", b), ("q", a))))
+        put(tmp_path / "turns", f"{i}.fq", f"@p{i}/1\n{a}\n+\nII\n@p{i}/2\n{b}\n+\nII\n@q{i}/1\n{b}\n+\nII\n@q{i}/2\n{a}\n+\nII\n")
+    want = [("p0", "AA", "CC"), ("p1", "GG", "TT"), ("q0", "CC", "AA"), ("q1", "TT", "GG")]
+    plain = lambda df: sorted((r["frag_id"], r["r1"]["seq"], r["r2"]["seq"]) for r in df.collect())
+    assert plain(fastx.read_pairs(spark, str(tmp_path / "first"), str(tmp_path / "second"))) == want
+    assert plain(fastx.read_interleaved(spark, str(tmp_path / "turns"))) == want
+    with pytest.raises(ValueError, match="files of first mates"):
+        fastx.read_pairs(spark, str(tmp_path / "first"), r2)
     both = put(tmp_path, "i.fq", "@x/1\nAC\n+\nII\n@x/2\nTT\n+\nII\n")
     assert fastx.read_interleaved(spark, both).first()["r2"]["seq"] == "TT"
     with pytest.raises(Exception, match="mates don't match"):

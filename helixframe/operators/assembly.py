@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixframe.operators.alignment import reverse_complement
+from helixframe.operators.tables import stored
 
 BASES = "ACGT"
 OFF_REFERENCE = 1023
@@ -285,6 +286,61 @@ def unitigs(words: set[str], k: int) -> tuple[list[str], list[tuple[int, int]]]:
     return [p[0] + "".join(w[-1] for w in p[1:]) for p in paths], edges
 
 
+def word_edges(words: DataFrame, k: int) -> DataFrame:
+    """locus, word, next, single: the edges of words (locus, word: different k-mers); single: the only one that leaves its
+    word and the only one that enters the next."""
+    left = words.select("locus", "word", F.substring("word", 2, k - 1).alias("inner"))
+    right = words.select("locus", F.col("word").alias("next"), F.substring("word", 1, k - 1).alias("inner"))
+    edges = stored(left.join(right, ["locus", "inner"]).select("locus", "word", "next"))
+    out = edges.groupBy("locus", "word").agg(F.count(F.lit(1)).alias("leave"))
+    into = edges.groupBy("locus", "next").agg(F.count(F.lit(1)).alias("enter"))
+    single = (F.col("leave") == 1) & (F.col("enter") == 1)
+    return edges.join(out, ["locus", "word"]).join(into, ["locus", "next"]).select("locus", "word", "next", single.alias("single"))
+
+
+def unitig_places(words: DataFrame, edges: DataFrame) -> DataFrame:
+    """locus, word, head, place: the unitig of each word, named by its first word, and the word's place there, from 0.
+
+    Pointer doubling: a word points to the one before it on its unitig, then to what that points to, so that each
+    round doubles the way; words of a locus stay spread over all tasks.  A circle has no first word; its least word
+    is its head.
+    """
+    entered = edges.where("single").select("locus", F.col("next").alias("word"), F.col("word").alias("at"))
+    start = words.join(entered, ["locus", "word"], "left")
+    state = stored(start.select("locus", "word", F.coalesce("at", "word").alias("at"), F.col("at").isNotNull().cast("bigint").alias("place"), F.least("word", F.coalesce("at", "word")).alias("low"), F.col("at").isNull().alias("ended")))
+    # On a path some word ends in each round; once none does, all that are left go in circles, of `left` words at most.
+    way, before = 1, None
+    while (left := state.where("NOT ended").count()) and not (left == before and way > left):
+        ahead = state.select("locus", F.col("word").alias("at"), F.col("at").alias("far"), F.col("place").alias("more"), F.col("low").alias("less"), F.col("ended").alias("end"))
+        moved = state.where("NOT ended").join(ahead, ["locus", "at"])
+        moved = moved.select("locus", "word", F.col("far").alias("at"), (F.col("place") + F.col("more")).alias("place"), F.least("low", "less").alias("low"), F.col("end").alias("ended"))
+        state = stored(state.where("ended").unionByName(moved))
+        way, before = way * 2, left
+    if not left:
+        return state.select("locus", "word", F.col("at").alias("head"), "place")
+    # What is left are circles: each word has seen the least one of its circle, and is placed by the way on from there.
+    circles = stored(state.where("NOT ended").select("locus", "word", F.col("low").alias("head")))
+    cut = edges.where("single").join(circles.select("locus", F.col("word").alias("next"), "head"), ["locus", "next"]).where("next <> head").select("locus", "word", "next", F.lit(True).alias("single"))
+    opened = unitig_places(circles.select("locus", "word"), cut)
+    return state.where("ended").select("locus", "word", F.col("at").alias("head"), "place").unionByName(opened)
+
+
+def unitig_summary(words: DataFrame, loci: DataFrame, k: int) -> DataFrame:
+    """locus, unitigs, bases, edges, kmers of each row of loci (locus), from words (locus, word: different k-mers).
+
+    edges are those between unitigs: from a last word to a first one.
+    """
+    words = stored(words)
+    edges = stored(word_edges(words, k))
+    places = stored(unitig_places(words, edges))
+    heads = places.where("place = 0").select("locus", F.col("head").alias("next"))
+    ends = places.groupBy("locus", "head").agg(F.max_by("word", "place").alias("word"), F.count(F.lit(1)).alias("n"))
+    between = edges.join(heads, ["locus", "next"], "left_semi").join(ends.select("locus", "word"), ["locus", "word"], "left_semi").groupBy("locus").agg(F.count(F.lit(1)).alias("edges"))
+    sizes = ends.groupBy("locus").agg(F.count(F.lit(1)).alias("unitigs"), F.sum(F.col("n") + (k - 1)).alias("bases"), F.sum("n").alias("kmers"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
+    return loci.select("locus").join(sizes, "locus", "left").join(between, "locus", "left").select("locus", zero("unitigs"), zero("bases"), zero("edges"), zero("kmers"))
+
+
 def bubbles(edges: list[tuple[int, int]], path: list[int], most: int = 256) -> list[tuple[int, int, str, int]]:
     """(entry, exit, status, nodes) of branches off a path: simple (one way back), complex, or terminal (-1: none)."""
     after = defaultdict(list)

@@ -14,8 +14,9 @@ from helixframe.operators.tables import PACKED, stored
 
 #: Rows of a key that meet in one task; the rows of larger keys are dealt over several.
 DEALT = 256
-#: Sketch values that are broadcast with their counts: the most frequent ones, of those that LEAST_RANKED rows of a batch have.
-MOST_RANKED, LEAST_RANKED = 250_000, 4
+#: Sketch values that are broadcast with their counts: the most frequent ones, of those that LEAST_RANKED
+#: of some rows with COUNTED values have.
+MOST_RANKED, LEAST_RANKED, COUNTED = 250_000, 3, 4_000_000
 #: Groups of equal sketches that are broadcast at most.
 MOST_HOT = 10_000
 #: Ids that are broadcast at most; more are joined by a shuffle.
@@ -54,10 +55,18 @@ def _ranked(sketches: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """The most frequent values (sorted) and about how often they occur, MOST_RANKED at most: values that LEAST_RANKED
     of some rows read together have are counted."""
 
+    def counted(held: list[np.ndarray]) -> pa.RecordBatch:
+        v, n = np.unique(np.concatenate([*held, np.empty(0, np.int64)]), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(v[n >= LEAST_RANKED]), pa.array(n[n >= LEAST_RANKED])], names=["v", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (b.slice(at, 8 * ROWS) for b in batches for at in range(0, b.num_rows, 8 * ROWS)):
-            v, n = np.unique(batch.column(0).flatten().to_numpy(zero_copy_only=False), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(v[n >= LEAST_RANKED]), pa.array(n[n >= LEAST_RANKED])], names=["v", "n"])
+        held: list[np.ndarray] = []
+        for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
+            held.append(batch.column(0).flatten().to_numpy(zero_copy_only=False))
+            if sum(map(len, held)) >= COUNTED:
+                yield counted(held)
+                held = []
+        yield counted(held)
 
     counts = stored(sketches.select("s").mapInArrow(run, "v bigint, n bigint").groupBy("v").agg(F.sum("n").alias("n")))
     bound, total = 0, 0

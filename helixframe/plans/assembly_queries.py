@@ -60,15 +60,31 @@ def _words(spark, sf_dir):
 
 def unitigs(spark, sf_dir):
     """Unitigs of each locus' reference and reads: number, bases, edges."""
-
-    def run(pdf):
-        import pandas as pd
-
-        words = set(pdf["word"].dropna())
-        paths, edges = assembly.unitigs(words, K)
-        return pd.DataFrame({"locus": pdf["locus"].iloc[:1], "unitigs": [len(paths)], "bases": [sum(map(len, paths))], "edges": [len(edges)], "kmers": [len(words)]})
-
-    return _words(spark, sf_dir).groupBy("locus").applyInPandas(run, "locus bigint, unitigs bigint, bases bigint, edges bigint, kmers bigint")
+    return assembly.unitig_summary(_words(spark, sf_dir).where("word IS NOT NULL"), loci(spark, sf_dir), K)
+
+
+#: Steps of SQL's pointer doubling: for unitigs of up to 2 ** STEPS words.
+STEPS = 20
+_DOUBLED = ",\n".join(
+    f"p{i + 1} AS MATERIALIZED (SELECT a.locus, a.word, z.here, least(a.low, z.low) AS low FROM p{i} a JOIN p{i} z ON z.locus = a.locus AND z.word = a.here)" for i in range(STEPS)
+)
+#: A circle of single edges has no first word: it counts once, opened at its least word.
+UNITIGS = f"""{LONGEST.split("SELECT frag, locus, strand::INT")[0]},
+txt AS (SELECT DISTINCT locus, seq FROM b JOIN fragments USING (frag) WHERE n = 1 UNION SELECT locus, seq FROM loci),
+w AS MATERIALIZED (SELECT DISTINCT locus, substring(seq, pos + 1, {K}) AS word FROM (SELECT locus, seq, unnest(range(0, greatest(length(seq) - {K - 1}, 0))) AS pos FROM txt)),
+e AS (SELECT a.locus, a.word, c.word AS next FROM w a JOIN w c ON a.locus = c.locus AND substring(a.word, 2, {K - 1}) = substring(c.word, 1, {K - 1})),
+x AS MATERIALIZED (SELECT *, count(*) OVER (PARTITION BY locus, word) = 1 AND count(*) OVER (PARTITION BY locus, next) = 1 AS single FROM e),
+one AS MATERIALIZED (SELECT locus, word, next FROM x WHERE single),
+p0 AS MATERIALIZED (SELECT w.locus, w.word, coalesce(one.word, w.word) AS here, least(w.word, coalesce(one.word, w.word)) AS low FROM w LEFT JOIN one ON one.locus = w.locus AND one.next = w.word),
+{_DOUBLED},
+heads AS (SELECT locus, word FROM w ANTI JOIN (SELECT locus, next AS word FROM one) USING (locus, word)),
+circles AS (SELECT DISTINCT locus, low AS head FROM p{STEPS} ANTI JOIN (SELECT locus, word AS here FROM heads) USING (locus, here)),
+firsts AS (SELECT locus, word FROM heads UNION ALL SELECT locus, head FROM circles),
+lasts AS (SELECT locus, word FROM w ANTI JOIN one USING (locus, word) UNION ALL SELECT one.locus, one.word FROM one JOIN circles c ON one.locus = c.locus AND one.next = c.head),
+un AS (SELECT locus, count(*) AS unitigs FROM firsts GROUP BY locus), km AS (SELECT locus, count(*) AS kmers FROM w GROUP BY locus),
+te AS (SELECT x.locus, count(*) AS edges FROM x JOIN firsts f ON f.locus = x.locus AND f.word = x.next JOIN lasts l ON l.locus = x.locus AND l.word = x.word GROUP BY x.locus)
+SELECT locus, coalesce(unitigs, 0)::BIGINT AS unitigs, (coalesce(kmers, 0) + {K - 1} * coalesce(unitigs, 0))::BIGINT AS bases, coalesce(edges, 0)::BIGINT AS edges, coalesce(kmers, 0)::BIGINT AS kmers
+FROM (SELECT DISTINCT locus FROM loci) LEFT JOIN un USING (locus) LEFT JOIN km USING (locus) LEFT JOIN te USING (locus)"""
 
 
 def bubble_qc(spark, sf_dir):
@@ -208,7 +224,7 @@ QUERIES = {
     "longest_exact_match": (longest_exact_match, LONGEST),
     "local_alignment": (local_alignment, None),
     "backbone_contig": (backbone_contig, None),
-    "unitigs": (unitigs, None),
+    "unitigs": (unitigs, UNITIGS),
     "bubble_qc": (bubble_qc, None),
     "extend_fragments": (extend_fragments, None),
     "em_abundance": (em_abundance, None),

@@ -146,7 +146,7 @@ def search_paths(graph: DataFrame, edges: DataFrame, seeds: DataFrame, budget: i
     nodes = stored(branch_nodes(graph, edges, starts.select("locus", "word").distinct()))
     zero = F.lit(0).cast("bigint")
     state = starts.select("locus", "side", F.lit("").alias("key"), F.col("word").alias("at"), F.array("word").alias("seen"), F.lit("").alias("bases"), zero.alias("value"), F.lit(False).alias("done"))
-    ended = None
+    ended, bound = None, 0
     while True:
         more = nodes.select("locus", F.col("head").alias("at"), F.col("bases").alias("letters"), F.col("value").alias("gain"), "follow")
         met = state.where("NOT done").join(more, ["locus", "at"])
@@ -165,15 +165,19 @@ def search_paths(graph: DataFrame, edges: DataFrame, seeds: DataFrame, budget: i
         ))
         found = state.where("done").select("locus", "side", "key", "bases", "value")
         ended = found if ended is None else ended.unionByName(found)
-        keys = ended.select("locus", "side", "key", F.lit(True).alias("done")).unionByName(state.where("NOT done").select("locus", "side", "key", "done"))
-        left, most = keys.groupBy("locus", "side").agg(F.count_if(~F.col("done")).alias("left"), F.count(F.lit(1)).alias("n")).agg(F.sum("left"), F.max("n")).first()
-        if most and most > budget:
+        by_side = state.groupBy("locus", "side").agg(F.count_if(~F.col("done")).alias("left"), F.count_if("done").alias("n"))
+        left, most_left, most_ended = by_side.agg(F.coalesce(F.sum("left"), zero), F.max("left"), F.max("n")).first()
+        # No side has more paths than these bounds tell; only beyond the budget are they counted.
+        bound += most_ended or 0
+        if left and bound + most_left > budget:
+            keys = ended.select("locus", "side", "key", F.lit(True).alias("done")).unionByName(state.where("NOT done").select("locus", "side", "key", "done"))
             kept = _first(keys, budget)
             state = stored(state.join(kept.where("NOT done").select("locus", "side", "key"), ["locus", "side", "key"], "left_semi"))
             ended = stored(ended.join(kept.where("done").select("locus", "side", "key"), ["locus", "side", "key"], "left_semi"))
-            left = state.where("NOT done").count()
+            sizes = ended.groupBy("locus", "side").count().agg(F.max("count")).first()
+            bound, left = sizes[0] or 0, state.where("NOT done").count()
         if not left:
-            return ended
+            return _first(ended, budget)
 
 
 def read_slices(reads: DataFrame, size: int) -> DataFrame:

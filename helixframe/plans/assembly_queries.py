@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from helixframe.functions.sequences import dna_of_text, reverse_complement
-from helixframe.operators import alignment, assembly, cohort, evidence, recruit, repeats
+from helixframe.operators import alignment, assembly, cohort, evidence, recruit, repeats, search
+from helixframe.operators.tables import stored
 from helixframe.plans.fixtures import FRAGMENTS, LOCI, dna, fragments, load, loci, rc, sql_windows
 
 K = 31
@@ -87,6 +88,68 @@ SELECT locus, coalesce(unitigs, 0)::BIGINT AS unitigs, (coalesce(kmers, 0) + {K
 FROM (SELECT DISTINCT locus FROM loci) LEFT JOIN un USING (locus) LEFT JOIN km USING (locus) LEFT JOIN te USING (locus)"""
 
 
+#: Bases of a slice of a read; reads that a word off the reference must have more of, so that texts which leave each other are branches.
+SLICE, ERROR_LIMIT = 90, 0
+
+
+def search_contigs(spark, sf_dir):
+    """The best contig of each locus by search over all paths of its recruited texts' k-mers."""
+    texts = stored(longest_exact_match(spark, sf_dir).select("locus", "frag").join(fragments(spark, sf_dir), "frag").select("locus", "seq"))
+    at = F.explode(F.sequence(F.lit(0), F.length("seq") - K, F.lit(40)))
+    reads = texts.select("locus", "seq", at.alias("at")).select("locus", F.substring(F.col("seq"), F.col("at") + 1, F.lit(120)).alias("seq"))
+    return search.search_contigs(texts, loci(spark, sf_dir), search.read_slices(reads, SLICE), K, SLICE, ERROR_LIMIT)
+
+
+_WINDOWS = "unnest(range(0, greatest(length({0}) - {1}, 0)))"
+SEARCH = f"""WITH RECURSIVE {LONGEST.split("SELECT frag, locus, strand::INT")[0].removeprefix("WITH ")},
+tx AS MATERIALIZED (SELECT locus, frag, seq FROM b JOIN fragments USING (frag) WHERE n = 1),
+tw AS (SELECT DISTINCT locus, frag, substring(seq, i + 1, {K}) AS word FROM (SELECT *, {_WINDOWS.format("seq", K - 1)} AS i FROM tx)),
+dw AS (SELECT locus, word, count(*) AS depth FROM (SELECT locus, frag, word FROM tw UNION SELECT locus, frag, {rc("word")} FROM tw) GROUP BY ALL),
+lw AS (SELECT locus, i, substring(seq, i + 1, {K}) AS word, length(seq) AS len, greatest(length(seq) - {K}, 1) AS size FROM (SELECT *, {_WINDOWS.format("seq", K - 1)} AS i FROM loci)),
+kw AS (SELECT locus, word, count(*) AS known, arg_min(place, o) AS place FROM (
+SELECT locus, word, CASE WHEN len > {K} THEN 1000 * (size - i) // size ELSE 0 END AS place, 2 * i AS o FROM lw UNION ALL SELECT locus, {rc("word")}, 1000 * i // size, 2 * i + 1 FROM lw) GROUP BY ALL),
+g0 AS (SELECT locus, word, depth, known, place FROM dw LEFT JOIN kw USING (locus, word) WHERE depth > {ERROR_LIMIT} OR known IS NOT NULL),
+hs AS (SELECT locus, list(depth ORDER BY depth) AS v, count(*) AS n, count(*) // 2 AS h FROM g0 GROUP BY locus),
+cp AS (SELECT locus, CASE WHEN n = 1 THEN v[1] ELSE floor(((v[n + 1 - (h + 1) // 2] + v[n - h // 2]) / 2 - (v[(h + 1) // 2] + v[h // 2 + 1]) / 2) * 1.5::DOUBLE + (v[n + 1 - (h + 1) // 2] + v[n - h // 2]) / 2) END::BIGINT AS cap FROM hs),
+gr AS MATERIALIZED (SELECT locus, word, least(depth, cap) AS depth, CASE WHEN known IS NULL THEN 0 WHEN depth > {ERROR_LIMIT} THEN cap // (abs(known - 1) + 1) + 1 ELSE 1 END AS weight, coalesce(place, 1023) AS place FROM g0 JOIN cp USING (locus)),
+sd AS MATERIALIZED (SELECT locus, word AS seed FROM (SELECT *, row_number() OVER (PARTITION BY locus ORDER BY weight DESC, depth DESC, word) AS n FROM gr WHERE weight > 0) WHERE n = 1),
+e0 AS (SELECT a.locus, a.word, c.word AS next, c.depth + c.weight AS gain,
+(CASE WHEN NOT (a.place > 0 AND a.place < 1000 AND c.place > 0 AND c.place < 1000) THEN 0 WHEN abs(a.place - c.place) <= 2 THEN 8 WHEN a.weight > 0 AND c.weight > 0 THEN -8 ELSE 0 END)
+- (CASE WHEN c.weight = 0 AND c.depth > greatest(4 * greatest(a.depth, 2), 8) THEN (c.depth - greatest(4 * greatest(a.depth, 2), 8)) // 2 ELSE 0 END) AS bonus
+FROM gr a JOIN gr c ON a.locus = c.locus AND substring(a.word, 2) = substring(c.word, 1, {K - 1})),
+ed AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY locus, word ORDER BY gain + bonus DESC, next) - 1 AS rank, count(*) OVER (PARTITION BY locus, word) AS leave, count(*) OVER (PARTITION BY locus, next) AS enter FROM e0),
+st AS (SELECT locus, 'right' AS side, seed AS word FROM sd UNION ALL SELECT locus, 'left', {rc("seed")} FROM sd),
+sr AS (SELECT locus, side, word AS at, [word] AS seen, '' AS key, '' AS bases, 0::BIGINT AS value, false AS done FROM st
+UNION ALL SELECT locus, side, next, CASE WHEN enter > 1 THEN list_append(seen, next) ELSE seen END, CASE WHEN leave > 1 THEN key || rank ELSE key END, bases || coalesce(right(next, 1), ''),
+value + coalesce(gain, 0)::BIGINT + (CASE WHEN options > 1 THEN bonus ELSE 0 END)::BIGINT, next IS NULL
+FROM (SELECT sr.*, ed.next, ed.gain, ed.bonus, ed.rank, ed.leave, ed.enter, count(ed.next) OVER (PARTITION BY sr.locus, sr.side, sr.key) AS options
+FROM sr LEFT JOIN ed ON ed.locus = sr.locus AND ed.word = sr.at AND NOT list_contains(sr.seen, ed.next) WHERE NOT sr.done)),
+pt AS (SELECT locus, side, key, bases, value FROM (SELECT *, row_number() OVER (PARTITION BY locus, side ORDER BY key) AS n FROM sr WHERE done) WHERE n <= {search.BUDGET}),
+kp AS MATERIALIZED (SELECT * FROM (SELECT *, max(value) OVER (PARTITION BY locus, side) AS most FROM pt) WHERE value > most >> 2),
+rd AS (SELECT locus, substring(seq, i + 1, 120) AS r FROM (SELECT *, unnest(range(0, length(seq) - {K - 1}, 40)) AS i FROM tx)),
+md AS (SELECT locus, substring(r, (length(r) - {SLICE}) // 2 + 1, {SLICE}) AS f, substring({rc("r")}, (length(r) - {SLICE}) // 2 + 1, {SLICE}) AS v FROM rd WHERE length(r) >= {SLICE}),
+sl AS MATERIALIZED (SELECT locus, slice, count(*) AS n FROM (SELECT locus, unnest(list_distinct([f, v])) AS slice FROM md) GROUP BY ALL),
+hw AS (SELECT DISTINCT locus, side, key, substring(bases, i + 1, {SLICE}) AS slice FROM (SELECT *, {_WINDOWS.format("bases", SLICE - 1)} AS i FROM kp)),
+hc AS (SELECT locus, side, key, sum(n) AS reads FROM hw JOIN sl USING (locus, slice) GROUP BY ALL),
+sides AS (SELECT * FROM (SELECT kp.*, row_number() OVER (PARTITION BY locus, side ORDER BY length(bases) DESC, coalesce(reads, 0) DESC, value DESC, bases, key) AS number FROM kp LEFT JOIN hc USING (locus, side, key)) WHERE number <= {search.MOST_SIDES}),
+cg AS MATERIALIZED (SELECT sd.locus, coalesce(l.number, 0) AS "left", coalesce(r.number, 0) AS "right", {rc("coalesce(l.bases, '')")} || seed || coalesce(r.bases, '') AS contig, coalesce(l.value, 0) + coalesce(r.value, 0) AS value
+FROM sd LEFT JOIN (SELECT * FROM sides WHERE side = 'left') l ON l.locus = sd.locus LEFT JOIN (SELECT * FROM sides WHERE side = 'right') r ON r.locus = sd.locus),
+ht AS MATERIALIZED (SELECT locus, "left", "right", slice, count(*) AS places, min(i) AS i, max(n) AS n FROM (SELECT *, substring(contig, i + 1, {SLICE}) AS slice FROM (SELECT *, {_WINDOWS.format("contig", SLICE - 1)} AS i FROM cg)) JOIN sl USING (locus, slice) GROUP BY ALL),
+tt AS (SELECT locus, "left", "right", coalesce(sum(n) FILTER (places = 1), 0) AS unique_reads, coalesce(sum(n) FILTER (places > 1), 0) AS multi_reads FROM ht GROUP BY ALL),
+cv AS (SELECT locus, "left", "right", sum(coalesce(least(i - last, {SLICE}), {SLICE})) AS supported_bases, max(coalesce(greatest(i - last - {SLICE}, 0), 0)) AS gap, min(i) AS low, max(i) AS high
+FROM (SELECT *, lag(i) OVER (PARTITION BY locus, "left", "right" ORDER BY i) AS last FROM ht WHERE places = 1) GROUP BY ALL),
+dp AS (SELECT locus, "left", "right", median(coalesce(depth, 0))::DOUBLE AS median_depth, round(stddev_pop(coalesce(depth, 0)) / avg(coalesce(depth, 0)), 9) AS depth_cv, round(max(coalesce(depth, 0)) / median(coalesce(depth, 0)), 9) AS depth_ratio
+FROM (SELECT *, substring(contig, i + 1, {K}) AS word FROM (SELECT *, {_WINDOWS.format("contig", K - 1)} AS i FROM cg)) LEFT JOIN gr USING (locus, word) GROUP BY ALL),
+su AS (SELECT cg.*, length(contig) AS length, coalesce(unique_reads, 0) AS unique_reads, coalesce(multi_reads, 0) AS multi_reads, coalesce(supported_bases, 0) AS supported_bases,
+CASE WHEN supported_bases IS NULL THEN length(contig) ELSE greatest(gap, low, length(contig) - high - {SLICE}) END AS max_gap,
+CASE WHEN supported_bases IS NULL THEN 0.0 WHEN low = 0 AND length(contig) - high - {SLICE} = 0 THEN 1.0 ELSE least(low, length(contig) - high - {SLICE}) / greatest(low, length(contig) - high - {SLICE}) END::DOUBLE AS flank_balance, median_depth, depth_cv, depth_ratio
+FROM cg LEFT JOIN tt USING (locus, "left", "right") LEFT JOIN cv USING (locus, "left", "right") LEFT JOIN dp USING (locus, "left", "right")),
+rk AS (SELECT *, count(*) OVER (PARTITION BY locus) AS candidates, row_number() OVER (PARTITION BY locus ORDER BY round(supported_bases * least(unique_reads / length / 0.01::DOUBLE, 1) / (1 + depth_cv) * least(10 / greatest(depth_ratio, 1), 1), 6) DESC,
+supported_bases / length DESC, unique_reads / length DESC, max_gap / length, length DESC, unique_reads DESC, unique_reads + multi_reads DESC, flank_balance DESC, value DESC, contig DESC, "left", "right") AS place FROM su)
+SELECT locus, candidates::BIGINT AS candidates, "left"::BIGINT AS "left", "right"::BIGINT AS "right", contig, value::BIGINT AS value, length::BIGINT AS length, unique_reads::BIGINT AS unique_reads, multi_reads::BIGINT AS multi_reads,
+supported_bases::BIGINT AS supported_bases, max_gap::BIGINT AS max_gap, flank_balance, median_depth, depth_cv, depth_ratio FROM rk WHERE place = 1"""
+
+
 def bubble_qc(spark, sf_dir):
     def run(pdf):
         import pandas as pd
@@ -225,6 +288,7 @@ QUERIES = {
     "local_alignment": (local_alignment, None),
     "backbone_contig": (backbone_contig, None),
     "unitigs": (unitigs, UNITIGS),
+    "search_contigs": (search_contigs, SEARCH),
     "bubble_qc": (bubble_qc, None),
     "extend_fragments": (extend_fragments, None),
     "em_abundance": (em_abundance, None),

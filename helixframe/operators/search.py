@@ -83,8 +83,9 @@ def weighted_graph(reads: DataFrame, refs: DataFrame, k: int, error_limit: int =
     else:
         words = words.join(rescued.select("locus", "word", F.lit(True).alias("rescued")).distinct(), ["locus", "word"], "left")
         words = words.withColumn("rescued", F.coalesce("rescued", F.lit(False)) & F.col("known").isNull() & (F.col("depth") <= error_limit))
-    kept = stored(words.where((F.col("depth") > error_limit) | F.col("known").isNotNull() | F.col("rescued")))
-    both = kept.join(depth_caps(kept.where("NOT rescued")), "locus").join(records, "locus")
+    kept = stored(words.where((F.col("depth") > error_limit) | F.col("known").isNotNull() | F.col("rescued")), compression="zstd")
+    # Of the whole graph one table is kept; a row of limits a locus is joined to it wherever it is read.
+    both = kept.join(stored(depth_caps(kept.where("NOT rescued")).join(records, "locus")), "locus")
     scaled = F.floor(F.col("records") * F.col("cap") / (F.abs(F.col("known") - F.col("records")) + 1)) + 1
     weight = F.when(F.col("known").isNull(), 0).when(F.col("depth") > error_limit, scaled).otherwise(1)
     return both.select("locus", "word", F.least("depth", "cap").alias("depth"), weight.cast("bigint").alias("weight"), F.coalesce("place", F.lit(OFF_REFERENCE)).alias("place"), "rescued")
@@ -115,6 +116,12 @@ def choices(graph: DataFrame, support: DataFrame | None = None) -> DataFrame:
     return edges.select("locus", "word", "next", bonus.alias("bonus"), (F.col("depth") + F.col("weight") + bonus).alias("score"))
 
 
+def stored_choices(edges: DataFrame) -> DataFrame:
+    """choices() as a table that keeps the last letter of next alone."""
+    kept = stored(edges.select("locus", "word", F.expr("right(next, 1)").alias("letter"), "bonus", "score"), compression="zstd")
+    return kept.select("locus", "word", F.concat(F.expr("substring(word, 2)"), "letter").alias("next"), "bonus", "score")
+
+
 def branch_nodes(graph: DataFrame, edges: DataFrame, starts: DataFrame) -> DataFrame:
     """locus, head, bases, value, follow: the graph's stretches without a branch; each of starts (locus, word) is one by itself.
 
@@ -256,9 +263,9 @@ def best_contigs(supported: DataFrame) -> DataFrame:
 
 def search_contigs(reads: DataFrame, refs: DataFrame, slices: DataFrame, k: int, size: int, error_limit: int = 2, budget: int = BUDGET, most: int = MOST_SIDES) -> DataFrame:
     """The best contig of each locus of refs (locus, seq) from its reads (locus, seq) and read_slices of `size` bases."""
-    graph = stored(weighted_graph(reads, refs, k, error_limit))
+    graph = weighted_graph(reads, refs, k, error_limit)
     seeds = stored(best_seeds(graph))
-    paths = search_paths(graph, stored(choices(graph)), seeds, budget)
+    paths = search_paths(graph, stored_choices(choices(graph)), seeds, budget)
     slices = stored(slices)
     contigs = stored(combine_sides(seeds, best_sides(paths, slices, size, most)))
     return best_contigs(contig_support(contigs, slices, graph, size, k))

@@ -50,11 +50,15 @@ def reference_words(refs: DataFrame, k: int) -> DataFrame:
     return both.groupBy("locus", "word").agg(F.count(F.lit(1)).alias("known"), F.min_by("place", F.struct("record", "at", "strand")).alias("place"))
 
 
-def read_words(reads: DataFrame, k: int, least: int = 1) -> DataFrame:
-    """locus, word, depth: words of both strands of reads (locus, seq) that `least` reads have, each read counting one once."""
-    counts = recruit.seq_kmers(reads, ["locus"], "seq", k, once=True).groupBy("locus", "kmer").agg(F.count(F.lit(1)).alias("depth"))
-    words = counts.where(F.col("depth") >= least).select("locus", "depth", recruit.decode("kmer", k).alias("word"))
-    return words.select("locus", F.explode(F.array_distinct(F.array("word", reverse_complement("word")))).alias("word"), "depth")
+def both_strands(counts: DataFrame, k: int) -> DataFrame:
+    """counts (locus, kmer and others) with the texts of both strands as word, in place of the canonical kmer."""
+    words = counts.withColumn("kmer", recruit.decode("kmer", k))
+    return words.withColumn("word", F.explode(F.array_distinct(F.array("kmer", reverse_complement("kmer"))))).drop("kmer")
+
+
+def read_words(reads: DataFrame, k: int) -> DataFrame:
+    """locus, word, depth: words of both strands of reads (locus, seq), each read counting one once."""
+    return both_strands(recruit.seq_kmers(reads, ["locus"], "seq", k, once=True).groupBy("locus", "kmer").agg(F.count(F.lit(1)).alias("depth")), k)
 
 
 def depth_caps(depths: DataFrame) -> DataFrame:
@@ -71,19 +75,22 @@ def depth_caps(depths: DataFrame) -> DataFrame:
     return counted.groupBy("locus").agg(q1.alias("q1"), q3.alias("q3")).select("locus", F.floor((F.col("q3") - F.col("q1")) * 1.5 + F.col("q3")).alias("cap"))
 
 
-def weighted_graph(reads: DataFrame, refs: DataFrame, k: int, error_limit: int = 2, rescued: DataFrame | None = None) -> DataFrame:
-    """locus, word, depth (capped), weight (of the reference, 0 off it), place, rescued.
+def weighted_graph(reads: DataFrame, refs: DataFrame, k: int, error_limit: int = 2) -> DataFrame:
+    """locus, word, depth (capped), weight (of the reference, 0 off it), place, rescued (none): words of reads (locus, seq).
+
+    Words off the reference need more than error_limit reads."""
+    return weighted_words(read_words(reads, k), refs, k, error_limit)
 
-    Words off the reference need more than error_limit reads, or a row of rescued (locus, word)."""
+
+def weighted_words(words: DataFrame, refs: DataFrame, k: int, error_limit: int = 2, least: int = 0) -> DataFrame:
+    """weighted_graph's columns for words (locus, word, depth); with `least`, those with fewer reads are rescued if they
+    have that many fragments (a column of words).  Rescued words do not count for the cap."""
     reference = reference_words(refs, k)
     records = refs.groupBy("locus").agg(F.count(F.lit(1)).alias("records"))
-    words = read_words(reads, k).join(reference, ["locus", "word"], "left")
-    if rescued is None:
-        words = words.withColumn("rescued", F.lit(False))
-    else:
-        words = words.join(rescued.select("locus", "word", F.lit(True).alias("rescued")).distinct(), ["locus", "word"], "left")
-        words = words.withColumn("rescued", F.coalesce("rescued", F.lit(False)) & F.col("known").isNull() & (F.col("depth") <= error_limit))
-    kept = stored(words.where((F.col("depth") > error_limit) | F.col("known").isNotNull() | F.col("rescued")), compression="zstd")
+    words = words.join(reference, ["locus", "word"], "left")
+    rare = F.col("known").isNull() & (F.col("depth") <= error_limit)
+    words = words.withColumn("rescued", rare & (F.col("fragments") >= least) if least else F.lit(False))
+    kept = stored(words.where((F.col("depth") > error_limit) | F.col("known").isNotNull() | F.col("rescued")).drop("fragments"), compression="zstd")
     # Of the whole graph one table is kept; a row of limits a locus is joined to it wherever it is read.
     both = kept.join(stored(depth_caps(kept.where("NOT rescued")).join(records, "locus")), "locus")
     scaled = F.floor(F.col("records") * F.col("cap") / (F.abs(F.col("known") - F.col("records")) + 1)) + 1
@@ -97,14 +104,23 @@ def best_seeds(graph: DataFrame) -> DataFrame:
     return graph.where("weight > 0").groupBy("locus").agg(F.min_by("word", order).alias("seed"))
 
 
+def _follow(words: DataFrame) -> DataFrame:
+    """words with each next that may follow."""
+    return words.withColumn("next", F.explode(F.array(*(F.concat(F.expr("substring(word, 2)"), F.lit(b)) for b in "ACGT"))))
+
+
+def graph_edges(words: DataFrame) -> DataFrame:
+    """locus, word, next of words (locus, word)."""
+    return _follow(words).join(words.withColumnRenamed("word", "next"), ["locus", "next"], "left_semi").select("locus", "word", "next")
+
+
 def choices(graph: DataFrame, support: DataFrame | None = None) -> DataFrame:
     """locus, word, next, bonus, score: the graph's edges; the score holds at a branch, best first with ties by text.
 
     support (locus, word, next, fragments): fragments that go over an edge with a mate on the reference."""
     here = graph.select("locus", "word", F.col("depth").alias("d"), F.col("weight").alias("w"), F.col("place").alias("p"))
-    follow = F.explode(F.array(*(F.concat(F.expr("substring(word, 2)"), F.lit(b)) for b in "ACGT")))
     there = graph.select("locus", F.col("word").alias("next"), "depth", "weight", "place", "rescued")
-    edges = here.select("*", follow.alias("next")).join(there, ["locus", "next"])
+    edges = _follow(here).join(there, ["locus", "next"])
     edges = edges.join(support, ["locus", "word", "next"], "left") if support is not None else edges.withColumn("fragments", F.lit(0))
     pairs = F.coalesce("fragments", F.lit(0))
     by_pairs = F.when(pairs >= LEAST_PAIRS, PAIR_BONUS * F.least(pairs, F.lit(MOST_PAIRS))).when(F.col("rescued"), -RESCUE_PENALTY).otherwise(0)
@@ -251,13 +267,19 @@ def contig_support(contigs: DataFrame, slices: DataFrame, graph: DataFrame, size
     )
 
 
-def best_contigs(supported: DataFrame) -> DataFrame:
-    """The best row of each locus of contig_support's: by effective bases, breadth, density of reads, gap, length, reads
-    in one place, all reads, balance, value and text, all the greater the better but for the gap."""
+def ranking() -> list[Column]:
+    """What contigs are ranked by, of contig_support's columns: effective bases, breadth, density of reads, gap, length,
+    reads in one place, all reads, balance, value and text, all the greater the better but for the gap."""
     density = F.col("unique_reads") / F.col("length")
     effective = F.col("supported_bases") * F.least(density / 0.01, F.lit(1.0)) / (1 + F.col("depth_cv")) * F.least(10 / F.greatest("depth_ratio", F.lit(1.0)), F.lit(1.0))
-    keys = [F.round(effective, 6), F.col("supported_bases") / F.col("length"), density, -F.col("max_gap") / F.col("length"), F.col("length"), F.col("unique_reads"), F.col("unique_reads") + F.col("multi_reads"), F.col("flank_balance"), F.col("value"), F.col("contig"), -F.col("left"), -F.col("right")]
-    best = F.max_by(F.struct(*(c for c in supported.columns if c != "locus")), F.struct(*(x.alias(f"k{i}") for i, x in enumerate(keys))))
+    keys = [F.round(effective, 6), F.col("supported_bases") / F.col("length"), density, -F.col("max_gap") / F.col("length"), F.col("length"), F.col("unique_reads"), F.col("unique_reads") + F.col("multi_reads"), F.col("flank_balance"), F.col("value"), F.col("contig")]
+    return [x.alias(f"k{i}") for i, x in enumerate(keys)]
+
+
+def best_contigs(supported: DataFrame) -> DataFrame:
+    """The best row of each locus of contig_support's, with the number of candidates."""
+    keys = [*ranking(), (-F.col("left")).alias("left"), (-F.col("right")).alias("right")]
+    best = F.max_by(F.struct(*(c for c in supported.columns if c != "locus")), F.struct(*keys))
     return supported.groupBy("locus").agg(best.alias("b"), F.count(F.lit(1)).alias("candidates")).select("locus", "candidates", "b.*")
 
 

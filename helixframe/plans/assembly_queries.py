@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from helixframe.functions.sequences import dna_of_text, reverse_complement
-from helixframe.operators import alignment, assembly, cohort, evidence, recruit, repeats, search
+from helixframe.operators import alignment, assembly, cohort, evidence, mates, recruit, repeats, search
 from helixframe.operators.tables import stored
 from helixframe.plans.fixtures import FRAGMENTS, LOCI, dna, fragments, load, loci, rc, sql_windows
 
@@ -101,23 +101,8 @@ def search_contigs(spark, sf_dir):
 
 
 _WINDOWS = "unnest(range(0, greatest(length({0}) - {1}, 0)))"
-SEARCH = f"""WITH RECURSIVE {LONGEST.split("SELECT frag, locus, strand::INT")[0].removeprefix("WITH ")},
-tx AS MATERIALIZED (SELECT locus, frag, seq FROM b JOIN fragments USING (frag) WHERE n = 1),
-tw AS (SELECT DISTINCT locus, frag, substring(seq, i + 1, {K}) AS word FROM (SELECT *, {_WINDOWS.format("seq", K - 1)} AS i FROM tx)),
-dw AS (SELECT locus, word, count(*) AS depth FROM (SELECT locus, frag, word FROM tw UNION SELECT locus, frag, {rc("word")} FROM tw) GROUP BY ALL),
-lw AS (SELECT locus, i, substring(seq, i + 1, {K}) AS word, length(seq) AS len, greatest(length(seq) - {K}, 1) AS size FROM (SELECT *, {_WINDOWS.format("seq", K - 1)} AS i FROM loci)),
-kw AS (SELECT locus, word, count(*) AS known, arg_min(place, o) AS place FROM (
-SELECT locus, word, CASE WHEN len > {K} THEN 1000 * (size - i) // size ELSE 0 END AS place, 2 * i AS o FROM lw UNION ALL SELECT locus, {rc("word")}, 1000 * i // size, 2 * i + 1 FROM lw) GROUP BY ALL),
-g0 AS (SELECT locus, word, depth, known, place FROM dw LEFT JOIN kw USING (locus, word) WHERE depth > {ERROR_LIMIT} OR known IS NOT NULL),
-hs AS (SELECT locus, list(depth ORDER BY depth) AS v, count(*) AS n, count(*) // 2 AS h FROM g0 GROUP BY locus),
-cp AS (SELECT locus, CASE WHEN n = 1 THEN v[1] ELSE floor(((v[n + 1 - (h + 1) // 2] + v[n - h // 2]) / 2 - (v[(h + 1) // 2] + v[h // 2 + 1]) / 2) * 1.5::DOUBLE + (v[n + 1 - (h + 1) // 2] + v[n - h // 2]) / 2) END::BIGINT AS cap FROM hs),
-gr AS MATERIALIZED (SELECT locus, word, least(depth, cap) AS depth, CASE WHEN known IS NULL THEN 0 WHEN depth > {ERROR_LIMIT} THEN cap // (abs(known - 1) + 1) + 1 ELSE 1 END AS weight, coalesce(place, 1023) AS place FROM g0 JOIN cp USING (locus)),
-sd AS MATERIALIZED (SELECT locus, word AS seed FROM (SELECT *, row_number() OVER (PARTITION BY locus ORDER BY weight DESC, depth DESC, word) AS n FROM gr WHERE weight > 0) WHERE n = 1),
-e0 AS (SELECT a.locus, a.word, c.word AS next, c.depth + c.weight AS gain,
-(CASE WHEN NOT (a.place > 0 AND a.place < 1000 AND c.place > 0 AND c.place < 1000) THEN 0 WHEN abs(a.place - c.place) <= 2 THEN 8 WHEN a.weight > 0 AND c.weight > 0 THEN -8 ELSE 0 END)
-- (CASE WHEN c.weight = 0 AND c.depth > greatest(4 * greatest(a.depth, 2), 8) THEN (c.depth - greatest(4 * greatest(a.depth, 2), 8)) // 2 ELSE 0 END) AS bonus
-FROM gr a JOIN gr c ON a.locus = c.locus AND substring(a.word, 2) = substring(c.word, 1, {K - 1})),
-ed AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY locus, word ORDER BY gain + bonus DESC, next) - 1 AS rank, count(*) OVER (PARTITION BY locus, word) AS leave, count(*) OVER (PARTITION BY locus, next) AS enter FROM e0),
+#: SQL of the search from its edges e0 on: paths of both sides, the best of them, contigs and what supports them.
+_PATHS = f"""ed AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY locus, word ORDER BY gain + bonus DESC, next) - 1 AS rank, count(*) OVER (PARTITION BY locus, word) AS leave, count(*) OVER (PARTITION BY locus, next) AS enter FROM e0),
 st AS (SELECT locus, 'right' AS side, seed AS word FROM sd UNION ALL SELECT locus, 'left', {rc("seed")} FROM sd),
 sr AS (SELECT locus, side, word AS at, [word] AS seen, '' AS key, '' AS bases, 0::BIGINT AS value, false AS done FROM st
 UNION ALL SELECT locus, side, next, CASE WHEN enter > 1 THEN list_append(seen, next) ELSE seen END, CASE WHEN leave > 1 THEN key || rank ELSE key END, bases || coalesce(right(next, 1), ''),
@@ -125,11 +110,11 @@ value + coalesce(gain, 0)::BIGINT + (CASE WHEN options > 1 THEN bonus ELSE 0 END
 FROM (SELECT sr.*, ed.next, ed.gain, ed.bonus, ed.rank, ed.leave, ed.enter, count(ed.next) OVER (PARTITION BY sr.locus, sr.side, sr.key) AS options
 FROM sr LEFT JOIN ed ON ed.locus = sr.locus AND ed.word = sr.at AND NOT list_contains(sr.seen, ed.next) WHERE NOT sr.done)),
 pt AS (SELECT locus, side, key, bases, value FROM (SELECT *, row_number() OVER (PARTITION BY locus, side ORDER BY key) AS n FROM sr WHERE done) WHERE n <= {search.BUDGET}),
-kp AS MATERIALIZED (SELECT * FROM (SELECT *, max(value) OVER (PARTITION BY locus, side) AS most FROM pt) WHERE value > most >> 2),
-rd AS (SELECT locus, substring(seq, i + 1, 120) AS r FROM (SELECT *, unnest(range(0, length(seq) - {K - 1}, 40)) AS i FROM tx)),
-md AS (SELECT locus, substring(r, (length(r) - {SLICE}) // 2 + 1, {SLICE}) AS f, substring({rc("r")}, (length(r) - {SLICE}) // 2 + 1, {SLICE}) AS v FROM rd WHERE length(r) >= {SLICE}),
-sl AS MATERIALIZED (SELECT locus, slice, count(*) AS n FROM (SELECT locus, unnest(list_distinct([f, v])) AS slice FROM md) GROUP BY ALL),
-hw AS (SELECT DISTINCT locus, side, key, substring(bases, i + 1, {SLICE}) AS slice FROM (SELECT *, {_WINDOWS.format("bases", SLICE - 1)} AS i FROM kp)),
+kp AS MATERIALIZED (SELECT * FROM (SELECT *, max(value) OVER (PARTITION BY locus, side) AS most FROM pt) WHERE value > most >> 2),"""
+
+
+def _supported_sql(k: int) -> str:
+    return f"""hw AS (SELECT DISTINCT locus, side, key, substring(bases, i + 1, {SLICE}) AS slice FROM (SELECT *, {_WINDOWS.format("bases", SLICE - 1)} AS i FROM kp)),
 hc AS (SELECT locus, side, key, sum(n) AS reads FROM hw JOIN sl USING (locus, slice) GROUP BY ALL),
 sides AS (SELECT * FROM (SELECT kp.*, row_number() OVER (PARTITION BY locus, side ORDER BY length(bases) DESC, coalesce(reads, 0) DESC, value DESC, bases, key) AS number FROM kp LEFT JOIN hc USING (locus, side, key)) WHERE number <= {search.MOST_SIDES}),
 cg AS MATERIALIZED (SELECT sd.locus, coalesce(l.number, 0) AS "left", coalesce(r.number, 0) AS "right", {rc("coalesce(l.bases, '')")} || seed || coalesce(r.bases, '') AS contig, coalesce(l.value, 0) + coalesce(r.value, 0) AS value
@@ -139,17 +124,120 @@ tt AS (SELECT locus, "left", "right", coalesce(sum(n) FILTER (places = 1), 0) AS
 cv AS (SELECT locus, "left", "right", sum(coalesce(least(i - last, {SLICE}), {SLICE})) AS supported_bases, max(coalesce(greatest(i - last - {SLICE}, 0), 0)) AS gap, min(i) AS low, max(i) AS high
 FROM (SELECT *, lag(i) OVER (PARTITION BY locus, "left", "right" ORDER BY i) AS last FROM ht WHERE places = 1) GROUP BY ALL),
 dp AS (SELECT locus, "left", "right", median(coalesce(depth, 0))::DOUBLE AS median_depth, round(stddev_pop(coalesce(depth, 0)) / avg(coalesce(depth, 0)), 9) AS depth_cv, round(max(coalesce(depth, 0)) / median(coalesce(depth, 0)), 9) AS depth_ratio
-FROM (SELECT *, substring(contig, i + 1, {K}) AS word FROM (SELECT *, {_WINDOWS.format("contig", K - 1)} AS i FROM cg)) LEFT JOIN gr USING (locus, word) GROUP BY ALL),
+FROM (SELECT *, substring(contig, i + 1, {k}) AS word FROM (SELECT *, {_WINDOWS.format("contig", k - 1)} AS i FROM cg)) LEFT JOIN gr USING (locus, word) GROUP BY ALL),
 su AS (SELECT cg.*, length(contig) AS length, coalesce(unique_reads, 0) AS unique_reads, coalesce(multi_reads, 0) AS multi_reads, coalesce(supported_bases, 0) AS supported_bases,
 CASE WHEN supported_bases IS NULL THEN length(contig) ELSE greatest(gap, low, length(contig) - high - {SLICE}) END AS max_gap,
 CASE WHEN supported_bases IS NULL THEN 0.0 WHEN low = 0 AND length(contig) - high - {SLICE} = 0 THEN 1.0 ELSE least(low, length(contig) - high - {SLICE}) / greatest(low, length(contig) - high - {SLICE}) END::DOUBLE AS flank_balance, median_depth, depth_cv, depth_ratio
-FROM cg LEFT JOIN tt USING (locus, "left", "right") LEFT JOIN cv USING (locus, "left", "right") LEFT JOIN dp USING (locus, "left", "right")),
-rk AS (SELECT *, count(*) OVER (PARTITION BY locus) AS candidates, row_number() OVER (PARTITION BY locus ORDER BY round(supported_bases * least(unique_reads / length / 0.01::DOUBLE, 1) / (1 + depth_cv) * least(10 / greatest(depth_ratio, 1), 1), 6) DESC,
-supported_bases / length DESC, unique_reads / length DESC, max_gap / length, length DESC, unique_reads DESC, unique_reads + multi_reads DESC, flank_balance DESC, value DESC, contig DESC, "left", "right") AS place FROM su)
+FROM cg LEFT JOIN tt USING (locus, "left", "right") LEFT JOIN cv USING (locus, "left", "right") LEFT JOIN dp USING (locus, "left", "right"))"""
+
+
+_RANKING = """round(supported_bases * least(unique_reads / length / 0.01::DOUBLE, 1) / (1 + depth_cv) * least(10 / greatest(depth_ratio, 1), 1), 6) DESC,
+supported_bases / length DESC, unique_reads / length DESC, max_gap / length, length DESC, unique_reads DESC, unique_reads + multi_reads DESC, flank_balance DESC, value DESC, contig DESC"""
+SEARCH = f"""WITH RECURSIVE {LONGEST.split("SELECT frag, locus, strand::INT")[0].removeprefix("WITH ")},
+tx AS MATERIALIZED (SELECT locus, frag, seq FROM b JOIN fragments USING (frag) WHERE n = 1),
+tw AS (SELECT DISTINCT locus, frag, substring(seq, i + 1, {K}) AS word FROM (SELECT *, {_WINDOWS.format("seq", K - 1)} AS i FROM tx)),
+dw AS (SELECT locus, word, count(*) AS depth FROM (SELECT locus, frag, word FROM tw UNION SELECT locus, frag, {rc("word")} FROM tw) GROUP BY ALL),
+lw AS (SELECT locus, i, substring(seq, i + 1, {K}) AS word, length(seq) AS len, greatest(length(seq) - {K}, 1) AS size FROM (SELECT *, {_WINDOWS.format("seq", K - 1)} AS i FROM loci)),
+kw AS (SELECT locus, word, count(*) AS known, arg_min(place, o) AS place FROM (
+SELECT locus, word, CASE WHEN len > {K} THEN 1000 * (size - i) // size ELSE 0 END AS place, 2 * i AS o FROM lw UNION ALL SELECT locus, {rc("word")}, 1000 * i // size, 2 * i + 1 FROM lw) GROUP BY ALL),
+g0 AS (SELECT locus, word, depth, known, place FROM dw LEFT JOIN kw USING (locus, word) WHERE depth > {ERROR_LIMIT} OR known IS NOT NULL),
+hs AS (SELECT locus, list(depth ORDER BY depth) AS v, count(*) AS n, count(*) // 2 AS h FROM g0 GROUP BY locus),
+cp AS (SELECT locus, CASE WHEN n = 1 THEN v[1] ELSE floor(((v[n + 1 - (h + 1) // 2] + v[n - h // 2]) / 2 - (v[(h + 1) // 2] + v[h // 2 + 1]) / 2) * 1.5::DOUBLE + (v[n + 1 - (h + 1) // 2] + v[n - h // 2]) / 2) END::BIGINT AS cap FROM hs),
+gr AS MATERIALIZED (SELECT locus, word, least(depth, cap) AS depth, CASE WHEN known IS NULL THEN 0 WHEN depth > {ERROR_LIMIT} THEN cap // (abs(known - 1) + 1) + 1 ELSE 1 END AS weight, coalesce(place, 1023) AS place FROM g0 JOIN cp USING (locus)),
+sd AS MATERIALIZED (SELECT locus, word AS seed FROM (SELECT *, row_number() OVER (PARTITION BY locus ORDER BY weight DESC, depth DESC, word) AS n FROM gr WHERE weight > 0) WHERE n = 1),
+e0 AS (SELECT a.locus, a.word, c.word AS next, c.depth + c.weight AS gain,
+(CASE WHEN NOT (a.place > 0 AND a.place < 1000 AND c.place > 0 AND c.place < 1000) THEN 0 WHEN abs(a.place - c.place) <= 2 THEN 8 WHEN a.weight > 0 AND c.weight > 0 THEN -8 ELSE 0 END)
+- (CASE WHEN c.weight = 0 AND c.depth > greatest(4 * greatest(a.depth, 2), 8) THEN (c.depth - greatest(4 * greatest(a.depth, 2), 8)) // 2 ELSE 0 END) AS bonus
+FROM gr a JOIN gr c ON a.locus = c.locus AND substring(a.word, 2) = substring(c.word, 1, {K - 1})),
+{_PATHS}
+rd AS (SELECT locus, substring(seq, i + 1, 120) AS r FROM (SELECT *, unnest(range(0, length(seq) - {K - 1}, 40)) AS i FROM tx)),
+md AS (SELECT locus, substring(r, (length(r) - {SLICE}) // 2 + 1, {SLICE}) AS f, substring({rc("r")}, (length(r) - {SLICE}) // 2 + 1, {SLICE}) AS v FROM rd WHERE length(r) >= {SLICE}),
+sl AS MATERIALIZED (SELECT locus, slice, count(*) AS n FROM (SELECT locus, unnest(list_distinct([f, v])) AS slice FROM md) GROUP BY ALL),
+{_supported_sql(K)},
+rk AS (SELECT *, count(*) OVER (PARTITION BY locus) AS candidates, row_number() OVER (PARTITION BY locus ORDER BY {_RANKING}, "left", "right") AS place FROM su)
 SELECT locus, candidates::BIGINT AS candidates, "left"::BIGINT AS "left", "right"::BIGINT AS "right", contig, value::BIGINT AS value, length::BIGINT AS length, unique_reads::BIGINT AS unique_reads, multi_reads::BIGINT AS multi_reads,
 supported_bases::BIGINT AS supported_bases, max_gap::BIGINT AS max_gap, flank_balance, median_depth, depth_cv, depth_ratio FROM rk WHERE place = 1"""
 
 
+#: Letters of a mate, between mates, from pair to pair; k, and reads that a word off the reference must have more of.
+#: MATE and INSERT are multiples of PAIR_STEP.
+MATE, INSERT, PAIR_STEP, MATE_K, MATE_ERRORS = 120, 60, 60, 25, 2
+
+
+def _mate_pairs(spark, sf_dir):
+    """Pairs of mates along the whole texts that have a word of a locus: locus, frag, r1, r2 (of the other strand)."""
+    index = recruit.reference_index(loci(spark, sf_dir), "locus", "seq", MATE_K)
+    hits = recruit.recruit(fragments(spark, sf_dir), "frag", ["seq"], index, MATE_K)
+    texts = stored(hits.join(fragments(spark, sf_dir), "frag").select("locus", "frag", "seq"))
+    # Mates are made of pieces of PAIR_STEP letters, so that a text is run through once.
+    pieces = texts.select("locus", "frag", F.length("seq").alias("size"), F.regexp_extract_all("seq", F.lit(f".{{1,{PAIR_STEP}}}"), F.lit(0)).alias("piece"))
+
+    def mate(i, start):
+        return F.concat(*(F.coalesce(F.get("piece", i + j), F.lit("")) for j in range(start // PAIR_STEP, (start + MATE) // PAIR_STEP)))
+
+    starts = F.sequence(F.lit(0), F.floor((F.col("size") - MATE_K) / PAIR_STEP).cast("int"))
+    each = F.inline(F.transform(starts, lambda i: F.struct(i.alias("n"), mate(i, 0).alias("r1"), mate(i, MATE + INSERT).alias("r2"))))
+    return pieces.select("locus", "frag", each).select("locus", (F.col("frag") * 2**24 + F.col("n")).alias("frag"), "r1", reverse_complement("r2").alias("r2"))
+
+
+def mate_branch_support(spark, sf_dir):
+    """Edges at branches of each locus' assisted graph, the fragments that go over them, and what the next word is."""
+    anchored = stored(mates.anchored_pairs(_mate_pairs(spark, sf_dir), loci(spark, sf_dir), MATE_K))
+    graph = mates.assisted_graph(anchored, loci(spark, sf_dir), MATE_K, MATE_ERRORS)
+    there = graph.select("locus", F.col("word").alias("next"), "depth", "weight", "rescued")
+    return mates.branch_support(anchored, graph, MATE_K).join(there, ["locus", "next"])
+
+
+def mate_contigs(spark, sf_dir):
+    """The best contig of each locus over its core and its assisted graph, with the guard of the core's length."""
+    return mates.mate_contigs(_mate_pairs(spark, sf_dir), loci(spark, sf_dir), MATE_K, SLICE, MATE_ERRORS)
+
+
+_MATE_WINDOW = f"unnest(range(0, greatest(length(seq) - {MATE_K - 1}, 0)))"
+_MATE_GRAPH = f"""{FRAGMENTS}, {LOCI},
+lw AS MATERIALIZED (SELECT locus, i, substring(seq, i + 1, {MATE_K}) AS word, length(seq) AS len, greatest(length(seq) - {MATE_K}, 1) AS size FROM (SELECT *, {_MATE_WINDOW} AS i FROM loci)),
+kw AS MATERIALIZED (SELECT locus, word, count(*) AS known, arg_min(place, o) AS place FROM (
+SELECT locus, word, CASE WHEN len > {MATE_K} THEN 1000 * (size - i) // size ELSE 0 END AS place, 2 * i AS o FROM lw UNION ALL SELECT locus, {rc("word")}, 1000 * i // size, 2 * i + 1 FROM lw) GROUP BY ALL),
+fh AS (SELECT DISTINCT locus, frag FROM (SELECT frag, substring(seq, i + 1, {MATE_K}) AS word FROM (SELECT *, {_MATE_WINDOW} AS i FROM fragments)) JOIN kw USING (word)),
+pm AS (SELECT locus, frag * 16777216 + n AS frag, mate, CASE mate WHEN 1 THEN substring(seq, n * {PAIR_STEP} + 1, {MATE}) ELSE {rc(f"substring(seq, n * {PAIR_STEP} + {MATE + INSERT + 1}, {MATE})")} END AS seq
+FROM (SELECT locus, frag, seq, unnest(range(0, (length(seq) - {MATE_K}) // {PAIR_STEP} + 1)) AS n FROM fh JOIN fragments USING (frag)), (VALUES (1), (2)) m(mate)),
+an AS MATERIALIZED (SELECT DISTINCT locus, frag, mate FROM (SELECT *, substring(seq, i + 1, {MATE_K}) AS word FROM (SELECT *, {_MATE_WINDOW} AS i FROM pm)) JOIN kw USING (locus, word)),
+rs AS MATERIALIZED (SELECT pm.locus, pm.frag, pm.mate, pm.seq, o.frag IS NOT NULL AS mine, x.frag IS NOT NULL AS others FROM pm LEFT JOIN an o ON o.locus = pm.locus AND o.frag = pm.frag AND o.mate = pm.mate
+LEFT JOIN an x ON x.locus = pm.locus AND x.frag = pm.frag AND x.mate = 3 - pm.mate WHERE o.frag IS NOT NULL OR x.frag IS NOT NULL),
+rw AS (SELECT DISTINCT locus, frag, mate, mine, others, substring(seq, i + 1, {MATE_K}) AS word FROM (SELECT *, {_MATE_WINDOW} AS i FROM rs)),
+dw AS (SELECT locus, word, count(*) AS depth, count(*) FILTER (others AND NOT mine) AS fragments FROM (SELECT * FROM rw UNION SELECT locus, frag, mate, mine, others, {rc("word")} FROM rw) GROUP BY ALL),
+g0 AS MATERIALIZED (SELECT *, known IS NULL AND depth <= {MATE_ERRORS} AS rescued FROM dw LEFT JOIN kw USING (locus, word) WHERE depth > {MATE_ERRORS} OR known IS NOT NULL OR fragments >= {mates.LEAST_FRAGMENTS}),
+hs AS (SELECT locus, list(depth ORDER BY depth) AS v, count(*) AS n, count(*) // 2 AS h FROM g0 WHERE NOT rescued GROUP BY locus),
+cp AS (SELECT locus, CASE WHEN n = 1 THEN v[1] ELSE floor(((v[n + 1 - (h + 1) // 2] + v[n - h // 2]) / 2 - (v[(h + 1) // 2] + v[h // 2 + 1]) / 2) * 1.5::DOUBLE + (v[n + 1 - (h + 1) // 2] + v[n - h // 2]) / 2) END::BIGINT AS cap FROM hs),
+ag AS MATERIALIZED (SELECT locus, word, least(depth, cap) AS depth, CASE WHEN known IS NULL THEN 0 WHEN depth > {MATE_ERRORS} THEN cap // (abs(known - 1) + 1) + 1 ELSE 1 END AS weight, coalesce(place, 1023) AS place, rescued FROM g0 JOIN cp USING (locus)),
+be AS MATERIALIZED (SELECT * FROM (SELECT a.locus, a.word, c.word AS next, count(*) OVER (PARTITION BY a.locus, a.word) AS leave FROM ag a JOIN ag c ON a.locus = c.locus AND substring(a.word, 2) = substring(c.word, 1, {MATE_K - 1})) WHERE leave > 1),
+ew AS (SELECT locus, frag, substring(seq, i + 1, {MATE_K + 1}) AS w FROM (SELECT *, {_WINDOWS.format("seq", MATE_K)} AS i FROM rs WHERE others)),
+es AS (SELECT locus, w, count(*) AS fragments FROM (SELECT * FROM ew UNION SELECT locus, frag, {rc("w")} FROM ew) GROUP BY ALL),
+bs AS MATERIALIZED (SELECT be.locus, be.word, be.next, coalesce(fragments, 0) AS fragments FROM be LEFT JOIN es ON es.locus = be.locus AND es.w = be.word || right(be.next, 1))"""
+MATE_SUPPORT = f"""WITH {_MATE_GRAPH}
+SELECT bs.locus, bs.word, bs.next, fragments, depth::BIGINT AS depth, weight::BIGINT AS weight, rescued FROM bs JOIN ag ON ag.locus = bs.locus AND ag.word = bs.next"""
+#: Both graphs are searched as loci of their own: 2 * locus, and one more for the assisted one.
+MATE_CONTIGS = f"""WITH RECURSIVE {_MATE_GRAPH},
+gr AS MATERIALIZED (SELECT 2 * locus AS locus, word, depth, weight, place, false AS rescued FROM ag WHERE NOT rescued UNION ALL SELECT 2 * locus + 1, word, depth, weight, place, rescued FROM ag),
+sd AS MATERIALIZED (SELECT locus, word AS seed FROM (SELECT *, row_number() OVER (PARTITION BY locus ORDER BY weight DESC, depth DESC, word) AS n FROM gr WHERE weight > 0) WHERE n = 1),
+e0 AS (SELECT a.locus, a.word, c.word AS next, c.depth + c.weight AS gain,
+(CASE WHEN NOT (a.place > 0 AND a.place < 1000 AND c.place > 0 AND c.place < 1000) THEN 0 WHEN abs(a.place - c.place) <= 2 THEN 8 WHEN a.weight > 0 AND c.weight > 0 THEN -8 ELSE 0 END)
+- (CASE WHEN c.weight = 0 AND c.depth > greatest(4 * greatest(a.depth, 2), 8) THEN (c.depth - greatest(4 * greatest(a.depth, 2), 8)) // 2 ELSE 0 END)
++ (CASE WHEN coalesce(fragments, 0) >= 2 THEN 6 * least(fragments, 4) WHEN c.rescued THEN -16 ELSE 0 END) AS bonus
+FROM gr a JOIN gr c ON a.locus = c.locus AND substring(a.word, 2) = substring(c.word, 1, {MATE_K - 1}) LEFT JOIN bs ON 2 * bs.locus + 1 = a.locus AND bs.word = a.word AND bs.next = c.word),
+{_PATHS}
+md AS (SELECT 2 * locus + a AS locus, substring(seq, (length(seq) - {SLICE}) // 2 + 1, {SLICE}) AS f, substring({rc("seq")}, (length(seq) - {SLICE}) // 2 + 1, {SLICE}) AS v FROM rs, (VALUES (0), (1)) t(a) WHERE length(seq) >= {SLICE}),
+sl AS MATERIALIZED (SELECT locus, slice, count(*) AS n FROM (SELECT locus, unnest(list_distinct([f, v])) AS slice FROM md) GROUP BY ALL),
+{_supported_sql(MATE_K)},
+rk AS (SELECT *, count(*) OVER (PARTITION BY locus) AS candidates, row_number() OVER (PARTITION BY locus ORDER BY {_RANKING}, "left", "right") AS number FROM su),
+tw AS (SELECT *, locus // 2 AS of, locus % 2 = 1 AS assisted, max(length) FILTER (locus % 2 = 0) OVER (PARTITION BY locus // 2) AS core_length, max(length) FILTER (locus % 2 = 1) OVER (PARTITION BY locus // 2) AS assisted_length,
+row_number() OVER (PARTITION BY locus // 2 ORDER BY {_RANKING}, locus) AS better FROM rk WHERE number = 1),
+gd AS (SELECT *, min(better) FILTER (assisted) OVER (PARTITION BY of) = 1 AND coalesce(assisted_length < core_length, false) AS guarded FROM tw)
+SELECT of AS locus, assisted, guarded, core_length::BIGINT AS core_length, assisted_length::BIGINT AS assisted_length, candidates::BIGINT AS candidates, "left"::BIGINT AS "left", "right"::BIGINT AS "right", contig, value::BIGINT AS value, length::BIGINT AS length,
+unique_reads::BIGINT AS unique_reads, multi_reads::BIGINT AS multi_reads, supported_bases::BIGINT AS supported_bases, max_gap::BIGINT AS max_gap, flank_balance, median_depth, depth_cv, depth_ratio
+FROM gd WHERE CASE WHEN guarded THEN NOT assisted ELSE better = 1 END"""
+
+
 def bubble_qc(spark, sf_dir):
     def run(pdf):
         import pandas as pd
@@ -289,6 +377,8 @@ QUERIES = {
     "backbone_contig": (backbone_contig, None),
     "unitigs": (unitigs, UNITIGS),
     "search_contigs": (search_contigs, SEARCH),
+    "mate_branch_support": (mate_branch_support, MATE_SUPPORT),
+    "mate_contigs": (mate_contigs, MATE_CONTIGS),
     "bubble_qc": (bubble_qc, None),
     "extend_fragments": (extend_fragments, None),
     "em_abundance": (em_abundance, None),

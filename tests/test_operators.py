@@ -568,3 +568,13 @@ def test_pairs_rescue_kmers_beyond_the_reference():
     beyond = set(G.windows(genome[220:280], 21))
     assert not beyond & set(core) and beyond <= set(assisted)
     assert G.fragment_support(pairs, G.reference_kmers([genome], 21), 21) == Counter()
+
+
+def test_edit_pairs_spread_over_tasks(spark, monkeypatch):
+    """Few bytes can make many pairs: pairs decide how many tasks there are, and copies of a text are compared once."""
+    monkeypatch.setattr(graph, "PAIRS_A_TASK", 500)
+    rows = [(i, "AB"[i % 2], ["abc", "abd", "xyzw"][i % 3]) for i in range(120)] + [(120, "A", None), (121, None, "abc")]
+    found = graph.edit_pairs(spark.createDataFrame(rows, "id int, block string, text string"), "id", "text", ["block"], 1)
+    assert found.rdd.getNumPartitions() > 4
+    want = sorted((a, b, int(x != y)) for a, p, x in rows for b, q, y in rows if a < b and p and p == q and x and y and (x == y or x != "xyzw" != y))
+    assert sorted(map(tuple, found.collect())) == want

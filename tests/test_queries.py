@@ -39,3 +39,12 @@ def test_query(spark, sql, name):
         assert sorted(relation.columns) == columns
         want = sorted((tuple(map(plain, r)) for r in relation.select(*(f'"{c}"' for c in columns)).fetchall()), key=str)
         assert rows == want
+
+
+def test_near_duplicate_pairs_has_a_row_for_each_text(spark, tmp_path):
+    from helixframe.plans import cohort_queries
+
+    rows = [(1, "abcdefghijklmnopqrstuvwxyz" * 3), (2, "abcdefghijklmnopqrstuvwxyz" * 3), (3, "short"), (4, ""), (5, None)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = cohort_queries.near_duplicate_pairs(spark, str(tmp_path))
+    assert sorted(map(tuple, found.select("frag", "class_id", "representative", "links").collect())) == [(1, 1, 1, 1), (2, 1, 1, 1), (3, 3, 3, 0), (4, 4, 4, 0), (5, 5, 5, 0)]

@@ -10,9 +10,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from helixframe.operators.tables import stored
+
 #: Fixed values of the automatic mode.
 LEAST_CANDIDATES, ACTIVATION_DEPTH, LEAST_BINS, TARGET_DEPTH, RETAIN = 512, 160.0, 48, 80.0, (3, 5)
 PER_EXTENSION, PER_SIDE, BINS = 4, 768, 64
+#: Candidates of whole loci that one task ranks, about.
+ROWS_A_TASK = 100_000
 #: Reads of a block, in which caps on reads are given.
 BLOCK_READS = 2**20
 
@@ -31,8 +35,12 @@ def select_auto(candidates: DataFrame, effective_length: float) -> DataFrame:
     by_depth = F.ceil(F.lit(TARGET_DEPTH * effective_length) / (F.col("total_bases") / n))
     target = F.least(F.greatest(by_depth, F.lit(LEAST_CANDIDATES), F.ceil(n * RETAIN[0] / RETAIN[1])), n)
     totals = totals.select("locus", "eligible", F.when(passes, "pass_through").otherwise("core").alias("mode"), F.when(passes, n).otherwise(target).alias("target"))
+    totals = stored(totals)
+    # All ranks of a locus are in one task, which holds its rows once for each of them.
+    rows = totals.agg(F.sum("eligible")).first()[0] or 0
+    tasks = max(candidates.sparkSession.sparkContext.defaultParallelism, -(-rows // ROWS_A_TASK))
     quality = [F.col("locus_count"), F.desc("max_exact"), F.desc("mates"), F.col("id")]
-    found = candidates.join(totals, "locus")
+    found = candidates.repartition(tasks, "locus").join(totals.repartition(tasks, "locus"), "locus")
     for side, bit in (("left", 1), ("right", 2)):
         at_end = F.col("terminal_mask").bitwiseAND(bit) != 0
         extension = f"{side}_extension"

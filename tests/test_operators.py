@@ -578,3 +578,16 @@ def test_edit_pairs_spread_over_tasks(spark, monkeypatch):
     assert found.rdd.getNumPartitions() > 4
     want = sorted((a, b, int(x != y)) for a, p, x in rows for b, q, y in rows if a < b and p and p == q and x and y and (x == y or x != "xyzw" != y))
     assert sorted(map(tuple, found.collect())) == want
+
+
+def test_select_auto_and_even_sample_spread_rows(spark, monkeypatch):
+    """Ranks are over ranges and loci of a bounded number of rows a task, not over what few tasks a small table gets."""
+    monkeypatch.setattr(workflow, "ROWS_A_RANGE", 50)
+    df = spark.createDataFrame([((i * 7919) % 1009, str(i)) for i in range(1009)], "v int, s string")
+    found = workflow.even_sample(df, "v", 11)
+    assert sorted(r["v"] for r in found.collect()) == [i * 1008 // 10 for i in range(11)]
+    assert found.rdd.getNumPartitions() > 4
+    monkeypatch.setattr(selection, "ROWS_A_TASK", 50)
+    rows = spark.range(1000).selectExpr("id % 40 AS locus", "id", "1L AS bases", "31L AS max_exact", "1L AS locus_count", "1L AS mates", "0L AS left_extension", "0L AS right_extension", "0 AS terminal_mask", "1L AS covered_bins", "0 AS bin")
+    chosen = selection.select_auto(rows, 150.0)
+    assert chosen.rdd.getNumPartitions() == 20 and chosen.where("selected").count() == 1000

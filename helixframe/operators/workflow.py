@@ -76,13 +76,28 @@ def doubling_budget(run: Callable[[int], str | None], first: int = 10, last: int
         before, budget = found, budget * 2
 
 
+#: Rows of a range of even_sample.
+ROWS_A_RANGE = 250_000
+
+
 def even_sample(df: DataFrame, order: str, n: int) -> DataFrame:
-    """n rows evenly spread in order: those at i * (rows - 1) / (n - 1)."""
+    """n rows evenly spread in order: those at i * (rows - 1) / (n - 1).
+
+    Rows are dealt to ranges of the order of about ROWS_A_RANGE rows, which are ranked each by itself.
+    """
     total = df.count()
     if total <= n or n < 2:
         return df.orderBy(order).limit(n)
-    wanted = [i * (total - 1) // (n - 1) for i in range(n)]
-    return df.withColumn("__n", F.row_number().over(Window.orderBy(order)) - 1).where(F.col("__n").isin(wanted)).drop("__n")
+    ranges = max(df.sparkSession.sparkContext.defaultParallelism, -(-total // ROWS_A_RANGE))
+    dealt = stored(df.repartitionByRange(ranges, order).withColumn("__range", F.spark_partition_id()))
+    before, wanted, rest = 0, [], [i * (total - 1) // (n - 1) for i in range(n)]
+    for number, rows in dealt.groupBy("__range").count().orderBy("__range").collect():
+        wanted += [(number, i - before) for i in rest if before <= i < before + rows]
+        before += rows
+    places = F.broadcast(df.sparkSession.createDataFrame(wanted, "__range int, __n int"))
+    few = dealt.join(F.broadcast(places.select("__range").distinct()), "__range", "left_semi").repartition(ranges, "__range")
+    ranked = few.withColumn("__n", F.row_number().over(Window.partitionBy("__range").orderBy(order)) - 1)
+    return ranked.join(places, ["__range", "__n"], "left_semi").drop("__range", "__n")
 
 
 def accepted_row(accepted: Column, status: Column, low_quality: Column) -> Column:

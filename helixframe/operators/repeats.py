@@ -6,7 +6,9 @@ from collections import Counter
 from collections.abc import Iterator
 from math import cos, log, pi, sqrt
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,8 +54,31 @@ def extend_fragment(seed: str, counts: Counter, k: int, beam: int = BEAM, ratio:
     return canonical_text(reverse_complement(one_way(reverse_complement(right))) if len(right) < most else right)
 
 
+class Depths:
+    """Depths by the text of a k-mer, kept as sorted numbers."""
+
+    def __init__(self, kmers: np.ndarray, depths: np.ndarray):
+        order = np.argsort(kmers)
+        self.kmers, self.depths = kmers[order], depths[order]
+
+    def get(self, word: str, other: int = 0) -> int:
+        value = int(word.translate(DIGITS), 4)
+        at = int(np.searchsorted(self.kmers, value))
+        return int(self.depths[at]) if at < len(self.kmers) and self.kmers[at] == value else other
+
+
+DIGITS = str.maketrans("ACGT", "0123")
+
+
+def text_of(value: int, k: int) -> str:
+    return "".join("ACGT"[value >> 2 * i & 3] for i in reversed(range(k)))
+
+
 def extend_fragments(counts: DataFrame, group: str, kmer: str, depth: str, k: int, seeds: int = 1) -> DataFrame:
-    """group, fragment, length, seed: the deepest k-mers of each group, extended through its counts (texts, canonical)."""
+    """group, fragment, length, seed: the deepest k-mers of each group, extended through its counts (canonical; texts, or
+    numbers of two bits a base)."""
+    if dict(counts.dtypes)[kmer] == "bigint":
+        return _extend_numbers(counts, group, kmer, depth, k, seeds)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values([depth, kmer], ascending=[False, True], kind="stable")
@@ -65,6 +90,29 @@ def extend_fragments(counts: DataFrame, group: str, kmer: str, depth: str, k: in
     return counts.select(group, kmer, depth).groupBy(group).applyInPandas(run, f"`{group}` {kind}, fragment string, length bigint, seed string")
 
 
+def _extend_numbers(counts: DataFrame, group: str, kmer: str, depth: str, k: int, seeds: int) -> DataFrame:
+    """extend_fragments of k-mers as numbers: a task holds those of a group that a path may follow, in arrays."""
+    kind = dict(counts.dtypes)[group]
+
+    def run(rows: pa.Table) -> pa.Table:
+        kmers, depths = rows.column(kmer).to_numpy(), rows.column(depth).to_numpy()
+        best = np.lexsort((kmers, -depths))[:seeds] if seeds > 1 else [np.flatnonzero(depths == depths.max())[np.argmin(kmers[depths == depths.max()])]]
+        words, table = [text_of(int(kmers[i]), k) for i in best], Depths(kmers, depths)
+        found = {}
+        for word in words:
+            found.setdefault(extend_fragment(word, table, k), word)
+        return pa.table({group: rows.column(group).slice(0, 1).take(pa.array([0] * len(found))), "fragment": list(found), "length": pa.array([len(f) for f in found], pa.int64()), "seed": list(found.values())})
+
+    # Paths go over k-mers of LEAST_EDGE at least, and others rule none of these out; a seed may have fewer.
+    top = counts.groupBy(group).agg(F.max(depth).alias("__top"))
+    needed = counts.select(group, kmer, F.col(depth).cast("int").alias(depth))
+    needed = needed.where(F.col(depth) >= LEAST_EDGE) if seeds == 1 else needed
+    if seeds == 1:
+        shallow = counts.join(F.broadcast(top.where(F.col("__top") < LEAST_EDGE)), group).where(F.col(depth) == F.col("__top"))
+        needed = needed.unionByName(shallow.groupBy(group).agg(F.min(kmer).alias(kmer), F.first(depth).cast("int").alias(depth)))
+    return needed.groupBy(group).applyInArrow(run, f"`{group}` {kind}, fragment string, length bigint, seed string")
+
+
 def assign_groups(hits: DataFrame, read: str, group: str) -> DataFrame:
     """read, group, state: reads (both mates' hits together) of one group are specific, of more ambiguous in each."""
     sets = hits.select(read, group).distinct()

@@ -591,3 +591,23 @@ def test_select_auto_and_even_sample_spread_rows(spark, monkeypatch):
     rows = spark.range(1000).selectExpr("id % 40 AS locus", "id", "1L AS bases", "31L AS max_exact", "1L AS locus_count", "1L AS mates", "0L AS left_extension", "0L AS right_extension", "0 AS terminal_mask", "1L AS covered_bins", "0 AS bin")
     chosen = selection.select_auto(rows, 150.0)
     assert chosen.rdd.getNumPartitions() == 20 and chosen.where("selected").count() == 1000
+
+
+def test_parts_are_bounded_by_bytes(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(recruit, "BYTES", 10)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array(["abcd", "abcd", "abcd", None, "a" * 30, "", "ab"])], names=["id", "seq"])
+    parts = list(recruit._parts(iter([batch])))
+    assert [p.column(0).to_pylist() for p in parts] == [[0, 1], [2, 3], [4], [5, 6]]
+    assert [p.num_rows for p in recruit._parts(iter([batch]), 1)] == [1] * 7
+
+
+def test_extend_fragments_of_numbers_is_that_of_texts(spark):
+    """Also for a group whose deepest k-mer no path may follow."""
+    r = random.Random(3)
+    texts = {1: "".join(r.choice("ACGT") for _ in range(300)), 2: "".join(r.choice("ACGT") for _ in range(40))}
+    code = lambda w: int(w.translate(str.maketrans("ACGT", "0123")), 4)
+    rows = [(g, w, r.randint(2, 9) if g == 1 else 2) for g, t in texts.items() for w in sorted({repeats.canonical_text(t[i : i + 9]) for i in range(len(t) - 8)})]
+    found = [{tuple(x) for x in repeats.extend_fragments(df, "g", "kmer", "depth", 9).collect()} for df in (spark.createDataFrame(rows, "g int, kmer string, depth bigint"), spark.createDataFrame([(g, code(w), n) for g, w, n in rows], "g int, kmer bigint, depth bigint"))]
+    assert found[0] == found[1] and len(found[0]) == 2

@@ -611,3 +611,19 @@ def test_extend_fragments_of_numbers_is_that_of_texts(spark):
     rows = [(g, w, r.randint(2, 9) if g == 1 else 2) for g, t in texts.items() for w in sorted({repeats.canonical_text(t[i : i + 9]) for i in range(len(t) - 8)})]
     found = [{tuple(x) for x in repeats.extend_fragments(df, "g", "kmer", "depth", 9).collect()} for df in (spark.createDataFrame(rows, "g int, kmer string, depth bigint"), spark.createDataFrame([(g, code(w), n) for g, w, n in rows], "g int, kmer bigint, depth bigint"))]
     assert found[0] == found[1] and len(found[0]) == 2
+
+
+def test_tiers_read_fragments_once(spark, monkeypatch):
+    """One reading for all tiers gives what the joins of a large index give; pairs and empty references too."""
+    r = random.Random(8)
+    refs = [(i, "".join(r.choice("ACGT") for _ in range(80))) for i in range(5)]
+    cut = lambda n: (lambda s: s[(a := r.randint(0, 80 - n)) : a + n])(r.choice(refs)[1])
+    rows = [(i, "N" + cut(r.choice((17, 21, 27, 33))) + "N", cut(18) if i % 3 else None) for i in range(60)]
+    frags, loci = spark.createDataFrame(rows, "frag bigint, r1 string, r2 string"), spark.createDataFrame(refs, "locus bigint, seq string")
+    found = lambda loci: sorted(map(tuple, recruit.recruit_tiered(frags, "frag", ["r1", "r2"], loci, "locus", "seq", [31, 25, 16]).collect()))
+    joined, tables = [], recruit.stored
+    monkeypatch.setattr(recruit, "stored", lambda df, **o: (joined.append(df), tables(df, **o))[1])
+    got = found(loci)
+    assert len(joined) == 3 and {k for _, _, k in got} == {31, 25, 16} and found(loci.limit(0)) == []
+    monkeypatch.setattr(recruit, "MOST_BROADCAST", 0)
+    assert found(loci) == got

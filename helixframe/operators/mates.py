@@ -108,9 +108,11 @@ def mate_contigs(
     graph = assisted_graph(anchored, refs, k, error_limit, least)
     support = branch_support(anchored, graph, k)
     graphs = _of(False, graph.where("NOT rescued")).unionByName(_of(True, graph))
-    edges = search.stored_choices(search.choices(graphs, _of(True, support)))
+    small = search.number_size(k)
+    words = search.in_numbers(graphs, small, "word")
+    edges = search.choices(words, search.in_numbers(_of(True, support), small, "word", "next"), small)
     seeds = stored(search.best_seeds(graphs))
-    paths = search.search_paths(graphs, edges, seeds, budget)
-    slices = stored(_both(search.read_slices(_mates(anchored), size)))
+    paths = search.search_paths(words, edges, seeds, budget, most, small)
+    slices = search.shared_slices(_both(search.read_slices(_mates(anchored), size)), size)
     contigs = stored(search.combine_sides(seeds, search.best_sides(paths, slices, size, most)))
-    return guarded(search.best_contigs(search.contig_support(contigs, slices, graphs, size, k)))
+    return guarded(search.best_contigs(search.contig_support(contigs, slices, words, size, k, bool(small))))

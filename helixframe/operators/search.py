@@ -1,14 +1,13 @@
-"""Search over alternative paths of a locus' k-mer graph, as joins of a frontier with the edges.
+"""Search over alternative paths of a locus' k-mer graph.
 
-Words that follow each other without a branch are compacted by pointer doubling first, so a round of the search goes
-from branch to branch.  A round joins the open paths with what may follow, best choice first; a path ends where all that
-follow are on it.  Paths are in the order of their choices (the first round's choice first), which is the order in which
-a search that backtracks meets them: of a side the first `budget` paths that end are its result.  Every open path ends
-in one at least, so whatever comes after `budget` others in that order is left out as soon as that is known, and the
-result is the same.
+Words that follow each other without a branch are compacted first, in chunks of bounded size; what is
+left of a locus are its branches, numbers without bases.  On these a walk takes the best choice first and goes back to
+the latest branch; a path ends where all that follow are on it, and of a side the first `budget` paths that end are its
+result.  A locus' walk is sequential and runs in one task; paths share their steps, and bases are joined only to those
+paths that are among the longest.
 
-Every table is keyed by locus and word, so a locus' reads are never one group.  What a window sorts is bounded by
-parameters: four times `budget` paths of a side, `most` sides, the intervals of one contig.
+All other tables are keyed by locus and word, so a locus' reads are never one group.  What a window sorts is bounded by
+parameters: `most` sides and those as long, the intervals of one contig.
 
 Defined results: a locus without a reference of k bases or without reads on it has no seed and no row; null and empty
 sequences have no words; equal reads count each; windows with other letters than A, C, G and T are left out.
@@ -16,12 +15,18 @@ sequences have no words; equal reads count each; windows with other letters than
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from itertools import chain
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixframe.functions.sequences import reverse_complement, u_to_t
 from helixframe.operators import recruit
-from helixframe.operators.assembly import OFF_REFERENCE, unitig_places
+from helixframe.operators.assembly import MOST_K, OFF_REFERENCE, numbered, unitig_places
 from helixframe.operators.tables import stored
 
 #: Fixed values of the choice at a branch: support by pairs, a step along the reference, depth beyond which a word off it is a repeat.
@@ -31,10 +36,15 @@ STEP_BONUS, NEAR_PLACES, SURGE, LEAST_SURGE = 8, 2, 4, 8
 BUDGET, MOST_SIDES = 8192, 8
 
 
+#: Starts of the windows that are cut from one piece: a substring is found by running through what is before it.
+PIECE = 500
+
+
 def text_windows(seq: str, size: int) -> Column:
     """All windows of a sequence, by start; none if it is shorter."""
-    starts = F.when(F.length(seq) >= size, F.sequence(F.lit(1), F.length(seq) - (size - 1)))
-    return F.transform(starts, lambda i: F.substring(F.col(seq), i, F.lit(size)))
+    firsts = F.when(F.length(seq) >= size, F.sequence(F.lit(1), F.length(seq) - (size - 1), F.lit(PIECE)))
+    pieces = F.transform(firsts, lambda i: F.substring(F.col(seq), i, F.lit(PIECE + size - 1)))
+    return F.flatten(F.transform(pieces, lambda x: F.transform(F.sequence(F.lit(1), F.length(x) - (size - 1)), lambda i: F.substring(x, i, F.lit(size)))))
 
 
 def reference_words(refs: DataFrame, k: int) -> DataFrame:
@@ -104,8 +114,26 @@ def best_seeds(graph: DataFrame) -> DataFrame:
     return graph.where("weight > 0").groupBy("locus").agg(F.min_by("word", order).alias("seed"))
 
 
-def _follow(words: DataFrame) -> DataFrame:
+def as_number(word: str, k: int | None) -> Column:
+    """A word as a number where k is told and lets it be one, as text else."""
+    return numbered(word, k) if k else F.col(word)
+
+
+def number_size(k: int) -> int | None:
+    """k if words of k bases can be numbers."""
+    return k if k <= MOST_K else None
+
+
+def in_numbers(df: DataFrame, k: int | None, *words: str) -> DataFrame:
+    """df with its columns `words` as numbers; as it is without k."""
+    return stored(df.withColumns({c: numbered(c, k) for c in words}), compression="zstd") if k else df
+
+
+def _follow(words: DataFrame, k: int | None = None) -> DataFrame:
     """words with each next that may follow."""
+    if k:
+        moved = F.call_function("shiftleft", F.col("word").bitwiseAND((1 << 2 * (k - 1)) - 1), F.lit(2))
+        return words.withColumn("next", F.explode(F.array(*(moved + i for i in range(4)))))
     return words.withColumn("next", F.explode(F.array(*(F.concat(F.expr("substring(word, 2)"), F.lit(b)) for b in "ACGT"))))
 
 
@@ -114,13 +142,14 @@ def graph_edges(words: DataFrame) -> DataFrame:
     return _follow(words).join(words.withColumnRenamed("word", "next"), ["locus", "next"], "left_semi").select("locus", "word", "next")
 
 
-def choices(graph: DataFrame, support: DataFrame | None = None) -> DataFrame:
+def choices(graph: DataFrame, support: DataFrame | None = None, k: int | None = None) -> DataFrame:
     """locus, word, next, bonus, score: the graph's edges; the score holds at a branch, best first with ties by text.
 
-    support (locus, word, next, fragments): fragments that go over an edge with a mate on the reference."""
+    support (locus, word, next, fragments): fragments that go over an edge with a mate on the reference.  With k, all words
+    are numbers."""
     here = graph.select("locus", "word", F.col("depth").alias("d"), F.col("weight").alias("w"), F.col("place").alias("p"))
     there = graph.select("locus", F.col("word").alias("next"), "depth", "weight", "place", "rescued")
-    edges = _follow(here).join(there, ["locus", "next"])
+    edges = _follow(here, k).join(there, ["locus", "next"])
     edges = edges.join(support, ["locus", "word", "next"], "left") if support is not None else edges.withColumn("fragments", F.lit(0))
     pairs = F.coalesce("fragments", F.lit(0))
     by_pairs = F.when(pairs >= LEAST_PAIRS, PAIR_BONUS * F.least(pairs, F.lit(MOST_PAIRS))).when(F.col("rescued"), -RESCUE_PENALTY).otherwise(0)
@@ -132,75 +161,196 @@ def choices(graph: DataFrame, support: DataFrame | None = None) -> DataFrame:
     return edges.select("locus", "word", "next", bonus.alias("bonus"), (F.col("depth") + F.col("weight") + bonus).alias("score"))
 
 
-def stored_choices(edges: DataFrame) -> DataFrame:
-    """choices() as a table that keeps the last letter of next alone."""
-    kept = stored(edges.select("locus", "word", F.expr("right(next, 1)").alias("letter"), "bonus", "score"), compression="zstd")
-    return kept.select("locus", "word", F.concat(F.expr("substring(word, 2)"), "letter").alias("next"), "bonus", "score")
-
-
-def branch_nodes(graph: DataFrame, edges: DataFrame, starts: DataFrame) -> DataFrame:
-    """locus, head, bases, value, follow: the graph's stretches without a branch; each of starts (locus, word) is one by itself.
-
-    bases: last letters of its words; value: sum of their depths and weights; follow: (rank, next, bonus), best first."""
-    leave = edges.groupBy("locus", "word").agg(F.count(F.lit(1)).alias("leave"))
-    enter = edges.groupBy("locus", "next").agg(F.count(F.lit(1)).alias("enter"))
-    only = edges.join(leave.where("leave = 1"), ["locus", "word"], "left_semi").join(enter.where("enter = 1"), ["locus", "next"], "left_semi")
-    apart = starts.select("locus", "word")
-    only = only.join(apart, ["locus", "word"], "left_anti").join(apart.withColumnRenamed("word", "next"), ["locus", "next"], "left_anti")
-    places = unitig_places(graph.select("locus", "word"), stored(only.select("locus", "word", "next", F.lit(True).alias("single"))))
-    each = graph.drop("place").join(places, ["locus", "word"]).select("locus", "head", "word", "place", (F.col("depth") + F.col("weight")).alias("value"))
-    letters = F.array_sort(F.collect_list(F.struct("place", F.expr("right(word, 1)").alias("letter"))))
-    stretches = each.groupBy("locus", "head").agg(F.array_join(F.transform(letters, lambda x: x["letter"]), "").alias("bases"), F.sum("value").alias("value"), F.max_by("word", "place").alias("word"))
+#: Words that are compacted at once, of one locus as far as they go; stretches that are cut there are joined afterwards.
+CHUNK = 4_000_000
+
+
+def _pieces(of: np.ndarray, word: np.ndarray, letter: np.ndarray, value: np.ndarray, following: np.ndarray, linked: np.ndarray) -> list[np.ndarray | list]:
+    """of, head, last, next, bases, value of the stretches among these words, following[i] being the word after word[i] if
+    linked[i]; next is None, or the word after the last one, which is not among these.  Circles are left out: no way leads to one."""
+    order = np.lexsort((word, of))
+    of, word, letter, value, following, linked = (x[order] for x in (of, word, letter, value, following, linked))
+    n, at = len(of), np.arange(len(of))
+    before = at.copy()
+    inside = np.zeros(n, bool)
+    cuts = [0, *(np.flatnonzero(of[1:] != of[:-1]) + 1), n]
+    for low, high in zip(cuts, cuts[1:], strict=False):
+        mine = low + np.flatnonzero(linked[low:high])
+        there = np.minimum(low + np.searchsorted(word[low:high], following[mine]), high - 1)
+        same = word[there] == following[mine]
+        before[there[same]] = mine[same]
+        inside[mine[same]] = True
+    place = (before != at).astype(np.int64)
+    first = place == 0
+    for _ in range(n.bit_length()):
+        if first[before].all():
+            break
+        place += place[before]
+        before = before[before]
+    path = np.flatnonzero(first[before])
+    path = path[np.lexsort((place[path], before[path]))]
+    starts = np.flatnonzero(place[path] == 0)
+    ends = np.append(starts[1:], len(path))
+    bases = letter[path].tobytes()
+    last = path[ends - 1]
+    cut = linked[last] & ~inside[last]
+    after = [x if c else None for x, c in zip(following[last].tolist(), cut.tolist(), strict=True)]
+    texts = [bases[a:b].decode() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+    return [of[last], word[path[starts]], word[last], after, texts, np.add.reduceat(value[path], starts)]
+
+
+def stretches(words: DataFrame, single: DataFrame) -> DataFrame:
+    """of, head, last, bases, value of the stretches of words (of, word, letter, value) that links single (of, word, next),
+    of which one at most leaves and one enters a word, join.  Of circles nothing is told.
+
+    A task compacts CHUNK words at once, which is mostly all of a locus; where a stretch goes on in other chunks its pieces
+    are placed by pointer doubling.  So memory is bounded, however many words a locus has."""
+    kind = dict(words.dtypes)["word"]
+    rows = words.join(single, ["of", "word"], "left").select("of", "word", F.ascii("letter").cast("tinyint").alias("letter"), "value", "next")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in chain(batches, [None]):
+            if n and (batch is None or n + batch.num_rows > CHUNK):
+                table = pa.Table.from_batches(held)
+                of, word, letter, value = (table.column(i).to_numpy() for i in range(4))
+                following = table.column(4)
+                linked = following.is_valid().to_numpy()
+                found = _pieces(of, word, letter.astype(np.uint8), value, following.fill_null(0 if kind == "bigint" else "").to_numpy(), linked)
+                names = pa.schema([("of", pa.int64()), ("head", table.schema.field(1).type), ("last", table.schema.field(1).type), ("next", table.schema.field(1).type), ("bases", pa.string()), ("value", pa.int64())])
+                yield from pa.table([pa.array(x, f.type) for x, f in zip(found, names, strict=True)], schema=names).to_batches(max_chunksize=10_000)
+                held, n = [], 0
+            if batch is not None:
+                held.append(batch)
+                n += batch.num_rows
+
+    pieces = stored(rows.repartition("of").sortWithinPartitions("of").mapInArrow(run, f"of bigint, head {kind}, last {kind}, next {kind}, bases string, value bigint"), compression="zstd")
+    if not pieces.where("next IS NOT NULL").limit(1).count():
+        return pieces.drop("next")
+    cut = pieces.where("next IS NOT NULL").select(F.col("of").alias("locus"), F.col("head").alias("word"), "next", F.lit(True).alias("single"))
+    places = unitig_places(pieces.select(F.col("of").alias("locus"), F.col("head").alias("word")), stored(cut)).select(F.col("locus").alias("of"), F.col("word").alias("piece"), "head", "place")
+    each = pieces.withColumnRenamed("head", "piece").join(places, ["of", "piece"])
+    texts = F.array_sort(F.collect_list(F.struct("place", "bases")))
+    return each.groupBy("of", "head").agg(F.max_by("last", "place").alias("last"), F.array_join(F.transform(texts, lambda x: x["bases"]), "").alias("bases"), F.sum("value").alias("value"))
+
+
+def branch_nodes(graph: DataFrame, edges: DataFrame, loci: DataFrame, starts: DataFrame, k: int | None = None) -> DataFrame:
+    """of, head, bases, value, follow: the graph's stretches without a branch, of the loci in loci (locus, of); each of
+    starts (of, word) is one by itself.
+
+    bases: last letters of its words; value: sum of their depths and weights; follow: (next, bonus), best first.  With k,
+    words are numbers."""
+    letter = F.substring(F.lit("ACGT"), F.col("word").bitwiseAND(3).cast("int") + 1, F.lit(1)) if k else F.expr("right(word, 1)")
+    words = graph.join(loci, "locus").select("of", "word", letter.alias("letter"), (F.col("depth") + F.col("weight")).alias("value"))
+    # All edges over the same k - 1 bases leave the same words and enter the same ones: one alone is single.
+    inner = F.shiftrightunsigned("next", 2) if k else F.expr("left(next, length(next) - 1)")
+    joints = edges.join(loci, "locus").groupBy("of", inner.alias("inner")).agg(F.collect_list(F.struct("word", "next", "bonus", "score")).alias("e"))
+    apart = starts.groupBy("of").agg(F.collect_set("word").alias("apart"))
+    one = (F.size("e") == 1) & ~F.array_contains("apart", F.col("e")[0]["word"]) & ~F.array_contains("apart", F.col("e")[0]["next"])
+    joints = stored(joints.join(apart, "of").select("of", "e", one.alias("one")), compression="zstd")
+    single = joints.where("one").select("of", F.col("e")[0]["word"].alias("word"), F.col("e")[0]["next"].alias("next"))
     sorted_ones = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("minus"), "next", "bonus")))
-    follow = F.transform(sorted_ones, lambda x, i: F.struct(i.cast("string").alias("rank"), x["next"].alias("next"), x["bonus"].alias("bonus")))
-    after = edges.groupBy("locus", "word").agg(follow.alias("follow"))
-    return stretches.join(after, ["locus", "word"], "left").select("locus", "head", "bases", "value", "follow")
-
-
-def _first(paths: DataFrame, budget: int) -> DataFrame:
-    return paths.withColumn("n", F.row_number().over(Window.partitionBy("locus", "side").orderBy("key"))).where(F.col("n") <= budget).drop("n")
-
-
-def search_paths(graph: DataFrame, edges: DataFrame, seeds: DataFrame, budget: int = BUDGET) -> DataFrame:
+    follow = F.transform(sorted_ones, lambda x: F.struct(x["next"].alias("next"), x["bonus"].alias("bonus")))
+    after = joints.where("NOT one").select("of", F.inline("e")).groupBy("of", F.col("word").alias("last")).agg(follow.alias("follow"))
+    return stretches(words, single).join(after, ["of", "last"], "left").select("of", "head", "bases", "value", "follow")
+
+
+#: Columns of the ends of walks: number of the locus, side, choices, numbers of the nodes, value, bases.
+ENDS = "of bigint, side string, key string, ids array<bigint>, value bigint, size bigint"
+
+
+def dead_ends(start: int, offsets: memoryview, after: memoryview, bonus: memoryview, gain: memoryview, size: memoryview, budget: int) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+    """The first `budget` dead ends of a walk from node `start` that takes the best choice first and goes back to the latest branch.
+
+    Those that may follow node u are after[offsets[u] : offsets[u + 1]], best first.  Returned are the ends (step, value,
+    bases) and the steps (step before, node, rank of the choice): what paths share is kept once.
+    """
+    steps, ends = [(-1, start, 0)], []
+    path, todo = [start], [(0, 0, 0, None)]
+    on = {start}
+    while todo and len(ends) < budget:
+        step, value, length, rest = todo.pop()
+        if rest is None:
+            u = steps[step][1]
+            free = [i for i in range(offsets[u], offsets[u + 1]) if after[i] not in on]
+            if not free:
+                ends.append((step, value, length))
+                on.discard(path.pop())
+                continue
+            rest = (free[::-1], len(free) > 1, offsets[u])
+        free, several, low = rest
+        if not free:
+            on.discard(path.pop())
+            continue
+        i = free.pop()
+        todo.append((step, value, length, rest))
+        v = after[i]
+        path.append(v)
+        on.add(v)
+        steps.append((step, v, i - low))
+        todo.append((len(steps) - 1, value + gain[v] + (bonus[i] if several else 0), length + size[v], None))
+    return ends, steps
+
+
+def _way(step: int, steps: list[tuple[int, int, int]]) -> tuple[str, list[int]]:
+    """The choices up to a step, and the nodes."""
+    ranks, nodes = [], []
+    while step >= 0:
+        before, node, rank = steps[step]
+        nodes.append(node)
+        ranks.append(str(rank) if before >= 0 else "")
+        step = before
+    return "".join(reversed(ranks)), nodes[::-1]
+
+
+def _walks(budget: int, most: int | None) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+    """From a locus' nodes (of, id, size, value, next, bonus) and starts (side, id) the rows of ENDS; with `most` those that best_sides may take."""
+
+    def run(nodes: pd.DataFrame, starts: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        nodes = nodes.sort_values("id")
+        ids = nodes["id"].to_numpy()
+        offsets = np.concatenate([[0], np.cumsum(nodes["next"].map(len).to_numpy(np.int64))]) if len(ids) else np.zeros(1, np.int64)
+        joined = lambda c: np.concatenate(nodes[c].to_list()).astype(np.int64) if offsets[-1] else np.zeros(0, np.int64)
+        after, bonus = np.searchsorted(ids, joined("next")), joined("bonus")
+        views = [memoryview(np.ascontiguousarray(x, np.int64)) for x in (offsets, after, bonus, nodes["value"].to_numpy(), nodes["size"].to_numpy())]
+        for side, start in zip(starts["side"], starts["id"], strict=True):
+            ends, steps = dead_ends(int(np.searchsorted(ids, start)), *views, budget)
+            if most:
+                greatest = max(value for _, value, _ in ends)
+                ends = [e for e in ends if e[1] > greatest >> 2]
+                least = sorted((e[2] for e in ends), reverse=True)[:most]
+                ends = [e for e in ends if e[2] >= least[-1]]
+            for step, value, length in ends:
+                key, way = _way(step, steps)
+                found.append((starts["of"].iloc[0], side, key, ids[way], value, length))
+        return pd.DataFrame(found, columns=["of", "side", "key", "ids", "value", "size"])
+
+    return run
+
+
+def search_paths(graph: DataFrame, edges: DataFrame, seeds: DataFrame, budget: int = BUDGET, most: int | None = None, k: int | None = None) -> DataFrame:
     """locus, side, key, bases, value: the first `budget` paths that end, right of each seed (locus, seed) and, as side
-    `left`, right of its reverse complement.  Their keys order them."""
+    `left`, right of its reverse complement.  Their keys order them.  With `most` only those that best_sides may take.
+    With k, the words of graph and edges are numbers."""
     sides = F.explode(F.array(F.struct(F.lit("right").alias("side"), F.col("seed").alias("word")), F.struct(F.lit("left").alias("side"), reverse_complement("seed").alias("word"))))
-    starts = stored(seeds.select("locus", sides.alias("s")).select("locus", "s.*"))
-    nodes = stored(branch_nodes(graph, edges, starts.select("locus", "word").distinct()))
-    zero = F.lit(0).cast("bigint")
-    state = starts.select("locus", "side", F.lit("").alias("key"), F.col("word").alias("at"), F.array("word").alias("seen"), F.lit("").alias("bases"), zero.alias("value"), F.lit(False).alias("done"))
-    ended, bound = None, 0
-    while True:
-        more = nodes.select("locus", F.col("head").alias("at"), F.col("bases").alias("letters"), F.col("value").alias("gain"), "follow")
-        met = state.where("NOT done").join(more, ["locus", "at"])
-        first = F.size("seen") == 1
-        met = met.select(
-            "locus", "side", "key", "seen",
-            F.when(first, F.col("bases")).otherwise(F.concat("bases", "letters")).alias("bases"),
-            F.when(first, F.col("value")).otherwise(F.col("value") + F.col("gain")).alias("value"),
-            F.filter(F.coalesce("follow", F.array().cast("array<struct<rank:string,next:string,bonus:bigint>>")), lambda x: ~F.array_contains(F.col("seen"), x["next"])).alias("open"),
-        )
-        one = met.select("*", F.explode_outer("open").alias("o"))
-        state = stored(one.select(
-            "locus", "side", F.concat("key", F.coalesce("o.rank", F.lit(""))).alias("key"), F.col("o.next").alias("at"),
-            F.when(F.col("o").isNotNull(), F.concat("seen", F.array("o.next"))).alias("seen"), "bases",
-            (F.col("value") + F.when(F.size("open") > 1, F.col("o.bonus")).otherwise(0)).alias("value"), F.col("o").isNull().alias("done"),
-        ))
-        found = state.where("done").select("locus", "side", "key", "bases", "value")
-        ended = found if ended is None else ended.unionByName(found)
-        by_side = state.groupBy("locus", "side").agg(F.count_if(~F.col("done")).alias("left"), F.count_if("done").alias("n"))
-        left, most_left, most_ended = by_side.agg(F.coalesce(F.sum("left"), zero), F.max("left"), F.max("n")).first()
-        # No side has more paths than these bounds tell; only beyond the budget are they counted.
-        bound += most_ended or 0
-        if left and bound + most_left > budget:
-            keys = ended.select("locus", "side", "key", F.lit(True).alias("done")).unionByName(state.where("NOT done").select("locus", "side", "key", "done"))
-            kept = _first(keys, budget)
-            state = stored(state.join(kept.where("NOT done").select("locus", "side", "key"), ["locus", "side", "key"], "left_semi"))
-            ended = stored(ended.join(kept.where("done").select("locus", "side", "key"), ["locus", "side", "key"], "left_semi"))
-            sizes = ended.groupBy("locus", "side").count().agg(F.max("count")).first()
-            bound, left = sizes[0] or 0, state.where("NOT done").count()
-        if not left:
-            return _first(ended, budget)
+    loci = stored(seeds.select("locus", "seed", F.monotonically_increasing_id().alias("of")))
+    starts = stored(loci.select("locus", "of", sides.alias("s")).select("locus", "of", "s.*"))
+    nodes = stored(branch_nodes(graph, edges, loci.select("locus", "of"), starts.select("of", as_number("word", k).alias("word")), k).withColumn("id", F.monotonically_increasing_id()), compression="zstd")
+    named = nodes.select("of", "head", "id")
+    links = nodes.select("of", F.col("id").alias("from"), F.posexplode("follow").alias("rank", "f")).select("of", "from", "rank", F.col("f.next").alias("head"), F.col("f.bonus").alias("bonus"))
+    ranked = F.array_sort(F.collect_list(F.struct("rank", "id", "bonus")))
+    follow = links.join(named, ["of", "head"]).groupBy("of", F.col("from").alias("id")).agg(ranked.alias("f"))
+    none = F.array().cast("array<bigint>")
+    small = nodes.select("of", "id", F.length("bases").cast("bigint").alias("size"), "value").join(follow, ["of", "id"], "left")
+    small = small.select("of", "id", "size", "value", F.coalesce(F.col("f.id"), none).alias("next"), F.coalesce(F.col("f.bonus"), none).alias("bonus"))
+    begin = stored(starts.select("of", "side", as_number("word", k).alias("head")).join(named, ["of", "head"]).select("of", "side", "id"))
+    ends = stored(small.groupBy("of").cogroup(begin.groupBy("of")).applyInPandas(_walks(budget, most), ENDS))
+    each = ends.select("of", "side", "key", F.posexplode("ids").alias("at", "id")).join(nodes.select("id", F.col("bases").alias("letters")), "id")
+    # The first node is the seed itself.
+    letters = F.array_sort(F.collect_list(F.struct("at", F.when(F.col("at") > 0, F.col("letters")).otherwise("").alias("letters"))))
+    texts = each.groupBy("of", "side", "key").agg(F.array_join(F.transform(letters, lambda x: x["letters"]), "").alias("bases"))
+    return texts.join(ends.select("of", "side", "key", "value"), ["of", "side", "key"]).join(loci.select("of", "locus"), "of").select("locus", "side", "key", "bases", "value")
 
 
 def read_slices(reads: DataFrame, size: int) -> DataFrame:
@@ -239,9 +389,15 @@ def combine_sides(seeds: DataFrame, sides: DataFrame) -> DataFrame:
     return both.select("locus", "left", "right", F.concat(reverse_complement("left_bases"), "seed", "right_bases").alias("contig"), (F.col("left_value") + F.col("right_value")).alias("value"))
 
 
-def contig_support(contigs: DataFrame, slices: DataFrame, graph: DataFrame, size: int, k: int) -> DataFrame:
+def shared_slices(slices: DataFrame, size: int) -> DataFrame:
+    """slices as a table, to be broadcast if they are few enough: windows of contigs are then not shuffled."""
+    slices = stored(slices)
+    return F.broadcast(slices) if slices.count() * (size + 24) <= recruit.MOST_BROADCAST else slices
+
+
+def contig_support(contigs: DataFrame, slices: DataFrame, graph: DataFrame, size: int, k: int, numbers: bool = False) -> DataFrame:
     """contigs (locus, left, right, contig, value) with reads found in one place and in several, bases that the first
-    cover, the longest gap, and median, variation and peak of the depths along each."""
+    cover, the longest gap, and median, variation and peak of the depths along each.  With `numbers` the graph's words are such."""
     ids = ["locus", "left", "right"]
     at = contigs.select(*ids, F.posexplode(text_windows("contig", size)).alias("at", "slice")).join(slices, ["locus", "slice"])
     hits = stored(at.groupBy(*ids, "slice").agg(F.count(F.lit(1)).alias("places"), F.min("at").alias("at"), F.max("n").alias("n")))
@@ -251,7 +407,8 @@ def contig_support(contigs: DataFrame, slices: DataFrame, graph: DataFrame, size
     # Intervals are all `size` long, so one adds what lies beyond the one before it.
     steps = hits.where("places = 1").select(*ids, "at", F.coalesce(F.least(F.col("at") - before, F.lit(size)), F.lit(size)).alias("adds"), F.coalesce(F.greatest(F.col("at") - before - size, F.lit(0)), F.lit(0)).alias("gap"))
     cover = steps.groupBy(*ids).agg(F.sum("adds").alias("supported_bases"), F.max("gap").alias("gap"), F.min("at").alias("first"), F.max("at").alias("last"))
-    deep = contigs.select(*ids, F.explode(text_windows("contig", k)).alias("word")).join(graph.select("locus", "word", "depth"), ["locus", "word"], "left").withColumn("depth", F.coalesce("depth", F.lit(0)))
+    along_it = recruit.seq_kmers(contigs, ids, "contig", k, forward=True).withColumnRenamed("kmer", "word") if numbers else contigs.select(*ids, F.explode(text_windows("contig", k)).alias("word"))
+    deep = along_it.join(graph.select("locus", "word", "depth"), ["locus", "word"], "left").withColumn("depth", F.coalesce("depth", F.lit(0)))
     depths = deep.groupBy(*ids).agg(F.median("depth").alias("median_depth"), F.coalesce(F.stddev_pop("depth") / F.avg("depth"), F.lit(0.0)).alias("depth_cv"), F.max("depth").alias("top"))
     size_of = F.length("contig")
     found = contigs.join(total, ids, "left").join(cover, ids, "left").join(depths, ids, "left")
@@ -287,7 +444,9 @@ def search_contigs(reads: DataFrame, refs: DataFrame, slices: DataFrame, k: int,
     """The best contig of each locus of refs (locus, seq) from its reads (locus, seq) and read_slices of `size` bases."""
     graph = weighted_graph(reads, refs, k, error_limit)
     seeds = stored(best_seeds(graph))
-    paths = search_paths(graph, stored_choices(choices(graph)), seeds, budget)
-    slices = stored(slices)
+    small = number_size(k)
+    words = in_numbers(graph, small, "word")
+    paths = search_paths(words, choices(words, k=small), seeds, budget, most, small)
+    slices = shared_slices(slices, size)
     contigs = stored(combine_sides(seeds, best_sides(paths, slices, size, most)))
-    return best_contigs(contig_support(contigs, slices, graph, size, k))
+    return best_contigs(contig_support(contigs, slices, words, size, k, bool(small)))

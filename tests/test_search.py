@@ -167,3 +167,37 @@ def support_by_hand(contig, value, slices, graph):
 def test_empty_tables(spark):
     reads, refs = frames(spark, {})
     assert search.search_contigs(reads, refs, search.read_slices(reads, SIZE), K, SIZE).collect() == []
+
+
+@pytest.mark.parametrize("chunk", [5, 4_000_000])
+def test_stretches_and_walks_are_the_same_in_chunks_of_any_size(spark, monkeypatch, chunk):
+    """Numbers in place of texts, words of a locus in several chunks; a long row of branches takes no job for each."""
+    monkeypatch.setattr(search, "CHUNK", chunk)
+    r = random.Random(8)
+    k, parts = 9, [bases(r, 11) for _ in range(25)]
+    texts = ["".join(parts), "".join(p[:5] + ("C" if p[5] != "C" else "A") + p[6:] for p in parts)]
+    reads = spark.createDataFrame([(1, t) for t in texts], "locus int, seq string")
+    refs = spark.createDataFrame([(1, parts[0] + parts[1])], "locus int, seq string")
+    graph = search.stored(search.weighted_graph(reads, refs, k, 0))
+    seeds = search.stored(search.best_seeds(graph))
+    jobs = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup(f"walk{chunk}", "")
+    words = search.in_numbers(graph, k, "word")
+    got = search.search_paths(words, search.choices(words, k=k), seeds, 64, None, k).collect()
+    n = len(jobs.getJobIdsForGroup(f"walk{chunk}"))
+    spark.sparkContext.setJobGroup("other", "")
+    by_word = {x["word"]: (x["depth"], x["weight"], x["place"]) for x in graph.collect()}
+    seed = seeds.first()["seed"]
+    for side, start in (("right", seed), ("left", back(seed))):
+        mine = sorted((x["key"], x["bases"], x["value"]) for x in got if x["side"] == side)
+        assert [x[1:] for x in mine] == sides_by_hand(by_word, start, 64)
+    assert max(len(x["key"]) for x in got) > 20
+    if chunk > 5:
+        assert n < 60
+
+
+def test_windows_of_long_texts_take_no_time_by_the_square(spark):
+    r = random.Random(2)
+    texts = [bases(r, n) for n in (0, 10, 11, search.PIECE + 10, search.PIECE + 11, 3 * search.PIECE + 4, 300_000)]
+    got = spark.createDataFrame([(t,) for t in texts], "seq string").select("seq", search.text_windows("seq", 11).alias("w")).collect()
+    assert all((x["w"] or []) == windows(x["seq"], 11) for x in got)

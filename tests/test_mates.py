@@ -136,3 +136,18 @@ def test_empty_tables(spark):
     assert mates.mate_contigs(pairs, refs, K, 11).collect() == []
     _, refs = frames(spark, made(1))
     assert mates.mate_contigs(pairs, refs, K, 11).collect() == []
+
+
+def test_jobs_do_not_grow_with_the_branches_of_a_path(spark):
+    jobs = []
+    for n in (3, 24):
+        r = random.Random(n)
+        parts = [bases(r, 12) for _ in range(n)]
+        texts = ["".join(parts), "".join(p[:5] + ("C" if p[5] != "C" else "A") + p[6:] for p in parts)]
+        pairs = spark.createDataFrame([(1, i, t, t) for i, t in enumerate(texts)], "locus int, frag bigint, r1 string, r2 string")
+        refs = spark.createDataFrame([(1, texts[0])], "locus int, seq string")
+        spark.sparkContext.setJobGroup(f"mates{n}", "")
+        assert len(mates.mate_contigs(pairs, refs, 9, 11, 0, budget=8, most=2).collect()) == 1
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"mates{n}")))
+        spark.sparkContext.setJobGroup("other", "")
+    assert jobs[1] <= jobs[0] + 20, jobs

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from helixframe.functions.sequences import u_to_t
 from helixframe.operators import recruit, search
-from helixframe.operators.tables import stored
+from helixframe.operators.tables import dealt, shared, stored
 
 #: Fragments that a rare word beyond the reference needs.
 LEAST_FRAGMENTS = 2
@@ -37,8 +37,8 @@ def anchored_pairs(pairs: DataFrame, refs: DataFrame, k: int) -> DataFrame:
     index = stored(recruit.reference_index(refs.withColumn("seq", u_to_t("seq")), "locus", "seq", k))
     words = recruit.seq_kmers(_mates(pairs), ["locus", "frag", "mate"], "seq", k, once=True)
     found = words.join(index, ["locus", "kmer"], "left_semi").groupBy("locus", "frag").agg(F.bit_or("mate").alias("on"))
-    # As a table its size is known: a small one is broadcast, and pairs are not shuffled.
-    return pairs.join(stored(found), ["locus", "frag"]).select("locus", "frag", "r1", "r2", (F.col("on").bitwiseAND(1) > 0).alias("on1"), (F.col("on").bitwiseAND(2) > 0).alias("on2"))
+    # A small table is broadcast, and pairs are not shuffled.
+    return pairs.join(shared(stored(found)), ["locus", "frag"]).select("locus", "frag", "r1", "r2", (F.col("on").bitwiseAND(1) > 0).alias("on1"), (F.col("on").bitwiseAND(2) > 0).alias("on2"))
 
 
 def _on(own: bool) -> Column:
@@ -60,14 +60,14 @@ def branch_support(anchored: DataFrame, graph: DataFrame, k: int) -> DataFrame:
     that go over them on a mate whose other one stands on the reference."""
     edges = search.graph_edges(graph.select("locus", "word"))
     several = edges.groupBy("locus", "word").agg(F.count(F.lit(1)).alias("leave")).where("leave > 1").select("locus", "word")
-    branches = edges.join(several, ["locus", "word"], "left_semi").withColumn("window", F.concat("word", F.expr("right(next, 1)")))
+    branches = edges.join(dealt(several), ["locus", "word"], "left_semi").withColumn("window", F.concat("word", F.expr("right(next, 1)")))
     branches = stored(recruit.seq_kmers(branches, ["locus", "word", "next"], "window", k + 1).drop("pos"))
     reads = _mates(anchored, "on1", "on2").where(_on(False))
     windows = recruit.seq_kmers(reads, ["locus", "frag"], "seq", k + 1, once=True).select("locus", "frag", "kmer")
-    met = windows.join(branches.select("locus", "kmer").distinct(), ["locus", "kmer"], "left_semi")
+    met = windows.join(dealt(branches.select("locus", "kmer").distinct()), ["locus", "kmer"], "left_semi")
     # Both mates may have a window: the fragment counts once.
     counts = met.distinct().groupBy("locus", "kmer").agg(F.count(F.lit(1)).alias("fragments"))
-    found = branches.join(counts, ["locus", "kmer"], "left")
+    found = branches.join(dealt(counts), ["locus", "kmer"], "left")
     return found.select("locus", "word", "next", F.coalesce("fragments", F.lit(0).cast("bigint")).alias("fragments"))
 
 

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from helixframe.functions.sequences import reverse_complement, u_to_t
 from helixframe.operators import recruit
 from helixframe.operators.assembly import MOST_K, OFF_REFERENCE, numbered, unitig_places
-from helixframe.operators.tables import stored
+from helixframe.operators.tables import dealt, stored
 
 #: Fixed values of the choice at a branch: support by pairs, a step along the reference, depth beyond which a word off it is a repeat.
 PAIR_BONUS, LEAST_PAIRS, MOST_PAIRS, RESCUE_PENALTY = 6, 2, 4, 16
@@ -139,7 +139,7 @@ def _follow(words: DataFrame, k: int | None = None) -> DataFrame:
 
 def graph_edges(words: DataFrame) -> DataFrame:
     """locus, word, next of words (locus, word)."""
-    return _follow(words).join(words.withColumnRenamed("word", "next"), ["locus", "next"], "left_semi").select("locus", "word", "next")
+    return _follow(words).join(dealt(words.withColumnRenamed("word", "next")), ["locus", "next"], "left_semi").select("locus", "word", "next")
 
 
 def choices(graph: DataFrame, support: DataFrame | None = None, k: int | None = None) -> DataFrame:
@@ -149,8 +149,8 @@ def choices(graph: DataFrame, support: DataFrame | None = None, k: int | None =
     are numbers."""
     here = graph.select("locus", "word", F.col("depth").alias("d"), F.col("weight").alias("w"), F.col("place").alias("p"))
     there = graph.select("locus", F.col("word").alias("next"), "depth", "weight", "place", "rescued")
-    edges = _follow(here, k).join(there, ["locus", "next"])
-    edges = edges.join(support, ["locus", "word", "next"], "left") if support is not None else edges.withColumn("fragments", F.lit(0))
+    edges = _follow(here, k).join(dealt(there), ["locus", "next"])
+    edges = edges.join(dealt(support), ["locus", "word", "next"], "left") if support is not None else edges.withColumn("fragments", F.lit(0))
     pairs = F.coalesce("fragments", F.lit(0))
     by_pairs = F.when(pairs >= LEAST_PAIRS, PAIR_BONUS * F.least(pairs, F.lit(MOST_PAIRS))).when(F.col("rescued"), -RESCUE_PENALTY).otherwise(0)
     placed = (F.col("p") > 0) & (F.col("p") < 1000) & (F.col("place") > 0) & (F.col("place") < 1000)
@@ -206,7 +206,7 @@ def stretches(words: DataFrame, single: DataFrame) -> DataFrame:
     A task compacts CHUNK words at once, which is mostly all of a locus; where a stretch goes on in other chunks its pieces
     are placed by pointer doubling.  So memory is bounded, however many words a locus has."""
     kind = dict(words.dtypes)["word"]
-    rows = words.join(single, ["of", "word"], "left").select("of", "word", F.ascii("letter").cast("tinyint").alias("letter"), "value", "next")
+    rows = words.join(dealt(single), ["of", "word"], "left").select("of", "word", F.ascii("letter").cast("tinyint").alias("letter"), "value", "next")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -229,7 +229,7 @@ def stretches(words: DataFrame, single: DataFrame) -> DataFrame:
         return pieces.drop("next")
     cut = pieces.where("next IS NOT NULL").select(F.col("of").alias("locus"), F.col("head").alias("word"), "next", F.lit(True).alias("single"))
     places = unitig_places(pieces.select(F.col("of").alias("locus"), F.col("head").alias("word")), stored(cut)).select(F.col("locus").alias("of"), F.col("word").alias("piece"), "head", "place")
-    each = pieces.withColumnRenamed("head", "piece").join(places, ["of", "piece"])
+    each = pieces.withColumnRenamed("head", "piece").join(dealt(places), ["of", "piece"])
     texts = F.array_sort(F.collect_list(F.struct("place", "bases")))
     return each.groupBy("of", "head").agg(F.max_by("last", "place").alias("last"), F.array_join(F.transform(texts, lambda x: x["bases"]), "").alias("bases"), F.sum("value").alias("value"))
 
@@ -252,7 +252,7 @@ def branch_nodes(graph: DataFrame, edges: DataFrame, loci: DataFrame, starts: Da
     sorted_ones = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("minus"), "next", "bonus")))
     follow = F.transform(sorted_ones, lambda x: F.struct(x["next"].alias("next"), x["bonus"].alias("bonus")))
     after = joints.where("NOT one").select("of", F.inline("e")).groupBy("of", F.col("word").alias("last")).agg(follow.alias("follow"))
-    return stretches(words, single).join(after, ["of", "last"], "left").select("of", "head", "bases", "value", "follow")
+    return stretches(words, single).join(dealt(after), ["of", "last"], "left").select("of", "head", "bases", "value", "follow")
 
 
 #: Columns of the ends of walks: number of the locus, side, choices, numbers of the nodes, value, bases.
@@ -340,13 +340,13 @@ def search_paths(graph: DataFrame, edges: DataFrame, seeds: DataFrame, budget: i
     named = nodes.select("of", "head", "id")
     links = nodes.select("of", F.col("id").alias("from"), F.posexplode("follow").alias("rank", "f")).select("of", "from", "rank", F.col("f.next").alias("head"), F.col("f.bonus").alias("bonus"))
     ranked = F.array_sort(F.collect_list(F.struct("rank", "id", "bonus")))
-    follow = links.join(named, ["of", "head"]).groupBy("of", F.col("from").alias("id")).agg(ranked.alias("f"))
+    follow = links.join(dealt(named), ["of", "head"]).groupBy("of", F.col("from").alias("id")).agg(ranked.alias("f"))
     none = F.array().cast("array<bigint>")
-    small = nodes.select("of", "id", F.length("bases").cast("bigint").alias("size"), "value").join(follow, ["of", "id"], "left")
+    small = nodes.select("of", "id", F.length("bases").cast("bigint").alias("size"), "value").join(dealt(follow), ["of", "id"], "left")
     small = small.select("of", "id", "size", "value", F.coalesce(F.col("f.id"), none).alias("next"), F.coalesce(F.col("f.bonus"), none).alias("bonus"))
     begin = stored(starts.select("of", "side", as_number("word", k).alias("head")).join(named, ["of", "head"]).select("of", "side", "id"))
     ends = stored(small.groupBy("of").cogroup(begin.groupBy("of")).applyInPandas(_walks(budget, most), ENDS))
-    each = ends.select("of", "side", "key", F.posexplode("ids").alias("at", "id")).join(nodes.select("id", F.col("bases").alias("letters")), "id")
+    each = ends.select("of", "side", "key", F.posexplode("ids").alias("at", "id")).join(dealt(nodes.select("id", F.col("bases").alias("letters"))), "id")
     # The first node is the seed itself.
     letters = F.array_sort(F.collect_list(F.struct("at", F.when(F.col("at") > 0, F.col("letters")).otherwise("").alias("letters"))))
     texts = each.groupBy("of", "side", "key").agg(F.array_join(F.transform(letters, lambda x: x["letters"]), "").alias("bases"))
@@ -392,7 +392,7 @@ def combine_sides(seeds: DataFrame, sides: DataFrame) -> DataFrame:
 def shared_slices(slices: DataFrame, size: int) -> DataFrame:
     """slices as a table, to be broadcast if they are few enough: windows of contigs are then not shuffled."""
     slices = stored(slices)
-    return F.broadcast(slices) if slices.count() * (size + 24) <= recruit.MOST_BROADCAST else slices
+    return F.broadcast(slices) if slices.count() * (size + 24) <= recruit.MOST_BROADCAST else dealt(slices)
 
 
 def contig_support(contigs: DataFrame, slices: DataFrame, graph: DataFrame, size: int, k: int, numbers: bool = False) -> DataFrame:
@@ -408,7 +408,7 @@ def contig_support(contigs: DataFrame, slices: DataFrame, graph: DataFrame, size
     steps = hits.where("places = 1").select(*ids, "at", F.coalesce(F.least(F.col("at") - before, F.lit(size)), F.lit(size)).alias("adds"), F.coalesce(F.greatest(F.col("at") - before - size, F.lit(0)), F.lit(0)).alias("gap"))
     cover = steps.groupBy(*ids).agg(F.sum("adds").alias("supported_bases"), F.max("gap").alias("gap"), F.min("at").alias("first"), F.max("at").alias("last"))
     along_it = recruit.seq_kmers(contigs, ids, "contig", k, forward=True).withColumnRenamed("kmer", "word") if numbers else contigs.select(*ids, F.explode(text_windows("contig", k)).alias("word"))
-    deep = along_it.join(graph.select("locus", "word", "depth"), ["locus", "word"], "left").withColumn("depth", F.coalesce("depth", F.lit(0)))
+    deep = along_it.join(dealt(graph.select("locus", "word", "depth")), ["locus", "word"], "left").withColumn("depth", F.coalesce("depth", F.lit(0)))
     depths = deep.groupBy(*ids).agg(F.median("depth").alias("median_depth"), F.coalesce(F.stddev_pop("depth") / F.avg("depth"), F.lit(0.0)).alias("depth_cv"), F.max("depth").alias("top"))
     size_of = F.length("contig")
     found = contigs.join(total, ids, "left").join(cover, ids, "left").join(depths, ids, "left")

@@ -6,6 +6,7 @@ import pytest
 from test_search import K, back, bases, windows
 
 from helixframe.operators import mates, search
+from helixframe.operators.tables import stored
 
 LIMIT = 2
 
@@ -151,3 +152,12 @@ def test_jobs_do_not_grow_with_the_branches_of_a_path(spark):
         jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"mates{n}")))
         spark.sparkContext.setJobGroup("other", "")
     assert jobs[1] <= jobs[0] + 20, jobs
+
+
+def test_tables_of_words_are_never_broadcast(spark):
+    """However few bytes a stored table of words has, compressed, the driver doesn't hold it."""
+    words = stored(spark.createDataFrame([(1, "AAC", 2, 1, 5, False), (1, "ACG", 2, 1, 6, False)], "locus int, word string, depth bigint, weight bigint, place int, rescued boolean"))
+    support = stored(spark.createDataFrame([(1, "AAC", "ACG", 2)], "locus int, word string, next string, fragments bigint"))
+    for edges in (search.choices(words, support), search.graph_edges(words.select("locus", "word"))):
+        assert "BroadcastHashJoin" not in edges._jdf.queryExecution().sparkPlan().toString()
+        assert [(r["word"], r["next"]) for r in edges.collect()] == [("AAC", "ACG")]

@@ -79,8 +79,8 @@ UNIQUE_SEEDS = f"WITH {LOCI}, {sql_windows('lk', 'loci', 'locus', 'seq', 23)} SE
 
 
 def kmer_depth_topk(spark, sf_dir):
-    depth = recruit.kmer_depth(fragments(spark, sf_dir), ["frag"], "seq", 21)
-    return depth.where("depth >= 2").select(recruit.decode("kmer", 21).alias("kmer"), "depth").orderBy(F.desc("depth"), "kmer").limit(2000)
+    depth = recruit.deepest_kmers(fragments(spark, sf_dir), "seq", 21, 2000, 2)
+    return depth.select(recruit.decode("kmer", 21).alias("kmer"), "depth").orderBy(F.desc("depth"), "kmer").limit(2000)
 
 
 KMER_DEPTH = f"WITH {FRAGMENTS}, {sql_windows('fk', 'fragments', 'frag', 'seq', 21)} SELECT kmer, count(DISTINCT frag) AS depth FROM fk GROUP BY kmer HAVING count(DISTINCT frag) >= 2 ORDER BY depth DESC, kmer LIMIT 2000"

@@ -627,3 +627,31 @@ def test_tiers_read_fragments_once(spark, monkeypatch):
     assert len(joined) == 3 and {k for _, _, k in got} == {31, 25, 16} and found(loci.limit(0)) == []
     monkeypatch.setattr(recruit, "MOST_BROADCAST", 0)
     assert found(loci) == got
+
+
+@pytest.mark.parametrize(("k", "most", "counters"), [(21, 5, 1 << 25), (21, 40, 8), (31, 5, 8), (5, 3, 1 << 25), (21, 100_000, 1 << 25)])
+def test_deepest_kmers(spark, monkeypatch, k, most, counters):
+    """Few counters hold many k-mers each, so that the first cut is not the last; rows with a k-mer twice, null and short ones."""
+    monkeypatch.setattr(recruit, "MOST_COUNTERS", counters)
+    r = random.Random(most)
+    common = ["".join(r.choices("ACGT", k=k + 9)) for _ in range(4)]
+    texts = [(i, "".join(r.choices("ACGT", k=40)) + common[0] * (i % 3) + common[i % 4] + "N" + common[i * i % 4]) for i in range(60)]
+    rows = spark.createDataFrame([*texts, (60, None), (61, ""), (62, "ACG")], "id int, seq string").repartition(3)
+    all_ = sorted(((-n, x) for x, n in recruit.kmer_depth(rows, ["id"], "seq", k).collect() if n >= 2))
+    found = recruit.deepest_kmers(rows, "seq", k, most)
+    assert sorted((-n, x) for x, n in found.collect())[:most] == all_[:most]
+    if most == 5 and counters > 8:
+        assert found.count() < len(all_)  # the others are not even counted
+
+
+def test_kmers_that_cannot_be_deep_are_not_shuffled(spark):
+    """1,000 texts of their own and one that 20 rows share: the rows of the shuffle by k-mer are the shared ones alone."""
+    r = random.Random(1)
+    shared = "".join(r.choices("ACGT", k=60))
+    rows = spark.createDataFrame([(i, "".join(r.choices("ACGT", k=300)) + (shared if i < 20 else "")) for i in range(1000)], "id int, seq string")
+    found = recruit.deepest_kmers(rows, "seq", 21, 40)
+    assert {n for _, n in found.collect()} >= {20} and found.count() < 2000
+
+
+def test_deepest_kmers_of_no_rows(spark):
+    assert recruit.deepest_kmers(spark.createDataFrame([], "id int, seq string"), "seq", 21, 5).collect() == []

@@ -69,3 +69,29 @@ def test_fnv_and_edit_distance():
         d = full(a, b)
         for most in (0, 1, 3):
             assert K.edit_distance_within(a, b, most) == (d if d <= most else None)
+
+
+def test_window_minima():
+    r = random.Random(5)
+    for _ in range(200):
+        w, rows = r.randint(1, 12), [[r.randint(0, 30) for _ in range(r.choice([0, 0, 1, 3, 9, 10, 11, 40]))] for _ in range(r.randint(0, 6))]
+        number = np.repeat(np.arange(len(rows)), [len(x) for x in rows]).astype(np.int64)
+        of, low = K.window_minima(number, np.array([v for x in rows for v in x], np.int64), w)
+        for i, x in enumerate(rows):
+            assert set(low[of == i].tolist()) == {min(x[j : j + w]) for j in range(max(len(x) - w, 0) + 1)} if x else not (of == i).any()
+
+
+def test_window_minima_take_few_comparisons(monkeypatch):
+    """Eight and ten wide windows take three and four comparisons of all values, not as many as they are wide."""
+    calls, own = [], np.minimum
+
+    class Counted:
+        reduceat = own.reduceat
+
+        def __call__(self, a, b):
+            calls.append(len(a))
+            return own(a, b)
+
+    monkeypatch.setattr(np, "minimum", Counted())
+    K.window_minima(np.zeros(1000, np.int64), np.arange(1000), 10)
+    assert len(calls) == 4

@@ -113,6 +113,6 @@ def mate_contigs(
     edges = search.choices(words, search.in_numbers(_of(True, support), small, "word", "next"), small)
     seeds = stored(search.best_seeds(graphs))
     paths = search.search_paths(words, edges, seeds, budget, most, small)
-    slices = search.shared_slices(_both(search.read_slices(_mates(anchored), size)), size)
-    contigs = stored(search.combine_sides(seeds, search.best_sides(paths, slices, size, most)))
-    return guarded(search.best_contigs(search.contig_support(contigs, slices, words, size, k, bool(small))))
+    slices = stored(_both(search.read_slices(_mates(anchored), size)))
+    contigs = search.combine_sides(seeds, search.best_sides(paths, slices, size, most))
+    return guarded(search.best_contigs(search.contig_support(contigs, slices, words, size, k)))

@@ -24,10 +24,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from helixframe.functions import kernels
 from helixframe.functions.sequences import reverse_complement, u_to_t
 from helixframe.operators import recruit
 from helixframe.operators.assembly import MOST_K, OFF_REFERENCE, numbered, unitig_places
-from helixframe.operators.tables import dealt, stored
+from helixframe.operators.tables import dealt, shared, stored
 
 #: Fixed values of the choice at a branch: support by pairs, a step along the reference, depth beyond which a word off it is a repeat.
 PAIR_BONUS, LEAST_PAIRS, MOST_PAIRS, RESCUE_PENALTY = 6, 2, 4, 16
@@ -361,6 +362,164 @@ def read_slices(reads: DataFrame, size: int) -> DataFrame:
     return reads.where(F.length("seq") >= size).select("locus", F.explode(both).alias("slice")).groupBy("locus", "slice").agg(F.count(F.lit(1)).alias("n"))
 
 
+#: Windows that are told apart at once.
+MOST_WINDOWS = 1 << 21
+
+
+def _offsets(size: int) -> list[int]:
+    """Where the parts of a window start: each of MOST_K bases at most, the last one ending with the window."""
+    return [*range(0, size - MOST_K, MOST_K), max(size - MOST_K, 0)]
+
+
+def _windows(text: bytes, size: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Starts of a text's windows of A, C, G and T, and their parts as numbers of two bits a base."""
+    codes, _ = kernels.joined_codes([text])
+    value, _, valid = kernels.kmers(codes, min(size, MOST_K))
+    n = max(len(codes) - size + 1, 0)
+    at = np.flatnonzero(np.logical_and.reduce([valid[o : o + n] for o in _offsets(size)]))
+    return at, [value[at + o] for o in _offsets(size)]
+
+
+def _apart(parts: list[np.ndarray]) -> list[np.ndarray]:
+    """The different windows; some may be left twice."""
+    order = np.argsort(sum(p.astype(np.uint64) * np.uint64(m) for p, m in zip(parts, range(0x9E3779B97F4A7C15, 1 << 64, 1 << 40), strict=False)))
+    parts = [p[order] for p in parts]
+    new = np.logical_or.reduce([np.diff(p, prepend=-1) != 0 for p in parts])
+    return [p[new] for p in parts]
+
+
+class _Keys:
+    """Numbers of different windows, looked up by their parts; number[i] is that of the i-th window."""
+
+    def __init__(self, parts: list[np.ndarray]):
+        self.values, self.pairs, self.number = [], [], np.zeros(len(parts[0]), np.int64)
+        for p in parts:
+            value, at = np.unique(p, return_inverse=True)
+            pair, self.number = np.unique(self.number * len(value) + at, return_inverse=True)
+            self.values.append(value)
+            self.pairs.append(pair)
+
+    def find(self, parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Places of those windows that are there, and their numbers."""
+        at = np.arange(len(parts[0]))
+        number = np.zeros(len(at), np.int64)
+        for p, value, pair in zip(parts, self.values, self.pairs, strict=True):
+            there, same = _among(value, p[at])
+            at, x = at[same], number[same] * len(value) + there[same]
+            there, same = _among(pair, x)
+            at, number = at[same], there[same]
+        return at, number
+
+
+def _among(known: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where x are among the rising numbers `known`, and whether they are."""
+    there = np.searchsorted(known, x)
+    return there, known[np.minimum(there, len(known) - 1)] == x if len(known) else np.zeros(len(x), bool)
+
+
+def _parts(size: int) -> list[str]:
+    return [f"p{i}" for i in range(len(_offsets(size)))]
+
+
+def keyed(df: DataFrame, text: str, n: str, size: int) -> DataFrame:
+    """of, p0, p1 ..., n: df's texts (of, text, n) of `size` bases by the parts of their numbers; those with other letters never meet a contig."""
+    if dict(df.dtypes)[text] == "bigint":
+        return df.select("of", F.col(text).alias("p0"), F.col(n).cast("bigint").alias("n"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes, starts = kernels.joined_codes([x or b"" for x in batch.column(1).cast(pa.binary()).to_pylist()])
+            value, _, _ = kernels.kmers(codes, min(size, MOST_K))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(value[starts + o]) for o in _offsets(size)), batch.column(2)], names=["of", *_parts(size), "n"])
+
+    rows = df.where(F.col(text).rlike("^[ACGT]+$") & (F.length(text) == size)).select("of", text, F.col(n).cast("bigint").alias("n"))
+    return rows.mapInArrow(run, f"of bigint, {', '.join(f'{p} bigint' for p in _parts(size))}, n bigint")
+
+
+def _tasks(df: DataFrame) -> int:
+    return 4 * df.sparkSession.sparkContext.defaultParallelism
+
+
+def held_windows(texts: DataFrame, table: DataFrame, size: int) -> DataFrame:
+    """The rows of table (of, p0, p1 ..., n: see keyed) that any of the texts (of, text) of the same number holds."""
+    names = _parts(size)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, mine, n = [], None, 0
+
+        def told() -> pa.RecordBatch:
+            parts = _apart([np.concatenate(x) for x in zip(*held, strict=True)])
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(parts[0]), mine)), *map(pa.array, parts)], names=["of", *names])
+
+        for batch in batches:
+            for of, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if held and (of != mine or n > MOST_WINDOWS):
+                    yield told()
+                    held, n = [], 0
+                mine = of
+                held.append(_windows(text.as_buffer().to_pybytes(), size)[1])
+                n += len(held[-1][0])
+        if held:
+            yield told()
+
+    rows = texts.select("of", "text").repartition(_tasks(texts), "of").sortWithinPartitions("of")
+    found = rows.mapInArrow(run, ", ".join(f"{c} bigint" for c in ["of", *names]))
+    return table.join(dealt(found), ["of", *names], "left_semi")
+
+
+def along_texts(texts: DataFrame, tables: list[tuple[DataFrame, int]], told: Callable, schema: str) -> DataFrame:
+    """id and what `told` gives for each of texts (of, id, text), from (places, numbers, n) for each of the tables with the
+    size of its windows: where the text has windows of its `of` in the table, their numbers, and n by number.
+
+    Rows come by `of`, those of the tables that any of its texts holds first, so a task has these of one `of` and one batch of texts."""
+    sizes = [size for _, size in tables]
+    rows = texts.select("of", F.lit(len(tables)).alias("kind"), "id", "text", F.lit(None).cast("array<bigint>").alias("parts"), F.lit(None).cast("bigint").alias("n"))
+    for kind, (table, size) in enumerate(tables):
+        found = held_windows(texts, table, size)
+        rows = rows.unionByName(found.select("of", F.lit(kind).alias("kind"), F.lit(None).cast("bigint").alias("id"), F.lit(None).cast("string").alias("text"), F.array(*_parts(size)).alias("parts"), "n"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mine, held, known = None, [], None
+
+        def keys() -> list[tuple[_Keys, np.ndarray]]:
+            found = []
+            for size, pieces in zip(sizes, held, strict=True):
+                parts = np.concatenate([np.zeros((0, len(_offsets(size))), np.int64), *(p for p, _ in pieces)])
+                key, n = _Keys(list(parts.T)), np.zeros(len(parts), np.int64)
+                n[key.number] = np.concatenate([np.zeros(0, np.int64), *(x for _, x in pieces)])
+                found.append((key, n))
+            return found
+
+        for batch in batches:
+            of, kind = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            cuts = [0, *(np.flatnonzero((np.diff(of) != 0) | (np.diff(kind) != 0)) + 1).tolist(), batch.num_rows]
+            for low, high in zip(cuts, cuts[1:], strict=False):
+                if low == high:
+                    continue
+                part = batch.slice(low, high - low)
+                if of[low] != mine:
+                    mine, held, known = of[low], [[] for _ in sizes], None
+                if kind[low] < len(sizes):
+                    width = len(_offsets(sizes[kind[low]]))
+                    held[kind[low]].append((part.column(4).flatten().to_numpy().reshape(-1, width), part.column(5).to_numpy()))
+                    continue
+                known = known or keys()
+                for number, text in zip(part.column(2).to_pylist(), part.column(3), strict=True):
+                    met = []
+                    for size, (key, n) in zip(sizes, known, strict=True):
+                        at, parts = _windows(text.as_buffer().to_pybytes(), size)
+                        there, numbers = key.find(parts)
+                        met.append((at[there], numbers, n))
+                    yield pa.RecordBatch.from_pylist([{"id": number, **told(len(text.as_buffer()), *met)}], schema=names)
+
+    names = pa.schema([("id", pa.int64()), *((c, {"bigint": pa.int64(), "double": pa.float64()}[t]) for c, t in (x.split() for x in schema.split(", ")))])
+    return rows.repartition(_tasks(texts), "of").sortWithinPartitions("of", "kind").mapInArrow(run, f"id bigint, {schema}")
+
+
+def _numbered_loci(df: DataFrame) -> DataFrame:
+    return stored(df.select("locus").distinct().withColumn("of", F.monotonically_increasing_id()))
+
+
 def best_sides(paths: DataFrame, slices: DataFrame, size: int, most: int = MOST_SIDES) -> DataFrame:
     """locus, side, number, bases, value, reads: of the paths with over a quarter of their side's greatest value the
     `most` best by length, reads whose slice they hold, value and text."""
@@ -368,11 +527,17 @@ def best_sides(paths: DataFrame, slices: DataFrame, size: int, most: int = MOST_
     kept = paths.join(greatest, ["locus", "side"]).where("value > shiftright(greatest, 2)").select("locus", "side", "key", "bases", "value")
     # Length comes first, so reads count only for paths as long as the last of the best.
     longest = Window.partitionBy("locus", "side").orderBy(F.length("bases").desc())
-    kept = stored(kept.withColumn("rank", F.rank().over(longest)).where(F.col("rank") <= most).drop("rank"))
-    held = kept.select("locus", "side", "key", F.explode(F.array_distinct(text_windows("bases", size))).alias("slice")).join(slices, ["locus", "slice"])
-    reads = held.groupBy("locus", "side", "key").agg(F.sum("n").alias("reads"))
+    kept = stored(kept.withColumn("rank", F.rank().over(longest)).where(F.col("rank") <= most).drop("rank").withColumn("id", F.monotonically_increasing_id()))
+    loci = _numbered_loci(kept)
+
+    def told(length: int, slices: tuple[np.ndarray, np.ndarray, np.ndarray]) -> dict:
+        _, numbers, n = slices
+        return {"reads": int(n[np.unique(numbers)].sum())}
+
+    texts = kept.join(shared(loci), "locus").select("of", "id", F.col("bases").alias("text"))
+    reads = stored(along_texts(texts, [(keyed(slices.join(shared(loci), "locus"), "slice", "n", size), size)], told, "reads bigint"))
     order = Window.partitionBy("locus", "side").orderBy(F.length("bases").desc(), F.desc("reads"), F.desc("value"), "bases", "key")
-    scored = kept.join(reads, ["locus", "side", "key"], "left").withColumn("reads", F.coalesce("reads", F.lit(0).cast("bigint")))
+    scored = kept.join(shared(reads), "id")
     return scored.withColumn("number", F.row_number().over(order)).where(F.col("number") <= most).select("locus", "side", F.col("number").cast("bigint").alias("number"), "bases", "value", "reads")
 
 
@@ -389,36 +554,41 @@ def combine_sides(seeds: DataFrame, sides: DataFrame) -> DataFrame:
     return both.select("locus", "left", "right", F.concat(reverse_complement("left_bases"), "seed", "right_bases").alias("contig"), (F.col("left_value") + F.col("right_value")).alias("value"))
 
 
-def shared_slices(slices: DataFrame, size: int) -> DataFrame:
-    """slices as a table, to be broadcast if they are few enough: windows of contigs are then not shuffled."""
-    slices = stored(slices)
-    return F.broadcast(slices) if slices.count() * (size + 24) <= recruit.MOST_BROADCAST else dealt(slices)
-
-
-def contig_support(contigs: DataFrame, slices: DataFrame, graph: DataFrame, size: int, k: int, numbers: bool = False) -> DataFrame:
+def contig_support(contigs: DataFrame, slices: DataFrame, graph: DataFrame, size: int, k: int) -> DataFrame:
     """contigs (locus, left, right, contig, value) with reads found in one place and in several, bases that the first
-    cover, the longest gap, and median, variation and peak of the depths along each.  With `numbers` the graph's words are such."""
-    ids = ["locus", "left", "right"]
-    at = contigs.select(*ids, F.posexplode(text_windows("contig", size)).alias("at", "slice")).join(slices, ["locus", "slice"])
-    hits = stored(at.groupBy(*ids, "slice").agg(F.count(F.lit(1)).alias("places"), F.min("at").alias("at"), F.max("n").alias("n")))
-    total = hits.groupBy(*ids).agg(F.sum(F.when(F.col("places") == 1, F.col("n")).otherwise(0)).alias("unique_reads"), F.sum(F.when(F.col("places") > 1, F.col("n")).otherwise(0)).alias("multi_reads"))
-    along = Window.partitionBy(*ids).orderBy("at")
-    before = F.lag("at").over(along)
-    # Intervals are all `size` long, so one adds what lies beyond the one before it.
-    steps = hits.where("places = 1").select(*ids, "at", F.coalesce(F.least(F.col("at") - before, F.lit(size)), F.lit(size)).alias("adds"), F.coalesce(F.greatest(F.col("at") - before - size, F.lit(0)), F.lit(0)).alias("gap"))
-    cover = steps.groupBy(*ids).agg(F.sum("adds").alias("supported_bases"), F.max("gap").alias("gap"), F.min("at").alias("first"), F.max("at").alias("last"))
-    along_it = recruit.seq_kmers(contigs, ids, "contig", k, forward=True).withColumnRenamed("kmer", "word") if numbers else contigs.select(*ids, F.explode(text_windows("contig", k)).alias("word"))
-    deep = along_it.join(dealt(graph.select("locus", "word", "depth")), ["locus", "word"], "left").withColumn("depth", F.coalesce("depth", F.lit(0)))
-    depths = deep.groupBy(*ids).agg(F.median("depth").alias("median_depth"), F.coalesce(F.stddev_pop("depth") / F.avg("depth"), F.lit(0.0)).alias("depth_cv"), F.max("depth").alias("top"))
+    cover, the longest gap, and median, variation and peak of the depths along each.  The graph's words are texts or numbers."""
+
+    def told(length: int, slices: tuple[np.ndarray, np.ndarray, np.ndarray], words: tuple[np.ndarray, np.ndarray, np.ndarray]) -> dict:
+        at, numbers, n = slices
+        places = np.bincount(numbers, minlength=len(n))
+        alone = at[places[numbers] == 1]
+        found = {"unique_reads": int(n[places == 1].sum()), "multi_reads": int(n[places > 1].sum())}
+        if len(alone):
+            # Intervals are all `size` long, so one adds what lies beyond the one before it.
+            steps = np.diff(alone)
+            found |= {"supported_bases": size + int(np.minimum(steps, size).sum()), "gap": max(int(steps.max(initial=0)) - size, 0), "first": int(alone[0]), "last": int(alone[-1])}
+        _, numbers, n = words
+        depths = np.zeros(max(length - k + 1, 0), np.int64)
+        depths[: len(numbers)] = n[numbers]  # in any order
+        if len(depths):
+            mean = float(depths.mean())
+            found |= {"median_depth": float(np.median(depths)), "depth_cv": float(depths.std()) / mean if mean else 0.0, "top": int(depths.max())}
+        return found
+
+    contigs = stored(contigs.withColumn("id", F.monotonically_increasing_id()))
+    loci = _numbered_loci(contigs)
+    of = lambda df: df.join(shared(loci), "locus")
+    tables = [(keyed(of(slices), "slice", "n", size), size), (keyed(of(graph), "word", "depth", k), k)]
+    schema = "unique_reads bigint, multi_reads bigint, supported_bases bigint, gap bigint, first bigint, last bigint, median_depth double, depth_cv double, top bigint"
+    found = contigs.join(shared(stored(along_texts(of(contigs).select("of", "id", F.col("contig").alias("text")), tables, told, schema))), "id")
     size_of = F.length("contig")
-    found = contigs.join(total, ids, "left").join(cover, ids, "left").join(depths, ids, "left")
     none = F.col("supported_bases").isNull()
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
     ends = F.greatest(F.col("gap"), F.col("first"), size_of - F.col("last") - size)
     low, high = F.col("first"), size_of - F.col("last") - size
     balance = F.when(none, 0.0).when((low == 0) & (high == 0), 1.0).otherwise(F.least(low, high) / F.greatest(low, high))
     return found.select(
-        *ids, "contig", "value", size_of.cast("bigint").alias("length"), zero("unique_reads"), zero("multi_reads"), zero("supported_bases"),
+        "locus", "left", "right", "contig", "value", size_of.cast("bigint").alias("length"), zero("unique_reads"), zero("multi_reads"), zero("supported_bases"),
         F.when(none, size_of).otherwise(ends).cast("bigint").alias("max_gap"), balance.alias("flank_balance"), "median_depth",
         F.round("depth_cv", 9).alias("depth_cv"), F.round(F.col("top") / F.col("median_depth"), 9).alias("depth_ratio"),
     )
@@ -447,6 +617,5 @@ def search_contigs(reads: DataFrame, refs: DataFrame, slices: DataFrame, k: int,
     small = number_size(k)
     words = in_numbers(graph, small, "word")
     paths = search_paths(words, choices(words, k=small), seeds, budget, most, small)
-    slices = shared_slices(slices, size)
-    contigs = stored(combine_sides(seeds, best_sides(paths, slices, size, most)))
-    return best_contigs(contig_support(contigs, slices, words, size, k, bool(small)))
+    slices = stored(slices)
+    return best_contigs(contig_support(combine_sides(seeds, best_sides(paths, slices, size, most)), slices, words, size, k))

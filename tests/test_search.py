@@ -201,3 +201,33 @@ def test_windows_of_long_texts_take_no_time_by_the_square(spark):
     texts = [bases(r, n) for n in (0, 10, 11, search.PIECE + 10, search.PIECE + 11, 3 * search.PIECE + 4, 300_000)]
     got = spark.createDataFrame([(t,) for t in texts], "seq string").select("seq", search.text_windows("seq", 11).alias("w")).collect()
     assert all((x["w"] or []) == windows(x["seq"], 11) for x in got)
+
+
+def test_windows_along_contigs_are_never_rows_of_text(spark, monkeypatch):
+    """Slices of several parts of a number, some in two places of a contig, some that differ in one part alone or have other letters."""
+    size, r = 70, random.Random(12)
+    monkeypatch.setitem(globals(), "SIZE", size)
+    contigs, slices, graphs = [], [], {}
+    for locus in (1, 2, 3):
+        twice, graph = bases(r, 90), {}
+        for left in (0, 1):
+            text = bases(r, 60) + twice + bases(r, 150 * locus) + twice + bases(r, 75)
+            contigs.append((locus, left, 0, text, 5))
+            graph |= {w: (r.randint(1, 9),) for w in windows(text)}
+            cut = [text[i : i + size] for i in (3, 65, 70, 200, len(text) - size)]
+            changed = [c[:i] + ("A" if c[i] != "A" else "C") + c[i + 1 :] for c in cut[:2] for i in (0, 33, 69)]
+            slices += [(locus, x, r.randint(1, 9)) for x in {*cut, *changed}] + [(locus, cut[0].lower(), 3), (locus % 3 + 1, cut[0], 2), (locus, cut[0][:5] + "N" + cut[0][6:], 4)]
+        graphs[locus] = graph
+    slices = list({(i, x): n for i, x, n in slices}.items())
+    frames_ = [
+        spark.createDataFrame(contigs, "locus int, left bigint, right bigint, contig string, value bigint"),
+        spark.createDataFrame([(i, x, n) for (i, x), n in slices], "locus int, slice string, n bigint"),
+        spark.createDataFrame([(i, w, d) for i, g in graphs.items() for w, (d,) in g.items()], "locus int, word string, depth bigint"),
+    ]
+    monkeypatch.setattr(search, "text_windows", None)
+    got = {(x["locus"], x["left"]): x for x in search.contig_support(*frames_, size, K).collect()}
+    assert len(got) == len(contigs)
+    for locus, left, _, text, value in contigs:
+        want, x = support_by_hand(text, value, {s: n for (i, s), n in slices if i == locus}, graphs[locus]), got[locus, left]
+        assert (x["contig"], x["value"], x["unique_reads"], x["multi_reads"], x["supported_bases"], x["max_gap"]) == want[1] and x["multi_reads"] and x["unique_reads"]
+        assert (x["median_depth"], x["flank_balance"]) == want[2]

@@ -130,11 +130,8 @@ def in_numbers(df: DataFrame, k: int | None, *words: str) -> DataFrame:
     return stored(df.withColumns({c: numbered(c, k) for c in words}), compression="zstd") if k else df
 
 
-def _follow(words: DataFrame, k: int | None = None) -> DataFrame:
+def _follow(words: DataFrame) -> DataFrame:
     """words with each next that may follow."""
-    if k:
-        moved = F.call_function("shiftleft", F.col("word").bitwiseAND((1 << 2 * (k - 1)) - 1), F.lit(2))
-        return words.withColumn("next", F.explode(F.array(*(moved + i for i in range(4)))))
     return words.withColumn("next", F.explode(F.array(*(F.concat(F.expr("substring(word, 2)"), F.lit(b)) for b in "ACGT"))))
 
 
@@ -144,13 +141,16 @@ def graph_edges(words: DataFrame) -> DataFrame:
 
 
 def choices(graph: DataFrame, support: DataFrame | None = None, k: int | None = None) -> DataFrame:
-    """locus, word, next, bonus, score: the graph's edges; the score holds at a branch, best first with ties by text.
+    """locus, inner, word, next, bonus, score: the graph's edges over their k - 1 bases `inner`; the score holds at a branch,
+    best first with ties by text.  Edges are dealt by locus and inner, unless there is support.
 
     support (locus, word, next, fragments): fragments that go over an edge with a mate on the reference.  With k, all words
     are numbers."""
-    here = graph.select("locus", "word", F.col("depth").alias("d"), F.col("weight").alias("w"), F.col("place").alias("p"))
-    there = graph.select("locus", F.col("word").alias("next"), "depth", "weight", "place", "rescued")
-    edges = _follow(here, k).join(dealt(there), ["locus", "next"])
+    after = F.col("word").bitwiseAND((1 << 2 * (k - 1)) - 1) if k else F.expr("substring(word, 2)")
+    before = F.shiftrightunsigned("word", 2) if k else F.expr("left(word, length(word) - 1)")
+    here = graph.select("locus", after.alias("inner"), "word", F.col("depth").alias("d"), F.col("weight").alias("w"), F.col("place").alias("p"))
+    there = graph.select("locus", before.alias("inner"), F.col("word").alias("next"), "depth", "weight", "place", "rescued")
+    edges = here.join(dealt(there), ["locus", "inner"])
     edges = edges.join(dealt(support), ["locus", "word", "next"], "left") if support is not None else edges.withColumn("fragments", F.lit(0))
     pairs = F.coalesce("fragments", F.lit(0))
     by_pairs = F.when(pairs >= LEAST_PAIRS, PAIR_BONUS * F.least(pairs, F.lit(MOST_PAIRS))).when(F.col("rescued"), -RESCUE_PENALTY).otherwise(0)
@@ -159,7 +159,7 @@ def choices(graph: DataFrame, support: DataFrame | None = None, k: int | None =
     surge = F.greatest(F.greatest("d", F.lit(2)) * SURGE, F.lit(LEAST_SURGE))
     by_surge = F.when((F.col("weight") == 0) & (F.col("depth") > surge), -F.floor((F.col("depth") - surge) / 2)).otherwise(0)
     bonus = (by_pairs + by_step + by_surge).cast("bigint")
-    return edges.select("locus", "word", "next", bonus.alias("bonus"), (F.col("depth") + F.col("weight") + bonus).alias("score"))
+    return edges.select("locus", "inner", "word", "next", bonus.alias("bonus"), (F.col("depth") + F.col("weight") + bonus).alias("score"))
 
 
 #: Words that are compacted at once, of one locus as far as they go; stretches that are cut there are joined afterwards.
@@ -244,15 +244,15 @@ def branch_nodes(graph: DataFrame, edges: DataFrame, loci: DataFrame, starts: Da
     letter = F.substring(F.lit("ACGT"), F.col("word").bitwiseAND(3).cast("int") + 1, F.lit(1)) if k else F.expr("right(word, 1)")
     words = graph.join(loci, "locus").select("of", "word", letter.alias("letter"), (F.col("depth") + F.col("weight")).alias("value"))
     # All edges over the same k - 1 bases leave the same words and enter the same ones: one alone is single.
-    inner = F.shiftrightunsigned("next", 2) if k else F.expr("left(next, length(next) - 1)")
-    joints = edges.join(loci, "locus").groupBy("of", inner.alias("inner")).agg(F.collect_list(F.struct("word", "next", "bonus", "score")).alias("e"))
+    over = F.count(F.lit(1)).over(Window.partitionBy("locus", "inner"))
     apart = starts.groupBy("of").agg(F.collect_set("word").alias("apart"))
-    one = (F.size("e") == 1) & ~F.array_contains("apart", F.col("e")[0]["word"]) & ~F.array_contains("apart", F.col("e")[0]["next"])
-    joints = stored(joints.join(apart, "of").select("of", "e", one.alias("one")), compression="zstd")
-    single = joints.where("one").select("of", F.col("e")[0]["word"].alias("word"), F.col("e")[0]["next"].alias("next"))
+    one = (F.col("n") == 1) & ~F.array_contains("apart", F.col("word")) & ~F.array_contains("apart", F.col("next"))
+    joints = edges.withColumn("n", over).join(shared(stored(loci.join(apart, "of"))), "locus").withColumn("one", one)
+    joints = stored(joints.select("of", "word", "next", "one", *(F.when(~F.col("one"), F.col(c)).alias(c) for c in ("bonus", "score"))), compression="zstd")
+    single = joints.where("one").select("of", "word", "next")
     sorted_ones = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("minus"), "next", "bonus")))
     follow = F.transform(sorted_ones, lambda x: F.struct(x["next"].alias("next"), x["bonus"].alias("bonus")))
-    after = joints.where("NOT one").select("of", F.inline("e")).groupBy("of", F.col("word").alias("last")).agg(follow.alias("follow"))
+    after = joints.where("NOT one").groupBy("of", F.col("word").alias("last")).agg(follow.alias("follow"))
     return stretches(words, single).join(dealt(after), ["of", "last"], "left").select("of", "head", "bases", "value", "follow")
 
 
